@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuetide.llm import bpe, decontam, simhash
+from cuetide.llm import bpe, decontam, simhash, substring
 from cuetide.llm.common import read_table
 
 
@@ -28,6 +28,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).withColumn("fingerprint", simhash.hex_digits(F.col("fingerprint")))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.remove_repeats(docs, length=50).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.report(decontam.find_hits(docs, read_table(spark, sf_dir, "benchmark"), n=10))
