@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuetide.llm import bpe, decontam, simhash, substring
+from cuetide.llm import bpe, decontam, langid, matroska, simhash, substring
 from cuetide.llm.common import read_table
 
 
@@ -23,6 +23,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.with_token_digests(bpe.decode(bpe.encode(docs, spec, drop_text=True), spec))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs)
+    named = docs.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "text")
+    return langid.predict(named, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).withColumn("fingerprint", simhash.hex_digits(F.col("fingerprint")))
@@ -38,6 +45,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(decontam.find_hits(docs, read_table(spark, sf_dir, "benchmark"), n=10))
 
 
+def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return matroska.with_media_digests(matroska.with_media(docs, drop_text=True))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
