@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuetide.llm import bpe, decontam, langid, matroska, simhash, substring
+from cuetide.llm import bpe, decontam, langid, matroska, simhash, substring, warc
 from cuetide.llm.common import read_table
 
 
@@ -35,6 +35,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs).withColumn("fingerprint", simhash.hex_digits(F.col("fingerprint")))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    folder = warc.archive_folder(spark)
+    manifest = warc.write_archives(pages, "page_id", "url", "html", folder, min_bytes=0)
+    found = warc.read_archives(manifest, folder)
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "fault")
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring.remove_repeats(docs, length=50).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
