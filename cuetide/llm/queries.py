@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuetide.llm import bpe, decontam, langid, matroska, simhash, substring, warc
+from cuetide.llm import bpe, decontam, langid, license, matroska, simhash, substring, urlfilter, warc
 from cuetide.llm.common import read_table
 
 
@@ -48,6 +48,17 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(docs, length=50).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), urlfilter.RULES)
+
+
+def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files source/lang/doc_id.txt, since the table has no paths."""
+    docs = read_table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license.with_licenses(docs.select("doc_id", path.alias("path"), "text"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.report(decontam.find_hits(docs, read_table(spark, sf_dir, "benchmark"), n=10))
