@@ -7,18 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuetide.llm import bpe, decontam, langid, license, matroska, simhash, substring, urlfilter, warc
+from cuetide.llm import bpe, decontam, langid, license, matroska, pii, simhash, substring, urlfilter, warc
 from cuetide.llm.common import read_table
 
 
-def _tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spec = bpe.load_spec(_tokenizer_path())
+    spec = bpe.load_spec(tokenizer_path())
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.with_token_digests(bpe.decode(bpe.encode(docs, spec, drop_text=True), spec))
 
@@ -30,6 +30,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(named, model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).withColumn("fingerprint", simhash.hex_digits(F.col("fingerprint")))

@@ -106,7 +106,7 @@ def hex_digits(fp: Column) -> Column:
 
 
 def keep_first(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, most_bits: int = 3) -> DataFrame:
-    """Rows of df that are the smallest key of their component; rows with a null key are kept."""
-    first = near_duplicates(df.where(F.col(key).isNotNull()), text, key, size, most_bits).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("_first"))
-    kept = df.join(first, F.col(key) == F.col("_first"), "left")
-    return kept.where(F.col(key).isNull() | F.col("_first").isNotNull()).select(*df.columns)
+    """df without the rows whose key is not the smallest of its component; rows with a null key are kept."""
+    found = near_duplicates(df.where(F.col(key).isNotNull()), text, key, size, most_bits)
+    others = stored(found.where(F.col(key) > F.col("component_id")).select(F.col(key).alias("_other")), "simhash-others")
+    return df.join(others, F.col(key) == F.col("_other"), "left_anti")
