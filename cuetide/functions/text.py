@@ -84,28 +84,34 @@ def information_kind(c: Column) -> Column:
     """`punctuation`, `low_information` (one unit repeated, few different characters, a lone sign) or null."""
     raw = clean_cue(c)
     compact = F.regexp_replace(F.lower(raw), f"[{WS}{PUNCT_WIDE}]+", "")
-    chars = F.filter(F.split(compact, ""), lambda x: x != "")
-    n, kinds = F.size(chars), F.size(F.array_distinct(chars))
-    few = (n >= 8) & (kinds / n <= 0.25)
+    n = F.length(compact)
+    few = (n >= 8) & (F.size(F.array_distinct(F.split(compact, "(?!^)"))) / n <= 0.25)
     latin = compact.rlike("^[a-z]+$")
-    latin_low = ((n <= 4) & ~compact.rlike("[aeiouy]")) | compact.rlike(r"^(.{1,4}?)\1{2,}$") | few
-    other_low = (n == 1) | compact.rlike(r"^(.{1,4}?)\1+$") | few
-    low = (n > 0) & ~compact.rlike(r"\p{N}") & F.when(latin, latin_low).otherwise(other_low)
+    latin_low = ((n <= 4) & ~compact.rlike("[aeiouy]")) | compact.rlike(r"^(.{1,4}?)\1{2,}$")
+    other_low = (n == 1) | compact.rlike(r"^(.{1,4}?)\1+$")
+    low = (n > 0) & ~compact.rlike(r"\p{N}") & (F.when(latin, latin_low).otherwise(other_low) | few)
     return F.when(raw == "", None).when(repeat_key(raw) == "", "punctuation").when(low, "low_information")
 
 
 def is_repeated_phrase(c: Column, seconds: Column) -> Column:
-    """One phrase makes up most of a long text."""
+    """One phrase makes up most of a long text. Equal phrases are counted as runs of the sorted list."""
     pieces = F.split(clean_cue(c), r"[、,，。.!?！？;；\n]+")
-    parts = F.filter(F.transform(pieces, repeat_key), lambda x: F.length(x) >= P.phrase_min_chars)
-    most = F.array_max(F.transform(F.array_distinct(parts), lambda x: F.size(F.filter(parts, lambda y: y == x))))
-    n = F.size(parts)
-    return F.coalesce((seconds >= P.phrase_span) & (n >= P.phrase_count) & (most >= P.phrase_count) & (most / n >= P.phrase_share), F.lit(False))
+    parts = F.array_sort(F.filter(F.transform(pieces, repeat_key), lambda x: F.length(x) >= P.phrase_min_chars))
+    state = "struct<last:string,run:int,most:int>"
 
+    def step(acc: Column, x: Column) -> Column:
+        run = F.when(acc["last"] == x, acc["run"] + 1).otherwise(1)
+        return F.struct(x.alias("last"), run.alias("run"), F.greatest(acc["most"], run).alias("most")).cast(state)
 
-def is_low_single(c: Column, seconds: Column) -> Column:
-    low = (information_kind(c) == "low_information") & (seconds >= P.low_single_span)
-    return F.coalesce((seconds > 0) & (F.coalesce(low, F.lit(False)) | is_repeated_phrase(c, seconds)), F.lit(False))
+    begin = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("most")).cast(state)
+    enough = F.aggregate(parts, begin, step, lambda acc: (acc["most"] >= P.phrase_count) & (acc["most"] / F.size(parts) >= P.phrase_share))
+    return F.coalesce(F.when(seconds >= P.phrase_span, enough), F.lit(False))
+
+
+def is_low_single(kind: Column, c: Column, seconds: Column) -> Column:
+    """kind: of information_kind(c)."""
+    low = F.coalesce((kind == "low_information") & (seconds >= P.low_single_span), F.lit(False))
+    return F.coalesce((seconds > 0) & (low | is_repeated_phrase(c, seconds)), F.lit(False))
 
 
 def join_words(words: Column) -> Column:

@@ -44,7 +44,7 @@ def drop_spread_repeats(df: DataFrame, suspicious, weak) -> DataFrame:
 def drop_low_information(df: DataFrame) -> DataFrame:
     """Without lone low-information rows at the head of a run, and without what is left of runs that are long enough."""
     seconds = F.greatest(F.lit(0.0), F.col("e") - F.col("s"))
-    marked = df.withColumns({"_kind": information_kind(F.col("text")), "_single": is_low_single(F.col("text"), seconds)})
+    marked = df.withColumn("_kind", information_kind(F.col("text"))).withColumn("_single", is_low_single(F.col("_kind"), F.col("text"), seconds))
     # A row without a kind is alone: it closes the island before it and starts none.
     runs = marked.withColumn("_island", F.sum(F.when(F.col("_kind").isNull(), 1).otherwise(0)).over(_order()))
     own = Window.partitionBy("media_id", "_island", F.col("_kind").isNull())
