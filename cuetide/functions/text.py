@@ -121,7 +121,8 @@ def join_words(words: Column) -> Column:
 
 def model_json(c: Column) -> Column:
     """The JSON text in a model's answer: without code fences, or from its first brace to the last; null if neither parses."""
-    bare = F.trim(F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"^```(?:json)?|```$", ""))
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    bare = strip(F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"^```(?:json)?|```$", ""))
     inner = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
     ok = lambda x: F.when(F.get_json_object(x, "$").isNotNull(), x)
     return F.coalesce(ok(bare), ok(inner))

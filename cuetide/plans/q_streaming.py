@@ -1 +1,102 @@
-"""Queries."""
+"""Queries that run streams over the driver's tables to their end."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cuetide.plans import adapters as ad
+from cuetide.plans.catalog import query
+from cuetide.session import shared_dir
+from cuetide.streaming import jobs
+
+
+def _source(spark: SparkSession, d: str, table: str) -> DataFrame:
+    """The table as a stream of files."""
+    schema = ad.table(spark, d, table).schema
+    return spark.readStream.schema(schema).parquet(f"{d.rstrip('/')}/{table}.parquet*")
+
+
+def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/cuetide/stream-{uuid.uuid4().hex}"
+    jobs.drain(stream, f"{base}/out", f"{base}/checkpoint", mode)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def _collected(stream: DataFrame) -> DataFrame:
+    """Update mode: each batch is kept as it comes."""
+    spark = stream.sparkSession
+    base = f"{shared_dir(spark)}/cuetide/stream-{uuid.uuid4().hex}"
+    write = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{base}/out/v{epoch}")
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out/*")
+
+
+@query("st01_tab_state")
+def st01(spark, d):
+    """Events of users as candidates of tabs; an error is a navigation."""
+    events = _source(spark, d, "events")
+    stream = events.select(F.col("user_id").alias("tab"), F.concat_ws("-", "event_type", (F.col("event_id") % 50).cast("string")).alias("fingerprint"), F.col("value").alias("score"), F.col("event_id").alias("seen_at"), F.when(F.col("event_id") % 40 == 39, "navigate").otherwise("media").alias("kind"))
+    return _collected(jobs.tab_candidates(stream, 10))
+
+
+@query("st05_translation_groups", """with c as (select l_orderkey as job, l_linenumber as chunk, l_linenumber * 400 as s, l_returnflag = 'R' as failed, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey desc, l_suppkey desc) as nth from lineitem),
+k as (select *, cast(floor((s + 0.001e0) / 900e0) as bigint) as bucket from c where nth = 1), m as (select job, max(chunk) as last from k group by 1)
+select job, bucket, count(*) as chunks, count(*) filter (failed) as failed, true as complete from k group by 1, 2""")
+def st05(spark, d):
+    """Lines of orders as chunks of 400 seconds; the order's last line ends the job."""
+    lines = ad.table(spark, d, "lineitem")
+    last = lines.groupBy(F.col("l_orderkey").alias("_job")).agg(F.max("l_linenumber").alias("_last"))
+    chosen = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max_by("l_returnflag", F.struct("l_partkey", "l_suppkey")).alias("flag"))
+    base = f"{shared_dir(spark)}/cuetide/lines-{uuid.uuid4().hex}"
+    chosen.join(last, F.col("l_orderkey") == F.col("_job")).select(F.col("l_orderkey").alias("job"), F.col("l_linenumber").cast("long").alias("chunk"), (F.col("l_linenumber") * F.lit(400.0)).alias("core_s"), (F.col("l_linenumber") * 400.0 + 400).alias("core_e"), (F.col("flag") == "R").alias("failed"), (F.col("l_linenumber") == F.col("_last")).alias("last")).write.parquet(base)
+    schema = spark.read.parquet(base).schema
+    return _drained(jobs.translation_groups(spark.readStream.schema(schema).parquet(base)))
+
+
+@query("st06_event_windows")
+def st06(spark, d):
+    """Tumbling windows that the watermark has closed."""
+    events = _source(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    found = _drained(jobs.bucket_counts(events, "at", "1 day", "1 day", ["event_type"]))
+    return found.select(F.col("window.start").alias("start"), "event_type", "n")
+
+
+@query("st11_start_lock", "select event_id from (select *, lag(ts) over (partition by user_id order by ts, event_id) as before from events) where before is null or epoch_us(ts) - epoch_us(before) >= 2500000")
+def st11(spark, d):
+    """Starts within 2.5 s of the one before are dropped."""
+    from pyspark.sql import Window
+
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    gap = at - F.lag(at).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return ad.table(spark, d, "events").withColumn("gap", gap).where("gap is null or gap >= 2500000").select("event_id")
+
+
+@query("st12_changed_signatures", "select event_id from (select *, lag(event_type) over (partition by user_id order by event_id) as before from events) where before is null or before <> event_type")
+def st12(spark, d):
+    """Rows whose content differs from the one before."""
+    from pyspark.sql import Window
+
+    before = F.lag(F.sha2("event_type", 256)).over(Window.partitionBy("user_id").orderBy("event_id"))
+    changed = before.isNull() | (before != F.sha2("event_type", 256))
+    return ad.table(spark, d, "events").withColumn("c", changed).where("c").select("event_id")
+
+
+@query("st10_retry_plan", "with s as (select o_custkey as job, o_orderkey as chunk, case when o_orderstatus = 'F' then 'failed' when o_orderstatus = 'O' then 'queued' else 'completed' end as stage from orders), j as (select job, bool_or(stage = 'failed') as any_failed from s group by 1) select s.job, s.chunk from s join j using (job) where case when any_failed then stage = 'failed' else stage <> 'completed' end")
+def st10(spark, d):
+    """What to run again: a job's failed chunks, else its incomplete ones."""
+    s = F.col("o_orderstatus")
+    rows = ad.table(spark, d, "orders").select(F.col("o_custkey").alias("job"), F.col("o_orderkey").alias("chunk"), F.when(s == "F", "failed").when(s == "O", "queued").otherwise("completed").alias("stage"))
+    failed = rows.groupBy("job").agg(F.max(F.col("stage") == "failed").alias("_any"))
+    return rows.join(failed, "job").where(F.when(F.col("_any"), F.col("stage") == "failed").otherwise(F.col("stage") != "completed")).select("job", "chunk")
+
+
+@query("st15_replace_with_fallback", "select o_orderkey as chunk, case when o_orderkey % 3 = 0 then 'old' else 'new' end as text from orders")
+def st15(spark, d):
+    """New results in place of old ones; where there is none, the old one stays."""
+    orders = ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk"))
+    new = orders.where("chunk % 3 <> 0").select(F.col("chunk").alias("_chunk"), F.lit("new").alias("_new"))
+    return orders.join(new, F.col("chunk") == F.col("_chunk"), "left").select("chunk", F.coalesce("_new", F.lit("old")).alias("text"))
