@@ -9,8 +9,9 @@ An anchor whose hash also stands in another document is then extended to the ful
 it; each of those is hashed whole, and it is a repeat if the smallest document with that hash is another, smaller one.
 Windows are compared by 64-bit hashes of their words' XXH64 (with the fixed odd multiplier below).
 
-Work per hash stays small whatever the skew: each slice of a task sends a hash once and settles repeats inside the
-slice on the spot, so a passage that a third of the documents share costs a row per slice. Exact copies of a text are
+Work per hash stays small whatever the skew: each slice of a task sends a hash once, however often its documents hold
+it, and settles repeats inside the slice on the spot, so a passage that a third of the documents share costs a row per
+slice. Documents learn which of their hashes repeat, and find the places by hashing again. Exact copies of a text are
 told apart first: only the one with the smallest doc_id is searched, the others are all repeats.
 
 Null texts have no words. Rows with a null doc_id keep their words and are not compared. Rows that share a doc_id are
@@ -55,108 +56,103 @@ def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
     return max(found), COVERS[max(found)]
 
 
-def _rows(hashes: list[np.ndarray], docs: list[np.ndarray], places: list[np.ndarray], settle_all: bool) -> tuple[np.ndarray, ...]:
-    """(key, doc, place, settled) of a slice. A hash of one document goes out under itself, to be compared. Of a hash
-    that more documents of the slice have, the smallest document's rows go out so. settle_all: all rows of such a hash
-    are settled (the hash repeats); else those of the larger documents are (they are repeats). Settled rows have a key
-    that spreads them."""
-    if not hashes:
-        return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool))
-    h, d, p = np.concatenate(hashes), np.concatenate(docs), np.concatenate(places)
+def _rows(hashes: list[np.ndarray], docs: list[int], settle_all: bool) -> tuple[np.ndarray, ...]:
+    """(hash, doc, settled) of a slice, once per hash and document. A hash of one document goes out to be compared. Of a
+    hash that more documents of the slice have, the smallest document's row goes out so. settle_all: rows of such a hash
+    also go out settled (the hash repeats); else those of the larger documents do (they are repeats)."""
+    own = [np.unique(h) for h in hashes]
+    h = np.concatenate(own) if own else np.empty(0, np.uint64)
+    if not len(h):
+        return (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool))
+    d = np.repeat(np.array(docs, np.int64), [len(x) for x in own])
     order = np.argsort(h, kind="stable")
-    h, d, p = h[order], d[order], p[order]
-    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.empty(0, np.int64)
+    h, d = h[order], d[order]
+    first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     size = np.diff(np.append(first, len(h)))
-    least = np.repeat(np.minimum.reduceat(d, first), size) if len(h) else d
-    shared = np.repeat(np.maximum.reduceat(d, first), size) > least if len(h) else np.empty(0, bool)
+    least = np.repeat(np.minimum.reduceat(d, first), size)
+    shared = np.repeat(np.maximum.reduceat(d, first), size) > least
     sent = d == least
     known = shared if settle_all else shared & ~sent
-    with np.errstate(over="ignore"):
-        spread = (d[known].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (p[known].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     return (
-        np.concatenate((h[sent].view(np.int64), spread.view(np.int64))),
+        np.concatenate((h[sent], h[known])).view(np.int64),
         np.concatenate((d[sent], d[known])),
-        np.concatenate((p[sent], p[known])),
         np.concatenate((np.zeros(int(sent.sum()), bool), np.ones(int(known.sum()), bool))),
     )
 
 
-_ROW = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("settled", T.BooleanType())])
+_ROW = T.StructType([T.StructField("hash", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("settled", T.BooleanType())])
 
 
-def _search(df: DataFrame, places_of, settle_all: bool) -> DataFrame:
-    """Rows of _rows for each slice. df: doc_id, text and perhaps marks (array of int). places_of: (word hashes, marks)
-    to (hashes, places)."""
+def _search(df: DataFrame, hashes_of, settle_all: bool) -> DataFrame:
+    """Rows of _rows for each slice, and lot: rows to be compared meet under their hash, settled ones are spread. df:
+    doc_id, text and perhaps marks (array of long). hashes_of: (word hashes, marks) to hashes."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text", SLICE_BYTES):
-                hashes, docs, places = [], [], []
                 marked = piece.column("marks") if "marks" in piece.schema.names else None
-                for at, (doc, text) in enumerate(zip(piece.column("doc_id").to_pylist(), piece.column("text").to_pylist(), strict=True)):
-                    found, where = places_of(word_hashes(words_of(text)), None if marked is None else marked[at].values.to_numpy())
-                    hashes.append(found)
-                    docs.append(np.full(len(found), doc, np.int64))
-                    places.append(where.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _rows(hashes, docs, places, settle_all)], names=_ROW.names)
+                texts = piece.column("text")
+                hashes = [hashes_of(word_hashes(words_of(texts[at].as_py())), None if marked is None else marked[at].values.to_numpy()) for at in range(piece.num_rows)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _rows(hashes, piece.column("doc_id").to_pylist(), settle_all)], names=_ROW.names)
 
-    return df.mapInArrow(run, _ROW)
+    return df.mapInArrow(run, _ROW).withColumn("lot", F.when(F.col("settled"), F.xxhash64("hash", "doc")).otherwise(F.col("hash")))
 
 
-def anchors(df: DataFrame, length: int) -> DataFrame:
-    """(doc_id, marks): the places of anchors that stand in another document too."""
+def _anchor_hashes(words: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of a document's anchors."""
+    if len(words) < length:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     period, cover = cover_for(length)
-    size = length - period + 1
     residues = np.zeros(period, bool)
     residues[list(cover)] = True
+    rolled = rolling(words, length - period + 1)
+    where = np.flatnonzero(np.resize(residues, len(rolled)))
+    return rolled[where], where
 
-    def places_of(words: np.ndarray, _) -> tuple[np.ndarray, np.ndarray]:
-        if len(words) < length:
-            return np.empty(0, np.uint64), np.empty(0, np.int64)
-        rolled = rolling(words, size)
-        where = np.flatnonzero(np.resize(residues, len(rolled)))
-        return rolled[where], where
 
-    same = Window.partitionBy("key")
-    found = _search(df, places_of, True).select("doc", "place", "settled", F.min("doc").over(same).alias("least"), F.max("doc").over(same).alias("most"))
-    return found.where("settled or least < most").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("place").alias("marks"))
+def anchors(df: DataFrame, length: int) -> DataFrame:
+    """(doc_id, marks): the hashes of anchors that stand in another document too."""
+    same = Window.partitionBy("lot")
+    found = _search(df, lambda words, _: _anchor_hashes(words, length)[0], True).select("doc", "hash", "settled", F.min("doc").over(same).alias("least"), F.max("doc").over(same).alias("most"))
+    return found.where("settled or least < most").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("hash").alias("marks"))
 
 
 def repeats(df: DataFrame, length: int) -> DataFrame:
-    """df: doc_id, text, marks. (doc_id, starts): where windows start that a smaller document has too."""
+    """df: doc_id, text, marks. (doc_id, repeated): hashes of windows that a smaller document has too."""
     period, _ = cover_for(length)
 
-    def places_of(words: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        count = len(words) - length + 1
+    def extended(words: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        hashes, where = _anchor_hashes(words, length)
+        hit = where[np.isin(hashes, marks.view(np.uint64))]
+        count = max(0, len(words) - length + 1)
         edges = np.zeros(count + 1, np.int64)
-        np.add.at(edges, np.clip(marks - (period - 1), 0, count), 1)
-        np.add.at(edges, np.clip(marks + 1, 0, count), -1)
-        where = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
-        return rolling(words, length)[where], where
+        np.add.at(edges, np.clip(hit - (period - 1), 0, count), 1)
+        np.add.at(edges, np.clip(hit + 1, 0, count), -1)
+        return rolling(words, length)[np.cumsum(edges[:-1]) > 0]
 
-    found = _search(df, places_of, False).select("doc", "place", "settled", F.min("doc").over(Window.partitionBy("key")).alias("least"))
-    return found.where("settled or doc > least").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("place").alias("starts"))
+    found = _search(df, extended, False).select("doc", "hash", "settled", F.min("doc").over(Window.partitionBy("lot")).alias("least"))
+    return found.where("settled or doc > least").groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("hash").alias("repeated"))
 
 
 def _cut(df: DataFrame, length: int) -> DataFrame:
-    """df: doc_id, text, is_copy, starts. Adds kept, n_words and n_removed; drops the others."""
-    packed = df.select("doc_id", "text", "is_copy", "starts")
+    """df: doc_id, text, is_copy, repeated. Adds kept, n_words and n_removed; drops the others."""
+    packed = df.select("doc_id", "text", "is_copy", "repeated")
     schema = T.StructType([T.StructField("doc_id", df.schema["doc_id"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
                 sizes, removed, kept = [], [], []
-                starts = piece.column("starts")
+                repeated = piece.column("repeated")
                 for at, (text, copy) in enumerate(zip(piece.column("text").to_pylist(), piece.column("is_copy").to_pylist(), strict=True)):
                     words = words_of(text)
                     sizes.append(len(words))
                     if copy and len(words) >= length:
                         words = []
-                    elif starts[at].is_valid:
+                    elif repeated[at].is_valid:
                         edges = np.zeros(len(words) + 1, np.int64)
-                        own = starts[at].values.to_numpy()
+                        own = np.flatnonzero(np.isin(rolling(word_hashes(words), length), repeated[at].values.to_numpy().view(np.uint64)))
                         np.add.at(edges, own, 1)
                         np.add.at(edges, own + length, -1)
                         words = [words[i] for i in np.flatnonzero(np.cumsum(edges[:-1]) == 0).tolist()]
@@ -176,7 +172,7 @@ def remove_repeats(df: DataFrame, length: int = 50) -> DataFrame:
     placed = docs.repartition("doc_id")
     firsts = docs.groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(False).alias("is_copy")).distinct()
     marks = anchors(placed.join(firsts.select("doc_id"), "doc_id"), length)  # inner: Spark would push a semi-join below the shuffle
-    starts = repeats(placed.join(marks, "doc_id"), length)
-    decided = placed.join(firsts, "doc_id", "left").join(starts, "doc_id", "left").select("doc_id", "text", F.coalesce("is_copy", F.lit(True)).alias("is_copy"), "starts")
-    unnamed = named.where("doc_id is null").select("doc_id", "text", F.lit(False).alias("is_copy"), F.lit(None).cast("array<int>").alias("starts"))
+    repeated = repeats(placed.join(marks, "doc_id"), length)
+    decided = placed.join(firsts, "doc_id", "left").join(repeated, "doc_id", "left").select("doc_id", "text", F.coalesce("is_copy", F.lit(True)).alias("is_copy"), "repeated")
+    unnamed = named.where("doc_id is null").select("doc_id", "text", F.lit(False).alias("is_copy"), F.lit(None).cast("array<bigint>").alias("repeated"))
     return _cut(decided, length).unionByName(_cut(unnamed, length))
