@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuetide.llm.common import add_columns
+from cuetide.llm.common import add_columns, arrow_map
 
 #: Windows in one broadcast: some 60 MB in a task at most.
 BLOCK_WINDOWS = 500_000
@@ -205,23 +205,21 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = 10, text:
                     removing = False
             return "".join([*out, value[last:]])
 
-        return lambda values: ([cut(v[text], set(v["hit_words"])) if v and v["hit_words"] and v[text] is not None else v and v[text] for v in values],)
+        return lambda values: ([cut(v[text], set(v["hit_words"])) if v["hit_words"] else v[text] for v in values],)
 
-    packed = hits.withColumn("_packed", F.struct(text, "hit_words"))
-    from cuetide.llm.common import arrow_map
-
-    schema = T.StructType([f for f in documents.schema.fields])
+    packed = hits.select(*documents.columns, F.struct(text, "hit_words").alias("_packed"))
+    names = documents.columns
 
     def build():
         step = make()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             (texts,) = step(batch.column("_packed").to_pylist())
-            return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in documents.columns], names=documents.columns)
+            return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names=names)
 
         return one
 
-    return arrow_map(packed, build, schema, text)
+    return arrow_map(packed, build, documents.schema, text)
 
 
 def items_digest(items: list[str]) -> str:
