@@ -85,7 +85,7 @@ def information_kind(c: Column) -> Column:
     raw = clean_cue(c)
     compact = F.regexp_replace(F.lower(raw), f"[{WS}{PUNCT_WIDE}]+", "")
     n = F.length(compact)
-    few = (n >= 8) & (F.size(F.array_distinct(F.split(compact, "(?!^)"))) / n <= 0.25)
+    few = (n >= 8) & (F.size(F.array_distinct(F.split(compact, "(?s)(?<=.)(?=.)"))) / n <= 0.25)
     latin = compact.rlike("^[a-z]+$")
     latin_low = ((n <= 4) & ~compact.rlike("[aeiouy]")) | compact.rlike(r"^(.{1,4}?)\1{2,}$")
     other_low = (n == 1) | compact.rlike(r"^(.{1,4}?)\1+$")

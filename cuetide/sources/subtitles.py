@@ -36,7 +36,7 @@ def read_blocks(df: DataFrame, body: Column, clean=clean_import, joint: str = "
     lines = F.filter(F.transform(F.split("block", "\n"), F.trim), lambda x: x != "")
     placed = blocks.select("file_id", "ord", lines.alias("lines"))
     at = F.array_position(F.transform("lines", lambda x: F.contains(x, F.lit(_ARROW))), True)
-    timed = placed.withColumn("at", at).where("at > 0").withColumn("timing", F.element_at("lines", F.col("at").cast("int")))
+    timed = placed.withColumn("at", at).where("at > 0").withColumn("timing", F.get("lines", F.col("at").cast("int") - 1))
     times = F.split("timing", _ARROW)
     end = F.element_at(F.split(F.trim(F.element_at(times, 2)), r"\s+"), 1)
     text = clean(F.array_join(F.slice("lines", F.col("at").cast("int") + 1, F.size("lines")), joint))
