@@ -154,7 +154,7 @@ def codec_is_audio(c: Column) -> Column:
 
 def codecs_are_audio(c: Column) -> Column:
     """All of a list of codecs, of which there is one at least."""
-    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
     return (F.size(parts) > 0) & F.forall(parts, codec_is_audio)
 
 

@@ -33,7 +33,7 @@ def read_blocks(df: DataFrame, body: Column, clean=clean_import, joint: str = "
     """SRT and VTT blocks: the first line with an arrow has the times, those after it the text."""
     blocks = df.select("file_id", F.posexplode(F.split(normal_lines(body), r"\n{2,}")).alias("ord", "block"))
     blocks = blocks.where(~F.trim("block").rlike(r"(?i)^(?:NOTE|STYLE|REGION)(?:\s|$)"))
-    lines = F.filter(F.transform(F.split("block", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("block", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     placed = blocks.select("file_id", "ord", lines.alias("lines"))
     at = F.array_position(F.transform("lines", lambda x: F.contains(x, F.lit(_ARROW))), True)
     timed = placed.withColumn("at", at).where("at > 0").withColumn("timing", F.get("lines", F.col("at").cast("int") - 1))
@@ -78,10 +78,10 @@ def read_ass(df: DataFrame) -> DataFrame:
     section = F.last(F.when(F.col("line").rlike(r"^\[.+\]$"), F.lower("line")), ignorenulls=True).over(before)
     given = F.last(F.when(F.col("line").rlike(r"(?i)^format\s*:") & (F.col("section") == "[events]"), F.lower(F.regexp_replace("line", r"(?i)^format\s*:", ""))), ignorenulls=True).over(before)
     events = lines.withColumn("section", section).withColumn("given", given).where((F.col("section") == "[events]") & F.col("line").rlike(r"(?i)^dialogue\s*:"))
-    names = F.transform(F.split(F.coalesce("given", F.lit("")), ","), F.trim)
+    names = F.transform(F.split(F.coalesce("given", F.lit("")), ","), lambda x: F.trim(x))
     count = F.greatest(F.size(names), F.lit(10))
     body = F.trim(F.regexp_replace("line", r"(?i)^dialogue\s*:", ""))
-    split = events.withColumns({"names": names, "count": count}).withColumn("fields", F.transform(F.split(body, ",", F.col("count")), F.trim))
+    split = events.withColumns({"names": names, "count": count}).withColumn("fields", F.transform(F.split(body, ",", F.col("count")), lambda x: F.trim(x)))
     shift = F.when(F.size("fields") >= 10, 0).otherwise(-1)
     at = lambda name, default: F.when(F.array_contains("names", name), F.array_position("names", name).cast("int")).otherwise(default)
     field = lambda place: F.try_element_at("fields", place)
