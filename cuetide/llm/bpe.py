@@ -18,6 +18,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+import struct
 import unicodedata
 
 import numpy as np
@@ -28,10 +29,13 @@ from pyspark.sql import types as T
 
 from cuetide.llm.common import add_columns
 
-#: Words whose encodings a Python worker keeps, and characters handled at once.
-CACHE_WORDS = 400_000
+#: Words, and text pieces, whose encodings a Python worker keeps; pairs of tokens of which it knows whether they are
+#: stable; and characters handled at once. Together some 150 MB a worker, given back when a task ends.
+CACHE_WORDS = 300_000
+CACHE_PAIRS = 300_000
 PIECE_CHARS = 1 << 20
 _END = "</w>"
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(12)]
 
 
 def byte_symbols() -> list[str]:
@@ -49,9 +53,9 @@ def byte_symbols() -> list[str]:
 @functools.cache
 def _newer():
     """Characters that Python's Unicode tables don't know yet."""
-    runs, first = [], None
-    for c in range(0x80, 0x110001):
-        unknown = c < 0x110000 and unicodedata.category(chr(c)) == "Cn"
+    runs, first = [r"\U00040000-\U000dffff"], None  # planes without characters; those after plane 14 are for private use
+    for c in [*range(0x80, 0x40001), *range(0xE0000, 0xF0001)]:
+        unknown = c not in (0x40000, 0xF0000) and unicodedata.category(chr(c)) == "Cn"
         if unknown and first is None:
             first = c
         elif not unknown and first is not None:
@@ -67,8 +71,17 @@ def _white_space():
     return regex.compile(r"\p{White_Space}+")
 
 
+def _reach(tokens: dict[str, int]) -> dict[str, int]:
+    """For the last three symbols of a token the length of the longest token that ends so. Others have two at most."""
+    found: dict[str, int] = {}
+    for s in tokens:
+        if len(s) > 2 and found.get(s[-3:], 0) < len(s):
+            found[s[-3:]] = len(s)
+    return found
+
+
 class WordBPE:
-    """Encoder and decoder made from the text of a tokenizer file whose words end in a suffix."""
+    """Encoder made from the text of a tokenizer file whose words end in a suffix."""
 
     def __init__(self, spec: str):
         import regex
@@ -79,8 +92,6 @@ class WordBPE:
             raise ValueError("a BPE file whose words end in </w> is needed")
         vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in parsed["added_tokens"]}
-        strings = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
-        self.token_bytes = [strings.get(i, "").encode() for i in range(max(strings) + 1)]
         # Tokens are known by (symbols, whether they end a word) and ranked by the order of the merges, base symbols first.
         self.rank: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -95,12 +106,12 @@ class WordBPE:
         self.final: dict[str, int] = {}
         for s, i in vocab.items():
             (self.final.__setitem__(s[: -len(_END)], i) if s.endswith(_END) and len(s) > len(_END) else self.inner.__setitem__(s, i))
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        self.reach = [_reach(self.inner), _reach(self.final)]
         self.shown = byte_symbols()
         split = next(p["pattern"]["Regex"] for p in parsed["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words_of = regex.compile(split).findall
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        self.stable_pairs: dict[tuple[int, int], bool] = {}
+        self.stable_pairs: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.spec, self.library = spec, None
@@ -108,7 +119,7 @@ class WordBPE:
     def _stable(self, left: int, right: int) -> bool:
         """Whether the encoding of left's and right's symbols together is these two tokens. The merges that made them are
         undone, latest first, along the cut; a merge across the cut that comes before the one undone would have won."""
-        pair = (left, right)
+        pair = left << 20 | right
         if (known := self.stable_pairs.get(pair)) is not None:
             return known
         rank, joined, parts = self.rank, self.joined, self.parts
@@ -130,38 +141,48 @@ class WordBPE:
         self.stable_pairs[pair] = found
         return found
 
-    def _last_token(self, symbols: str, depth: int, states: list[tuple[int, int]], tokens: dict[str, int]) -> tuple[int, int]:
-        """The state after symbols[:depth], given the states of all shorter prefixes; tokens: those that may stand last."""
-        for length in range(min(depth, self.longest), 0, -1):
-            token = tokens.get(symbols[depth - length : depth])
-            if token is not None and (depth == length or self._stable(states[depth - length][0], token)):
-                return token, length
+    def _last_token(self, symbols: str, depth: int, lasts: list[int], final: bool) -> tuple[int, int]:
+        """The last token after symbols[:depth] and where it starts, given the last tokens after all shorter prefixes.
+        final: the word ends here. The longest suffix token that is stable beside what stands before it."""
+        tokens = self.final if final else self.inner
+        known, stable = self.stable_pairs.get, self._stable
+        for at in range(max(0, depth - self.reach[final].get(symbols[depth - 3 : depth], 2) if depth > 2 else 0), depth):
+            token = tokens.get(symbols[at:depth])
+            if token is None:
+                continue
+            if not at:
+                return token, at
+            left = lasts[at]
+            found = known(left << 20 | token)
+            if found if found is not None else stable(left, token):
+                return token, at
         raise ValueError("the vocabulary lacks a byte")
 
     def learn(self, words: set[str], keep: bool = False) -> None:
         """Encode words not yet known: depth first through their trie, in sorted order; the stack is the path."""
         if not keep and len(self.known) + len(words) > CACHE_WORDS:
             self.known.clear()
-        if len(self.stable_pairs) > 4 * CACHE_WORDS:
+        if len(self.stable_pairs) > CACHE_PAIRS:
             self.stable_pairs.clear()
         shown = self.shown
         fresh = sorted(("".join([shown[b] for b in w.encode("utf-8")]), w) for w in words)
-        states: list[tuple[int, int]] = [(-1, 0)]
+        lasts, starts = [-1], [0]  # of the prefixes on the path
         before = ""
         for symbols, word in fresh:
-            shared, most = 0, min(len(before), len(symbols) - 1, len(states) - 1)
+            shared, most = 0, min(len(before), len(symbols) - 1, len(lasts) - 1)
             while shared < most and before[shared] == symbols[shared]:
                 shared += 1
-            del states[shared + 1 :]
+            del lasts[shared + 1 :], starts[shared + 1 :]
             for depth in range(shared + 1, len(symbols)):
-                states.append(self._last_token(symbols, depth, states, self.inner))
-            token, length = self._last_token(symbols, len(symbols), states, self.final)
-            ids, depth = [token], len(symbols) - length
+                token, at = self._last_token(symbols, depth, lasts, False)
+                lasts.append(token)
+                starts.append(at)
+            token, depth = self._last_token(symbols, len(symbols), lasts, True)
+            ids = [token]
             while depth:
-                token, length = states[depth]
-                ids.append(token)
-                depth -= length
-            self.known[word] = np.array(ids[::-1], "<u4").tobytes()
+                ids.append(lasts[depth])
+                depth = starts[depth]
+            self.known[word] = _PACK[len(ids)](*ids[::-1]) if len(ids) < len(_PACK) else np.array(ids[::-1], "<u4").tobytes()
             before = symbols
 
     def _words(self, chunk: str) -> list[str]:
@@ -189,56 +210,73 @@ class WordBPE:
                 self.learn(lost, keep=True)
         return {c: b"".join([self.known[w] for w in ws]) for c, ws in words.items()}
 
-    def _plain(self, text: str) -> list[bytes]:
-        """Ids of text without special tokens, in pieces. Words never span white space, so the parts between are looked
-        up whole, and only those not met before are prepared."""
+    def _pieces(self, text: str) -> list[list[str]]:
+        """Text without special tokens, cut at white space, in lists of bounded length. Words never span white space."""
         out, first = [], 0
         while first < len(text):
             last = first + PIECE_CHARS
             if last < len(text):
                 while last < len(text) and not text[last].isspace():
                     last += 1
-            part = text[first:last]
+            part = text[first:last] if first or last < len(text) else text
             # These four are white space to str.split alone.
-            chunks = part.split() if not any(c in part for c in "\x1c\x1d\x1e\x1f") else _white_space().split(part)
-            found = self.chunks
-            if fresh := {c for c in chunks if c not in found}:
-                if len(found) + len(fresh) > CACHE_WORDS:
-                    self.chunks = found = {c: found[c] for c in set(chunks) - fresh}
-                found.update(self._learn_chunks(fresh))
-            out.append(b"".join([found[c] for c in chunks]))
+            out.append(_white_space().split(part) if "\x1c" in part or "\x1d" in part or "\x1e" in part or "\x1f" in part else part.split())
             first = last
         return out
 
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers. What the whole batch has not met before is learnt in
+        one walk, so that its words share their prefixes."""
+        plans: list[list[list[str] | bytes]] = []
+        for text in texts:
+            plan: list[list[str] | bytes] = []
+            if text and self.cut_special is not None and "<|" in text:
+                for part in self.cut_special(text):
+                    plan += [np.array([self.special[part]], "<u4").tobytes()] if part in self.special else self._pieces(part)
+            elif text:
+                plan += self._pieces(text)
+            plans.append(plan)
+        seen = {c for plan in plans for step in plan if type(step) is list for c in step}
+        found = self.chunks
+        fresh = {c for c in seen if c not in found}
+        if len(found) + len(fresh) > CACHE_WORDS:
+            self.chunks = found = {c: found[c] for c in seen - fresh}
+        found.update(self._learn_chunks(fresh))
+        look = found.__getitem__
+        return [b"".join([step if type(step) is bytes else b"".join(map(look, step)) for step in plan]) for plan in plans]
+
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self.cut_special is None or "<|" not in text:
-            return b"".join(self._plain(text))
-        out: list[bytes] = []
-        for part in self.cut_special(text):
-            if part in self.special:
-                out.append(np.array([self.special[part]], "<u4").tobytes())
-            elif part:
-                out += self._plain(part)
-        return b"".join(out)
+        return self.encode_batch([text])[0]
+
+    def forget(self) -> None:
+        """Give the caches' memory back."""
+        self.known, self.chunks, self.stable_pairs = {}, {}, {}
+
+
+class Decoder:
+    """Text from ids. The file names no decoder, so its tokens stand with a blank between."""
+
+    def __init__(self, spec: str):
+        parsed = json.loads(spec)
+        strings = {i: s for s, i in parsed["model"]["vocab"].items()} | {t["id"]: t["content"] for t in parsed["added_tokens"]}
+        self.table = [strings.get(i, "").encode() for i in range(max(strings) + 1)]
 
     def decode(self, ids: bytes | None) -> bytes:
-        """The text in UTF-8: the file names no decoder, so its tokens stand with a blank between."""
-        table = self.token_bytes
+        """ids: as encode() gives them. The text in UTF-8."""
+        table = self.table
         return b" ".join([table[i] for i in np.frombuffer(ids or b"", "<u4").tolist()])
 
 
-_models: dict[int, WordBPE] = {}
+_models: dict[tuple, object] = {}
 
 
-def _model(spec: str) -> WordBPE:
+def _model(kind: type, spec: str):
     """One model for each Python worker, which later tasks find warm."""
-    key = hash(spec)
+    key = (kind.__name__, hash(spec))
     if key not in _models:
-        _models.clear()
-        _models[key] = WordBPE(spec)
+        if len(_models) > 1:
+            _models.clear()
+        _models[key] = kind(spec)
     return _models[key]
 
 
@@ -247,15 +285,24 @@ def load_spec(path: str) -> str:
         return file.read()
 
 
-def encode(df: DataFrame, spec: str, text: str = "text", ids: str = "token_ids", drop_text: bool = False) -> DataFrame:
-    """Add the binary column ids. spec: text of the tokenizer file, sent to the executors (its size does not depend on the data)."""
+def encode(df: DataFrame, spec: str, text: str = "text", ids: str = "token_ids", drop_text: bool = False, decoded: str | None = None) -> DataFrame:
+    """Add the binary column ids. spec: text of the tokenizer file, sent to the executors (its size does not depend on the
+    data). decoded: also add this binary column, what the ids decode to, in the same pass over the rows."""
     sent = df.sparkSession.sparkContext.broadcast(spec)
 
     def make():
-        model = _model(sent.value)
-        return lambda values: ([model.encode(v) for v in values],)
+        model = _model(WordBPE, sent.value)
+        decoder = _model(Decoder, sent.value) if decoded else None
 
-    return add_columns(df, make, text, [(ids, T.BinaryType(), pa.binary())], drop=(text,) if drop_text else ())
+        def step(values: list) -> tuple[list, ...]:
+            found = model.encode_batch(values)
+            return (found,) if decoder is None else (found, [decoder.decode(v) for v in found])
+
+        step.close = model.forget
+        return step
+
+    added = [(ids, T.BinaryType(), pa.binary()), *([(decoded, T.BinaryType(), pa.binary())] if decoded else [])]
+    return add_columns(df, make, text, added, drop=(text,) if drop_text else ())
 
 
 def decode(df: DataFrame, spec: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -263,11 +310,10 @@ def decode(df: DataFrame, spec: str, ids: str = "token_ids", text: str = "decode
     sent = df.sparkSession.sparkContext.broadcast(spec)
 
     def make():
-        model = _model(sent.value)
+        model = _model(Decoder, sent.value)
         return lambda values: ([model.decode(v) for v in values],)
 
-    found = add_columns(df, make, ids, [(text, T.BinaryType(), pa.binary())])
-    return found
+    return add_columns(df, make, ids, [(text, T.BinaryType(), pa.binary())])
 
 
 def with_token_digests(df: DataFrame, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:

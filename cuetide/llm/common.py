@@ -18,7 +18,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def prepare_arrow(spark: SparkSession) -> None:
+    """Ship the package, and where the session has Spark's own default of 10,000 rows a batch, make it 1,000: texts are
+    long, and a batch is held on both sides of the pipe."""
+    ship(spark)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, "1000")
+
+
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that no piece holds much more than max_bytes of a text or binary column (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     first = total = 0
@@ -32,14 +41,18 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 4 << 20) -> Iter
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType, sized_by: str) -> DataFrame:
-    """mapInArrow with one function per task (make is called in the task) over batches cut by the bytes of a column."""
-    ship(df.sparkSession)
+    """mapInArrow with one function per task (make is called in the task) over batches cut by the bytes of a column. A
+    function with an attribute close has it called when the task ends; Python workers outlive tasks."""
+    prepare_arrow(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
-        for batch in batches:
-            for piece in slices(batch, sized_by):
-                yield step(piece)
+        try:
+            for batch in batches:
+                for piece in slices(batch, sized_by):
+                    yield step(piece)
+        finally:
+            getattr(step, "close", lambda: None)()
 
     return df.mapInArrow(run, schema)
 
@@ -63,6 +76,7 @@ def add_columns(df: DataFrame, make: Callable[[], Callable[[list], tuple]], sour
             arrays += [pa.array(values, kind) for values, kind in zip(found, arrow, strict=True)]
             return pa.RecordBatch.from_arrays(arrays, names=[*kept_names, *names])
 
+        one.close = getattr(step, "close", lambda: None)
         return one
 
     return arrow_map(df, build, schema, source)

@@ -38,7 +38,7 @@ UNDETERMINED = "und"
 _START, _END = "\x02", "\x03"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct text pieces whose scores a task keeps.
-_CACHE = 200_000
+_CACHE = 100_000
 
 
 def words_of(chunk: str) -> list[str]:

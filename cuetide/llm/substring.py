@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuetide.llm.common import add_columns, ship, slices
+from cuetide.llm.common import prepare_arrow, slices
 from cuetide.llm.decontam import rolling
 
 #: Perfect difference sets: every residue but zero is the difference of exactly one pair.
@@ -86,7 +86,7 @@ _ROW = T.StructType([T.StructField("hash", T.LongType()), T.StructField("doc", T
 def _search(df: DataFrame, hashes_of, settle_all: bool) -> DataFrame:
     """Rows of _rows for each slice, and lot: rows to be compared meet under their hash, settled ones are spread. df:
     doc_id, text and perhaps marks (array of long). hashes_of: (word hashes, marks) to hashes."""
-    ship(df.sparkSession)
+    prepare_arrow(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +160,7 @@ def _cut(df: DataFrame, length: int) -> DataFrame:
                     kept.append(b" ".join(words))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=schema.names)
 
-    ship(df.sparkSession)
+    prepare_arrow(df.sparkSession)
     return packed.mapInArrow(run, schema)
 
 
