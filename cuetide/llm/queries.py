@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuetide.llm import bpe, decontam, langid, license, matroska, pii, simhash, substring, urlfilter, warc
+from cuetide.llm import bpe, decontam, langid, license, matroska, oracles, pii, simhash, substring, urlfilter, warc
 from cuetide.llm.common import read_table
 
 
@@ -20,7 +20,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = bpe.load_spec(tokenizer_path())
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.with_token_digests(bpe.decode(bpe.encode(docs, spec, drop_text=True), spec))
+    return bpe.with_token_digests(bpe.encode(docs, spec, drop_text=True, decoded="decoded"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": oracles.WARC, "op6_substring": oracles.SUBSTRING, "op9_decontamination": oracles.DECONTAMINATION}

@@ -183,7 +183,7 @@ def test_propagation(spark):
 
 
 def test_licenses(spark):
-    rows = [("r/LICENSE", "Released under the MIT License."), ("r/a/b/x.py", "code"), ("r/a/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("r/a/b/y.py", "# Licensed under the Apache License, Version 2.0.\ncode words here"), ("q/z", None), (None, ""), ("r/w", "the license of the work is"), ("r/LICENSE", "Released under the MIT License.")]
+    rows = [("r/LICENSE", "Released under the MIT License."), ("r/a/b/x.py", "code"), ("r/a/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("r/a/b/y.py", "# Licensed under the Apache License, Version 2.0.\n" + "code words here and there " * 9), ("q/z", None), (None, ""), ("r/w", "the license of the work is"), ("r/LICENSE", "Released under the MIT License.")]
     got = [(r.path, r.own_license, r.license, r.found_in) for r in license.with_licenses(spark.createDataFrame(rows, "path string, text string")).collect()]
     assert got.count(("r/LICENSE", "MIT", "MIT", None)) == 2
     assert ("r/a/b/x.py", None, "GPL-3.0", "r/a") in got and ("r/a/b/y.py", "Apache-2.0", "Apache-2.0", None) in got
@@ -207,3 +207,15 @@ def test_op8(spark, sf, texts):
     assert set(got) == set(texts)
     for doc, text in texts.items():
         assert (got[doc].own_license is not None) == bool(re.search(r"[Ll]icen[sc]ed? ", text)), (doc, got[doc])
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_matches_sql(spark, sf, name):
+    for table in ("documents", "benchmark", "pages"):
+        duckdb.sql(f"create or replace view {table} as select * from '{sf}/{table}.parquet'")
+    frame = queries.queries()[name](spark, sf)
+    columns = sorted(frame.columns)
+    want = duckdb.sql(queries.oracle_sql()[name])
+    assert sorted(want.columns) == columns
+    places = [want.columns.index(c) for c in columns]
+    assert sorted(tuple(str(r[c]) for c in columns) for r in frame.collect()) == sorted(tuple(str(r[i]) for i in places) for r in want.fetchall())

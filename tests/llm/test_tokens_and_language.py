@@ -78,8 +78,19 @@ def test_language_id_edge_rows(spark):
 
 
 def test_kneser_ney_sums_to_one():
-    counts = {"x": {"\x02a": 3, "\x02b": 1, "\x02ab": 3, "\x02b\x03": 1, "\x02ab\x03": 3, "ab\x03": 2}}
-    model = langid.fit(counts, 3)
-    sums = [model.score_words([w])[0][0, 0] for w in ("a", "b", "ab", "")]
-    first = np.exp([model.score_words([c])[0][0, 0] - model.score_words([c])[0][0, 0] for c in "ab"])
-    assert all(np.isfinite(sums)) and all(first == 1)
+    counts = {"\x02a": 3, "\x02b": 1, "\x02ab": 3, "\x02b\x03": 1, "ab\x03": 2, "aba": 1, "ba\x03": 1}
+    symbols = sorted({c for g in counts for c in g})
+    probabilities, backoff, floor = langid._fit_language(counts, 3, len(symbols))
+
+    def p(gram):
+        if not gram:
+            return floor
+        if gram in probabilities[len(gram)]:
+            return probabilities[len(gram)][gram]
+        return backoff[len(gram)].get(gram[:-1], 1.0) * p(gram[1:]) if len(gram) > 1 else floor
+
+    for context in ("", "\x02", "a", "\x02a", "ab", "b", "zz"):
+        assert abs(sum(p(context + c) for c in [*symbols, "?"]) - 1) < 1e-9
+    model = langid.fit({"x": counts, "y": {"\x02q": 2, "\x02q\x03": 2}}, 3)
+    want = np.log(p("\x02a")) + np.log(p("\x02ab")) + np.log(p("ab\x03"))
+    assert abs(model.score_words(["ab"])[0][0, 0] - want) < 1e-5
