@@ -85,7 +85,7 @@ def sc12(spark, d):
     return ad.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), subtitles.detect_format(name, body).alias("format"))
 
 
-@query("sc07_hls_segments", "select l_orderkey as media, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as idx, 'seg-' || l_partkey || '.ts' as uri, cast(sum(cast(l_quantity as bigint)) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows unbounded preceding) as bigint) * 1000 as e_ms, l_linenumber > 2 as keyed from lineitem")
+@query("sc07_hls_segments", "select l_orderkey as media, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity::varchar) - 1 as idx, 'seg-' || l_partkey || '.ts' as uri, cast(sum(cast(l_quantity as bigint)) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity::varchar rows unbounded preceding) as bigint) * 1000 as e_ms, l_linenumber > 2 as keyed from lineitem")
 def sc07(spark, d):
     """Playlists made of orders: a segment per line, its length the quantity, a key from the third line on."""
     lines = F.concat(F.when(F.col("l_linenumber") > 2, '#EXT-X-KEY:METHOD=AES-128,URI="k.bin"\n').otherwise(""), F.lit("#EXTINF:"), F.col("l_quantity").cast("string"), F.lit(",\nseg-"), F.col("l_partkey").cast("string"), F.lit(".ts"))
