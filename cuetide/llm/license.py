@@ -1,8 +1,9 @@
 """License scans: sparse TF-IDF cosine to license templates, and inheritance from the nearest ancestor directory.
 
 Terms are runs of letters and digits, lower case; a template's weights are term count times the idf over the templates,
-and terms that no template has weigh as much as the rarest. A header is a line whose cosine to a template reaches
-`header_cosine`. A license file is a text that as a whole reaches `file_cosine`, or one whose file name says so
+and terms that no template has weigh as much as the rarest. A header is a line, or a run of lines as notices are wrapped
+in comments, whose cosine to a template reaches `header_cosine`; runs hold up to twice the terms of the longest template.
+Comment marks are no terms, or are words that are taken off (rem, dnl). A license file is a text that as a whole reaches `file_cosine`, or one whose file name says so
 (LICENSE, COPYING, NOTICE and the like) and that reaches a quarter of it. A text's own license is its best match; one
 without takes over that of the nearest directory above it that holds a license file (in one directory, the highest
 cosine wins, then the smallest path).
@@ -47,6 +48,7 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 _TERM = re.compile(r"[^\W_]+")
+_MARK = re.compile(r"^\s*(?:rem|dnl)\b")
 _FILE_NAME = r"(?i)^(un)?(licen[cs]e|copying|copyright|notice)([.\-_].*)?$"
 
 
@@ -73,6 +75,8 @@ class Templates:
                     break
                 anchors.add(t)
                 rest -= w * w
+        self.anchors = anchors
+        self.longest = max((sum(bag.values()) for bag in bags), default=0)
         self.anchor = re.compile("|".join(sorted(map(re.escape, anchors), key=len, reverse=True))) if anchors else None
 
     def best(self, text: str) -> tuple[float, int]:
@@ -90,15 +94,52 @@ class Templates:
         at = min(dots, key=lambda a: (-round(dots[a], 12), a))
         return dots[at] / math.sqrt(square), at
 
+    def best_run(self, lines: list[str]) -> tuple[float, int, int]:
+        """(cosine, template, first line) of the nearest run of two or more lines that holds an anchor; (0, -1, -1) if
+        there is none. The outer lines of the nearest run share terms with a template, so only such are tried."""
+        found = [_TERM.findall(_MARK.sub("", line)) for line in lines]
+        known = [any(t in self.weights for t in terms) for terms in found]
+        anchored = [not self.anchors.isdisjoint(terms) for terms in found]
+        most, best = 2 * self.longest, (0.0, -1, -1)
+        starts: set[int] = set()
+        for at in (at for at, has in enumerate(anchored) if has):
+            first, held = at, len(found[at])
+            while first >= 0 and held <= most:
+                if known[first]:
+                    starts.add(first)
+                first -= 1
+                held += len(found[first]) if first >= 0 else 0
+        for first in sorted(starts):
+            bag: Counter[str] = Counter()
+            dots: dict[int, float] = {}
+            square, held, holds = 0.0, 0, False
+            for at in range(first, len(lines)):
+                held += len(found[at])
+                if held > most:
+                    break
+                for term in found[at]:
+                    weight = self.idf.get(term, self.rare)
+                    square += (2 * bag[term] + 1) * weight * weight
+                    bag[term] += 1
+                    for name, w in self.weights.get(term, ()):
+                        dots[name] = dots.get(name, 0.0) + weight * w
+                holds = holds or anchored[at]
+                if at > first and holds and known[at]:
+                    name = min(dots, key=lambda a: (-round(dots[a], 12), a))
+                    cosine = dots[name] / math.sqrt(square)
+                    if cosine > best[0] + 1e-12:
+                        best = (cosine, name, first)
+        return best
+
 
 def scan(df: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, header_cosine: float = HEADER_COSINE, file_cosine: float = FILE_COSINE) -> DataFrame:
-    """Add header_license, header_cosine, header_line (of the best line, from 0), whole_license and whole_cosine (null
+    """Add header_license, header_cosine, header_line (of the best line or the first of the best run, from 0), whole_license and whole_cosine (null
     where the threshold, for the whole a quarter of it, is missed)."""
     least = min(header_cosine, file_cosine / 4)
     sent = df.sparkSession.sparkContext.broadcast(templates)
 
     def make():
-        known = Templates(sent.value, least)
+        known, headers = Templates(sent.value, least), Templates(sent.value, header_cosine)
 
         def step(values: list) -> tuple[list, ...]:
             rows = []
@@ -108,11 +149,16 @@ def scan(df: DataFrame, text: str = "text", templates: list[tuple[str, str]] = T
                     lowered = value.lower()
                     if known.anchor.search(lowered):
                         best = (0.0, -1, -1)
-                        for number, line in enumerate(lowered.split("\n")):
+                        lines = lowered.split("\n")
+                        for number, line in enumerate(lines):
                             if known.anchor.search(line):
                                 cosine, at = known.best(line)
                                 if cosine > best[0] + 1e-12:
                                     best = (cosine, at, number)
+                        if len(lines) > 1 and headers.anchor is not None and headers.anchor.search(lowered):
+                            run = headers.best_run(lines)
+                            if run[0] > best[0] + 1e-12:
+                                best = run
                         if best[0] >= header_cosine:
                             header = (known.names[best[1]], best[0], best[2])
                         cosine, at = known.best(lowered)
