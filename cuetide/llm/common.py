@@ -11,13 +11,21 @@ from pyspark.sql import types as T
 
 from cuetide.session import shared_dir, ship, stored
 
-__all__ = ["add_columns", "arrow_map", "read_table", "shared_dir", "ship", "slices", "stored"]
+__all__ = ["add_columns", "arrow_map", "read_table", "shared_dir", "ship", "slices", "spare", "stored"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spare(taken: list[str], name: str) -> str:
+    """A column name that is not taken, whatever the case of its letters."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name
+
+
 def prepare_arrow(spark: SparkSession) -> None:
     """Ship the package, and where the session has Spark's own default of 10,000 rows a batch, make it 1,000: texts are
     long, and a batch is held on both sides of the pipe."""

@@ -9,27 +9,33 @@ four labelers vote on each (yes, no, abstain): a strict pattern, a gazetteer of
 names, the characters around, and the span's own shape. Votes are counted by kind and pattern of votes, at most
 3 x 81 rows whatever the input, on which expectation-maximisation estimates each labeler's reliability. The resulting
 probabilities are soft labels for the final span classifier, naive Bayes over bucketed features, whose weights (a few
-dozen numbers) become literals of the expression that accepts or rejects a candidate. An accepted span that touches a
-base span or an earlier accepted one is left out.
+dozen numbers) become literals of the expression that accepts or rejects a candidate. An accepted span that overlaps a
+base span, or an accepted one of a kind listed before its own, is left out.
 
 Offsets count code points, the end is exclusive. Null texts are empty. Everything happens within a row, apart from the
 two counts, so repeated rows, ties and skew need no care; documents without spans get zeros and empty strings, and
-empty tables train on nothing: then no candidate is accepted. Columns that clash with outputs are replaced.
+empty tables train on nothing: then no candidate is accepted. report() ignores columns beyond doc_id and text; redact()
+changes the text alone and keeps all other columns, whatever their names.
+
+Texts of any length and kind: no pattern backtracks or recurses with the text (repeated groups are possessive, which
+Java matches in a loop), places are running sums over blocks of matches, and a candidate's context comes from the
+text between matches, so time grows in proportion to the text and its matches. A text's matches are held at once.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuetide.llm.common import stored
+from cuetide.llm.common import spare, stored
 
 # Patterns of the base kinds, with guards at the start of a run in place of retries within it.
 _LOCAL = r"[A-Za-z0-9._%+\-]"
-EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)+"
+EMAIL = rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++"
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"(?<![0-9])(?<![0-9][\x20\-])[0-9](?:[\x20\-]?[0-9]){12,18}(?![\x20\-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9\-]+[0-9]"
@@ -47,23 +53,53 @@ _ANNOUNCES_PHONE = r"(?i)(?:tel|phone|call|fax|mobile|cell|anruf|telefon|llame|m
 _GIVEN = r"(?i)\x20(?:ana|anna|carlos|david|emma|hans|james|jean|john|jose|josé|juan|julia|karl|laura|lucas|luis|maria|marie|mary|michael|paul|peter|pierre|sarah|thomas)(?:\x20|$)"
 
 CONTEXT = 40
+#: Matches whose running sums are made in one go.
+_RUN = 64
 _SPAN = "array<struct<start:int,end:int,body:string>>"
+_PLACE = "array<struct<start:int,end:int>>"
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: a lambda's parameter is, a repeated expression is not."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
+def running(values: Column, join: Callable[[Column, Column], Column], first: int) -> Column:
+    """Of an array of int the results of joining (sum, greatest, least: associative, first is neutral) all up to each
+    place. Arrays only grow within a run of places, and over the runs' last results."""
+
+    def within(part: Column) -> Column:
+        state = "struct<at:int,out:array<int>>"
+        begin = F.struct(F.lit(first).alias("at"), F.array().cast("array<int>").alias("out")).cast(state)
+
+        def step(acc: Column, v: Column) -> Column:
+            return let(join(acc["at"], v), lambda now: F.struct(now.alias("at"), F.concat(acc["out"], F.array(now)).alias("out"))).cast(state)
+
+        return F.aggregate(part, begin, step, lambda acc: acc["out"])
+
+    def joined(own: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / _RUN).cast("int")), lambda at: within(F.slice(own, at * _RUN + 1, F.lit(_RUN))))
+        return let(runs, lambda rs: let(within(F.transform(rs, lambda r: F.element_at(r, -1))), lambda ends: F.flatten(F.transform(rs, lambda r, i: let(F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(first)), lambda before: F.transform(r, lambda v: join(before, v)))))))
+
+    return let(values, lambda own: F.when(F.size(own) > 0, joined(own)).otherwise(F.array().cast("array<int>")))
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Matches as (start, end, body). The text between matches gives their places."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(gaps, found, lambda gap, body: F.struct(F.length(gap).alias("gap"), body.alias("body")))
-    state = f"struct<at:int,spans:{_SPAN}>"
+def located(text: Column, pattern: str, context: bool = False) -> Column:
+    """Matches as (start, end, body), and on request (before, after): up to CONTEXT characters of the match before and the
+    text between, and the two characters after."""
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + F.length(x["body"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["body"].alias("body"))
-        return F.when(x["body"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))).cast(state)
+    def placed(m: Column) -> Column:
+        steps = F.transform(m["found"], lambda _, i: F.length(F.get(m["gaps"], i)) + F.when(i > 0, F.length(F.get(m["found"], i - 1))).otherwise(F.lit(0)))
+        around = lambda i: [
+            F.right(F.concat(F.when(i > 0, F.get(m["found"], i - 1)).otherwise(F.lit("")), F.get(m["gaps"], i)), F.lit(CONTEXT)).alias("before"),
+            F.substring(F.get(m["gaps"], i + 1), 1, 2).alias("after"),
+        ]
+        fields = lambda start, i: [start.alias("start"), (start + F.length(F.get(m["found"], i))).alias("end"), F.get(m["found"], i).alias("body")]
+        return F.transform(running(steps, lambda a, b: a + b, 0), lambda start, i: F.struct(*fields(start, i), *(around(i) if context else [])))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans")).cast(state)
-    return F.when(F.size(found) > 0, F.aggregate(pairs, begin, step)["spans"]).otherwise(F.array().cast(_SPAN))
+    none = F.array().cast("array<struct<start:int,end:int,body:string,before:string,after:string>>" if context else _SPAN)
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return F.when(text.rlike(pattern), let(both, placed)).otherwise(none)
 
 
 def _digits(body: Column) -> Column:
@@ -123,6 +159,10 @@ def _votes(kind: str, body: Column, before: Column, after: Column) -> list[Colum
     ]
 
 
+def _left_kind(c: Column) -> Column:
+    return F.when(c == "", "none").when(c.rlike(r"^\p{L}"), "letter").when(c.rlike("^[0-9]"), "digit").when(c.rlike(r"^\s"), "space").when(c.rlike("^[=:\"']"), "given").otherwise("mark")
+
+
 def candidates(text: Column) -> Column:
     """(kind, start, end, votes, features) of the further kinds, in order of kind and start. votes: a digit per labeler, 0
     no, 1 abstain, 2 yes. features: bucket numbers."""
@@ -134,25 +174,21 @@ def candidates(text: Column) -> Column:
     def describe(kind: str):
         # transform() would pass the place to a second parameter, so the kind comes by closure.
         def described(s: Column) -> Column:
-            first = F.greatest(s["start"] - CONTEXT, F.lit(0))
-            before = F.substr(text, first + 1, s["start"] - first)
-            after = F.substr(text, s["end"] + 1, F.lit(2))
-            body = s["body"]
+            body, before, after = s["body"], s["before"], s["after"]
             votes = F.concat(*[(v + 1).cast("string") for v in _votes(kind, body, before, after)])
-            kinds = lambda c: F.when(c == "", "none").when(c.rlike(r"^\p{L}"), "letter").when(c.rlike("^[0-9]"), "digit").when(c.rlike(r"^\s"), "space").when(c.rlike("^[=:\"']"), "given").otherwise("mark")
             features = F.array(
                 F.concat(F.lit("length:"), F.least(F.floor(F.length(body) / 4), F.lit(10)).cast("string")),
                 F.concat(F.lit("digits:"), F.floor(4 * F.length(_digits(body)) / F.length(body)).cast("string")),
                 F.concat(F.lit("turns:"), F.least(_turns(body), F.lit(5)).cast("string")),
-                F.concat(F.lit("left:"), kinds(F.right(before, F.lit(1)))),
-                F.concat(F.lit("right:"), kinds(F.left(after, F.lit(1)))),
+                F.concat(F.lit("left:"), _left_kind(F.right(before, F.lit(1)))),
+                F.concat(F.lit("right:"), _left_kind(F.left(after, F.lit(1)))),
             )
             return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), votes.alias("votes"), features.alias("features"))
 
         return described
 
     for kind, (guard, pattern) in zip(ADDED_KINDS, found, strict=True):
-        spans = F.when(guard, F.transform(located(text, pattern), describe(kind))).otherwise(F.array().cast(kind_of))
+        spans = F.when(guard, F.transform(located(text, pattern, True), describe(kind))).otherwise(F.array().cast(kind_of))
         parts.append(spans.cast(kind_of))
     return F.concat(*parts)
 
@@ -228,18 +264,53 @@ def _listed(kind: str, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
 
-def chosen(base: dict[str, Column], proposed: Column, model: SpanClassifier) -> tuple[Column, Column]:
-    """(base spans, accepted further spans), each as (kind, start, end) by kind, then start."""
-    spans = F.concat(*[_listed(k, base[k]) for k in BASE_KINDS])
-    accepted = F.filter(proposed, lambda c: model.accepts(c) & ~F.exists(spans, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
-    return spans, F.transform(accepted, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))
+def apart(spans: Column, taken: Column) -> Column:
+    """Those of spans (start, end) that overlap none of taken. Both are put in one order of starts; a span is free if what
+    is taken before it ends by its start, and what is taken after it starts by its end."""
+    far = (1 << 31) - 1
+    mark = lambda own: lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(own).alias("own"))
+    mixed = F.array_sort(F.concat(F.transform(spans, mark(True)), F.transform(taken, mark(False))))
 
+    def free(m: Column) -> Column:
+        ends = running(F.transform(m, lambda s: F.when(s["own"], F.lit(0)).otherwise(s["end"])), F.greatest, 0)
+        starts = running(F.reverse(F.transform(m, lambda s: F.when(s["own"], F.lit(far)).otherwise(s["start"]))), F.least, far)
+        kept = F.zip_with(m, F.arrays_zip(ends.alias("ends"), F.reverse(starts).alias("starts")), lambda s, near: F.struct(s["start"].alias("start"), s["end"].alias("end"), (s["own"] & (near["ends"] <= s["start"]) & (near["starts"] >= s["end"])).alias("free")))
+        return F.transform(F.filter(kept, lambda s: s["free"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).cast(_PLACE)
 
-def extract(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The stored table of what the texts hold: the kept columns, a column per base kind, and candidates."""
+    return F.when((F.size(spans) > 0) & (F.size(taken) > 0), let(mixed, free)).otherwise(spans)
+
+
+def with_chosen(df: DataFrame, base: dict[str, Column], proposed: Column, model: SpanClassifier, spans: str, more: str) -> DataFrame:
+    """Add the columns spans (the base spans) and more (accepted further spans), each of (kind, start, end) by kind, then
+    start. A projection per step, since Spark's analyzer resolves nested lambdas a level at a time and bounds its rounds."""
+    names = [*df.columns, spans, more]
+    fits, taken, own = spare(names, "fits"), spare(names, "taken"), spare(names, "own")
+    place = lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))
+
+    def pick(kind: str) -> Callable[[Column], Column]:
+        return lambda c: c["kind"] == kind
+
+    none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
+    listed = F.concat(*[_listed(k, base[k]) for k in BASE_KINDS])
+    df = df.withColumns({spans: listed, fits: F.filter(proposed, lambda c: model.accepts(c)), more: none})
+    df = df.withColumn(taken, F.transform(spans, place))
+    for kind in ADDED_KINDS:
+        # A kind's free spans come to what the next kinds must keep clear of.
+        df = df.withColumn(own, apart(F.transform(F.filter(fits, pick(kind)), place), F.col(taken)))
+        df = df.withColumns({taken: F.concat(taken, own), more: F.concat(more, _listed(kind, F.col(own)))})
+    return df.drop(fits, taken, own)
+
+
+def _found(text: str) -> list[Column]:
+    """A column per base kind, with places only, and candidates."""
     body = F.coalesce(F.col(text), F.lit(""))
     slim = {k: F.transform(s, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k, s in base_spans(body).items()}
-    return stored(df.select(*keep, *[s.alias(k) for k, s in slim.items()], candidates(body).alias("candidates")), "pii-spans")
+    return [*[s.alias(k) for k, s in slim.items()], candidates(body).alias("candidates")]
+
+
+def extract(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The stored table of what the texts hold: the kept columns, a column per base kind, and candidates."""
+    return stored(df.select(*keep, *_found(text)), "pii-spans")
 
 
 def written(spans: Column) -> Column:
@@ -249,26 +320,54 @@ def written(spans: Column) -> Column:
 def report(df: DataFrame) -> DataFrame:
     """Train on df's documents and report on each."""
     found = extract(df)
-    base, more = chosen({k: F.col(k) for k in BASE_KINDS}, F.col("candidates"), train(found))
+    judged = with_chosen(found, {k: F.col(k) for k in BASE_KINDS}, F.col("candidates"), train(found), "base", "more")
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
-    return found.select("doc_id", *counts, F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.concat(base, more)).alias("spans"))
+    return judged.select("doc_id", *counts, F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.concat("base", "more")).alias("spans"))
 
 
-def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with each span, base and further, replaced by its kind in brackets. Null texts stay null."""
-    model = train(extract(df, text, keep=()))
-    body = F.coalesce(F.col(text), F.lit(""))
-    base, more = chosen(base_spans(body), candidates(body), model)
-    ordered = F.array_sort(F.transform(F.concat(base, more), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+def _without(text: Column, spans: Column) -> Column:
+    """text with each span (start, end, kind; in order of starts) replaced by its kind. A span that starts inside an
+    earlier one is no replacement of its own; what it covers beyond goes too. Cut in runs of spans: each run's piece of
+    the text is cut out first, and its spans within that."""
     state = "struct<at:int,out:array<string>>"
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(F.col(text), acc["at"] + 1, s["start"] - acc["at"])
-        added = F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] < acc["at"], inside).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], added).alias("out"))).cast(state)
+    def run(part: Column, first: Column) -> Column:
+        """The pieces of the text from first up to the end of the run's spans, where first is what is covered so far."""
+        last = F.array_max(F.transform(part, lambda s: s["end"]))
+
+        def cut(piece: Column) -> Column:
+            begin = F.struct(first.alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
+
+            def step(acc: Column, s: Column) -> Column:
+                gap = F.substr(piece, acc["at"] - first + 1, s["start"] - acc["at"])
+                added = F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+                inside = F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))
+                return F.when(s["start"] < acc["at"], inside).otherwise(F.struct(s["end"].alias("at"), F.concat(acc["out"], added).alias("out"))).cast(state)
 
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(F.col(text), acc["at"] + 1, F.length(text)))
-    new = F.aggregate(F.col("_spans"), F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(state), step, rest)
-    marked = df.withColumn("_spans", ordered)
-    return marked.withColumn(text, F.when(F.size("_spans") > 0, new).otherwise(F.col(text))).select(*df.columns)
+            return F.aggregate(part, begin, step, lambda acc: F.array_join(acc["out"], ""))
+
+        return let(F.substr(text, first + 1, F.greatest(last - first, F.lit(0))), cut)
+
+    def joined(own: Column) -> Column:
+        covered = running(F.transform(own, lambda s: s["end"]), F.greatest, 0)
+
+        def pieces(ends: Column) -> Column:
+            runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / _RUN).cast("int")), lambda at: let(F.when(at > 0, F.get(ends, at * _RUN - 1)).otherwise(F.lit(0)), lambda first: run(F.slice(own, at * _RUN + 1, F.lit(_RUN)), first)))
+            return F.concat(F.array_join(runs, ""), F.substr(text, F.element_at(ends, -1) + 1, F.length(text)))
+
+        return let(covered, pieces)
+
+    return let(spans, joined)
+
+
+def redact(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with each span, base and further, replaced by its kind in brackets. Null texts stay null. The texts are searched
+    once: what they hold is stored beside them, and the model and the cuts are made from that."""
+    hidden, base, more = (spare(df.columns, name) for name in ("pii", "base", "more"))
+    found = stored(df.withColumn(hidden, F.struct(*_found(text))), "pii-spans")
+    inner = found.select(F.col(hidden)["candidates"].alias("candidates"))
+    judged = with_chosen(found, {k: F.col(hidden)[k] for k in BASE_KINDS}, F.col(hidden)["candidates"], train(inner), base, more)
+    ordered = F.array_sort(F.transform(F.concat(base, more), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    judged = judged.withColumn(more, ordered)
+    new = let(F.col(more), lambda spans: F.when(F.size(spans) > 0, _without(F.col(text), spans)).otherwise(F.col(text)))
+    return judged.select(*[F.when(F.col(text).isNotNull(), new).alias(c) if c == text else F.col(c) for c in df.columns])
