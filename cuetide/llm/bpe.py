@@ -10,7 +10,7 @@ file's split pattern, as bytes. Special tokens in the text become their ids, as
 
 Null or empty text: no ids. Every step is per row, so ties, repeated rows and empty tables need no care; rows pass with
 all their columns, and a column named as an output is replaced. Texts are read in pieces cut at white space, so a very
-long one needs memory for itself and one piece.
+long one needs memory for itself, its ids and one piece; what has no white space is one piece.
 """
 
 from __future__ import annotations
@@ -216,8 +216,9 @@ class WordBPE:
         while first < len(text):
             last = first + PIECE_CHARS
             if last < len(text):
-                while last < len(text) and not text[last].isspace():
-                    last += 1
+                # Only where the tokenizer sees white space: str.isspace() holds for four control characters more.
+                cut = _white_space().search(text, last)
+                last = cut.start() if cut else len(text)
             part = text[first:last] if first or last < len(text) else text
             # These four are white space to str.split alone.
             out.append(_white_space().split(part) if "\x1c" in part or "\x1d" in part or "\x1e" in part or "\x1f" in part else part.split())
