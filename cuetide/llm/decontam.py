@@ -5,27 +5,34 @@ consecutive words of a benchmark item; an item with fewer words, but not none, i
 are numbered by the benchmark's vocabulary, windows of numbers are hashed with a rolling polynomial and looked up in the
 sorted hashes of the benchmark; every hit is then verified word by word, so that a collision of hashes changes nothing.
 
-The hash set holds the benchmark, never the documents. It is broadcast in blocks of at most BLOCK_WINDOWS windows: a
-benchmark beyond that bound is scanned block by block against the documents, and the blocks' hits are merged per
-document, so that no broadcast grows with the input.
+The hash set holds the benchmark, never the documents. It is broadcast in blocks of at most BLOCK_WINDOWS windows (an
+item of more is cut into pieces that share the words between them). A benchmark beyond one block is scanned block by
+block: the documents are stored with a number for each row, each block's hits are stored before the next block is made,
+and they meet under the row's number. So neither a broadcast nor the driver grows with the input, and what a row gets
+does not depend on the number of blocks, whatever its key.
 
 Null or empty texts have no words: they get zeros, no items, and are not contaminated. An empty benchmark hits nothing.
-Equal items count as items of their own; items with a null item_id are left out. Other columns pass unchanged.
+Equal items count as items of their own; items with a null item_id are left out. Repeated rows each get their hits. A
+very long text needs memory for its words and eight bytes a word. Other columns pass unchanged; find_hits replaces
+columns named as its outputs, the filters keep all of the caller's columns.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuetide.llm.common import add_columns, arrow_map
+from cuetide.llm.common import add_columns, arrow_map, spare, stored
 
 #: Windows in one broadcast: some 60 MB in a task at most.
 BLOCK_WINDOWS = 500_000
@@ -113,26 +120,31 @@ def _blocks(benchmark: DataFrame, item: str, text: str, n: int, most: int) -> It
     rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
     for row in rows.toLocalIterator():
         words = words_of(row["text"])
-        if not words:
-            continue
-        windows = max(1, len(words) - n + 1)
-        if block and size + windows > most:
-            yield block
-            block, size = [], 0
-        block.append((row["item"], words))
-        size += windows
+        windows = max(1, len(words) - n + 1) if words else 0
+        for first in range(0, windows, most):
+            held = min(most, windows - first)
+            if block and size + held > most:
+                yield block
+                block, size = [], 0
+            block.append((row["item"], words[first : first + held + n - 1]))
+            size += held
     if block:
         yield block
 
 
-def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", benchmark_text: str = "text", block_windows: int = BLOCK_WINDOWS, key: str = "doc_id") -> DataFrame:
-    """Documents with n_words, hit_words (the numbers of hit words, ascending) and hit_items (ids as text, sorted).
-    key: names a row when the benchmark needs several blocks."""
+OUTPUTS = ("n_words", "hit_words", "hit_items")
+
+
+def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", item: str = "item_id", benchmark_text: str = "text", block_windows: int = BLOCK_WINDOWS, names: tuple[str, str, str] = OUTPUTS) -> DataFrame:
+    """Documents with n_words, hit_words (the numbers of hit words, ascending) and hit_items (ids as text, sorted), or with
+    columns of the names given."""
     spark = documents.sparkSession
-    passes = []
-    kinds = [("n_words", T.LongType(), pa.int64()), ("hit_words", T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), ("hit_items", T.ArrayType(T.StringType()), pa.list_(pa.string()))]
+    n_words, hit_words, hit_items = names
+    kinds = [(n_words, T.LongType(), pa.int64()), (hit_words, T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), (hit_items, T.ArrayType(T.StringType()), pa.list_(pa.string()))]
+
+    def scanned(rows: DataFrame, block: list[tuple[str, list[bytes]]]) -> tuple[DataFrame, Broadcast]:
+        sent = spark.sparkContext.broadcast(Windows(block, n))
 
-    def scanned(sent) -> DataFrame:
         def make():
             windows = sent.value
 
@@ -148,22 +160,25 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, text: str
 
             return step
 
-        return add_columns(documents, make, text, kinds)
-
-    for block in _blocks(benchmark, item, benchmark_text, n, block_windows):
-        passes.append(scanned(spark.sparkContext.broadcast(Windows(block, n))))
-    if not passes:
-        passes.append(scanned(spark.sparkContext.broadcast(Windows([], n))))
-    if len(passes) == 1:
-        return passes[0]
-    # Each later pass brings only what it hit; a document's hits then meet under its key.
-    first, rest = passes[0], passes[1:]
-    more = rest[0].select(key, "hit_words", "hit_items").where("size(hit_items) > 0")
-    for other in rest[1:]:
-        more = more.unionByName(other.select(key, "hit_words", "hit_items").where("size(hit_items) > 0"))
-    more = more.groupBy(key).agg(F.flatten(F.collect_list("hit_words")).alias("_w"), F.flatten(F.collect_list("hit_items")).alias("_i"))
-    merged = lambda a, b: F.array_sort(F.array_union(F.col(a), F.coalesce(F.col(b), F.array().cast(f"array<{'int' if b == '_w' else 'string'}>"))))
-    return first.join(more, key, "left").withColumn("hit_words", merged("hit_words", "_w")).withColumn("hit_items", merged("hit_items", "_i")).drop("_w", "_i")
+        return add_columns(rows, make, text, kinds), sent
+
+    blocks = _blocks(benchmark, item, benchmark_text, n, block_windows)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        return scanned(documents, first)[0]
+    number, others = spare([*documents.columns, *names], "row"), [c for c in documents.columns if c not in names]
+    numbered = stored(documents.withColumn(number, F.monotonically_increasing_id()), "decontam-rows")
+    slim = numbered.select(number, text)
+    passes: list[DataFrame] = []
+    for block in itertools.chain([first, second], blocks):
+        found, sent = scanned(slim, block)
+        # The first pass brings every row, later ones what they hit.
+        passes.append(stored(found.select(number, *names) if not passes else found.select(number, *names).where(F.size(hit_items) > 0), "decontam-hits"))
+        sent.unpersist()
+    told = functools.reduce(DataFrame.unionByName, passes)
+    distinct = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
+    told = told.groupBy(number).agg(F.first(n_words).alias(n_words), distinct(hit_words), distinct(hit_items))
+    return numbered.select(number, *others).join(told, number).select(*others, *names)
 
 
 def report(hits: DataFrame) -> DataFrame:
@@ -178,16 +193,21 @@ def report(hits: DataFrame) -> DataFrame:
     )
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 10, most_share: float = 0.0) -> DataFrame:
+def _own_names(documents: DataFrame) -> tuple[str, str, str]:
+    return tuple(spare(documents.columns, name) for name in OUTPUTS)
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, n: int = 10, most_share: float = 0.0, text: str = "text", **finding) -> DataFrame:
     """Only the documents whose share of hit words is at most most_share, with their own columns."""
-    hits = find_hits(documents, benchmark, n)
-    clean = F.size("hit_words") <= most_share * F.col("n_words")
-    return hits.where(clean).select(*documents.columns)
+    names = _own_names(documents)
+    hits = find_hits(documents, benchmark, n, text, names=names, **finding)
+    return hits.where(F.size(names[1]) <= most_share * F.col(names[0])).select(*documents.columns)
 
 
-def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", cut_with: str = " ") -> DataFrame:
+def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = 10, text: str = "text", cut_with: str = " ", **finding) -> DataFrame:
     """Texts without their hit words: each run of hit words, and what stands between them, becomes one cut_with."""
-    hits = find_hits(documents, benchmark, n, text)
+    own = _own_names(documents)
+    hits = find_hits(documents, benchmark, n, text, names=own, **finding)
 
     def make():
         import re
@@ -205,21 +225,20 @@ def remove_spans(documents: DataFrame, benchmark: DataFrame, n: int = 10, text:
                     removing = False
             return "".join([*out, value[last:]])
 
-        return lambda values: ([cut(v[text], set(v["hit_words"])) if v["hit_words"] else v[text] for v in values],)
+        return lambda texts, places: [cut(t, set(p)) if p else t for t, p in zip(texts, places, strict=True)]
 
-    packed = hits.select(*documents.columns, F.struct(text, "hit_words").alias("_packed"))
     names = documents.columns
 
     def build():
         step = make()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            (texts,) = step(batch.column("_packed").to_pylist())
+            texts = step(batch.column(text).to_pylist(), batch.column(own[1]).to_pylist())
             return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names=names)
 
         return one
 
-    return arrow_map(packed, build, documents.schema, text)
+    return arrow_map(hits.select(*names, own[1]), build, documents.schema, text)
 
 
 def items_digest(items: list[str]) -> str:
