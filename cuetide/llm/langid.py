@@ -11,8 +11,11 @@ to calibrate: the temperature of the score (the winner's share under softmax of
 above which a text fits no language. That threshold lies beyond every calibration text's distance from its language's
 mean, in units that shrink with the text's length, by a factor, and leaves texts at least SLACK nats of room.
 
-Null texts and texts without letters: `und`, score 0, rejected. No labelled rows at all: every text is `und`. Ties go to
-the language that sorts first. Other columns pass unchanged; columns named as outputs are replaced.
+Null texts and texts without letters: `und`, score 0, rejected. No labelled rows at all: every text is `und`, and none is
+rejected, since only a fitted model can tell. Ties go to the language that sorts first. Repeated rows are judged alike;
+empty tables give none. Every label is learned; more than MOST_LANGUAGES raise an error, as they are hardly languages.
+Other columns pass unchanged; predict replaces columns named as its outputs, keep_recognised keeps all of the caller's.
+A long text is scored in blocks of BLOCK symbols, with some 20 bytes a letter beside it for its longest run of letters.
 """
 
 from __future__ import annotations
@@ -27,18 +30,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuetide.llm.common import add_columns, ship
+from cuetide.llm.common import add_columns, ship, spare
 
 ORDER = 5
 DOCS_PER_LANGUAGE = 400
-MOST_LANGUAGES = 200
+MOST_LANGUAGES = 1000
 #: Calibration: the room given beyond the furthest calibration text.
 FACTOR, SLACK = 1.5, 0.5
 UNDETERMINED = "und"
 _START, _END = "\x02", "\x03"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Distinct text pieces whose scores a task keeps.
+#: Distinct text pieces whose scores a task keeps, and symbols scored at once.
 _CACHE = 100_000
+BLOCK = 1 << 17
 
 
 def words_of(chunk: str) -> list[str]:
@@ -93,9 +97,24 @@ class Model:
 
     def score_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(sum of log probabilities per language, symbols) of each word."""
+        sums, sizes = np.zeros((len(words), len(self.languages))), np.zeros(len(words), np.int64)
         if not words:
-            return np.zeros((0, len(self.languages))), np.zeros(0, np.int64)
+            return sums, sizes
         codes, place = _symbols(words)
+        owner = np.cumsum(place == 0) - 1
+        before = len(self.grams)
+        for first in range(0, len(codes), BLOCK):
+            # A block brings the symbols before it along as context.
+            start, last = max(0, first - before), min(first + BLOCK, len(codes))
+            total, counted = (x[first - start :] for x in self._score(codes[start:last], place[start:last]))
+            own = owner[first:last]
+            edges = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            sums[own[edges]] += np.add.reduceat(total, edges, axis=0, dtype=np.float64)
+            sizes[own[edges]] += np.add.reduceat(counted, edges, dtype=np.int64)
+        return sums, sizes
+
+    def _score(self, codes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log probability per language, whether it counts) of each symbol."""
         total = np.zeros((len(codes), len(self.languages)), np.float32)
         hashed = _hashes(codes, place, len(self.grams))
         open_ = place > 0  # the start mark is given, not predicted
@@ -104,6 +123,7 @@ class Model:
             hashes, fits = hashed[order - 1]
             known, rows = self.grams[order - 1]
             todo = np.flatnonzero(open_ & fits)
+            todo = todo[todo >= order - 1]  # a block's first symbols lack their context; they are not asked for
             if not len(todo):
                 continue
             at = np.searchsorted(known, hashes[todo])
@@ -120,8 +140,7 @@ class Model:
                 hit = contexts[at] == own if len(contexts) else np.zeros(len(missed), bool)
                 total[missed[hit]] += weights[at[hit]]
         total[open_] += self.floor
-        starts = np.flatnonzero(place == 0)
-        return np.add.reduceat(total, starts, axis=0, dtype=np.float64), np.add.reduceat(counted, starts, dtype=np.int64)
+        return total, counted
 
 
 def _fit_language(counts: dict[str, int], order: int, symbols: int):
@@ -158,7 +177,7 @@ def _fit_language(counts: dict[str, int], order: int, symbols: int):
 def fit(counts: dict[str, dict[str, int]], order: int = ORDER) -> Model:
     """counts: language to n-gram counts, each n-gram the longest that ends at a symbol."""
     languages = sorted(counts)
-    symbols = len({c for grams in counts.values() for g in grams for c in g})
+    symbols = len({g[-1] for grams in counts.values() for g in grams})  # what can be predicted: not the start mark
     fitted = [_fit_language(counts[lang], order, symbols) for lang in languages]
 
     def probability(at: int, gram: str) -> float:
@@ -231,16 +250,13 @@ class Scorer:
         return sums, sizes, words
 
 
-def _calibrate(model: Model, texts: list[str], labels: list[str]) -> None:
-    """Set temperature, center and reach from labelled texts that the counts don't hold."""
+def _calibrate(model: Model, own: np.ndarray, sums: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> None:
+    """Set temperature, center and reach from labelled texts that the counts don't hold: each one's language (its place),
+    log probabilities per language, symbols and words."""
     count = len(model.languages)
     model.center, model.reach = np.full(count, np.inf), np.zeros(count)
-    place = {lang: at for at, lang in enumerate(model.languages)}
-    keep = [(t, place[label]) for t, label in zip(texts, labels, strict=True) if label in place]
-    sums, sizes, words = Scorer(model)([t for t, _ in keep])
     ok = sizes > 0
-    own = np.array([at for _, at in keep], np.int64)[ok] if keep else np.empty(0, np.int64)
-    entropy, words = -sums[ok] / np.maximum(sizes[ok], 1)[:, None], words[ok]
+    own, entropy, words = own[ok], -sums[ok] / np.maximum(sizes[ok], 1)[:, None], words[ok]
     for at in range(count):
         mine = entropy[own == at, at]
         if len(mine):
@@ -264,7 +280,10 @@ def train(df: DataFrame, text: str = "text", label: str = "lang", key: str = "do
     """Fit on df's rows with a label and a text, those of the held-out fold excepted."""
     ship(df.sparkSession)
     labelled = df.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
-    sizes = {r[label]: r["count"] for r in labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LANGUAGES).collect()}
+    # One more than allowed, to tell that there are too many.
+    sizes = {r[label]: r["count"] for r in labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different labels")
     if not sizes:
         return Model([], [], [], np.zeros(0, np.float32))
     # A hash below the language's share takes about a quarter more rows than wanted, of which the first ones stay.
@@ -293,13 +312,37 @@ def train(df: DataFrame, text: str = "text", label: str = "lang", key: str = "do
         counts[r["lang"]][r["gram"]] = r["n"]
     model = fit({lang: grams for lang, grams in counts.items() if grams}, order)
     if model.languages:
-        kept = sample.where("nth % 5 = 0").select("lang", "text").collect()
-        _calibrate(model, [r["text"] for r in kept], [r["lang"] for r in kept])
+        # The texts stay on the executors; a row of numbers for each comes here.
+        sent = df.sparkSession.sparkContext.broadcast(model)
+
+        def score(frames):
+            scorer = Scorer(sent.value)
+            import pandas as pd
+
+            for frame in frames:
+                for lang, value in zip(frame["lang"], frame["text"], strict=True):
+                    sums, sizes, words = scorer([value])
+                    yield pd.DataFrame({"lang": [lang], "sums": [sums[0].tolist()], "size": [int(sizes[0])], "words": [int(words[0])]})
+
+        told = sample.where("nth % 5 = 0").select("lang", "text").mapInPandas(score, "lang string, sums array<double>, size long, words long").collect()
+        place = {lang: at for at, lang in enumerate(model.languages)}
+        told = [r for r in told if r["lang"] in place]
+        sums = np.array([r["sums"] for r in told], np.float64).reshape(len(told), len(model.languages))
+        _calibrate(model, np.array([place[r["lang"]] for r in told], np.int64), sums, np.array([r["size"] for r in told], np.int64), np.array([r["words"] for r in told], np.int64))
     return model
 
 
-def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add lang_pred, score (0 to 1), rejected and cross_entropy (nats a symbol)."""
+OUTPUTS = ("lang_pred", "score", "rejected", "cross_entropy")
+
+
+def keep_recognised(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """df without the rows that predict() rejects, with its own columns. A model of no language rejects none."""
+    names = tuple(spare(df.columns, name) for name in OUTPUTS)
+    return predict(df, model, text, names).where(~F.col(names[2])).select(*df.columns)
+
+
+def predict(df: DataFrame, model: Model, text: str = "text", names: tuple[str, str, str, str] = OUTPUTS) -> DataFrame:
+    """Add lang_pred, score (0 to 1), rejected and cross_entropy (nats a symbol), or columns of the names given."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -309,7 +352,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         def step(values: list) -> tuple[list, ...]:
             if not count:
-                return [UNDETERMINED] * len(values), [0.0] * len(values), [True] * len(values), [None] * len(values)
+                return [UNDETERMINED] * len(values), [0.0] * len(values), [False] * len(values), [None] * len(values)
             sums, sizes, words = scorer(values)
             entropy = -sums / np.maximum(sizes, 1)[:, None]
             best = entropy.argmin(1)
@@ -326,5 +369,5 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
         return step
 
-    kinds = [("lang_pred", T.StringType(), pa.string()), ("score", T.DoubleType(), pa.float64()), ("rejected", T.BooleanType(), pa.bool_()), ("cross_entropy", T.DoubleType(), pa.float64())]
-    return add_columns(df, make, text, kinds)
+    kinds = [(T.StringType(), pa.string()), (T.DoubleType(), pa.float64()), (T.BooleanType(), pa.bool_()), (T.DoubleType(), pa.float64())]
+    return add_columns(df, make, text, [(name, *kind) for name, kind in zip(names, kinds, strict=True)])

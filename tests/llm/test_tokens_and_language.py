@@ -40,7 +40,7 @@ def test_small_caches_change_nothing(library, monkeypatch, texts):
 def test_op1(spark, sf, texts, library):
     got = {r.doc_id: r for r in queries.op1_bpe(spark, sf).collect()}
     assert set(got) == set(texts)
-    for doc, text in list(texts.items())[::7]:
+    for doc, text in texts.items():
         ids = library.encode(text, add_special_tokens=False).ids
         assert got[doc].n_tokens == len(ids)
         assert got[doc].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
@@ -79,7 +79,8 @@ def test_language_id_edge_rows(spark):
 
 def test_kneser_ney_sums_to_one():
     counts = {"\x02a": 3, "\x02b": 1, "\x02ab": 3, "\x02b\x03": 1, "ab\x03": 2, "aba": 1, "ba\x03": 1}
-    symbols = sorted({c for g in counts for c in g})
+    other = {"\x02q": 2, "\x02q\x03": 2}
+    symbols = sorted({g[-1] for g in [*counts, *other]})  # all that is ever predicted, in either language
     probabilities, backoff, floor = langid._fit_language(counts, 3, len(symbols))
 
     def p(gram):
@@ -91,6 +92,6 @@ def test_kneser_ney_sums_to_one():
 
     for context in ("", "\x02", "a", "\x02a", "ab", "b", "zz"):
         assert abs(sum(p(context + c) for c in [*symbols, "?"]) - 1) < 1e-9
-    model = langid.fit({"x": counts, "y": {"\x02q": 2, "\x02q\x03": 2}}, 3)
+    model = langid.fit({"x": counts, "y": other}, 3)
     want = np.log(p("\x02a")) + np.log(p("\x02ab")) + np.log(p("ab\x03"))
     assert abs(model.score_words(["ab"])[0][0, 0] - want) < 1e-5
