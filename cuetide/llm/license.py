@@ -1,19 +1,23 @@
 """License scans: sparse TF-IDF cosine to license templates, and inheritance from the nearest ancestor directory.
 
 Terms are runs of letters and digits, lower case; a template's weights are term count times the idf over the templates,
-and terms that no template has weigh as much as the rarest. A header is a line, or a run of lines as notices are wrapped
-in comments, whose cosine to a template reaches `header_cosine`; runs hold up to twice the terms of the longest template.
-Comment marks are no terms, or are words that are taken off (rem, dnl). A license file is a text that as a whole reaches `file_cosine`, or one whose file name says so
-(LICENSE, COPYING, NOTICE and the like) and that reaches a quarter of it. A text's own license is its best match; one
-without takes over that of the nearest directory above it that holds a license file (in one directory, the highest
-cosine wins, then the smallest path).
+and terms that no template has weigh as much as the rarest. There are two sets of templates: notices, which a header is
+compared to, and whole license texts, which whole texts are compared to. Both are parameters. A header is a line, or a
+run of lines as notices are wrapped in comments, whose cosine to a notice reaches `header_cosine`; runs hold up to twice
+the terms of the longest notice. Comment marks are no terms, or are words that are taken off (rem, dnl). A notice with
+numbers, such as those of a version, is matched only by what holds all of them: version 2 never stands for version 3.
 
-Before any weighing, a text must hold an anchor: terms without which no line can reach the threshold, since the other
-terms of the template have too little of its length. Templates are a parameter and go to the executors; they don't grow
-with the data. Directories are joined as distinct rows, so a directory with very many files costs one.
+A license file is a text that as a whole reaches `file_cosine`, or one whose file name says so (LICENSE, COPYING, NOTICE
+and the like) and that holds a header. A text's own license is the one it matches as a whole, else its header's. A text without takes over the license of the nearest directory above it that holds a license file; in one
+directory the highest cosine wins, then the license that sorts first.
+
+Before any weighing, a text must hold an anchor: terms without which nothing can reach the threshold, since the other
+terms of the template have too little of its length. Templates go to the executors; they don't grow with the data.
+Directories are joined as distinct rows, so a directory with very many files costs one.
 
 Null paths stand for the root's files with no name; null and empty texts match nothing. Ties between templates go to the
-one that sorts first. Repeated rows are judged each. Columns that would clash with outputs are replaced.
+one that sorts first. Repeated rows are judged each; empty tables give none. A very long text needs memory for its terms.
+Other columns pass unchanged; columns named as outputs are replaced.
 """
 
 from __future__ import annotations
@@ -21,37 +25,29 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuetide.llm.common import add_columns, stored
+from cuetide.llm.common import add_columns, spare, stored
+from cuetide.llm.license_texts import TEMPLATES, TEXTS
 
 HEADER_COSINE, FILE_COSINE = 0.8, 0.5
-#: License names and the notices by which they are declared.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "You may not use this file except in compliance with the Apache License, Version 2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, without warranties or conditions of any kind."),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the software without restriction."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-]
+SCANNED = ["header_license", "header_cosine", "header_line", "whole_license", "whole_cosine"]
+ADDED = ["is_license_file", "own_license", "own_cosine", "license", "found_in"]
 _TERM = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"^\s*(?:rem|dnl)\b")
 _FILE_NAME = r"(?i)^(un)?(licen[cs]e|copying|copyright|notice)([.\-_].*)?$"
 
 
+def load_texts(paths: list[str]) -> list[tuple[str, str]]:
+    """Templates from files, each named by its license (GPL-3.0.txt), for `texts` beside TEXTS."""
+    return [(Path(p).stem, Path(p).read_text(encoding="utf-8")) for p in sorted(paths)]
+
+
 class Templates:
     def __init__(self, templates: list[tuple[str, str]], least_cosine: float):
         bags = [Counter(_TERM.findall(text.lower())) for _, text in templates]
@@ -60,8 +56,9 @@ class Templates:
         self.idf = {t: math.log((1 + count) / (1 + n)) + 1 for t, n in held.items()}
         self.rare = math.log(1 + count) + 1
         self.names = [name for name, _ in templates]
+        self.numbers = [frozenset(t for t in bag if t.isdigit()) for bag in bags]
         self.weights: dict[str, list[tuple[int, float]]] = {}
-        anchors = set()
+        self.anchors: set[str] = set()
         for at, bag in enumerate(bags):
             raw = {t: n * self.idf[t] for t, n in bag.items()}
             length = math.sqrt(sum(w * w for w in raw.values())) or 1.0
@@ -73,15 +70,21 @@ class Templates:
             for w, t in unit:
                 if math.sqrt(max(rest, 0.0)) < least_cosine:
                     break
-                anchors.add(t)
+                self.anchors.add(t)
                 rest -= w * w
-        self.anchors = anchors
         self.longest = max((sum(bag.values()) for bag in bags), default=0)
-        self.anchor = re.compile("|".join(sorted(map(re.escape, anchors), key=len, reverse=True))) if anchors else None
 
-    def best(self, text: str) -> tuple[float, int]:
+    def _nearest(self, dots: dict[int, float], bag: Counter[str]) -> int:
+        """The template with the largest product, the first of equals, of those whose numbers the bag has; or -1."""
+        found, most = -1, 0.0
+        for at in sorted(dots):
+            if dots[at] > most + 1e-12 and all(n in bag for n in self.numbers[at]):
+                found, most = at, dots[at]
+        return found
+
+    def best(self, terms: list[str]) -> tuple[float, int]:
         """(cosine, template) of the nearest template; (0, -1) if none shares a term."""
-        bag = Counter(_TERM.findall(text))
+        bag = Counter(terms)
         dots: dict[int, float] = {}
         square = 0.0
         for term, n in bag.items():
@@ -89,88 +92,77 @@ class Templates:
             square += weight * weight
             for at, w in self.weights.get(term, ()):
                 dots[at] = dots.get(at, 0.0) + weight * w
-        if not dots:
-            return 0.0, -1
-        at = min(dots, key=lambda a: (-round(dots[a], 12), a))
-        return dots[at] / math.sqrt(square), at
-
-    def best_run(self, lines: list[str]) -> tuple[float, int, int]:
-        """(cosine, template, first line) of the nearest run of two or more lines that holds an anchor; (0, -1, -1) if
-        there is none. The outer lines of the nearest run share terms with a template, so only such are tried."""
-        found = [_TERM.findall(_MARK.sub("", line)) for line in lines]
-        known = [any(t in self.weights for t in terms) for terms in found]
-        anchored = [not self.anchors.isdisjoint(terms) for terms in found]
+        at = self._nearest(dots, bag)
+        return (dots[at] / math.sqrt(square), at) if at >= 0 else (0.0, -1)
+
+    def best_run(self, lines: list[list[str]]) -> tuple[float, int, int]:
+        """Of the terms of a text's lines: (cosine, template, first line) of the nearest line or run of lines that holds an
+        anchor; (0, -1, -1) if there is none. The outer lines of the nearest run share terms with a template, so only
+        such are tried."""
+        known = [any(t in self.weights for t in terms) for terms in lines]
+        anchored = [not self.anchors.isdisjoint(terms) for terms in lines]
         most, best = 2 * self.longest, (0.0, -1, -1)
         starts: set[int] = set()
         for at in (at for at, has in enumerate(anchored) if has):
-            first, held = at, len(found[at])
-            while first >= 0 and held <= most:
+            first, held = at, len(lines[at])
+            # A line of more terms is tried alone.
+            while first >= 0 and (held <= most or first == at):
                 if known[first]:
                     starts.add(first)
                 first -= 1
-                held += len(found[first]) if first >= 0 else 0
+                held += len(lines[first]) if first >= 0 else 0
         for first in sorted(starts):
             bag: Counter[str] = Counter()
             dots: dict[int, float] = {}
             square, held, holds = 0.0, 0, False
             for at in range(first, len(lines)):
-                held += len(found[at])
-                if held > most:
+                held += len(lines[at])
+                if held > most and at > first:
                     break
-                for term in found[at]:
+                for term in lines[at]:
                     weight = self.idf.get(term, self.rare)
                     square += (2 * bag[term] + 1) * weight * weight
                     bag[term] += 1
                     for name, w in self.weights.get(term, ()):
                         dots[name] = dots.get(name, 0.0) + weight * w
                 holds = holds or anchored[at]
-                if at > first and holds and known[at]:
-                    name = min(dots, key=lambda a: (-round(dots[a], 12), a))
+                if holds and known[at] and (name := self._nearest(dots, bag)) >= 0:
                     cosine = dots[name] / math.sqrt(square)
                     if cosine > best[0] + 1e-12:
                         best = (cosine, name, first)
         return best
 
 
-def scan(df: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, header_cosine: float = HEADER_COSINE, file_cosine: float = FILE_COSINE) -> DataFrame:
-    """Add header_license, header_cosine, header_line (of the best line or the first of the best run, from 0), whole_license and whole_cosine (null
-    where the threshold, for the whole a quarter of it, is missed)."""
-    least = min(header_cosine, file_cosine / 4)
-    sent = df.sparkSession.sparkContext.broadcast(templates)
+def scan(df: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, texts: list[tuple[str, str]] = TEXTS, header_cosine: float = HEADER_COSINE, file_cosine: float = FILE_COSINE) -> DataFrame:
+    """Add header_license, header_cosine, header_line (of the best line or the first of the best run, from 0), whole_license
+    and whole_cosine (null where the threshold is missed)."""
+    sent = df.sparkSession.sparkContext.broadcast((templates, texts))
 
     def make():
-        known, headers = Templates(sent.value, least), Templates(sent.value, header_cosine)
+        notices, wholes = Templates(sent.value[0], header_cosine), Templates(sent.value[1], file_cosine)
 
         def step(values: list) -> tuple[list, ...]:
             rows = []
             for value in values:
                 header, whole = (None, None, None), (None, None)
-                if value and known.anchor is not None:
-                    lowered = value.lower()
-                    if known.anchor.search(lowered):
-                        best = (0.0, -1, -1)
-                        lines = lowered.split("\n")
-                        for number, line in enumerate(lines):
-                            if known.anchor.search(line):
-                                cosine, at = known.best(line)
-                                if cosine > best[0] + 1e-12:
-                                    best = (cosine, at, number)
-                        if len(lines) > 1 and headers.anchor is not None and headers.anchor.search(lowered):
-                            run = headers.best_run(lines)
-                            if run[0] > best[0] + 1e-12:
-                                best = run
-                        if best[0] >= header_cosine:
-                            header = (known.names[best[1]], best[0], best[2])
-                        cosine, at = known.best(lowered)
-                        if cosine >= file_cosine / 4:
-                            whole = (known.names[at], cosine)
+                lowered = (value or "").lower()
+                terms = _TERM.findall(lowered)
+                distinct = set(terms)
+                if not notices.anchors.isdisjoint(distinct):
+                    best = notices.best_run([_TERM.findall(_MARK.sub("", line)) for line in lowered.split("\n")])
+                    if best[0] >= header_cosine:
+                        header = (notices.names[best[1]], best[0], best[2])
+                if not wholes.anchors.isdisjoint(distinct):
+                    cosine, at = wholes.best(terms)
+                    if cosine >= file_cosine:
+                        whole = (wholes.names[at], cosine)
                 rows.append((*header, *whole))
             return tuple(map(list, zip(*rows, strict=True))) if rows else ([],) * 5
 
         return step
 
-    kinds = [("header_license", T.StringType(), pa.string()), ("header_cosine", T.DoubleType(), pa.float64()), ("header_line", T.IntegerType(), pa.int32()), ("whole_license", T.StringType(), pa.string()), ("whole_cosine", T.DoubleType(), pa.float64())]
-    return add_columns(df, make, text, kinds)
+    kinds = [(T.StringType(), pa.string()), (T.DoubleType(), pa.float64()), (T.IntegerType(), pa.int32()), (T.StringType(), pa.string()), (T.DoubleType(), pa.float64())]
+    return add_columns(df, make, text, [(name, *kind) for name, kind in zip(SCANNED, kinds, strict=True)])
 
 
 def directory_of(path: Column) -> Column:
@@ -181,19 +173,26 @@ def directory_of(path: Column) -> Column:
 def with_licenses(df: DataFrame, path: str = "path", text: str = "text", file_cosine: float = FILE_COSINE, **scanning) -> DataFrame:
     """df's columns but the text, and: own_license, own_cosine, is_license_file, license (own or inherited), found_in (the
     directory it is inherited from, null if it's the row's own)."""
+    here, at, below, said = (spare([*df.columns, *ADDED], n) for n in ("here", "at", "below", "said"))
     name = F.regexp_extract(F.coalesce(path, F.lit("")), r"([^/]*)$", 1)
-    is_file = (F.col("whole_cosine") >= file_cosine) | (F.col("whole_cosine").isNotNull() & name.rlike(_FILE_NAME))
-    whole_wins = F.col("header_cosine").isNull() | (F.col("whole_cosine") > F.col("header_cosine"))
-    as_file = F.coalesce(is_file, F.lit(False))
-    scanned = scan(df, text, file_cosine=file_cosine, **scanning).drop(text)
-    own = scanned.withColumns({"is_license_file": as_file, "own_license": F.when(as_file & whole_wins, F.col("whole_license")).otherwise(F.col("header_license")), "own_cosine": F.when(as_file & whole_wins, F.col("whole_cosine")).otherwise(F.col("header_cosine")), "_dir": directory_of(F.col(path))})
-    own = stored(own.drop("header_license", "header_cosine", "header_line", "whole_license", "whole_cosine"), "license-own")
-    best = F.max_by("own_license", F.struct(F.col("own_cosine"), F.col("own_license"))).alias("_license")
-    declared = stored(own.where("is_license_file and own_license is not null").groupBy(F.col("_dir").alias("_at")).agg(best), "license-dirs")
-    parts = F.split("_dir", "/")
-    above = F.concat(F.array(F.lit("")), F.when(F.col("_dir") == "", F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))))
-    dirs = own.select("_dir").distinct().select("_dir", F.explode(above).alias("_above"))
-    nearest = F.max_by(F.struct("_license", "_at"), F.length("_at")).alias("_near")
-    inherited = stored(dirs.join(declared, F.col("_above") == F.col("_at")).groupBy(F.col("_dir").alias("_below")).agg(nearest).select("_below", "_near.*"), "license-inherited")
-    joined = own.join(inherited, F.col("_dir") == F.col("_below"), "left")
-    return joined.withColumns({"license": F.coalesce("own_license", "_license"), "found_in": F.when(F.col("own_license").isNull(), F.col("_at"))}).drop("_dir", "_below", "_license", "_at")
+    whole, header = F.col("whole_cosine").isNotNull(), F.col("header_cosine").isNotNull()
+    found = {
+        "is_license_file": whole | (name.rlike(_FILE_NAME) & header),
+        "own_license": F.when(whole, F.col("whole_license")).otherwise(F.col("header_license")),
+        "own_cosine": F.when(whole, F.col("whole_cosine")).otherwise(F.col("header_cosine")),
+        here: directory_of(F.col(path)),
+    }
+    own = scan(df, text, file_cosine=file_cosine, **scanning).drop(text).withColumns(found)
+    own = stored(own.drop(*SCANNED), "license-own")
+    # The highest cosine, then the license that sorts first.
+    best = F.min_by("own_license", F.struct(-F.col("own_cosine"), F.col("own_license"))).alias(said)
+    declared = stored(own.where("is_license_file and own_license is not null").groupBy(F.col(here).alias(at)).agg(best), "license-dirs")
+    parts = F.split(here, "/")
+    paths = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    above = F.concat(F.array(F.lit("")), F.when(F.col(here) == "", F.array().cast("array<string>")).otherwise(paths))
+    dirs = own.select(here).distinct().select(here, F.explode(above).alias("above"))
+    nearest = F.max_by(F.struct(said, at), F.length(at)).alias("near")
+    inherited = dirs.join(declared, F.col("above") == F.col(at)).groupBy(F.col(here).alias(below)).agg(nearest)
+    inherited = stored(inherited.select(below, "near.*"), "license-inherited")
+    joined = own.join(inherited, F.col(here) == F.col(below), "left")
+    return joined.withColumns({"license": F.coalesce("own_license", said), "found_in": F.when(F.col("own_license").isNull(), F.col(at))}).drop(here, at, below, said)

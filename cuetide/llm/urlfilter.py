@@ -25,7 +25,7 @@ from cuetide.llm.common import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 INLINE_RULES = 200
-DAMPING, ROUNDS, TOLERANCE = 0.85, 20, 1e-6
+DAMPING, TOLERANCE = 0.85, 1e-6
 #: A graph whose ranks need more rounds than this is reported as an error.
 MOST_ROUNDS = 2000
 
