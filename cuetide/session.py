@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,7 +64,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where it is unset, local sessions get one of their own and clusters an error."""
+    """The folder in spark.checkpoint.dir. Where it is unset, local sessions get one of their own and clusters an error. On
+    a cluster a file: folder must be one that all machines mount; that cannot be seen from here."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
@@ -78,4 +81,48 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cuetide/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._cuetide_path = path
+    _KEPT.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return found
+
+
+#: Folders that each application has stored and not let go.
+_KEPT: dict[str, set[str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _KEPT.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def let_go(*tables: DataFrame) -> None:
+    """Delete what stored() wrote for these tables. Nothing that was made from them and not stored can be read after."""
+    for table in tables:
+        if path := getattr(table, "_cuetide_path", None):
+            _delete(table.sparkSession, path)
+
+
+def keep_folder(spark: SparkSession, path: str) -> str:
+    """Note a folder written otherwise, so that temporary_tables() and clear() know of it."""
+    _KEPT.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+@contextlib.contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Within this scope results are computed and written or collected; what was stored for them is deleted at its end."""
+    before = set(_KEPT.get(spark.sparkContext.applicationId, ()))
+    try:
+        yield
+    finally:
+        for path in sorted(_KEPT.get(spark.sparkContext.applicationId, set()) - before):
+            _delete(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has stored."""
+    for path in sorted(_KEPT.get(spark.sparkContext.applicationId, ())):
+        _delete(spark, path)
