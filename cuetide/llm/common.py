@@ -9,9 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from cuetide.session import shared_dir, ship, stored
+from cuetide.session import keep_folder, let_go, shared_dir, ship, stored
 
-__all__ = ["add_columns", "arrow_map", "read_table", "shared_dir", "ship", "slices", "spare", "stored"]
+__all__ = ["add_columns", "arrow_map", "keep_folder", "let_go", "read_table", "shared_dir", "ship", "slices", "spare", "stored"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

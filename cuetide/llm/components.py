@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuetide.llm.common import stored
+from cuetide.llm.common import let_go, stored
 
 #: Rounds are logarithmic in the longest path; a graph needing more than this is reported as an error.
 MOST_ROUNDS = 60
@@ -48,6 +48,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
             break
         then = stored(_star(_star(now, True), False), name)
         after = _state(then)
+        let_go(now)
         now = then
         if after == state:
             break

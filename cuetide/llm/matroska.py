@@ -10,7 +10,9 @@ frame: track, timestamp in nanoseconds, byte range in the file, key-frame flag a
 are skipped by their size. A file that breaks off or has sizes beyond its end raises ValueError; the DataFrame operator
 gives such a row an error text in place of packets. Null media: no packets and no error.
 
-Equal payloads give equal files: nothing in a file depends on the row it came from.
+Equal payloads give equal files: nothing in a file depends on the row it came from. Everything is per row, so repeated
+rows and ties need no care; empty tables give none. A payload and its file are held whole. Other columns pass unchanged;
+columns named as outputs are replaced.
 """
 
 from __future__ import annotations
@@ -356,14 +358,21 @@ def features(data: bytes, media: Media | None = None) -> str:
 
 
 def with_media_digests(df: DataFrame, media: str = "media") -> DataFrame:
-    """Read the stored bytes back and add payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature."""
+    """Read the stored bytes back and add payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature.
+    Null or broken files have nulls for what could not be read."""
 
     def make():
         def step(values: list) -> tuple[list, ...]:
             rows = []
             for v in values:
-                media = parse(v)
-                back = b"".join(v[o : o + n] for _, _, o, n, _, _ in media.packets)
+                try:
+                    media = parse(v or b"")
+                    back = b"".join(v[o : o + n] for _, _, o, n, _, _ in media.packets) if v is not None else None
+                except (ValueError, IndexError):
+                    back = None
+                if back is None:
+                    rows.append((None, None, None, None if v is None else len(v), None if v is None else hashlib.sha256(v).hexdigest(), None))
+                    continue
                 rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(v), hashlib.sha256(v).hexdigest(), features(v, media)))
             return tuple(map(list, zip(*rows, strict=True))) if rows else ([],) * 6
 

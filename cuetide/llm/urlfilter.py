@@ -12,6 +12,8 @@ ranks are a stored table, and joins are between plain tables, so that Spark can
 
 Null URLs and URLs without :// have an empty host and path, fit no rule and are allowed. Hosts are compared in lower
 case of A-Z; ports and user names count as part of the host. Repeated rows each get a verdict and count for their host.
+Ties between rules of one length go to the text that sorts first. Empty tables give no rows; no links or no seeds leave
+each host its own seed. Columns beyond key, URL and page are ignored. Texts of any length are searched for links once.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuetide.llm.common import stored
+from cuetide.llm.common import let_go, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 INLINE_RULES = 200
@@ -119,8 +121,11 @@ ranks, however small, moves by more than `tolerance` of itself: verdicts are rat
         old = ranks.select(F.col("host").alias("_host"), F.col("trust").alias("_trust"), F.col("distrust").alias("_distrust"))
         shift = lambda c: F.abs(F.col(c) - F.coalesce("_" + c, F.lit(0.0))) > tolerance * F.col(c)
         moved = then.join(old, F.col("host") == F.col("_host"), "left").where(shift("trust") | shift("distrust"))
+        settled = moved.isEmpty()
+        if ranks is not start:
+            let_go(ranks)
         ranks = then
-        if moved.isEmpty():
+        if settled:
             break
     else:
         raise RuntimeError(f"ranks did not settle in {most_rounds} rounds")

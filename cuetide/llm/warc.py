@@ -11,8 +11,11 @@ Reading: archives are streamed record by record. Whole records are decoded on th
 identifier, ordered by segment number, checked for gaps and for the total length, and then decoded. The group is one
 record's block, which is one row of the result whatever is done. Faults are reported per record in `fault`.
 
-Null payloads are empty. Null URLs get a urn of the key. Rows with a null key are responses and refer to nothing. Rows
-equal in key and payload are one record. Keys are longs. Empty tables give empty manifests and no records.
+As many records come back as rows went in. Null payloads are empty. Null URLs get a urn of the key. Rows with a null key
+are responses and refer to nothing. Rows equal in key and payload write equal records, each of which comes back: every
+row's records bear a mark of their own, by which segments are grouped, and a revisit finds its response once. Keys are
+longs. Empty tables give empty manifests and no records. Columns beyond key, URL and payload are not written. A payload
+is held whole in memory, some three times while it is written or put together.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuetide.llm.common import shared_dir, ship, slices, stored
+from cuetide.llm.common import keep_folder, shared_dir, ship, slices, stored
 
 SEGMENT_BYTES = 16 << 10
 CHUNK_BYTES = 4 << 10
@@ -105,7 +108,8 @@ def records_for(key: int | None, url: str | None, payload: bytes, refers: int |
     digest = digest_of(payload)
     own = record_id(key, digest)
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
-    common = [("WARC-Date", DATE), ("WARC-Target-URI", _clean(url, key)), ("Content-Type", "application/http;msgtype=response"), ("X-Source-Key", key)]
+    mark = uuid.uuid4().hex[:16]
+    common = [("WARC-Date", DATE), ("WARC-Target-URI", _clean(url, key)), ("Content-Type", "application/http;msgtype=response"), ("X-Source-Key", key), ("X-Source-Row", mark)]
     if refers is not None:
         yield _record([("WARC-Type", "revisit"), ("WARC-Record-ID", own), *common, ("WARC-Profile", _PROFILE), ("WARC-Refers-To", record_id(refers, digest)), ("WARC-Payload-Digest", f"sha1:{digest}")], head)
         return
@@ -119,7 +123,7 @@ def records_for(key: int | None, url: str | None, payload: bytes, refers: int |
     for number, part in enumerate(cut[1:], 2):
         last = len(block) if number == len(cut) else None
         name = f"<urn:uuid:{uuid.uuid5(_SPACE, f'{own}/{number}')}>"
-        yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", number), ("WARC-Segment-Total-Length", last)], part)
+        yield _record([("WARC-Type", "continuation"), ("WARC-Record-ID", name), ("WARC-Date", DATE), ("WARC-Segment-Origin-ID", own), ("WARC-Segment-Number", number), ("WARC-Segment-Total-Length", last), ("X-Source-Row", mark)], part)
 
 
 def _open_fs(uri: str):
@@ -207,6 +211,7 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
 _PART = T.StructType(
     [
         T.StructField("origin", T.StringType()),
+        T.StructField("row", T.StringType()),
         T.StructField("number", T.IntegerType()),
         T.StructField("total", T.LongType()),
         T.StructField("type", T.StringType()),
@@ -254,7 +259,7 @@ def read_parts(manifest: DataFrame, folder: str) -> DataFrame:
                             block = None
                         key = f.get("x-source-key")
                         total = f.get("warc-segment-total-length")
-                        rows.append((f.get("warc-segment-origin-id", f.get("warc-record-id")), number, total and int(total), kind, key and int(key), f.get("warc-target-uri"), f.get("warc-refers-to"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, block, size, digest, fault))
+                        rows.append((f.get("warc-segment-origin-id", f.get("warc-record-id")), f.get("x-source-row", ""), number, total and int(total), kind, key and int(key), f.get("warc-target-uri"), f.get("warc-refers-to"), f.get("warc-payload-digest", "").removeprefix("sha1:") or None, block, size, digest, fault))
                         held += len(block or b"") + 400
                         if held > 4 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _ARROW_PART.types, strict=True)], schema=_ARROW_PART)
@@ -271,10 +276,12 @@ _RECORD = T.StructType([f for f in _PART.fields if f.name not in ("number", "tot
 
 def reassemble(parts: DataFrame) -> DataFrame:
     """One row per record: its fields, payload_bytes and payload_digest of the decoded payload (null for revisits), fault."""
-    head = F.struct(*[f.name for f in _RECORD.fields if f.name != "origin"])
+    # Records of other writers bear no mark of a row: then the origin alone tells.
+    own = ["origin", "row"]
+    head = F.struct(*[f.name for f in _RECORD.fields if f.name not in own])
     pieces = F.collect_list(F.when(F.col("block").isNotNull(), F.struct("number", "block", "total")))
-    grouped = parts.groupBy("origin").agg(F.min_by(head, "number").alias("head"), pieces.alias("pieces"), F.coalesce(F.min("number"), F.lit(0)).alias("first"))
-    flat = grouped.select("origin", "head.*", F.when(F.size("pieces") > 0, F.array_sort("pieces")).alias("pieces"), "first")
+    grouped = parts.groupBy(*own).agg(F.min_by(head, "number").alias("head"), pieces.alias("pieces"), F.coalesce(F.min("number"), F.lit(0)).alias("first"))
+    flat = grouped.select(*own, "head.*", F.when(F.size("pieces") > 0, F.array_sort("pieces")).alias("pieces"), "first")
     arrow = pa.schema([(n, _ARROW_PART.field(n).type) for n in _RECORD.names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +310,7 @@ def reassemble(parts: DataFrame) -> DataFrame:
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """(key, url, payload_bytes, payload_digest, record_type, refers_to, fault), revisits resolved through what they refer to."""
     records = stored(reassemble(read_parts(manifest, folder)), "warc-records")
-    responses = records.where("type = 'response'").select(F.col("origin").alias("_origin"), F.col("key").alias("_to"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
+    responses = records.where("type = 'response'").dropDuplicates(["origin"]).select(F.col("origin").alias("_origin"), F.col("key").alias("_to"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
     revisiting = records.where("type = 'revisit'").join(responses, F.col("refers_to_record") == F.col("_origin"), "left")
     # Records that refer to nothing stay out of the join, where their null keys would meet in one task.
     others = records.where("type <> 'revisit' or type is null").select("*", *[F.lit(None).cast(responses.schema[c].dataType).alias(c) for c in responses.columns])
@@ -322,4 +329,5 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def archive_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/cuetide/warc-{uuid.uuid4().hex}"
+    """A new folder in the shared one, which session.clear() deletes."""
+    return keep_folder(spark, f"{shared_dir(spark)}/cuetide/warc-{uuid.uuid4().hex}")

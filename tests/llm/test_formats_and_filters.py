@@ -39,6 +39,18 @@ def test_warc_revisits_and_segments(spark):
     assert got[None].record_type == "response"
 
 
+def test_warc_gives_back_every_row(spark):
+    long, short = "x" * 40_000, "y"
+    rows = [(1, "u", long)] * 3 + [(2, "u", long)] + [(None, "u", long)] * 4 + [(None, None, short)] * 2 + [(5, None, None)] * 2
+    folder = warc.archive_folder(spark)
+    manifest = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), "page_id", "url", "html", folder)
+    got = warc.read_archives(manifest, folder).collect()
+    assert sorted((r.key or 0, r.payload_bytes) for r in got) == sorted((k or 0, len(b or "")) for k, _, b in rows)
+    assert not any(r.fault for r in got) and [r.refers_to for r in got if r.key == 1] == [2] * 3
+    empty = warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), "page_id", "url", "html", folder)
+    assert warc.read_archives(empty, folder).count() == 0
+
+
 def test_reassembly_finds_what_is_missing(spark):
     body = b"z" * 50_000
     head = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
@@ -46,7 +58,7 @@ def test_reassembly_finds_what_is_missing(spark):
     cut = [block[:20_000], block[20_000:40_000], block[40_000:]]
 
     def parts(origin, kept, total):
-        return [(origin, n, total if n == 3 else None, "response" if n == 1 else "continuation", 1, "u", None, None, bytearray(cut[n - 1]), None, None, None) for n in kept]
+        return [(origin, "", n, total if n == 3 else None, "response" if n == 1 else "continuation", 1, "u", None, None, bytearray(cut[n - 1]), None, None, None) for n in kept]
 
     rows = parts("a", [3, 1, 2], len(block)) + parts("b", [1, 3], len(block)) + parts("c", [1, 2, 3], len(block) + 1) + parts("d", [1, 2], None)
     got = {r.origin: r for r in warc.reassemble(spark.createDataFrame(rows, warc._PART)).collect()}
@@ -82,6 +94,18 @@ def test_matroska_unknown_sizes_groups_and_breaks(spark):
     got = {r.k: r for r in m.with_packets(rows).collect()}
     assert len(got[1].packets) == 4 and got[1].media_error is None and got[2].media_error and got[3].packets == []
     assert m.packet_table(rows.where("k = 1"), "k").count() == 4
+    told = {r.k: r for r in m.with_media_digests(rows).collect()}
+    assert told[1].payload_bytes == 10 and told[2].payload_sha256 is None and told[2].media_bytes and told[3].media_bytes is None
+
+
+def test_features_are_those_of_the_samples(spark):
+    text = "Ünï " * 700
+    data = text.encode() + bytes(-len(text.encode()) % 64)
+    row = matroska.with_media_digests(matroska.with_media(spark.createDataFrame([(1, text, "x")], "doc_id long, text string, feature string"))).first()
+    packets = -(-len(data) // matroska.FRAME_BYTES)
+    clusters = -(-packets // (matroska.LACED_FRAMES * matroska.BLOCKS_IN_CLUSTER))
+    want = f"matroska;A_PCM/INT/LIT;8000Hz;8bit;clusters={clusters};cues={clusters};packets={packets};ms={len(data) / 8:.3f};min={min(data)};max={max(data)};mean={sum(data) / len(data):.4f}"
+    assert row.feature == want
 
 
 def test_op10(spark, sf, texts):
