@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuetide.llm.common import add_columns, stored
+from cuetide.llm.common import add_columns, spare, stored
 from cuetide.llm.components import connected_components
 
 SEED = 42
@@ -108,5 +108,6 @@ def hex_digits(fp: Column) -> Column:
 def keep_first(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, most_bits: int = 3) -> DataFrame:
     """df without the rows whose key is not the smallest of its component; rows with a null key are kept."""
     found = near_duplicates(df.where(F.col(key).isNotNull()), text, key, size, most_bits)
-    others = stored(found.where(F.col(key) > F.col("component_id")).select(F.col(key).alias("_other")), "simhash-others")
-    return df.join(others, F.col(key) == F.col("_other"), "left_anti")
+    other = spare(df.columns, "other")
+    others = stored(found.where(F.col(key) > F.col("component_id")).select(F.col(key).alias(other)).distinct(), "simhash-others")
+    return df.join(others, F.col(key) == F.col(other), "left_anti")
