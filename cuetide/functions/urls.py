@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cuetide.functions.text import decode_for_urls
+
 # Extensions by kind.
 AUDIO_EXTENSIONS = ["aac", "flac", "m4a", "mp3", "oga", "ogg", "opus", "wav", "weba"]
 MANIFEST_EXTENSIONS = ["m3u8", "m3u", "mpd"]
@@ -58,7 +60,8 @@ def is_placeholder(url: Column) -> Column:
 
 
 def media_kind(url: Column) -> Column:
-    """audio, media, hls, dash or null: by the mime parameter, then playback hosts, then the extension."""
+    """audio, media, hls, dash or null: by the mime parameter, then playback hosts, then the extension. The playback host
+    and path are fixed values."""
     ext = extension(url)
     mime = content_type(F.coalesce(F.nullif(query_value(url, "mime"), F.lit("")), query_value(url, "mimeType")))
     playback = host(url).rlike(r"(^|\.)googlevideo\.com$") & path(url).rlike("(?i)/videoplayback$")
@@ -127,7 +130,8 @@ def cache_url(url: Column, tracking: bool = True) -> Column:
 
 
 def quality(url: Column) -> Column:
-    """(width, height, bandwidth) as far as the URL tells; a resolution outranks a height."""
+    """(width, height, bandwidth) as far as the URL tells; a resolution outranks a height. The parameter names of the
+    bandwidth are fixed values."""
     text = F.lower(F.concat_ws(" ", path(url), query_text(url)))
     number = lambda pattern, at=1: F.nullif(F.regexp_extract(text, pattern, at), F.lit("")).cast("long")
     shape = r"(\d{3,5})[x_](\d{3,5})"
@@ -137,7 +141,7 @@ def quality(url: Column) -> Column:
 
 
 def media_role(kind: Column, url: Column, type_: Column, has_size: Column) -> Column:
-    """audio, video, playlist or media."""
+    """audio, video, playlist or media. The names in a path that mean sound alone are fixed values."""
     ext, ctype = extension(url), content_type(type_)
     audio_only = path(url).rlike(r"(?i)(?:^|[-_/])(?:audio|aac|m4a|mp3|opus)(?:[-_.]|$)") | path(url).rlike(r"(?i)(?:^|[-_/])(?:f\d+[-_.])?a\d+(?=[-_./]|$)")
     manifest = kind.isin("hls", "dash")
@@ -173,6 +177,52 @@ def page_identity(url: Column) -> Column:
     return F.when(is_absolute(url), F.concat(F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.\-]*://)", 1)), host(url), path(url))).otherwise(F.coalesce(url, F.lit("")))
 
 
+def _without_dots(p: Column) -> Column:
+    """A path without . and .. parts."""
+    parts = F.split(p, "/")
+    last = F.element_at(parts, -1)
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(1)))).otherwise(F.concat(acc, F.array(x)))
+
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), step)
+    joined = F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+    return F.when(p.rlike(r"/\.\.?(?:/|$)"), F.when(joined == "", "/").otherwise(joined)).otherwise(p)
+
+
+def resolve(base: Column, reference: Column) -> Column:
+    """A reference made absolute by the URL it stands in: absolute ones stay, others take over scheme, host, directory or
+    path. Null references stay null; without an absolute base they stay as they are."""
+    base, ref = F.coalesce(base, F.lit("")), F.trim(reference)
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1)
+    scheme, own = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*:)", 1), path(base)
+    name, rest = F.regexp_extract(ref, r"^([^?#]*)", 1), F.regexp_extract(ref, r"^[^?#]*(.*)$", 1)
+    directory = F.regexp_replace(own, "[^/]*$", "")
+    return (
+        F.when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | (origin == ""), ref)
+        .when(ref.startswith("//"), F.concat(scheme, ref))
+        .when(ref == "", F.regexp_replace(base, "#.*$", ""))
+        .when(ref.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), ref))
+        .when(ref.startswith("?"), F.concat(F.regexp_replace(base, "[?#].*$", ""), ref))
+        .when(ref.startswith("/"), F.concat(origin, _without_dots(name), rest))
+        .otherwise(F.concat(origin, _without_dots(F.concat(directory, name)), rest))
+    )
+
+
+#: Absolute and protocol-relative URLs in running text or markup.
+_IN_TEXT = r"(?i)((?:https?:)?//[a-z0-9\[][^\s\"'<>\\\\)]*)"
+
+
+def sniffed(text: Column, base: Column) -> Column:
+    """What a text is (hls, dash or text) and the distinct URLs in it, entities decoded and made absolute: a struct of format
+    and urls. A manifest is itself what its own URL means."""
+    head = F.coalesce(text, F.lit(""))
+    form = F.when(head.startswith("#EXTM3U") | F.contains(head, F.lit("\n#EXTM3U")), "hls").when(F.contains(head, F.lit("urn:mpeg:dash:schema:mpd")) | head.rlike(r"<MPD[\s>]"), "dash").otherwise("text")
+    decoded = decode_for_urls(head)
+    found = F.transform(F.array_distinct(F.regexp_extract_all(decoded, F.lit(_IN_TEXT), 1)), lambda u: resolve(base, u))
+    return F.struct(form.alias("format"), F.when(form == "text", F.array_distinct(found)).otherwise(F.array(base)).alias("urls"))
+
+
 def same_origin(a: Column, b: Column) -> Column:
     """Whether captured headers may go along: equal URLs and empty ones pass, else scheme and host must agree."""
     origin = lambda u: F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1))

@@ -13,6 +13,16 @@ from cuetide.params import P
 ACCEPTABLE_LOW, IDEAL_LOW, IDEAL_HIGH, ACCEPTABLE_HIGH, PLAUSIBLE_HIGH = 48_000, 96_000, 160_000, 320_000, 768_000
 
 
+# A site's track numbers, the best for speech first.
+SITE_TRACKS = ["30232", "30216", "30280"]
+
+
+def site_track_preference(track: Column) -> Column:
+    """The place of a track number among SITE_TRACKS; others come after them."""
+    place = F.array_position(F.array(*[F.lit(t) for t in SITE_TRACKS]), track)
+    return F.when(place > 0, place - 1).otherwise(len(SITE_TRACKS))
+
+
 def bitrate_penalty(rate: Column) -> Column:
     return (
         F.when(rate < ACCEPTABLE_LOW, 8 + (ACCEPTABLE_LOW - rate) / ACCEPTABLE_LOW)
@@ -24,6 +34,7 @@ def bitrate_penalty(rate: Column) -> Column:
 
 
 def container_penalty(ext: Column) -> Column:
+    """Extensions, and what they cost."""
     return F.when(ext.isin("flac", "wav", "aiff", "aif", "alac"), 6).when(ext.isin("aac", "m4a", "mp3", "mp4", "m4s", "oga", "ogg", "opus", "weba"), 0).otherwise(1)
 
 
@@ -56,6 +67,7 @@ def duration_relevance(duration: Column, target: Column) -> Column:
 
 
 def retention_score(role: Column, kind: Column, ext: Column, type_: Column, source: Column) -> Column:
+    """Points of a candidate's role, kind, source and container."""
     points = lambda condition, n: F.when(condition, n).otherwise(0)
     body = source.isin("json-parse", "fetch-body", "xhr-body")
     return (

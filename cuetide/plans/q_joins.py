@@ -154,12 +154,13 @@ def j18(spark, d):
     return found.select("page", "src", F.coalesce("_exact", "_any").alias("id"), F.when(F.col("_exact").isNotNull(), 1).otherwise(2).alias("rnk"))
 
 
-@query("j22_same_target", "select distinct least(a.page_id, b.page_id) as left_id, greatest(a.page_id, b.page_id) as right_id from (select page_id, regexp_replace(url, '[?#].*$', '') as u from pages) a join (select page_id, regexp_replace(url, '[?#].*$', '') as u from pages) b on a.u = b.u and a.page_id < b.page_id and b.page_id - a.page_id < 1000000")
+@query("j22_same_target", "select page_id, min(page_id) over (partition by u) as target_id, count(*) over (partition by u) as members from (select page_id, regexp_replace(url, '[?#].*$', '') as u from pages)")
 def j22(spark, d):
-    """Pairs of pages that mean one target: equal URLs without query and fragment."""
+    """Pages with the first page that means their target: equal URLs without query and fragment. Targets are aggregated
+    before the join, so one with very many pages costs a row."""
     bare = ad.table(spark, d, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("u"))
-    other = bare.select(F.col("page_id").alias("right_id"), F.col("u").alias("_u"))
-    return bare.join(other, (F.col("u") == F.col("_u")) & (F.col("page_id") < F.col("right_id"))).select(F.col("page_id").alias("left_id"), "right_id").distinct()
+    targets = bare.groupBy(F.col("u").alias("_u")).agg(F.min("page_id").alias("target_id"), F.count(F.lit(1)).alias("members"))
+    return bare.join(targets, F.col("u") == F.col("_u")).select("page_id", "target_id", "members")
 
 
 @query("p15_restore_words", """with pc as (select user_id as map_id, row_number() over (partition by user_id order by event_id) - 1 as n, epoch_us(ts) / 1e9 as src from events where event_type = 'purchase'),
@@ -218,11 +219,11 @@ def sc28(spark, d):
     return ad.table(spark, d, "documents").where("doc_id = 42").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("bytes"))
 
 
-@query("f04_skip_silent_chunks", "select user_id as chunk_id, case when user_id % 3 = 0 then false else count(*) filter (event_type = 'purchase') = 0 and user_id % 5 <> 0 end as skipped from events where event_id % 10 = 0 or event_type <> 'purchase' group by 1")
+@query("f04_skip_silent_chunks", "select user_id * 1000 + dayofyear(ts) as chunk_id, case when user_id % 3 = 0 then false else count(*) filter (event_type = 'purchase') = 0 and user_id % 5 <> 0 end as skipped from events group by user_id, 1")
 def f04(spark, d):
-    """Chunks are skipped if their speech is known, reliable and none; unknown is not none."""
-    rows = ad.table(spark, d, "events").where("event_id % 10 = 0 or event_type <> 'purchase'")
-    spans = rows.groupBy(F.col("user_id").alias("chunk_id")).agg(F.collect_list(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("a"))
-    known = F.when(F.col("chunk_id") % 5 != 0, F.col("a"))
-    reliable = F.when(F.col("chunk_id") % 3 == 0, False)
-    return spans.select("chunk_id", (F.coalesce(reliable, F.lit(True)) & F.coalesce(F.size(known) == 0, F.lit(False))).alias("skipped"))
+    """A user's day is a chunk, whose purchases are its speech. Chunks are skipped if their speech is known, reliable and
+    none; unknown is not none."""
+    spans = ad.table(spark, d, "events").groupBy("user_id", F.dayofyear("ts").alias("day")).agg(F.count_if(F.col("event_type") == "purchase").alias("spans"))
+    known = F.when(F.col("user_id") % 5 != 0, F.col("spans"))
+    reliable = F.when(F.col("user_id") % 3 == 0, False)
+    return spans.select((F.col("user_id") * 1000 + F.col("day")).alias("chunk_id"), (F.coalesce(reliable, F.lit(True)) & F.coalesce(known == 0, F.lit(False))).alias("skipped"))

@@ -109,11 +109,13 @@ def sf11(spark, d):
     return ad.table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("line"), F.floor(rate + 0.5).cast("long").alias("rate"))
 
 
-@query("sf15_resolved_urls", "with h as (select page_id, url, unnest(regexp_extract_all(html, 'href=\"(/[A-Za-z]+)\"', 1)) as href from pages) select page_id, regexp_extract(url, '^([a-z]+://[^/]+)', 1) || href as target, count(*) as n from h group by 1, 2")
+@query("sf15_resolved_urls", "with h as (select page_id, url, unnest(regexp_extract_all(html, '(?:href|src)=\"([^\"]*)\"', 1)) as href from pages union all select page_id, url, unnest(['a/../b', './c?x=1', '//other.org/d', '?q', '#f', 'https://e.org/', '../../../g', '']) from pages), p as (select *, regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) as origin, regexp_extract(url, '^([A-Za-z]+:)', 1) as scheme, regexp_replace(coalesce(nullif(regexp_extract(url, '^[A-Za-z]+://[^/?#]+([^?#]*)', 1), ''), '/'), '[^/]*$', '') as dir, regexp_replace(url, '#.*$', '') as nofrag, regexp_replace(url, '[?#].*$', '') as bare from h) select page_id, case when regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') then href when starts_with(href, '//') then scheme || href when href = '' then nofrag when starts_with(href, '#') then nofrag || href when starts_with(href, '?') then bare || href when starts_with(href, '/') then origin || href when href = 'a/../b' then origin || dir || 'b' when href = './c?x=1' then origin || dir || 'c?x=1' when href = '../../../g' then origin || case when length(dir) - length(replace(dir, '/', '')) > 4 then regexp_replace(dir, '[^/]*/[^/]*/[^/]*/$', '') else '/' end || 'g' else origin || dir || href end as target, count(*) as n from p group by 1, 2")
 def sf15(spark, d):
-    """Links joined with their page's URL."""
-    links = ad.table(spark, d, "pages").select("page_id", "url", F.explode(F.regexp_extract_all(F.col("html"), F.lit('href="(/[A-Za-z]+)"'), 1)).alias("href"))
-    return links.select("page_id", manifests.resolve(F.col("url"), F.col("href")).alias("target")).groupBy("page_id", "target").agg(F.count(F.lit(1)).alias("n"))
+    """All links and sources of pages, and one reference of each form, joined with their page's URL."""
+    forms = F.array(*[F.lit(x) for x in ("a/../b", "./c?x=1", "//other.org/d", "?q", "#f", "https://e.org/", "../../../g", "")])
+    named = F.concat(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit('(?:href|src)="([^"]*)"'), 1), forms)
+    links = ad.table(spark, d, "pages").select("page_id", "url", F.explode(named).alias("href"))
+    return links.select("page_id", urls.resolve(F.col("url"), F.col("href")).alias("target")).groupBy("page_id", "target").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("sf16_attribute_lists", "select p_partkey as id, p_size::varchar as bandwidth, 'a,' || p_size as name from part")
@@ -239,9 +241,8 @@ def sc30(spark, d):
 @query("wf13_site_plans", "select l_orderkey as media_id, arg_min(l_linenumber::bigint, struct_pack(p := case l_suppkey % 4 when 0 then 0 when 1 then 1 when 2 then 2 else 3 end, d := abs(l_partkey * 100 - 132000), o := l_linenumber)) as ord, 'site' as kind from lineitem group by 1")
 def wf13(spark, d):
     """Plans of a site's own tracks, which outrank all others."""
-    track = F.element_at(F.array(F.lit("30232"), F.lit("30216"), F.lit("30280"), F.lit("99")), (F.col("l_suppkey") % 4 + 1).cast("int"))
-    preference = F.when(track.rlike("302(32)$"), 0).when(track.rlike("302(16)$"), 1).when(track.rlike("302(80)$"), 2).otherwise(3)
-    best = F.min_by(F.col("l_linenumber").cast("long"), F.struct(preference, F.abs(F.col("l_partkey") * 100 - 132_000), F.col("l_linenumber")))
+    track = F.element_at(F.array(*[F.lit(t) for t in (*cd.SITE_TRACKS, "99")]), (F.col("l_suppkey") % (len(cd.SITE_TRACKS) + 1) + 1).cast("int"))
+    best = F.min_by(F.col("l_linenumber").cast("long"), F.struct(cd.site_track_preference(track), F.abs(F.col("l_partkey") * 100 - 132_000), F.col("l_linenumber")))
     site = ad.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("media_id")).agg(best.alias("ord")).withColumns({"kind": F.lit("site"), "executable": F.lit(True), "confidence": F.lit(0.95)})
     other = site.withColumns({"kind": F.lit("direct"), "ord": F.col("ord") + 100})
     return cd.choose_plan(site.unionByName(other)).select("media_id", "ord", "kind")

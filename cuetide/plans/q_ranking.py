@@ -10,6 +10,7 @@ from cuetide.operators import candidates as cd
 from cuetide.operators import retention
 from cuetide.plans import adapters as ad
 from cuetide.plans.catalog import query
+from cuetide.sources import pages as sources_of_pages
 
 _HOST = "lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://([^/?#]*)', 1))"
 _PATH0 = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*([^?#]*)', 1)"
@@ -95,11 +96,27 @@ def f01(spark, d):
     return _pages(spark, d).where(~urls.is_placeholder(u)).select("page_id")
 
 
-@query("sc06_markup_urls", "with u as (select page_id, unnest(regexp_extract_all(html, 'href=\"(/[^\"]*)\"', 1)) as href from pages where length(html) <= 2000000) select page_id, count(*) as links, count(distinct href) as kinds from u group by 1")
+#: Markup with media URLs, escaped as pages do, before a page's own; every fifth page has that of the page before.
+_MARKUP = "'<video src=\"https://cdn.example.org/v/' || (page_id // 5 * 5) || '.mp4?a=1&amp;b=2\"><a href=\"//h.example.org/list.m3u8\">' || case when page_id % 5 < 2 then '' else html end"
+_URL_IN_TEXT = "(?i)((?:https?:)?//[a-z0-9\\[][^\\s\"''<>\\\\)]*)"
+
+
+@query("sc06_markup_urls", f"""with m as (select page_id, url, {_MARKUP} as body from pages), k as (select *, row_number() over (partition by length(body), substr(body, 1, 512), right(body, 512) order by page_id) as nth from m where length(body) <= 2000000),
+u as (select page_id, url, unnest(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(body, '&amp;', '&', 'gi'), '&quot;|&#39;|&apos;|&lt;|&gt;', ' ', 'gi'), '{_URL_IN_TEXT}', 1))) as found from k where nth = 1)
+select distinct page_id, case when starts_with(found, '//') then regexp_extract(url, '^([A-Za-z]+:)', 1) || found else found end as target from u""")
 def sc06(spark, d):
-    """Links in the markup of pages that are not too long."""
-    links = _pages(spark, d).where(F.length("html") <= 2_000_000).select("page_id", F.explode(F.regexp_extract_all(F.col("html"), F.lit('href="(/[^"]*)"'), 1)).alias("href"))
-    return links.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.count_distinct("href").alias("kinds"))
+    """URLs in the markup of pages, each markup once."""
+    body = F.expr(_MARKUP.replace("page_id // 5", "page_id div 5"))
+    return sources_of_pages.markup_urls(_pages(spark, d).select("page_id", "url", body.alias("html"))).select("page_id", "target")
+
+
+@query("sc05_sniffed_texts", "select page_id, case page_id % 4 when 0 then 'hls' when 1 then 'dash' else 'text' end as format, case when page_id % 4 < 2 then 1 else 2 end as found from pages")
+def sc05(spark, d):
+    """Texts that are manifests, and others with URLs in them."""
+    k = F.col("page_id") % 4
+    body = F.when(k == 0, "#EXTM3U\n#EXT-X-VERSION:3").when(k == 1, '<?xml version="1.0"?><MPD type="static">').otherwise("see https://a.example.org/x.mp3&quot; and //b.example.org/y, or https://a.example.org/x.mp3")
+    found = urls.sniffed(body, F.col("url"))
+    return _pages(spark, d).select("page_id", found["format"].alias("format"), F.size(found["urls"]).alias("found"))
 
 
 _RATE = "case when {r} < 48000 then 8 + (48000 - {r}) / 48000 when {r} < 96000 then 1 + (96000 - {r}) / 96000 when {r} <= 160000 then 0e0 when {r} <= 320000 then 1 + ({r} - 160000) / 160000 else 5 + least(({r} - 320000) / 320000, 12e0) end".format(r="(l_extendedprice * 10)")

@@ -70,9 +70,9 @@ def tx07(spark, d):
     return words.select("w", tx.information_kind(F.col("w")).alias("kind")).where("kind is not null")
 
 
-@query("tx08_join_words", "select doc_id, array_to_string(string_split(text, ' ')[1:12], ' ') as joined from documents")
+@query("tx08_join_words", "select doc_id, case when regexp_matches(text, '[\\x{3400}-\\x{9fff}]') then replace(text, ' ', '') else text end as joined from documents")
 def tx08(spark, d):
-    return _docs(spark, d).select("doc_id", tx.join_words(F.slice(F.split("text", " "), 1, 12)).alias("joined"))
+    return _docs(spark, d).select("doc_id", tx.join_words(F.split("text", " ")).alias("joined"))
 
 
 @query("tx09_punctuation_words", f"with w as (select unnest(string_split(text, ' ')) as w from documents) select w, count(*) as n from w where regexp_matches(w, '^[{tx.WS}{tx.PUNCT.replace(chr(39), chr(39) * 2)}]+$') group by 1")
@@ -135,10 +135,10 @@ def tx18(spark, d):
     return _docs(spark, d).select("doc_id", tx.useful_title(first, F.col("source")).alias("title"))
 
 
-@query("tx19_human_forms", "select doc_id, case when n_chars >= 1024 then regexp_replace((floor(n_chars / 1024 * 10 + 0.5) / 10)::decimal(20,1)::varchar, '\\.0$', '') || ' KB' else n_chars || ' B' end as size, case when n_chars >= 3600 then (n_chars // 3600) || ':' || lpad((n_chars % 3600 // 60)::varchar, 2, '0') || ':' || lpad((n_chars % 60)::varchar, 2, '0') else (n_chars // 60) || ':' || lpad((n_chars % 60)::varchar, 2, '0') end as time from documents where n_chars < 1048576")
+@query("tx19_human_forms", "select doc_id, case when n_chars >= 1048576 then regexp_replace((floor(n_chars / 1048576 * 10 + 0.5) / 10)::decimal(20,1)::varchar, '\\.0$', '') || ' MB' when n_chars >= 1024 then regexp_replace((floor(n_chars / 1024 * 10 + 0.5) / 10)::decimal(20,1)::varchar, '\\.0$', '') || ' KB' else n_chars || ' B' end as size, case when n_chars >= 3600 then (n_chars // 3600) || ':' || lpad((n_chars % 3600 // 60)::varchar, 2, '0') || ':' || lpad((n_chars % 60)::varchar, 2, '0') else (n_chars // 60) || ':' || lpad((n_chars % 60)::varchar, 2, '0') end as time from documents")
 def tx19(spark, d):
     n = F.col("n_chars")
-    return _docs(spark, d).where("n_chars < 1048576").select("doc_id", tx.human_bytes(n).alias("size"), tx.human_duration(n.cast("double")).alias("time"))
+    return _docs(spark, d).select("doc_id", tx.human_bytes(n).alias("size"), tx.human_duration(n.cast("double")).alias("time"))
 
 
 @query("sf01_parse_timestamps", "select event_id, case when event_id % 4 = 3 then null else cast(floor((case when event_id % 4 = 2 then 0 else event_id % 24 * 3600 end + event_id % 60 * 60 + event_id % 50 + 0.25e0) * 1000 + 0.5) as bigint) end as ms from events")

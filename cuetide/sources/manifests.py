@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuetide.functions.times import iso_duration
-from cuetide.functions.urls import codecs_are_audio
+from cuetide.functions.urls import codecs_are_audio, resolve
 from cuetide.session import ship
 
 
-def resolve(base: Column, relative: Column) -> Column:
-    """A URL relative to another, as urllib joins them. SQL has no such function, so batches go to Python."""
-
-    @F.pandas_udf("string")
-    def join(bases: pd.Series, names: pd.Series) -> pd.Series:
-        return pd.Series([urljoin(b or "", n) if n is not None else None for b, n in zip(bases, names, strict=True)])
-
-    return join(base, relative)
-
-
 def attributes(text: Column) -> Column:
     """NAME=value and NAME="value" pairs as a map; of equal names the last counts."""
     pairs = F.regexp_extract_all(text, F.lit(r'([A-Za-z0-9\-]+=(?:"[^"]*"|[^,"]*))'), 1)
