@@ -1,11 +1,13 @@
 """Ordered folds that no window can express, because a row is compared with what earlier rows have become.
 
-Each works on the rows of one media, in order, which is what the fold is defined on. The per-row step is a few lines;
-Spark partitions, sorts and spills.
+Each works on the rows of one media, in order, which is what the fold is defined on. The per-row step is a few lines that
+keep the open row alone; Spark partitions, sorts and spills. Rows stream through a task and finished ones leave it in
+batches, so a media of any length takes the memory of a batch.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -18,9 +20,13 @@ from cuetide.session import ship
 _ARROW = {"bigint": pa.int64(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
 
 
-def fold(df: DataFrame, key: str, order: list[str], schema: str, step: Callable[[list[dict]], list[tuple]]) -> DataFrame:
-    """step gets a group's rows in order and returns rows of schema, of which the first column is the key. Rows arrive
-    sorted by key, so a task holds one group at a time and many small groups cost little each."""
+#: Rows that a task gathers before it sends them on.
+_SENT = 5000
+
+
+def fold(df: DataFrame, key: str, order: list[str], schema: str, step: Callable[[Iterator[dict]], Iterator[tuple]]) -> DataFrame:
+    """step gets a group's rows one by one, in order, and yields rows of schema, of which the first column is the key. Rows
+    arrive sorted by key; neither side of a step is held whole."""
     ship(df.sparkSession)
     kind = T._parse_datatype_string(schema)
     arrow = pa.schema([(f.name, _ARROW[f.dataType.simpleString()]) for f in kind.fields])
@@ -30,17 +36,15 @@ def fold(df: DataFrame, key: str, order: list[str], schema: str, step: Callable[
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[dict] = []
-        for batch in batches:
-            found: list[tuple] = []
-            for row in batch.to_pylist():
-                if group and group[0][key] != row[key]:
-                    found += step(group)
-                    group = []
-                group.append(row)
-            if found:
-                yield table(found)
-        if group and (found := step(group)):
+        rows = (row for batch in batches for row in batch.to_pylist())
+        found: list[tuple] = []
+        for _, group in itertools.groupby(rows, lambda row: row[key]):
+            for out in step(group):
+                found.append(out)
+                if len(found) >= _SENT:
+                    yield table(found)
+                    found = []
+        if found:
             yield table(found)
 
     return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, kind)
@@ -50,19 +54,21 @@ def merge_duplicates(df: DataFrame, gap: float = P.duplicate_gap, overlap: float
     """Neighbours of one text become one where they touch or overlap by half of the shorter; the comparison is with what
     the earlier one has grown to. (media_id, ord, s, e, text), ord of the first."""
 
-    def step(rows: list[dict]) -> list[tuple]:
-        kept: list[list] = []
+    def step(rows: Iterator[dict]) -> Iterator[tuple]:
+        last: list | None = None
         for r in rows:
-            if kept and kept[-1][4] == r["text"] and r["text"]:
-                last = kept[-1]
+            if last is not None and last[4] == r["text"] and r["text"]:
                 apart = r["s"] - last[3]
                 shared = min(last[3], r["e"]) - max(last[2], r["s"])
                 shorter = min(last[3] - last[2], r["e"] - r["s"])
                 if overlap <= apart <= gap or (shared > 0 and shorter > 0 and shared / shorter >= 0.5):
                     last[2], last[3] = min(last[2], r["s"]), max(last[3], r["e"])
                     continue
-            kept.append([r["media_id"], r["ord"], r["s"], r["e"], r["text"]])
-        return [tuple(x) for x in kept]
+            if last is not None:
+                yield tuple(last)
+            last = [r["media_id"], r["ord"], r["s"], r["e"], r["text"]]
+        if last is not None:
+            yield tuple(last)
 
     return fold(df.select("media_id", "ord", "s", "e", "text"), "media_id", ["s", "e", "ord"], "media_id long, ord long, s double, e double, text string", step)
 
@@ -71,24 +77,21 @@ def sentences(df: DataFrame, chars: int = 32, silence: float = 0.8, seconds: flo
     """Words to sentences: a new one before a word if the text is long enough, a pause precedes, or it would last too
     long. (media_id, idx, s, e, text, words)."""
 
-    def step(rows: list[dict]) -> list[tuple]:
-        out, now = [], []
+    def step(rows: Iterator[dict]) -> Iterator[tuple]:
+        now: list[dict] = []  # bounded by chars: a word that comes to a long enough text starts the next
+        number = 0
 
-        def text() -> str:
+        def closed() -> tuple:
             joint = "" if any("㐀" <= c <= "鿿" for w in now for c in w["text"]) else " "
-            return joint.join(w["text"] for w in now)
-
-        def close() -> None:
-            out.append((now[0]["media_id"], len(out), now[0]["s"], now[-1]["e"], text(), len(now)))
+            return now[0]["media_id"], number, now[0]["s"], now[-1]["e"], joint.join(w["text"] for w in now), len(now)
 
         for r in rows:
-            if now and (len(text()) >= chars or r["s"] - now[-1]["e"] >= silence or r["e"] - now[0]["s"] >= seconds):
-                close()
-                now = []
+            if now and (len(closed()[4]) >= chars or r["s"] - now[-1]["e"] >= silence or r["e"] - now[0]["s"] >= seconds):
+                yield closed()
+                number, now = number + 1, []
             now.append(r)
         if now:
-            close()
-        return out
+            yield closed()
 
     return fold(df.select("media_id", "ord", "s", "e", "text"), "media_id", ["s", "e", "ord"], "media_id long, idx long, s double, e double, text string, words long", step)
 
@@ -97,15 +100,18 @@ def clip_windows(df: DataFrame, seconds: float = P.pack_seconds) -> DataFrame:
     """Speech intervals to windows that start with one and last at most so long, unless one interval is longer.
     (media_id, idx, s, e, members)."""
 
-    def step(rows: list[dict]) -> list[tuple]:
-        out: list[list] = []
+    def step(rows: Iterator[dict]) -> Iterator[tuple]:
+        now: list | None = None
         for r in rows:
-            if out and not (r["e"] - out[-1][2] > seconds and out[-1][3] > out[-1][2]):
-                out[-1][3] = max(out[-1][3], r["e"])
-                out[-1][4] += 1
-            else:
-                out.append([r["media_id"], len(out), r["s"], r["e"], 1])
-        return [tuple(x) for x in out]
+            if now is not None and not (r["e"] - now[2] > seconds and now[3] > now[2]):
+                now[3] = max(now[3], r["e"])
+                now[4] += 1
+                continue
+            if now is not None:
+                yield tuple(now)
+            now = [r["media_id"], 0 if now is None else now[1] + 1, r["s"], r["e"], 1]
+        if now is not None:
+            yield tuple(now)
 
     return fold(df.where("e > s").select("media_id", "ord", "s", "e"), "media_id", ["s", "e", "ord"], "media_id long, idx long, s double, e double, members long", step)
 
@@ -115,8 +121,8 @@ def pack_speech(df: DataFrame, seconds: float = P.pack_seconds) -> DataFrame:
     (media_id, bin, src_s, src_e, out_s, out_e), which is the time map of the bins."""
     rounded = lambda x: int(x * 1000 + 0.5) / 1000
 
-    def step(rows: list[dict]) -> list[tuple]:
-        out, number, used = [], 0, 0.0
+    def step(rows: Iterator[dict]) -> Iterator[tuple]:
+        number, used = 0, 0.0
         for r in rows:
             start = r["s"]
             while start < r["e"] - 0.001:
@@ -125,10 +131,9 @@ def pack_speech(df: DataFrame, seconds: float = P.pack_seconds) -> DataFrame:
                 if used and used + length > seconds + 0.001:
                     number, used = number + 1, 0.0
                 if length > 0:
-                    out.append((r["media_id"], number, rounded(start), rounded(end), rounded(used), rounded(used + length)))
+                    yield r["media_id"], number, rounded(start), rounded(end), rounded(used), rounded(used + length)
                     used = rounded(used + length)
                 start = end
-        return out
 
     return fold(df.where("e > s and s >= 0").select("media_id", "ord", "s", "e"), "media_id", ["s", "e", "ord"], "media_id long, bin long, src_s double, src_e double, out_s double, out_e double", step)
 
@@ -137,14 +142,14 @@ def group_segments(df: DataFrame, seconds: float = P.group_seconds, most: int =
     """Playlist segments to extraction groups: by length, number, and at breaks. df: media_id, ord, s, e, starts_new.
     (media_id, ord, grp)."""
 
-    def step(rows: list[dict]) -> list[tuple]:
-        out, number, count, start, end = [], 0, 0, rows[0]["s"], rows[0]["s"]
+    def step(rows: Iterator[dict]) -> Iterator[tuple]:
+        number, count, start, end = 0, 0, 0.0, 0.0
         for r in rows:
+            start = start if count else r["s"]
             if count and (r["starts_new"] or end - start + (r["e"] - r["s"]) > seconds or count >= most):
                 number, count, start = number + 1, 0, r["s"]
-            out.append((r["media_id"], r["ord"], number))
+            yield r["media_id"], r["ord"], number
             count, end = count + 1, r["e"]
-        return out
 
     return fold(df.select("media_id", "ord", "s", "e", "starts_new"), "media_id", ["ord"], "media_id long, ord long, grp long", step)
 
@@ -154,8 +159,8 @@ def logical_chunks(df: DataFrame, seconds: float, silence: float = P.vad_split_s
     before they grow too long. df: media_id, ord, s, e, silent, speech_s, speech_e (null: unknown). (media_id, ord, chunk);
     silent parts belong to none."""
 
-    def step(rows: list[dict]) -> list[tuple]:
-        out, number, start, end, spoke = [], 0, None, 0.0, None
+    def step(rows: Iterator[dict]) -> Iterator[tuple]:
+        number, start, end, spoke = 0, None, 0.0, None
         for r in rows:
             if r["silent"]:
                 if start is not None:
@@ -167,9 +172,8 @@ def logical_chunks(df: DataFrame, seconds: float, silence: float = P.vad_split_s
             start = r["s"] if start is None else start
             end = r["e"]
             spoke = r["speech_e"] if r["speech_e"] is not None else spoke
-            out.append((r["media_id"], r["ord"], number))
+            yield r["media_id"], r["ord"], number
             if end - start >= seconds:
                 number, start, spoke = number + 1, None, None
-        return out
 
     return fold(df, "media_id", ["s", "ord"], "media_id long, ord long, chunk long", step)
