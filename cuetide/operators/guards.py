@@ -24,6 +24,11 @@ def content_words(words: Column) -> Column:
     return F.filter(some, lambda w: ~is_punctuation(w["text"]) & (w["end"] > w["start"]))
 
 
+def content_words_or_marks(words: Column) -> Column:
+    """Words of a positive length, marks included."""
+    return F.filter(F.coalesce(words, F.array().cast("array<struct<start:double,end:double,text:string,probability:double>>")), lambda w: w["end"] > w["start"])
+
+
 def is_hallucinated(text: Column, no_speech: Column, logprob: Column, compression: Column) -> Column:
     """Likely silence decides by the log probability, where there is one, before the compression is looked at."""
     long_enough = F.length(repeat_key(text)) >= P.run_min_chars
@@ -128,8 +133,9 @@ def strict_recovery(df: DataFrame) -> DataFrame:
 
 
 def split_at_word_gaps(df: DataFrame, gap: float = P.word_gap_split, least: float = P.word_gap_min_segment) -> DataFrame:
-    """Long segments cut where no word is said for long: (media_id, ord, part, s, e, text, words). Islands of words within
-    the row's own array."""
+    """Long segments cut where no word is said for long: (media_id, ord, part, s, e, text, words), and df's further columns,
+    which all parts of a row share. Islands of words within the row's own array."""
+    rest = [c for c in df.columns if c not in ("media_id", "ord", "part", "s", "e", "text", "words")]
     words = content_words(F.col("words"))
     kind = "array<array<struct<start:double,end:double,text:string,probability:double>>>"
 
@@ -141,7 +147,7 @@ def split_at_word_gaps(df: DataFrame, gap: float = P.word_gap_split, least: floa
 
     groups = F.when(F.col("e") - F.col("s") >= least, F.aggregate(F.col("w"), F.array().cast(kind), step)).otherwise(F.array().cast(kind))
     cut = df.withColumn("w", words).withColumn("g", groups)
-    whole = cut.where("size(g) < 2").select("media_id", "ord", F.lit(0).alias("part"), "s", "e", "text", "words")
-    parts = cut.where("size(g) >= 2").select("media_id", "ord", F.posexplode("g").alias("part", "words"))
-    bounds = parts.select("media_id", "ord", "part", F.array_min(F.transform("words", lambda x: x["start"])).alias("s"), F.array_max(F.transform("words", lambda x: x["end"])).alias("e"), F.array_join(F.transform("words", lambda x: x["text"]), " ").alias("text"), "words")
+    whole = cut.where("size(g) < 2").select("media_id", "ord", F.lit(0).alias("part"), "s", "e", "text", "words", *rest)
+    parts = cut.where("size(g) >= 2").select("media_id", "ord", F.posexplode("g").alias("part", "words"), *rest)
+    bounds = parts.select("media_id", "ord", "part", F.array_min(F.transform("words", lambda x: x["start"])).alias("s"), F.array_max(F.transform("words", lambda x: x["end"])).alias("e"), F.array_join(F.transform("words", lambda x: x["text"]), " ").alias("text"), "words", *rest)
     return whole.unionByName(bounds)

@@ -38,6 +38,21 @@ def read_payloads(df: DataFrame) -> DataFrame:
     return plain.withColumns({"s": F.when(fits, low).otherwise(F.col("s")), "e": F.when(fits, high).otherwise(F.col("e"))})
 
 
+def _parts(df: DataFrame) -> DataFrame:
+    """The payload's top, and what it has under `result`."""
+    return df.select("chunk_id", F.from_json("payload", _SCHEMA).alias("t"), F.from_json(F.get_json_object("payload", "$.result"), _SCHEMA).alias("r"))
+
+
+def top_words(df: DataFrame) -> DataFrame:
+    """(chunk_id, top): the words that a payload gives beside its segments."""
+    return _parts(df).select("chunk_id", words_of(F.coalesce(*[F.col(f"{p}.{n}") for p in "tr" for n in ("words", "word_timestamps")])).alias("top"))
+
+
+def plain_text(df: DataFrame) -> DataFrame:
+    """(chunk_id, text): the payload's text as a whole."""
+    return _parts(df).select("chunk_id", clean_cue(F.coalesce("t.text", "r.text")).alias("text"))
+
+
 def chunk_times(df: DataFrame, chunks: DataFrame) -> DataFrame:
     """Segments with their chunk's start added, unless their first one shows that times are absolute already. chunks:
     chunk_id, start, end."""
