@@ -208,10 +208,14 @@ def sk05(spark, d):
     return ad.table(spark, d, "documents").select(F.col("doc_id").alias("id")).join(gone, F.col("id") == F.col("_gone"), "left_anti")
 
 
-@query("sk07_transcripts")
+@query("sk07_transcripts", BI + _MERGED + _CUES + f" select media_id, {_MS('s')} as s_ms, {_MS('e')} as e_ms, text, source_text, count(*) over (partition by media_id) as listed from cq")
 def sk07(spark, d):
-    """Cues back to transcripts, as JSON."""
-    return export.transcript_json(reconcile.cues(_merged(spark, d)))
+    """Cues to transcripts as JSON, read again: both lists are as long and hold the same rows."""
+    found = export.transcript_json(reconcile.cues(_merged(spark, d)))
+    item = "array<struct<start:double,end:double,text:string>>"
+    lists = found.select("media_id", F.from_json("transcript", f"source {item}, translated {item}").alias("t"))
+    rows = lists.select("media_id", F.size("t.translated").cast("long").alias("listed"), F.explode(F.arrays_zip("t.source", "t.translated")).alias("x"))
+    return rows.select("media_id", millis(F.col("x.translated.start")).alias("s_ms"), millis(F.col("x.translated.end")).alias("e_ms"), F.col("x.translated.text").alias("text"), F.col("x.source.text").alias("source_text"), "listed")
 
 
 @query("sc28_cache_lookup", "select doc_id as id, n_chars as bytes from documents where doc_id = 42")

@@ -26,6 +26,18 @@ def clean_sql(c: str) -> str:
     return f"regexp_replace(regexp_replace({body}, '[{_WS}]+', ' ', 'g'), '^ | $', '', 'g')"
 
 
+_WIDE = tx.PUNCT_WIDE.replace("'", "''")
+
+
+def kind_sql(c: str, source: str, name: str) -> str:
+    """A table name of source's columns with kind: information_kind(c). Repeated units are found by repeating them, since
+    this SQL's patterns know no back references."""
+    unit = lambda least: " or ".join(f"(n >= {least * u} and n % {u} = 0 and repeat(substr(k, 1, {u}), (n // {u})::bigint) = k)" for u in (1, 2, 3, 4))
+    return f"""{name} as (select * exclude (raw, k, n), case when raw = '' then null when {key_sql('raw')} = '' then 'punctuation'
+    when n > 0 and not regexp_matches(k, '\\p{{N}}') and (case when regexp_matches(k, '^[a-z]+$') then (n <= 4 and not regexp_matches(k, '[aeiouy]')) or {unit(3)} else n = 1 or {unit(2)} end or (n >= 8 and len(list_distinct(string_split(k, ''))) / n <= 0.25)) then 'low_information' end as kind
+  from (select *, length(k) as n from (select *, regexp_replace(lower(raw), '[{_WS}{_WIDE}]+', '', 'g') as k from (select *, {clean_sql(c)} as raw from {source}))))"""
+
+
 def eligible_sql(k: str) -> str:
     return f"(length({k}) >= 6 or (length({k}) >= 3 and regexp_matches({k}, '[^\\p{{Latin}}\\p{{N}}_]')))"
 
@@ -50,7 +62,12 @@ def a02(spark, d):
     return runs.drop_spread_repeats(ad.event_segments(spark, d), odd, F.col("no_speech") >= 0.9).select("media_id", "ord")
 
 
-@query("a03_low_information_runs")
+@query("a03_low_information_runs", ad.with_views(CU, "th as (select media_id, ord, s, e, case when media_id % 3 = 0 then regexp_replace(text, '[\\p{L}\\p{N}]{3,}', '', 'g') else text end as text from cu)", kind_sql("text", "th", "kd")) + """,
+rn as (select *, kind is not distinct from 'low_information' as single, sum(case when kind is null then 1 else 0 end) over (partition by media_id order by s, e, ord) as island from kd),
+hd as (select *, min(case when single then 1 else 0 end) over (partition by media_id, island, kind is null order by s, e, ord rows unbounded preceding) as head from rn),
+kp as (select * from hd where (kind is null and not single) or (kind is not null and head = 0)),
+ow as (select *, count(*) over w as n, min(case when kind = 'punctuation' then 1 else 0 end) over w = 1 as marks, arg_min(s, struct_pack(s := s, e := e, o := ord)) over w as first_s, arg_max(e, struct_pack(s := s, e := e, o := ord)) over w as last_e from kp window w as (partition by media_id, island, kind is null))
+select media_id, ord from ow where kind is null or not case when marks then n >= 3 and greatest(0, last_e - first_s) >= 2 else n >= 5 and greatest(0, last_e - first_s) >= 10 end""")
 def a03(spark, d):
     """Cues of documents, of which every third is thinned to marks, so that runs occur."""
     cues = ad.doc_cues(spark, d).withColumn("text", F.when(F.col("media_id") % 3 == 0, F.regexp_replace("text", r"[\p{L}\p{N}]{3,}", "")).otherwise(F.col("text")))

@@ -11,7 +11,7 @@ from cuetide.operators import guards
 from cuetide.plans import adapters as ad
 from cuetide.plans.catalog import query
 from cuetide.plans.q_joins import _TS, plain_sql
-from cuetide.plans.q_runs import clean_sql, key_sql
+from cuetide.plans.q_runs import clean_sql, key_sql, kind_sql
 
 _WIDE = tx.PUNCT_WIDE.replace("'", "''")
 
@@ -63,7 +63,7 @@ def tx06(spark, d):
     return _docs(spark, d).select("doc_id", tx.content_length(F.col("text")).alias("n"))
 
 
-@query("tx07_information_kind")
+@query("tx07_information_kind", "with w as (select distinct unnest(string_split(text, ' ')) as w from documents), " + kind_sql("w", "w", "kd") + " select w, kind from kd where kind is not null")
 def tx07(spark, d):
     """Words of documents that carry little information."""
     words = _docs(spark, d).select(F.explode(F.array_distinct(F.split("text", " "))).alias("w")).distinct()
@@ -107,7 +107,7 @@ def tx13(spark, d):
     return _docs(spark, d).select("doc_id", tx.language_code(raw).alias("code"))
 
 
-@query("tx14_content_signatures")
+@query("tx14_content_signatures", "with h as (select item_id, text, list_reduce(list_prepend(0::hugeint, list_transform(string_split(text, ''), lambda c: unicode(c)::hugeint)), lambda h, x: (h * 31 + x) % 4294967296) as h from benchmark) select item_id, length(text) || ':' || case when h >= 2147483648 then 4294967296 - h else h end as signature from h")
 def tx14(spark, d):
     return ad.table(spark, d, "benchmark").select("item_id", tx.content_signature(F.col("text")).alias("signature"))
 

@@ -57,7 +57,7 @@ def st05(spark, d):
     return _drained(jobs.translation_groups(spark.readStream.schema(schema).parquet(base)))
 
 
-@query("st06_event_windows")
+@query("st06_event_windows", "select start, event_type, count(*) as n from (select date_trunc('day', ts) as start, event_type from events) where start + interval 1 day <= (select max(ts) from events) - interval 1 day group by 1, 2")
 def st06(spark, d):
     """Tumbling windows that the watermark has closed."""
     events = _source(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))

@@ -27,7 +27,9 @@ def network_events(df: DataFrame) -> DataFrame:
     candidates, with source, kind and ext: requests whose URL tells their kind; responses also by their content type,
     unless that is generic. Works on streams as on tables."""
     u, typed = F.col("url"), F.col("request_type").isin(REQUEST_TYPES)
-    by_url, given = urls.media_kind(u), F.lower(F.coalesce("content_type", F.lit("")))
+    # The kind by URL is a column of its own, so that its patterns are not spelled out at each use.
+    df, kind = df.withColumn("kind", urls.media_kind(u)), F.col("kind")
+    by_url, given = kind, F.lower(F.coalesce("content_type", F.lit("")))
     by_type = given.rlike(MEDIA_TYPES) & (urls.content_type(F.col("content_type")) != GENERIC_TYPE)
     wanted = (
         F.when(F.col("event") == "request-headers", by_url.isNotNull())
