@@ -5,6 +5,8 @@ Parts are read by pattern, for absolute URLs with a scheme; hosts are lower-case
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ OTHER_EXTENSIONS = ["mp4", "m4s", "ts", "webm"]
 _SHAPE = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def is_absolute(url: Column) -> Column:
     return F.coalesce(url, F.lit("")).rlike(_SHAPE)
 
@@ -62,12 +69,17 @@ def is_placeholder(url: Column) -> Column:
 def media_kind(url: Column) -> Column:
     """audio, media, hls, dash or null: by the mime parameter, then playback hosts, then the extension. The playback host
     and path are fixed values."""
-    ext = extension(url)
     mime = content_type(F.coalesce(F.nullif(query_value(url, "mime"), F.lit("")), query_value(url, "mimeType")))
     playback = host(url).rlike(r"(^|\.)googlevideo\.com$") & path(url).rlike("(?i)/videoplayback$")
-    kind = F.when(mime.startswith("audio/"), "audio").when(mime.startswith("video/"), "media").when(F.contains(mime, F.lit("mpegurl")), "hls").when(F.contains(mime, F.lit("dash+xml")), "dash").when(playback, "media")
-    kind = kind.when(ext.isin(AUDIO_EXTENSIONS), "audio").when(ext == "mpd", "dash").when(ext.isin(MANIFEST_EXTENSIONS), "hls").when(ext.isin(OTHER_EXTENSIONS), "media")
-    return F.when(is_absolute(url) & ~is_placeholder(url), kind)
+    parts = F.struct(extension(url).alias("ext"), mime.alias("mime"), playback.alias("playback"), (is_absolute(url) & ~is_placeholder(url)).alias("counts"))
+
+    def kind(x: Column) -> Column:
+        ext, mime = x["ext"], x["mime"]
+        by_type = F.when(mime.startswith("audio/"), "audio").when(mime.startswith("video/"), "media").when(F.contains(mime, F.lit("mpegurl")), "hls").when(F.contains(mime, F.lit("dash+xml")), "dash").when(x["playback"], "media")
+        known = by_type.when(ext.isin(AUDIO_EXTENSIONS), "audio").when(ext == "mpd", "dash").when(ext.isin(MANIFEST_EXTENSIONS), "hls").when(ext.isin(OTHER_EXTENSIONS), "media")
+        return F.when(x["counts"], known)
+
+    return let(parts, kind)
 
 
 def kind_of_type(c: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuetide.functions.times import format_timestamp
@@ -12,10 +12,10 @@ def to_srt(df: DataFrame, lines: Column | None = None, note: Column | None = Non
     """df: media_id, s, e, text, ord. (media_id, srt), cues numbered from 1; nothing for a media without text."""
     text = F.col("text") if lines is None else lines
     kept = df.withColumn("_t", text).where((F.col("_t") != "") & F.col("s").isNotNull() & F.col("e").isNotNull())
-    numbered = kept.withColumn("_n", F.row_number().over(Window.partitionBy("media_id").orderBy("s", "ord")))
     times = F.concat_ws(" --> ", format_timestamp(F.col("s"), ","), format_timestamp(F.col("e"), ","))
-    blocks = numbered.select("media_id", F.struct("_n", F.concat_ws("\n", F.col("_n").cast("string"), times, "_t").alias("_b")).alias("_x"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["_b"]), "\n\n")
+    blocks = kept.select("media_id", F.struct("s", "ord", F.concat(times, F.lit("\n"), F.col("_t")).alias("_b")).alias("_x"))
+    # A cue's number is its place in the sorted list, so one shuffle and one sort do.
+    body = F.array_join(F.transform(F.array_sort(F.collect_list("_x")), lambda x, i: F.concat((i + 1).cast("string"), F.lit("\n"), x["_b"])), "\n\n")
     head = F.lit("") if note is None else F.concat(note, F.lit("\n\n"))
     return blocks.groupBy("media_id").agg(F.concat(head, body, F.lit("\n")).alias("srt"))
 

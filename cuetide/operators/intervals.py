@@ -136,23 +136,30 @@ def fixed_windows(df: DataFrame, duration: Column, upload: float = P.upload_seco
     return placed.withColumns({"s": round_seconds(F.greatest(F.lit(0.0), F.col("core_s") - context)), "e": round_seconds(F.least(duration, F.col("core_e") + context))})
 
 
-def point_lookup(points: DataFrame, cues: DataFrame, tolerance: float = 0.0) -> DataFrame:
+def point_lookup(points: DataFrame, cues: DataFrame, tolerance: float = 0.0, bucket: float = 60.0) -> DataFrame:
     """points: media_id, point_id, t. cues: media_id, ord, s, e. The cue at each time: the latest start, then the last
-    ord; the media's last cue also holds its end. -1 where there is none."""
+    ord; the media's last cue also holds its end. -1 where there is none. Cues may overlap, so this is a join, by media and
+    by a bucket of time: a point meets the cues of its bucket alone."""
     last = cues.groupBy("media_id").agg(F.max("ord").alias("_last"))
-    spans = cues.join(last, "media_id").select(F.col("media_id").alias("_media"), "ord", "s", "e", (F.col("ord") == F.col("_last")).alias("_is_last"))
-    inside = (F.col("t") + tolerance >= F.col("s")) & ((F.col("t") < F.col("e")) | (F.col("_is_last") & (F.col("t") <= F.col("e") + tolerance))) & (F.col("e") > F.col("s"))
-    pairs = points.join(spans, (F.col("media_id") == F.col("_media")) & inside, "left")
+    spans = cues.where("e > s").join(last, "media_id").select(F.col("media_id").alias("_media"), "ord", "s", "e", (F.col("ord") == F.col("_last")).alias("_is_last"))
+    spans = spans.withColumn("_slot", F.explode(F.sequence(F.floor((F.col("s") - tolerance) / bucket), F.floor((F.col("e") + tolerance) / bucket))))
+    inside = (F.col("t") + tolerance >= F.col("s")) & ((F.col("t") < F.col("e")) | (F.col("_is_last") & (F.col("t") <= F.col("e") + tolerance)))
+    pairs = points.join(spans, (F.col("media_id") == F.col("_media")) & (F.floor(F.col("t") / bucket) == F.col("_slot")) & inside, "left")
     return pairs.groupBy("media_id", "point_id", "t").agg(F.coalesce(F.max_by("ord", F.when(F.col("s").isNotNull(), F.struct("s", "ord"))), F.lit(-1)).alias("cue"))
 
 
 def as_of_piece(points: DataFrame, pieces: DataFrame) -> DataFrame:
     """points: map_id, point_id, t. pieces: map_id, out_s, out_e, src_s, src_e. Times of a shortened timeline restored:
-    the first piece that ends after t, else the last one, and its linear scale."""
-    other = pieces.withColumnRenamed("map_id", "_map")
-    pairs = points.join(other, F.col("map_id") == F.col("_map"), "left")
+    the first piece that ends after t, else the last one, and its linear scale. A map's pieces don't overlap, so in order
+    of ends the first one is that with the smallest end. Points and pieces stand in one order, and nothing is joined."""
     piece = F.struct("out_s", "out_e", "src_s", "src_e")
-    first = F.min_by(piece, F.when(F.col("out_e") > F.col("t"), F.struct("out_s", "out_e")))
-    chosen = pairs.groupBy("map_id", "point_id", "t").agg(F.coalesce(first, F.max_by(piece, F.struct("out_s", "out_e"))).alias("p"))
+    marks = points.select("map_id", "point_id", "t", F.col("t").alias("_at"), F.lit(0).alias("_piece"), F.lit(None).cast("struct<out_s:double,out_e:double,src_s:double,src_e:double>").alias("p"))
+    ends = pieces.select("map_id", F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), F.lit(None).cast("double").alias("t"), F.col("out_e").alias("_at"), F.lit(1).alias("_piece"), piece.cast("struct<out_s:double,out_e:double,src_s:double,src_e:double>").alias("p"))
+    # From the last end down; of equal ends a piece comes after the point, which it does not end after.
+    order = Window.partitionBy("map_id").orderBy(F.col("_at").desc(), "_piece", F.col("p.out_s").desc())
+    before = order.rowsBetween(Window.unboundedPreceding, 0)
+    own = F.last("p", ignorenulls=True).over(before)
+    latest = F.max_by("p", F.when(F.col("p").isNotNull(), F.struct("p.out_s", "p.out_e"))).over(Window.partitionBy("map_id"))
+    chosen = marks.unionByName(ends).withColumn("_p", F.coalesce(own, latest)).where("_piece = 0").select("map_id", "point_id", "t", F.col("_p").alias("p"))
     scale = (F.col("p.src_e") - F.col("p.src_s")) / (F.col("p.out_e") - F.col("p.out_s"))
     return chosen.select("map_id", "point_id", "t", F.coalesce(F.col("p.src_s") + (F.col("t") - F.col("p.out_s")) * scale, F.col("t")).alias("source_t"))
