@@ -30,6 +30,24 @@ def to_vtt(df: DataFrame, lines: Column | None = None) -> DataFrame:
     return blocks.groupBy("media_id").agg(F.concat(F.lit("WEBVTT\n\n"), body).alias("vtt"))
 
 
+def to_playlist(df: DataFrame, version: int = 7) -> DataFrame:
+    """df: media_id, ord, seconds, name, map_name, key_line, discontinuity (the last three null or false where there is
+    none). (media_id, playlist): local files as a playlist, map and key stated where they change."""
+    changed = lambda now, before, i: F.when(i == 0, now.isNotNull()).otherwise(~now.eqNullSafe(before))
+    fields = F.struct("ord", "seconds", "name", F.col("map_name").alias("map"), F.col("key_line").alias("key"), "discontinuity")
+    lists = df.groupBy("media_id").agg(F.array_sort(F.collect_list(fields)).alias("x"))
+    line = lambda x, before, i: F.concat(
+        F.when(F.coalesce(x["discontinuity"], F.lit(False)), "#EXT-X-DISCONTINUITY\n").otherwise(""),
+        F.when(changed(x["map"], before["map"], i) & x["map"].isNotNull(), F.concat(F.lit('#EXT-X-MAP:URI="'), x["map"], F.lit('"\n'))).otherwise(""),
+        F.when(changed(x["key"], before["key"], i), F.concat(F.lit("#EXT-X-KEY:"), F.coalesce(x["key"], F.lit("METHOD=NONE")), F.lit("\n"))).otherwise(""),
+        F.lit("#EXTINF:"), F.greatest(F.lit(0.0), F.coalesce(x["seconds"], F.lit(0.0))).cast("decimal(18,6)").cast("string"), F.lit(",\n"), x["name"],
+    )
+    body = F.array_join(F.transform("x", lambda x, i: line(x, F.get(F.col("x"), i - 1), i)), "\n")
+    target = F.greatest(F.lit(1), F.ceil(F.array_max(F.transform("x", lambda x: F.coalesce(x["seconds"], F.lit(0.0))))))
+    head = F.concat(F.lit(f"#EXTM3U\n#EXT-X-VERSION:{version}\n#EXT-X-TARGETDURATION:"), target.cast("string"), F.lit("\n#EXT-X-MEDIA-SEQUENCE:0\n"))
+    return lists.select("media_id", F.concat(head, body, F.lit("\n#EXT-X-ENDLIST\n")).alias("playlist"))
+
+
 def note_block(source_page: Column, exported_by: Column) -> Column:
     line = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{name}: "), c))
     return F.concat_ws("\n", F.lit("NOTE"), line("Source page", source_page), line("Exported by", exported_by))

@@ -71,6 +71,20 @@ def recompute_bucket(current: DataFrame, fresh: DataFrame, keys: list[str]) -> D
     return current.join(fresh.select(*keys).distinct(), keys, "left_anti").unionByName(fresh)
 
 
+def to_run_again(df: DataFrame, failed: str = "failed", done: str = "completed") -> DataFrame:
+    """df: job, chunk, stage. What to run again: a job's failed chunks, else those that are not done."""
+    some = df.groupBy(F.col("job").alias("_job")).agg(F.max(F.col("stage") == failed).alias("_any"))
+    both = df.join(some, F.col("job") == F.col("_job"))
+    return both.where(F.when(F.col("_any"), F.col("stage") == failed).otherwise(F.col("stage") != done)).drop("_job", "_any")
+
+
+def replaced_with_fallback(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """New values in place of old ones; where the new row is missing, or a value of it, the old one stays."""
+    named = new.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(v).alias(f"_new_{v}") for v in values])
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    return old.join(named, same, "left").select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in values else F.col(c) for c in old.columns])
+
+
 def retry_rows(attempt: DataFrame, retry: DataFrame, gaps: DataFrame, repeated: DataFrame, key: Column) -> DataFrame:
     """Rows of a second attempt that lie in gaps of the first and are not among repeated texts (media_id, key), with the
     first attempt's."""

@@ -9,7 +9,7 @@ from cuetide.functions import text as tx
 from cuetide.functions import urls
 from cuetide.functions.times import millis
 from cuetide.operators import candidates as cd
-from cuetide.operators import folds, intervals, jobs, runs
+from cuetide.operators import export, folds, intervals, jobs, runs
 from cuetide.plans import adapters as ad
 from cuetide.plans.catalog import query
 from cuetide.plans.q_joins import plain_sql
@@ -221,13 +221,18 @@ def st14(spark, d):
     return jobs.recompute_bucket(rows, rows.where("job % 5 = 0").withColumn("text", F.lit("fresh")), ["job"])
 
 
-@query("sk08_local_playlists", "select l_orderkey as media, 2 + 2 * count(*) as lines from lineitem group by 1")
+@query("sk08_local_playlists", """with s as (select l_orderkey as m, l_linenumber * 100000000 + l_partkey * 100 + l_suppkey % 100 as o, l_quantity / 7 as d, 'seg-' || l_partkey || '.ts' as name, case when l_linenumber > 1 then 'init-' || (l_linenumber // 4) || '.mp4' end as map, case when l_linenumber % 4 > 1 then 'METHOD=AES-128,URI="k.bin"' end as key, l_linenumber = 3 as disc from lineitem),
+w as (select *, row_number() over t as n, lag(map) over t as map0, lag(key) over t as key0 from s window t as (partition by m order by o, d))
+select m as media, '#EXTM3U' || chr(10) || '#EXT-X-VERSION:7' || chr(10) || '#EXT-X-TARGETDURATION:' || greatest(1, ceil(max(d))::bigint) || chr(10) || '#EXT-X-MEDIA-SEQUENCE:0' || chr(10) || string_agg(case when disc then '#EXT-X-DISCONTINUITY' || chr(10) else '' end || case when map is not null and (n = 1 or map is distinct from map0) then '#EXT-X-MAP:URI="' || map || '"' || chr(10) else '' end
+  || case when (n = 1 and key is not null) or (n > 1 and key is distinct from key0) then '#EXT-X-KEY:' || coalesce(key, 'METHOD=NONE') || chr(10) else '' end || '#EXTINF:' || d::decimal(18,6) || ',' || chr(10) || name, chr(10) order by o, d) || chr(10) || '#EXT-X-ENDLIST' || chr(10) as playlist from w group by 1""")
 def sk08(spark, d):
-    """Segments as playlists: a line for the length and one for the file; counted."""
-    line = F.concat(F.lit("#EXTINF:"), F.format_number("l_quantity", 3), F.lit(",\nseg-"), F.col("l_linenumber").cast("string"), F.lit(".ts"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", line.alias("t")))), lambda x: x["t"]), "\n")
-    lists = ad.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("media")).agg(F.concat(F.lit("#EXTM3U\n"), body, F.lit("\n#EXT-X-ENDLIST")).alias("b"))
-    return lists.select("media", F.size(F.split("b", "\n")).cast("long").alias("lines"))
+    """Segments as playlists, with maps and keys that come and go."""
+    n = F.col("l_linenumber")
+    rows = ad.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("media_id"), (n * F.lit(100_000_000).cast("long") + F.col("l_partkey") * 100 + F.col("l_suppkey") % 100).alias("ord"), (F.col("l_quantity") / 7).alias("seconds"), F.concat(F.lit("seg-"), F.col("l_partkey").cast("string"), F.lit(".ts")).alias("name"),
+        F.when(n > 1, F.concat(F.lit("init-"), F.floor(n / 4).cast("string"), F.lit(".mp4"))).alias("map_name"), F.when(n % 4 > 1, 'METHOD=AES-128,URI="k.bin"').alias("key_line"), (n == 3).alias("discontinuity"),
+    )
+    return export.to_playlist(rows).withColumnRenamed("media_id", "media")
 
 
 @query("sc30_segment_files", "select l_orderkey as media, l_linenumber::bigint as idx, l_linenumber * 900::bigint as start_s from lineitem")

@@ -94,15 +94,15 @@ def sc07(spark, d):
     return found.select(F.col("url").alias("media"), "idx", "uri", millis(F.col("e")).alias("e_ms"), F.col("key_uri").isNotNull().alias("keyed"))
 
 
-@query("sc08_hls_byte_ranges", "select l_orderkey as media, row_number() over w - 1 as idx, case when l_linenumber = 1 then 500 else 0 end as none_yet, cast(500 + coalesce(sum(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows between unbounded preceding and 1 preceding), 0) as bigint) as start_byte, l_partkey as length from lineitem where l_orderkey in (select l_orderkey from lineitem group by 1 having min(l_linenumber) = 1 and count(*) filter (l_linenumber = 1) = 1) window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)")
+@query("sc08_hls_byte_ranges", "with r as (select *, row_number() over w - 1 as idx, sum((l_linenumber % 3 = 1)::int) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows unbounded preceding) as island from lineitem window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey)) select l_orderkey as media, idx, cast(case when island > 0 then 500 else 0 end + coalesce(sum(l_partkey) over (partition by l_orderkey, island order by idx rows between unbounded preceding and 1 preceding), 0) as bigint) as start_byte, l_partkey as length from r")
 def sc08(spark, d):
-    """Byte ranges of one file, of which only the first has an offset."""
+    """Byte ranges of one file, of which every third has an offset and the others follow; before the first stated one they
+    start at zero."""
     rows = ad.table(spark, d, "lineitem")
-    fit = rows.groupBy("l_orderkey").agg(F.min("l_linenumber").alias("a"), F.count_if(F.col("l_linenumber") == 1).alias("b")).where("a = 1 and b = 1").select("l_orderkey")
-    text = F.concat(F.lit("#EXTINF:4,\n#EXT-X-BYTERANGE:"), F.col("l_partkey").cast("string"), F.when(F.col("l_linenumber") == 1, "@500").otherwise(""), F.lit("\nall.ts"))
-    bodies = rows.join(fit, "l_orderkey").groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", text.alias("t")))), lambda x: x["t"]), "\n").alias("b"))
+    text = F.concat(F.lit("#EXTINF:4,\n#EXT-X-BYTERANGE:"), F.col("l_partkey").cast("string"), F.when(F.col("l_linenumber") % 3 == 1, "@500").otherwise(""), F.lit("\nall.ts"))
+    bodies = rows.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", text.alias("t")))), lambda x: x["t"]), "\n").alias("b"))
     found = manifests.hls_segments(bodies.select(F.col("l_orderkey").alias("url"), F.col("b").alias("body")))
-    return found.select(F.col("url").alias("media"), "idx", F.when(F.col("idx") == 0, 500).otherwise(0).alias("none_yet"), F.col("offset").alias("start_byte"), "length")
+    return found.select(F.col("url").alias("media"), "idx", F.col("offset").alias("start_byte"), "length")
 
 
 @query("sc07_hls_variants", "select p_partkey as media, n as ord_no, case when n = 0 then 'a.m3u8' else 'v' || n || '.m3u8' end as uri, cast(case when n = 0 then 0 else p_size * 1000 * n end as int) as bandwidth, n = 0 or (n = 2 and p_size % 2 = 0) as audio_only from part, range(3) r(n)")
@@ -134,15 +134,16 @@ def sc10(spark, d):
     return found.select(F.col("url").alias("media"), F.col("rep_no").cast("long").alias("rep"), "id", "bandwidth", "mime", "base")
 
 
-@query("sc23_silence_log", "select user_id as media_id, count(*) as silences from events where event_type = 'error' group by 1")
+@query("sc23_silence_log", """with n as (select user_id as media_id, count(*) as n from events where event_type = 'error' group by 1), k as (select *, unnest(range(n + 1)) as k from n)
+select media_id, case when k = 0 then 0 else k * 30000 - 15400 end as s_ms, case when k = n then k * 30000 + 400 else k * 30000 + 10400 end as e_ms from k""")
 def sc23(spark, d):
-    """Logs with silences apart: one more interval of speech than silences, or as many if one starts the log."""
+    """Logs with silences apart: one more interval of speech than silences, padded."""
     line = F.concat(F.lit("[x] silence_start: "), (F.col("n") * 30 + 10).cast("string"), F.lit("\n[x] silence_end: "), (F.col("n") * 30 + 15).cast("string"), F.lit(" | silence_duration: 5"))
     from pyspark.sql import Window
 
     numbered = ad.table(spark, d, "events").where("event_type = 'error'").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1)
     logs = numbered.groupBy(F.col("user_id").alias("media_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", line.alias("l")))), lambda x: x["l"]), "\n").alias("log"), (F.count(F.lit(1)) * F.lit(30.0)).alias("duration"))
-    return speech.speech_from_silence_log(logs).groupBy("media_id").agg((F.count(F.lit(1)) - 1).alias("silences"))
+    return speech.speech_from_silence_log(logs).select("media_id", millis(F.col("s")).alias("s_ms"), millis(F.col("e")).alias("e_ms"))
 
 
 @query("sc19_recognition_payloads", "select user_id as chunk_id, row_number() over (partition by user_id order by event_id) - 1 as ord, cast(floor(value * 1000 + 0.5) as bigint) as s_ms, event_type as text, 1 as words from events where value >= 0")

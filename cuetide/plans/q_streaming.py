@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuetide.operators import jobs as batch_jobs
+from cuetide.operators import retention, windows
 from cuetide.plans import adapters as ad
 from cuetide.plans.catalog import query
-from cuetide.session import shared_dir
+from cuetide.session import keep_folder, shared_dir
 from cuetide.streaming import jobs
 
 
@@ -21,7 +23,7 @@ def _source(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/cuetide/stream-{uuid.uuid4().hex}"
+    base = keep_folder(spark, f"{shared_dir(spark)}/cuetide/stream-{uuid.uuid4().hex}")
     jobs.drain(stream, f"{base}/out", f"{base}/checkpoint", mode)
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
@@ -29,7 +31,7 @@ def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
 def _collected(stream: DataFrame) -> DataFrame:
     """Update mode: each batch is kept as it comes."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/cuetide/stream-{uuid.uuid4().hex}"
+    base = keep_folder(spark, f"{shared_dir(spark)}/cuetide/stream-{uuid.uuid4().hex}")
     write = lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{base}/out/v{epoch}")
     stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out/*")
@@ -51,7 +53,7 @@ def st05(spark, d):
     lines = ad.table(spark, d, "lineitem")
     last = lines.groupBy(F.col("l_orderkey").alias("_job")).agg(F.max("l_linenumber").alias("_last"))
     chosen = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max_by("l_returnflag", F.struct("l_partkey", "l_suppkey")).alias("flag"))
-    base = f"{shared_dir(spark)}/cuetide/lines-{uuid.uuid4().hex}"
+    base = keep_folder(spark, f"{shared_dir(spark)}/cuetide/lines-{uuid.uuid4().hex}")
     chosen.join(last, F.col("l_orderkey") == F.col("_job")).select(F.col("l_orderkey").alias("job"), F.col("l_linenumber").cast("long").alias("chunk"), (F.col("l_linenumber") * F.lit(400.0)).alias("core_s"), (F.col("l_linenumber") * 400.0 + 400).alias("core_e"), (F.col("flag") == "R").alias("failed"), (F.col("l_linenumber") == F.col("_last")).alias("last")).write.parquet(base)
     schema = spark.read.parquet(base).schema
     return _drained(jobs.translation_groups(spark.readStream.schema(schema).parquet(base)))
@@ -68,21 +70,13 @@ def st06(spark, d):
 @query("st11_start_lock", "select event_id from (select *, lag(ts) over (partition by user_id order by ts, event_id) as before from events) where before is null or epoch_us(ts) - epoch_us(before) >= 2500000")
 def st11(spark, d):
     """Starts within 2.5 s of the one before are dropped."""
-    from pyspark.sql import Window
-
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = at - F.lag(at).over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return ad.table(spark, d, "events").withColumn("gap", gap).where("gap is null or gap >= 2500000").select("event_id")
+    return windows.without_quick_repeats(ad.table(spark, d, "events"), ["user_id"], F.unix_micros(F.col("ts").cast("timestamp")), ["ts", "event_id"]).select("event_id")
 
 
 @query("st12_changed_signatures", "select event_id from (select *, lag(event_type) over (partition by user_id order by event_id) as before from events) where before is null or before <> event_type")
 def st12(spark, d):
     """Rows whose content differs from the one before."""
-    from pyspark.sql import Window
-
-    before = F.lag(F.sha2("event_type", 256)).over(Window.partitionBy("user_id").orderBy("event_id"))
-    changed = before.isNull() | (before != F.sha2("event_type", 256))
-    return ad.table(spark, d, "events").withColumn("c", changed).where("c").select("event_id")
+    return windows.changed_only(ad.table(spark, d, "events"), ["user_id"], ["event_id"], F.col("event_type")).select("event_id")
 
 
 @query("st10_retry_plan", "with s as (select o_custkey as job, o_orderkey as chunk, case when o_orderstatus = 'F' then 'failed' when o_orderstatus = 'O' then 'queued' else 'completed' end as stage from orders), j as (select job, bool_or(stage = 'failed') as any_failed from s group by 1) select s.job, s.chunk from s join j using (job) where case when any_failed then stage = 'failed' else stage <> 'completed' end")
@@ -90,13 +84,65 @@ def st10(spark, d):
     """What to run again: a job's failed chunks, else its incomplete ones."""
     s = F.col("o_orderstatus")
     rows = ad.table(spark, d, "orders").select(F.col("o_custkey").alias("job"), F.col("o_orderkey").alias("chunk"), F.when(s == "F", "failed").when(s == "O", "queued").otherwise("completed").alias("stage"))
-    failed = rows.groupBy("job").agg(F.max(F.col("stage") == "failed").alias("_any"))
-    return rows.join(failed, "job").where(F.when(F.col("_any"), F.col("stage") == "failed").otherwise(F.col("stage") != "completed")).select("job", "chunk")
+    return batch_jobs.to_run_again(rows).select("job", "chunk")
 
 
-@query("st15_replace_with_fallback", "select o_orderkey as chunk, case when o_orderkey % 3 = 0 then 'old' else 'new' end as text from orders")
+@query("st15_replace_with_fallback", "select o_orderkey as chunk, case when o_orderkey % 3 = 0 or o_orderstatus = 'P' then o_orderpriority else lower(o_orderpriority) end as text, o_totalprice as price from orders")
 def st15(spark, d):
-    """New results in place of old ones; where there is none, the old one stays."""
-    orders = ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk"))
-    new = orders.where("chunk % 3 <> 0").select(F.col("chunk").alias("_chunk"), F.lit("new").alias("_new"))
-    return orders.join(new, F.col("chunk") == F.col("_chunk"), "left").select("chunk", F.coalesce("_new", F.lit("old")).alias("text"))
+    """New results in place of old ones; where there is none, or it is empty, the old one stays."""
+    orders = ad.table(spark, d, "orders").select(F.col("o_orderkey").alias("chunk"), F.col("o_orderpriority").alias("text"), F.col("o_totalprice").alias("price"), "o_orderstatus")
+    new = orders.where("chunk % 3 <> 0").select("chunk", F.when(F.col("o_orderstatus") != "P", F.lower("text")).alias("text"))
+    return batch_jobs.replaced_with_fallback(orders.drop("o_orderstatus"), new, ["chunk"], ["text"])
+
+
+def _files(spark: SparkSession, rows: DataFrame, parts: list) -> DataFrame:
+    """Rows as a stream that brings one file after another: those that meet each condition."""
+    base = keep_folder(spark, f"{shared_dir(spark)}/cuetide/files-{uuid.uuid4().hex}")
+    for condition in parts:
+        rows.where(condition).coalesce(1).write.mode("append").parquet(base)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(base)
+
+
+@query("st02_navigation", "with e as (select user_id as tab, event_id % 3 as frame, event_id as seq, case when event_id % 17 = 0 then 'navigate' when event_type = 'view' then 'context' else 'media' end as kind from events), m as (select *, max(seq) filter (kind = 'navigate' and frame = 0) over (partition by tab) as top, max(seq) filter (kind = 'navigate') over (partition by tab, frame) as own from e) select tab, seq from m where kind <> 'navigate' and coalesce(seq > top, true) and (kind <> 'context' or coalesce(seq > own, true))")
+def st02(spark, d):
+    """A tab's navigation forgets all, a frame's what the frame told."""
+    i = F.col("event_id")
+    rows = ad.table(spark, d, "events").select(F.col("user_id").alias("tab"), (i % 3).alias("frame"), i.alias("seq"), F.when(i % 17 == 0, "navigate").when(F.col("event_type") == "view", "context").otherwise("media").alias("kind"))
+    return windows.after_navigation(rows).select("tab", "seq")
+
+
+@query("st07_late_chunks", """with c as (select l_orderkey as job, l_linenumber as n, l_returnflag = 'R' as failed, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey desc, l_suppkey desc) as nth from lineitem),
+k as (select *, max(n) over (partition by job) as last, cast(floor((n * 400 + 0.001e0) / 900e0) as bigint) as bucket from c where nth = 1),
+f as (select job, bucket, count(*) as chunks, count(*) filter (failed) as failed, true as complete from k where n <> 2 or last = 2 group by 1, 2)
+select * from f union all select job, bucket, 1, failed::int, false from k where n = 2 and last > 2""")
+def st07(spark, d):
+    """Each job's second chunk comes after all others: into a bucket that was emitted, so it is told as late."""
+    lines = ad.table(spark, d, "lineitem")
+    last = lines.groupBy(F.col("l_orderkey").alias("_job")).agg(F.max("l_linenumber").alias("_last"))
+    chosen = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max_by("l_returnflag", F.struct("l_partkey", "l_suppkey")).alias("flag"))
+    n = F.col("l_linenumber")
+    rows = chosen.join(last, F.col("l_orderkey") == F.col("_job")).select(F.col("l_orderkey").alias("job"), n.cast("long").alias("chunk"), (n * F.lit(400.0)).alias("core_s"), (n * 400.0 + 400).alias("core_e"), (F.col("flag") == "R").alias("failed"), (n == F.col("_last")).alias("last"))
+    return _drained(jobs.translation_groups(_files(spark, rows, ["chunk <> 2", "chunk = 2"])))
+
+
+@query("st09_published_progress", "select o_custkey as job, o_orderstatus as stage, count(*) as n from orders group by 1, 2")
+def st09(spark, d):
+    """Counts of chunks by job and stage, published anew with every batch, each key's latest kept."""
+    orders = ad.table(spark, d, "orders").select(F.col("o_custkey").alias("job"), F.col("o_orderstatus").alias("stage"), F.col("o_orderkey").alias("chunk"))
+    stream = _files(spark, orders, ["chunk % 3 = 0", "chunk % 3 = 1", "chunk % 3 = 2"])
+    target = keep_folder(spark, f"{shared_dir(spark)}/cuetide/progress-{uuid.uuid4().hex}")
+    counts = stream.groupBy("job", "stage").agg(F.count(F.lit(1)).alias("n"))
+    jobs.publish(counts, f"{target}/table", f"{target}/checkpoint", ["job", "stage"], ["n"])
+    return spark.read.parquet(f"{target}/table").select("job", "stage", "n")
+
+
+@query("sk04_upserted_cache", ad.with_views(ad.CACHE_ENTRIES) + """, v as (select id % 400 as id, owner, updated, bytes, protected, id as version from ce), l as (select id, arg_max(struct_pack(owner := owner, updated := updated, bytes := bytes, protected := protected, version := version), version) as x from v group by 1),
+r as (select id, x.*, row_number() over (partition by x.owner order by x.updated desc, id) as rnk from l) select id, version, not ((updated > 0 and updated < 86400 * 1040 - 30 * 86400) or rnk > 80) or protected as fresh from r""")
+def sk04(spark, d):
+    """Entries in three batches, an id's latest version kept, then pruned by age and rank."""
+    rows = ad.cache_entries(spark, d).select((F.col("id") % 400).alias("id"), "owner", "updated", "bytes", "protected", F.col("id").alias("version"))
+    stream = _files(spark, rows, ["version % 3 = 2", "version % 3 = 0", "version % 3 = 1"])
+    target = keep_folder(spark, f"{shared_dir(spark)}/cuetide/cache-{uuid.uuid4().hex}")
+    jobs.publish(stream, f"{target}/table", f"{target}/checkpoint", ["id"], ["version"], mode="append")
+    kept = retention.prune_cache(spark.read.parquet(f"{target}/table"), F.lit(86400 * 1040), ["owner"], most_bytes=1 << 60)
+    return kept.select("id", "version", F.col("kept").alias("fresh"))

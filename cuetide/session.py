@@ -98,6 +98,11 @@ def _delete(spark: SparkSession, path: str) -> None:
     _KEPT.get(spark.sparkContext.applicationId, set()).discard(path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def let_go(*tables: DataFrame) -> None:
     """Delete what stored() wrote for these tables. Nothing that was made from them and not stored can be read after."""
     for table in tables:

@@ -1,7 +1,8 @@
 """Structured Streaming forms of the stateful operators.
 
-State is keyed, bounded by watermarks or by retention, and restarts from the checkpoint. Sources and sinks are the
-caller's; `drain` runs a query over what is there and ends.
+State is keyed, bounded by watermarks or, with `keep`, dropped when its key has been quiet for so many milliseconds of the
+clock, and restarts from the checkpoint. A query with `keep` looks at its clock without end, so it is for triggers that
+run on; without it state stays. Sources and sinks are the caller's; `drain` runs a query over what is there and ends.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cuetide.operators.windows import bucket_of
 from cuetide.params import P
-from cuetide.session import ship
+from cuetide.session import let_go, path_exists, ship, stored
 
 
 def exactly_once(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
@@ -33,19 +34,27 @@ def sessions(stream: DataFrame, time: str, gap: str, delay: str, keys: list[str]
     return stream.withWatermark(time, delay).groupBy(F.session_window(time, gap), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _clock(keep: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if keep is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
 _GROUPS = "job long, bucket long, chunks long, failed long, complete boolean"
 _GROUP_STATE = "buckets string"
 
 
-def translation_groups(stream: DataFrame, size: float = P.translation_seconds) -> DataFrame:
+def translation_groups(stream: DataFrame, size: float = P.translation_seconds, keep: int | None = None) -> DataFrame:
     """stream: job, chunk, core_s, core_e, failed (boolean), last (boolean). Chunks gathered into buckets of media time; a
     bucket is emitted once, when a later bucket's chunk comes or the job's last one does. A chunk for a bucket that was
-    emitted comes out as a row of its own with complete false, so that late data can be seen and made good."""
+    emitted comes out as a row of its own with complete false, so that late data can be seen and made good. A job's state
+    holds its open buckets and the last one closed."""
     import json
 
     ship(stream.sparkSession)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = json.loads(state.get[0]) if state.exists else {"open": {}, "done": -1}
         out = []
         for frame in frames:
@@ -61,24 +70,29 @@ def translation_groups(stream: DataFrame, size: float = P.translation_seconds) -
                     out.append((key[0], b, len(own), sum(own.values()), True))
                     kept["done"] = max(kept["done"], b)
         state.update((json.dumps(kept),))
+        if keep is not None:
+            state.setTimeoutDuration(keep)
         yield pd.DataFrame(out, columns=["job", "bucket", "chunks", "failed", "complete"])
 
     placed = stream.withColumn("bucket", bucket_of(F.col("core_s"), size))
-    return placed.groupBy("job").applyInPandasWithState(step, _GROUPS, _GROUP_STATE, "append", GroupStateTimeout.NoTimeout)
+    return placed.groupBy("job").applyInPandasWithState(step, _GROUPS, _GROUP_STATE, "append", _clock(keep))
 
 
 _TABS = "tab long, kept long, seen long, ignored long, resets long"
 
 
-def tab_candidates(stream: DataFrame, most: int = P.candidates_kept) -> DataFrame:
+def tab_candidates(stream: DataFrame, most: int = P.candidates_kept, keep: int | None = None) -> DataFrame:
     """stream: tab, fingerprint, score, seen_at, kind (`media` or `navigate`). Per tab the fingerprints seen and the best
-    candidates kept; one that was dropped does not come back until the tab navigates, which clears its state. A tab's
-    counts come out whenever it has events."""
+    candidates kept; one that was dropped does not come back until the tab navigates, which clears its state, or has been
+    quiet for `keep`. A tab's counts come out whenever it has events."""
     import json
 
     ship(stream.sparkSession)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         kept = json.loads(state.get[0]) if state.exists else {"kept": {}, "gone": [], "ignored": 0, "resets": 0}
         gone = set(kept["gone"])
         for frame in frames:
@@ -95,23 +109,36 @@ def tab_candidates(stream: DataFrame, most: int = P.candidates_kept) -> DataFram
                         gone.add(worst)
         kept["gone"] = sorted(gone)
         state.update((json.dumps(kept),))
+        if keep is not None:
+            state.setTimeoutDuration(keep)
         yield pd.DataFrame([(key[0], len(kept["kept"]), len(kept["kept"]) + len(gone), kept["ignored"], kept["resets"])], columns=["tab", "kept", "seen", "ignored", "resets"])
 
-    return stream.groupBy("tab").applyInPandasWithState(step, _TABS, "state string", "update", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("tab").applyInPandasWithState(step, _TABS, "state string", "update", _clock(keep))
+
 
+def _latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row per key, the last in the order; of equal ones the greatest row, so that the choice is no accident."""
+    best = F.max_by(F.struct("*"), F.struct(*order, F.xxhash64("*")))
+    return df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(best.alias("_x")).select("_x.*")
 
-def upsert_batch(target: str, keys: list[str]):
-    """A foreachBatch function: rows of the batch replace those with their keys in a Parquet table, which is written anew
-    beside the old one and read by its latest version."""
+
+def upsert_batch(target: str, keys: list[str], order: list[str], buckets: int = 64):
+    """A foreachBatch function that keeps one row per key in a Parquet table, the last in the order. The table is split by a
+    hash of the keys into `_bucket` folders, of which a batch rewrites those it touches. A batch that runs again changes
+    nothing more."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        latest = f"{target}/v{epoch - 1}"
-        new = batch.dropDuplicates(keys)
-        if epoch > 0:
-            old = spark.read.schema(batch.schema).parquet(latest)
-            new = old.join(new.select(*keys), keys, "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{target}/v{epoch}")
+        fresh = stored(_latest(batch, keys, order).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "upsert-fresh")
+        touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]  # at most `buckets`
+        if not touched:
+            return
+        merged = fresh
+        if path_exists(spark, target):
+            old = spark.read.schema(fresh.schema).parquet(target).where(F.col("_bucket").isin(touched))
+            merged = stored(_latest(old.unionByName(fresh), keys, order), "upsert-merged")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(target)
+        let_go(fresh, merged)
 
     return write
 
@@ -119,3 +146,8 @@ def upsert_batch(target: str, keys: list[str]):
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Run over what the source has, into Parquet, and stop."""
     stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def publish(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[str], mode: str = "update") -> None:
+    """Run over what the source has, each batch upserted into a table that readers may look at meanwhile, and stop."""
+    stream.writeStream.outputMode(mode).foreachBatch(upsert_batch(target, keys, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
