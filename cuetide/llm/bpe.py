@@ -30,9 +30,9 @@ from pyspark.sql import types as T
 from cuetide.llm.common import add_columns
 
 #: Words, and text pieces, whose encodings a Python worker keeps; pairs of tokens of which it knows whether they are
-#: stable; and characters handled at once. Together some 100 MB a worker, given back when a task ends.
-CACHE_WORDS = 200_000
-CACHE_PAIRS = 200_000
+#: stable; and characters handled at once. Together some 120 MB a worker, given back when a task ends.
+CACHE_WORDS = 300_000
+CACHE_PAIRS = 150_000
 PIECE_CHARS = 1 << 20
 _END = "</w>"
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(12)]
