@@ -65,6 +65,18 @@ def hls_segments(df: DataFrame) -> DataFrame:
     return island.select("url", "idx", "uri", "s", "e", F.nullif("key_uri", F.lit("")).alias("key_uri"), "map_uri", F.when(F.col("length").isNotNull(), start + before).alias("offset"), "length", "discontinuity", "gap")
 
 
+def summaries(df: DataFrame) -> DataFrame:
+    """(url, segments, total): what discovery needs of a playlist, read from its own lines without ordering them."""
+    lines = F.split("body", "\r?\n")
+    seconds = F.transform(F.filter(lines, lambda x: x.startswith("#EXTINF:")), lambda x: F.coalesce(F.regexp_extract(x, r"^#EXTINF:\s*([0-9.]+)", 1).try_cast("double"), F.lit(0.0)))
+    return df.select("url", F.size(seconds).cast("long").alias("segments"), F.aggregate(seconds, F.lit(0.0), lambda a, b: a + b).alias("total"))
+
+
+def dash_duration(text: Column) -> Column:
+    """The duration that a DASH description states, as text."""
+    return xml_attribute(F.regexp_extract(text, r"(?is)<MPD\b([^>]*)>", 1), "mediaPresentationDuration")
+
+
 def xml_attribute(text: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(text, rf'(?i)\b{name}\s*=\s*"([^"]*)"', 1), F.lit(""))
 
