@@ -7,8 +7,8 @@ over half are blocked are blocked seeds. Personalised PageRank spreads trust fro
 distrust from the blocked seeds against them: who links to the blocked earns distrust. A host is blocked if its distrust
 exceeds `threshold` of trust and distrust together; a host that neither reaches is allowed.
 
-Everything is joins and aggregations in Spark. Rules are inlined up to INLINE_RULES and joined beyond. Each round's
-ranks are a stored table, and joins are between plain tables, so that Spark can split a hub's edges.
+Everything is joins and aggregations in Spark. Rules are inlined up to INLINE_RULES and joined beyond. Ranks are stored
+every few rounds, and joins are between plain tables, so that Spark can split a hub's edges.
 
 Null URLs and URLs without :// have an empty host and path, fit no rule and are allowed. Hosts are compared in lower
 case of A-Z; ports and user names count as part of the host. Repeated rows each get a verdict and count for their host.
@@ -18,6 +18,7 @@ each host its own seed. Columns beyond key, URL and page are ignored. Texts of a
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,8 @@ from cuetide.llm.common import let_go, stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 INLINE_RULES = 200
 DAMPING, TOLERANCE = 0.85, 1e-6
+#: Rounds that are computed in one go before their ranks are stored and compared.
+ROUNDS_A_TABLE = 4
 #: A graph whose ranks need more rounds than this is reported as an error.
 MOST_ROUNDS = 2000
 
@@ -110,18 +113,23 @@ ranks, however small, moves by more than `tolerance` of itself: verdicts are rat
         return start
     out = edges.groupBy(F.col("source").alias("_s")).agg(F.sum("weight").alias("_out"))
     into = edges.groupBy(F.col("target").alias("_t")).agg(F.sum("weight").alias("_in"))
-    forward = stored(edges.join(stored(out, "url-out"), F.col("source") == F.col("_s")).select("source", "target", (F.col("weight") / F.col("_out")).alias("part")), "url-forward")
-    backward = stored(edges.join(stored(into, "url-in"), F.col("target") == F.col("_t")).select("source", "target", (F.col("weight") / F.col("_in")).alias("part")), "url-backward")
+    forward = edges.join(stored(out, "url-out"), F.col("source") == F.col("_s")).select(F.col("source").alias("at"), F.col("target").alias("to"), F.lit(True).alias("trusts"), (F.col("weight") / F.col("_out")).alias("part"))
+    backward = edges.join(stored(into, "url-in"), F.col("target") == F.col("_t")).select(F.col("target").alias("at"), F.col("source").alias("to"), F.lit(False).alias("trusts"), (F.col("weight") / F.col("_in")).alias("part"))
+    # Both flows in one table, so that a round reads its ranks once and rounds can be chained before one is stored.
+    flows = stored(forward.unionByName(backward), "url-flows")
+    base = start.select("host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust"))
+    flow = lambda c, mine: F.when(F.col("trusts") == mine, damping * F.col("part") * F.col(c)).otherwise(0.0).alias(c)
+
+    def after(ranks: DataFrame) -> DataFrame:
+        moved = flows.join(ranks, F.col("at") == F.col("host")).select(F.col("to").alias("host"), flow("trust", True), flow("distrust", False)).where("trust > 0 or distrust > 0")
+        return base.unionByName(moved).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+
     ranks = start
-    for _ in range(most_rounds):
-        trust = forward.join(ranks.where("trust > 0").select("host", "trust"), F.col("source") == F.col("host")).select(F.col("target").alias("host"), (damping * F.col("part") * F.col("trust")).alias("trust"), F.lit(0.0).alias("distrust"))
-        distrust = backward.join(ranks.where("distrust > 0").select("host", "distrust"), F.col("target") == F.col("host")).select(F.col("source").alias("host"), F.lit(0.0).alias("trust"), (damping * F.col("part") * F.col("distrust")).alias("distrust"))
-        base = start.select("host", ((1 - damping) * F.col("trust")).alias("trust"), ((1 - damping) * F.col("distrust")).alias("distrust"))
-        then = stored(base.unionByName(trust).unionByName(distrust).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "url-ranks")
+    for _ in range(0, most_rounds, ROUNDS_A_TABLE):
+        then = stored(functools.reduce(lambda r, _: after(r), range(ROUNDS_A_TABLE), ranks), "url-ranks")
         old = ranks.select(F.col("host").alias("_host"), F.col("trust").alias("_trust"), F.col("distrust").alias("_distrust"))
         shift = lambda c: F.abs(F.col(c) - F.coalesce("_" + c, F.lit(0.0))) > tolerance * F.col(c)
-        moved = then.join(old, F.col("host") == F.col("_host"), "left").where(shift("trust") | shift("distrust"))
-        settled = moved.isEmpty()
+        settled = then.join(old, F.col("host") == F.col("_host"), "left").where(shift("trust") | shift("distrust")).isEmpty()
         if ranks is not start:
             let_go(ranks)
         ranks = then
