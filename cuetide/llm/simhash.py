@@ -11,7 +11,9 @@ plain shuffles of a stored table, so Spark splits a key that many different fing
 
 Null, empty and blank texts have the fingerprint zero and link like any other. Fewer words than a shingle: the whole
 sequence is one shingle. Rows with equal texts are of one component; a document linked with none is its own component.
-Columns beyond doc_id and text are ignored by the query and kept by the filter; doc_id must be unique for the latter.
+Empty tables give none. Columns beyond doc_id and text are ignored by the query and kept by the filter, whatever their
+names. Rows that share a doc_id are judged each by the query; the filter drops or keeps them together. A very long text
+needs memory for its words and eight bytes a shingle.
 """
 
 from __future__ import annotations
