@@ -172,7 +172,7 @@ def context_overlap(groups: DataFrame, segments: DataFrame, context: float = P.c
 
 def filter_policy(clip: Column, vad_filter: Column, native: Column, collected: Column) -> Column:
     """Which filters run after a request, by its form: activity only for the service's own detection, quality for none
-    that detected speech, runs for all but clips."""
+    that detected speech, runs for all but clips. Fixed values: the names of the modes."""
     mature = clip | vad_filter | native | collected
     mode = F.when(clip, "external_vad_clip").when(vad_filter, "compatible_vad_filter").when(native, "speaches_native").when(collected, "collected_external_vad").otherwise("direct")
     return F.struct(mode.alias("mode"), (native & ~clip & ~collected).alias("activity_filter"), (~mature).alias("quality_filters"), (~clip).alias("run_filters"))
