@@ -39,3 +39,53 @@ m as (select body, max(page_id) as top from p group by 1)
 select page_id, octet_length(encode(body)) as payload_bytes, digest as payload_digest, case when page_id = top then 'response' else 'revisit' end as record_type, case when page_id <> top then top end as refers_to, null::varchar as fault
 from d join m using (body)
 """
+
+#: Phrases as texts, every cut of them, and what longer phrases hold.
+COLLOCATIONS = r"""
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+totals as (select lang, sum(len(w))::bigint as n from w group by 1),
+sized as (select lang, w, unnest(range(1, 6)) as size from w),
+g as (select lang, size, w[i + 1 : i + size] as g from (select *, unnest(range(len(w) - size + 1)) as i from sized where len(w) >= size)),
+f as (select lang, size, g, count(*) as f from g group by all having count(*) >= 100),
+cuts as (select lang, size, g, f as a, unnest(range(1, size)) as k from f where size >= 2),
+parts as (select c.*, l.f as l, r.f as r, n, (1000::hugeint * a * n) // (l.f::hugeint * r.f) as score from cuts c join f l on l.lang = c.lang and l.g = c.g[1:c.k] join f r on r.lang = c.lang and r.g = c.g[c.k + 1:] join totals t on t.lang = c.lang),
+best as (select * from parts qualify row_number() over (partition by lang, g order by score, k) = 1),
+inner_sizes as (select lang, g, size, f, unnest(range(2, size)) as s from f where size > 2),
+inner_g as (select lang, g[i + 1 : i + s] as g, max(f) as f from (select *, unnest(range(size - s + 1)) as i from inner_sizes) group by all),
+kept as (select b.*, array_to_string(b.g, ' ') as phrase from best b left join inner_g i on i.lang = b.lang and i.g = b.g where i.f is null or 100 * i.f < 100 * a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked where rank <= 2000
+"""
+
+#: Lines as texts, in place of their hashes.
+LINES = r"""
+with t as (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+l as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as pos from t),
+k as (select *, translate(trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from l),
+f as (select key, max(doc_id) as top from k where length(key) >= 40 group by 1 having count(distinct doc_id) >= 5),
+m as (select k.*, f.key is not null and doc_id <> top as lost from k left join f using (key))
+select doc_id, count(*) as n_lines, count(*) filter (lost) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not lost), '')) as kept_sha256 from m group by 1
+"""
+
+
+def _vector_codes(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Each round as two steps: every part against every entry, and the means."""
+    steps = [
+        "k as (select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)",
+        f"p as (select vec_id, label, part, v[(part * (len(v) // {parts}) + 1)::int : ((part + 1) * (len(v) // {parts}))::int] as v from k, range({parts}) as parts(part))",
+        f"c0 as (select part, row_number() over (partition by part order by vec_id) - 1 as entry, v from p qualify row_number() over (partition by part order by vec_id) <= {entries})",
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} as (select p.vec_id, p.label, p.part, any_value(p.v) as v, min(struct_pack(d := list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, e := entry)) as b from p join c{r} c on c.part = p.part group by 1, 2, 3)")
+        if r < rounds:
+            steps.append(f"u{r} as (select part, b.e as entry, unnest(v) as x, unnest(range(len(v))) as i from a{r})")
+            steps.append(f"m{r} as (select part, entry, list(x order by i) as v from (select part, entry, i, floor(sum(x)::double / count(*))::bigint as x from u{r} group by 1, 2, 3) group by 1, 2)")
+            steps.append(f"c{r + 1} as (select c.part, c.entry, coalesce(m.v, c.v) as v from c{r} c left join m{r} m on m.part = c.part and m.entry = c.entry)")
+    steps.append(f"books as (select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) as codebooks_sha256 from c{rounds})")
+    steps.append(f"rows as (select vec_id, label, string_agg(format('{{:02x}}', b.e), '' order by part) as code, sum(b.d)::bigint as error from a{rounds} group by 1, 2)")
+    return "with " + ",\n".join(steps) + "\nselect vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from rows, books"
+
+
+VECTOR_CODES = _vector_codes()

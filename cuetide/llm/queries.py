@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuetide.llm import bpe, decontam, langid, license, matroska, oracles, pii, simhash, substring, urlfilter, warc
+from cuetide.llm import bpe, codebooks, collocations, decontam, langid, license, linededup, matroska, oracles, pii, simhash, substring, urlfilter, warc
 from cuetide.llm.common import read_table
 
 
@@ -73,9 +73,24 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.with_media_digests(matroska.with_media(docs, drop_text=True))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("lang", "text")
+    return collocations.top_phrases(collocations.score(collocations.count_phrases(docs)))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    return codebooks.compress(vectors).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": oracles.WARC, "op6_substring": oracles.SUBSTRING, "op9_decontamination": oracles.DECONTAMINATION}
+    return {"op5_warc": oracles.WARC, "op6_substring": oracles.SUBSTRING, "op9_decontamination": oracles.DECONTAMINATION, "op11_collocations": oracles.COLLOCATIONS, "op12_line_dedup": oracles.LINES, "op13_vector_codes": oracles.VECTOR_CODES}
