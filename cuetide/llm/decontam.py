@@ -12,8 +12,8 @@ and they meet under the row's number. So neither a broadcast nor the driver grow
 does not depend on the number of blocks, whatever its key.
 
 Null or empty texts have no words: they get zeros, no items, and are not contaminated. An empty benchmark hits nothing.
-Equal items count as items of their own; items with a null item_id are left out. Repeated rows each get their hits. A
-very long text needs memory for its words and eight bytes a word. Other columns pass unchanged; find_hits replaces
+Equal items count as items of their own. The windows of an item with a null item_id hit words like any other's; only the
+list of items leaves it out, since there is no id to give. Repeated rows each get their hits. A very long text needs memory for its words and eight bytes a word. Other columns pass unchanged; find_hits replaces
 columns named as its outputs, the filters keep all of the caller's columns.
 """
 
@@ -67,10 +67,10 @@ def rolling(values: np.ndarray, length: int) -> np.ndarray:
 class Windows:
     """A block of the benchmark's windows, ready to scan."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], n: int):
-        """items: (item id as text, words)."""
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], n: int):
+        """items: (item id as text, words). An item without an id hits words, but is not listed."""
         self.vocabulary: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
+        by_length: dict[int, dict[tuple[int, ...], set[str | None]]] = defaultdict(lambda: defaultdict(set))
         for item, words in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
             size = min(n, len(ids))
@@ -84,7 +84,7 @@ class Windows:
         for size, windows in sorted(by_length.items()):
             keys = list(windows)
             hashes = rolling(self.codes[np.array(keys, dtype=np.int64).reshape(-1)], size)[::size]
-            self.by_length.append((size, np.sort(hashes), {k: sorted(v) for k, v in windows.items()}))
+            self.by_length.append((size, np.sort(hashes), {k: sorted(v - {None}) for k, v in windows.items()}))
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Whether each word lies in a benchmark window, and the items whose windows occur."""
@@ -114,10 +114,10 @@ class Windows:
         return hit, items
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, n: int, most: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _blocks(benchmark: DataFrame, item: str, text: str, n: int, most: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The benchmark's items, in blocks of a bounded number of windows, one partition at a time on the driver."""
     block, size = [], 0
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).alias("text")).where("text is not null")
     for row in rows.toLocalIterator():
         words = words_of(row["text"])
         windows = max(1, len(words) - n + 1) if words else 0
@@ -142,7 +142,7 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, text: str
     n_words, hit_words, hit_items = names
     kinds = [(n_words, T.LongType(), pa.int64()), (hit_words, T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), (hit_items, T.ArrayType(T.StringType()), pa.list_(pa.string()))]
 
-    def scanned(rows: DataFrame, block: list[tuple[str, list[bytes]]]) -> tuple[DataFrame, Broadcast]:
+    def scanned(rows: DataFrame, block: list[tuple[str | None, list[bytes]]]) -> tuple[DataFrame, Broadcast]:
         sent = spark.sparkContext.broadcast(Windows(block, n))
 
         def make():
@@ -173,7 +173,7 @@ def find_hits(documents: DataFrame, benchmark: DataFrame, n: int = 10, text: str
     for block in itertools.chain([first, second], blocks):
         found, sent = scanned(slim, block)
         # The first pass brings every row, later ones what they hit.
-        passes.append(stored(found.select(number, *names) if not passes else found.select(number, *names).where(F.size(hit_items) > 0), "decontam-hits"))
+        passes.append(stored(found.select(number, *names) if not passes else found.select(number, *names).where(F.size(hit_words) > 0), "decontam-hits"))
         sent.unpersist()
     told = functools.reduce(DataFrame.unionByName, passes)
     distinct = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)

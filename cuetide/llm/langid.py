@@ -1,15 +1,18 @@
 """Language identification with interpolated Kneser-Ney character models in sorted hash arrays.
 
 A language's model gives each letter of a word, and the word's end, a probability from up to four symbols before it
-within the word (its start included). The n-grams of all languages lie in one sorted array of 64-bit hashes per order,
-beside them a row of log probabilities, one per language; contexts likewise, with their log back-off weights. A text's
-cross-entropy under a language is the mean over all its symbols; the lowest wins.
-
-Training takes at most `docs_per_language` labelled rows per language, chosen by a hash of the key: it counts n-grams
-in Spark and fits on the driver, whose work is bounded by that sample. A fifth of the sample is kept out of the counts
-to calibrate: the temperature of the score (the winner's share under softmax of the cross-entropies), and the threshold
-above which a text fits no language. That threshold lies beyond every calibration text's distance from its language's
-mean, in units that shrink with the text's length, by a factor, and leaves texts at least SLACK nats of room.
+within the word (its start included). Each language has its own n-grams in a sorted array of 64-bit hashes per order,
+beside them their log probabilities; contexts likewise, with their log back-off weights. A text's cross-entropy under a
+language is the mean over all its symbols; the lowest wins.
+
+Training takes at most `docs_per_language` labelled rows per language, chosen by a hash of the key, and of these the first
+whose characters come to at most `chars_per_language`, and to at most TOTAL_CHARS over all languages in equal shares; a
+language's first row is taken whatever its length. Spark counts the n-grams, and each language is fitted on an executor;
+the driver and the broadcast hold 12 bytes for each n-gram that a language's own sample has, so they grow with the sample
+bound, not with the number of pairs of n-grams and languages. A fifth of the sample is kept out of the counts to calibrate:
+the temperature of the score (the winner's share under softmax of the cross-entropies), and the threshold above which a
+text fits no language. That threshold lies beyond every calibration text's distance from its language's mean, in units
+that shrink with the text's length, by a factor, and leaves texts at least SLACK nats of room.
 
 Null texts and texts without letters: `und`, score 0, rejected. No labelled rows at all: every text is `und`, and none is
 rejected, since only a fitted model can tell. Ties go to the language that sorts first. Repeated rows are judged alike;
@@ -25,23 +28,28 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cuetide.llm.common import add_columns, ship, spare
+from cuetide.llm.common import add_columns, let_go, ship, spare, stored
 
 ORDER = 5
 DOCS_PER_LANGUAGE = 400
+#: Characters of the sample, per language and together.
+CHARS_PER_LANGUAGE, TOTAL_CHARS = 8_000_000, 64_000_000
 MOST_LANGUAGES = 1000
 #: Calibration: the room given beyond the furthest calibration text.
 FACTOR, SLACK = 1.5, 0.5
 UNDETERMINED = "und"
 _START, _END = "\x02", "\x03"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Distinct text pieces whose scores a task keeps, and symbols scored at once.
-_CACHE = 100_000
+#: Distinct text pieces whose scores a task keeps, numbers that these may be, and symbols scored at once.
+_CACHE, _CACHED_NUMBERS = 100_000, 8_000_000
+#: Temperatures that are tried.
+_GRID = np.geomspace(0.5, 200, 40)
 BLOCK = 1 << 17
 
 
@@ -85,12 +93,49 @@ def _gram_hashes(grams: list[str]) -> np.ndarray:
     return _hashes(codes, np.tile(np.arange(size), len(grams)), size)[-1][0][size - 1 :: size]
 
 
+Table = tuple[np.ndarray, np.ndarray]
+
+
+def _lookup(table: Table, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the wanted hashes a sorted array has, and the values of those."""
+    hashes, values = table
+    if not len(hashes):
+        return np.zeros(len(wanted), bool), values
+    at = np.searchsorted(hashes, wanted)
+    at[at == len(hashes)] = 0
+    hit = hashes[at] == wanted
+    return hit, values[at[hit]]
+
+
+@dataclass
+class LanguageModel:
+    grams: list[Table]  # per order: sorted hashes, log probabilities
+    contexts: list[Table]  # per order of the n-gram: sorted hashes, log back-off weights
+    floor: float  # log probability of an unknown symbol
+
+    def score(self, hashed: list[tuple[np.ndarray, np.ndarray]], predicted: np.ndarray) -> np.ndarray:
+        """The log probability of each symbol that is predicted, else 0."""
+        total, todo = np.zeros(len(predicted), np.float32), np.flatnonzero(predicted)
+        for order in range(len(self.grams), 0, -1):
+            hashes, fits = hashed[order - 1]
+            # A block's first symbols lack their context; they are not asked for.
+            able = fits[todo] & (todo >= order - 1)
+            asked, later = todo[able], todo[~able]
+            hit, values = _lookup(self.grams[order - 1], hashes[asked])
+            total[asked[hit]] += values
+            missed = asked[~hit]
+            if order > 1 and len(missed):
+                known, weights = _lookup(self.contexts[order - 1], hashed[order - 2][0][missed - 1])
+                total[missed[known]] += weights
+            todo = np.concatenate((missed, later))
+        total[todo] += self.floor
+        return total
+
+
 @dataclass
 class Model:
     languages: list[str]
-    grams: list[tuple[np.ndarray, np.ndarray]]  # per order: sorted hashes, log probabilities (n x languages)
-    contexts: list[tuple[np.ndarray, np.ndarray]]  # per order of the n-gram: sorted hashes, log back-off weights
-    floor: np.ndarray  # log probability of an unknown symbol
+    fitted: list[LanguageModel]
     temperature: float = 1.0
     center: np.ndarray | None = None  # per language: mean cross-entropy of calibration texts
     reach: np.ndarray | None = None  # per language: furthest (cross-entropy - mean) * sqrt(words)
@@ -102,46 +147,20 @@ class Model:
             return sums, sizes
         codes, place = _symbols(words)
         owner = np.cumsum(place == 0) - 1
-        before = len(self.grams)
+        before = max((len(m.grams) for m in self.fitted), default=0)
         for first in range(0, len(codes), BLOCK):
             # A block brings the symbols before it along as context.
             start, last = max(0, first - before), min(first + BLOCK, len(codes))
-            total, counted = (x[first - start :] for x in self._score(codes[start:last], place[start:last]))
+            hashed = _hashes(codes[start:last], place[start:last], before)
+            predicted = place[start:last] > 0  # the start mark is given, not predicted
             own = owner[first:last]
             edges = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            sums[own[edges]] += np.add.reduceat(total, edges, axis=0, dtype=np.float64)
-            sizes[own[edges]] += np.add.reduceat(counted, edges, dtype=np.int64)
+            for at, language in enumerate(self.fitted):
+                total = language.score(hashed, predicted)[first - start :]
+                sums[own[edges], at] += np.add.reduceat(total, edges, dtype=np.float64)
+            sizes[own[edges]] += np.add.reduceat(predicted[first - start :], edges, dtype=np.int64)
         return sums, sizes
 
-    def _score(self, codes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(log probability per language, whether it counts) of each symbol."""
-        total = np.zeros((len(codes), len(self.languages)), np.float32)
-        hashed = _hashes(codes, place, len(self.grams))
-        open_ = place > 0  # the start mark is given, not predicted
-        counted = open_.copy()
-        for order in range(len(self.grams), 0, -1):
-            hashes, fits = hashed[order - 1]
-            known, rows = self.grams[order - 1]
-            todo = np.flatnonzero(open_ & fits)
-            todo = todo[todo >= order - 1]  # a block's first symbols lack their context; they are not asked for
-            if not len(todo):
-                continue
-            at = np.searchsorted(known, hashes[todo])
-            at[at == len(known)] = 0
-            hit = known[at] == hashes[todo] if len(known) else np.zeros(len(todo), bool)
-            total[todo[hit]] += rows[at[hit]]
-            open_[todo[hit]] = False
-            missed = todo[~hit]
-            if order > 1 and len(missed):
-                contexts, weights = self.contexts[order - 1]
-                own = hashed[order - 2][0][missed - 1]
-                at = np.searchsorted(contexts, own)
-                at[at == len(contexts)] = 0
-                hit = contexts[at] == own if len(contexts) else np.zeros(len(missed), bool)
-                total[missed[hit]] += weights[at[hit]]
-        total[open_] += self.floor
-        return total, counted
-
 
 def _fit_language(counts: dict[str, int], order: int, symbols: int):
     """Interpolated Kneser-Ney: (probabilities by order, back-off weights by order, floor), keyed by strings."""
@@ -174,35 +193,25 @@ def _fit_language(counts: dict[str, int], order: int, symbols: int):
     return probabilities, backoff, floor
 
 
+def _table(values: dict[str, float]) -> Table:
+    hashes = _gram_hashes(list(values))
+    by_hash = np.argsort(hashes)
+    return hashes[by_hash], np.log(np.fromiter(values.values(), np.float64, len(values))).astype(np.float32)[by_hash]
+
+
+def fit_language(counts: dict[str, int], order: int, symbols: int) -> LanguageModel:
+    """counts: n-gram counts of one language, each n-gram the longest that ends at a symbol; symbols: how many different
+    ones any language can predict."""
+    probabilities, backoff, floor = _fit_language(counts, order, symbols)
+    contexts = [_table(backoff[size] if size > 1 else {}) for size in range(1, order + 1)]
+    return LanguageModel([_table(probabilities[size]) for size in range(1, order + 1)], contexts, float(np.log(floor)))
+
+
 def fit(counts: dict[str, dict[str, int]], order: int = ORDER) -> Model:
-    """counts: language to n-gram counts, each n-gram the longest that ends at a symbol."""
+    """A model of counts that are here, per language; train() counts and fits on the executors."""
     languages = sorted(counts)
     symbols = len({g[-1] for grams in counts.values() for g in grams})  # what can be predicted: not the start mark
-    fitted = [_fit_language(counts[lang], order, symbols) for lang in languages]
-
-    def probability(at: int, gram: str) -> float:
-        probabilities, backoff, floor = fitted[at]
-        weight = 1.0
-        while gram:
-            if (p := probabilities[len(gram)].get(gram)) is not None:
-                return weight * p
-            if len(gram) > 1:
-                weight *= backoff[len(gram)].get(gram[:-1], 1.0)
-            gram = gram[1:]
-        return weight * floor
-
-    def table(keys: list[str], value) -> tuple[np.ndarray, np.ndarray]:
-        hashes = _gram_hashes(keys)
-        rows = np.log(np.array([[value(at, k) for at in range(len(languages))] for k in keys], np.float64).reshape(len(keys), len(languages))).astype(np.float32)
-        by_hash = np.argsort(hashes)
-        return hashes[by_hash], rows[by_hash]
-
-    grams, contexts = [], []
-    for size in range(1, order + 1):
-        grams.append(table(sorted({g for f in fitted for g in f[0][size]}), probability))
-        kept = sorted({c for f in fitted for c in f[1][size]}) if size > 1 else []
-        contexts.append(table(kept, lambda at, c, size=size: fitted[at][1][size].get(c, 1.0)))
-    return Model(languages, grams, contexts, np.log([f[2] for f in fitted]).astype(np.float32))
+    return Model(languages, [fit_language(counts[lang], order, symbols) for lang in languages])
 
 
 class Scorer:
@@ -235,7 +244,7 @@ class Scorer:
         chunks = [(t or "").split() for t in texts]
         seen = {c for own in chunks for c in own}
         fresh = [c for c in seen if c not in self.index]
-        if len(self.index) + len(fresh) > _CACHE:
+        if len(self.index) + len(fresh) > min(_CACHE, _CACHED_NUMBERS // max(1, len(self.model.languages))):
             self.__init__(self.model)
             fresh = list(seen)
         if fresh:
@@ -250,25 +259,26 @@ class Scorer:
         return sums, sizes, words
 
 
-def _calibrate(model: Model, own: np.ndarray, sums: np.ndarray, sizes: np.ndarray, words: np.ndarray) -> None:
+def _losses(entropy: np.ndarray, own: int) -> list[float]:
+    """What a text's label costs at each temperature of the grid."""
+    logits = -(entropy - entropy.min())[None, :] * _GRID[:, None]
+    return (np.log(np.exp(logits).sum(1)) - logits[:, own]).tolist()
+
+
+def _calibrate(model: Model, told: list) -> None:
     """Set temperature, center and reach from labelled texts that the counts don't hold: each one's language (its place),
-    log probabilities per language, symbols and words."""
+    cross-entropy under it, number of words, and losses."""
     count = len(model.languages)
     model.center, model.reach = np.full(count, np.inf), np.zeros(count)
-    ok = sizes > 0
-    own, entropy, words = own[ok], -sums[ok] / np.maximum(sizes[ok], 1)[:, None], words[ok]
+    own = np.array([r["place"] for r in told], np.int64)
+    entropy, words = np.array([r["entropy"] for r in told], np.float64), np.array([r["words"] for r in told], np.int64)
     for at in range(count):
-        mine = entropy[own == at, at]
+        mine = entropy[own == at]
         if len(mine):
             model.center[at] = np.average(mine, weights=words[own == at])
             model.reach[at] = np.max((mine - model.center[at]) * np.sqrt(words[own == at]), initial=0.0)
-    if len(own) and count > 1:
-        losses = []
-        for temperature in (grid := np.geomspace(0.5, 200, 40)):
-            logits = -entropy * temperature
-            logits -= logits.max(1, keepdims=True)
-            losses.append(-np.mean(logits[np.arange(len(own)), own] - np.log(np.exp(logits).sum(1))))
-        model.temperature = float(grid[int(np.argmin(losses))])
+    if told and count > 1:
+        model.temperature = float(_GRID[int(np.argmin(np.mean([r["losses"] for r in told], axis=0)))])
 
 
 def held_out(key: Column) -> Column:
@@ -276,22 +286,19 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE, order: int = ORDER) -> Model:
-    """Fit on df's rows with a label and a text, those of the held-out fold excepted."""
-    ship(df.sparkSession)
-    labelled = df.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
-    # One more than allowed, to tell that there are too many.
-    sizes = {r[label]: r["count"] for r in labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} different labels")
-    if not sizes:
-        return Model([], [], [], np.zeros(0, np.float32))
+def _sample(labelled: DataFrame, sizes: dict[str, int], docs: int, chars: int) -> DataFrame:
+    """(lang, text, nth) of the rows to learn from, at most so many rows and characters of each language."""
     # A hash below the language's share takes about a quarter more rows than wanted, of which the first ones stay.
-    lot = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("langid")), F.lit(1 << 32))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 32, int((1 << 32) * 1.25 * (docs_per_language + 20) / n)))])
-    drawn = labelled.where(lot < F.element_at(share, F.col(label))).select(F.col(label).alias("lang"), F.col(text).alias("text"), lot.alias("lot"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("lot", "text"))
-    sample = drawn.withColumn("nth", nth).where(F.col("nth") <= docs_per_language)
+    lot = F.pmod(F.xxhash64(F.col("key"), F.lit("langid")), F.lit(1 << 32))
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1 << 32, int((1 << 32) * 1.25 * (docs + 20) / n)))])
+    drawn = labelled.where(lot < F.element_at(share, F.col("lang"))).select("lang", "text", lot.alias("lot"))
+    order = Window.partitionBy("lang").orderBy("lot", "text")
+    placed = drawn.withColumns({"nth": F.row_number().over(order), "sum": F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    return placed.where((F.col("nth") <= docs) & ((F.col("sum") <= chars) | (F.col("nth") == 1))).select("lang", "text", "nth")
+
+
+def _counted(sample: DataFrame, order: int) -> DataFrame:
+    """(lang, gram, n)."""
 
     def count(frames):
         for frame in frames:
@@ -302,33 +309,58 @@ def train(df: DataFrame, text: str = "text", label: str = "lang", key: str = "do
                         marked = _START + word + _END
                         for end in range(2, len(marked) + 1):
                             found[lang][marked[max(0, end - order) : end]] += n
-            import pandas as pd
-
             yield pd.DataFrame([(lang, g, n) for lang, grams in found.items() for g, n in grams.items()], columns=["lang", "gram", "n"])
 
-    rows = sample.where("nth % 5 != 0").select("lang", "text").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
-    counts: dict[str, dict[str, int]] = {lang: {} for lang in sizes}
-    for r in rows:
-        counts[r["lang"]][r["gram"]] = r["n"]
-    model = fit({lang: grams for lang, grams in counts.items() if grams}, order)
+    return sample.select("lang", "text").mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def _fit_on_executors(counts: DataFrame, order: int) -> Model:
+    """A language is a group, whose n-grams the sample bounds."""
+    symbols = counts.select(F.substring("gram", -1, 1).alias("symbol")).distinct().count()
+
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        found = fit_language(dict(zip(frame["gram"].tolist(), frame["n"].tolist(), strict=True)), order, symbols)
+        packed = [x.tobytes() for tables in (found.grams, found.contexts) for table in tables for x in table]
+        return pd.DataFrame({"lang": [key[0]], "floor": [found.floor], "packed": [packed]})
+
+    rows = counts.groupBy("lang").applyInPandas(one, "lang string, floor double, packed array<binary>").orderBy("lang").collect()
+    # An order's hashes and values stand beside each other, n-grams before contexts.
+    table = lambda packed, at: (np.frombuffer(packed[2 * at], np.uint64), np.frombuffer(packed[2 * at + 1], np.float32))
+    fitted = [LanguageModel([table(r["packed"], k) for k in range(order)], [table(r["packed"], order + k) for k in range(order)], r["floor"]) for r in rows]
+    return Model([r["lang"] for r in rows], fitted)
+
+
+def train(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", docs_per_language: int = DOCS_PER_LANGUAGE, order: int = ORDER, chars_per_language: int = CHARS_PER_LANGUAGE) -> Model:
+    """Fit on df's rows with a label and a text, those of the held-out fold excepted."""
+    spark = df.sparkSession
+    ship(spark)
+    usable = df.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
+    labelled = usable.select(F.col(label).alias("lang"), F.col(text).alias("text"), F.col(key).cast("string").alias("key"))
+    # One more than allowed, to tell that there are too many.
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} different labels")
+    if not sizes:
+        return Model([], [])
+    sample = stored(_sample(labelled, sizes, docs_per_language, min(chars_per_language, TOTAL_CHARS // len(sizes))), "langid-sample")
+    counts = stored(_counted(sample.where("nth % 5 != 0"), order), "langid-counts")
+    model = _fit_on_executors(counts, order)
     if model.languages:
         # The texts stay on the executors; a row of numbers for each comes here.
-        sent = df.sparkSession.sparkContext.broadcast(model)
+        sent = spark.sparkContext.broadcast(model)
 
         def score(frames):
-            scorer = Scorer(sent.value)
-            import pandas as pd
-
+            place, scorer = {lang: at for at, lang in enumerate(sent.value.languages)}, Scorer(sent.value)
             for frame in frames:
                 for lang, value in zip(frame["lang"], frame["text"], strict=True):
                     sums, sizes, words = scorer([value])
-                    yield pd.DataFrame({"lang": [lang], "sums": [sums[0].tolist()], "size": [int(sizes[0])], "words": [int(words[0])]})
+                    if sizes[0] and lang in place:
+                        entropy, own = -sums[0] / sizes[0], place[lang]
+                        yield pd.DataFrame({"place": [own], "entropy": [entropy[own]], "words": [int(words[0])], "losses": [_losses(entropy, own)]})
 
-        told = sample.where("nth % 5 = 0").select("lang", "text").mapInPandas(score, "lang string, sums array<double>, size long, words long").collect()
-        place = {lang: at for at, lang in enumerate(model.languages)}
-        told = [r for r in told if r["lang"] in place]
-        sums = np.array([r["sums"] for r in told], np.float64).reshape(len(told), len(model.languages))
-        _calibrate(model, np.array([place[r["lang"]] for r in told], np.int64), sums, np.array([r["size"] for r in told], np.int64), np.array([r["words"] for r in told], np.int64))
+        _calibrate(model, sample.where("nth % 5 = 0").select("lang", "text").mapInPandas(score, "place long, entropy double, words long, losses array<double>").collect())
+        sent.unpersist()
+    let_go(sample, counts)
     return model
 
 

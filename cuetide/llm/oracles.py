@@ -7,14 +7,14 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 #: Windows of ten words, or a short item's only one, as texts; a document's windows of each length are joined to them.
 DECONTAMINATION = rf"""
 with dw as (select doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
-bw as (select item_id::varchar as item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null),
+bw as (select item_id::varchar as item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
 bs as (select item, w, least(10, len(w)) as size from bw where len(w) > 0),
 bk as (select distinct item, size, array_to_string(w[k + 1 : k + size], ' ') as t from (select *, unnest(range(len(w) - size + 1)) as k from bs)),
 sizes as (select distinct size from bk),
 dk as (select doc_id, size, k, array_to_string(w[k + 1 : k + size], ' ') as t from (select doc_id, w, size, unnest(range(greatest(len(w) - size + 1, 0))) as k from dw, sizes)),
 hits as (select doc_id, item, k, dk.size from dk join bk on bk.size = dk.size and bk.t = dk.t),
 places as (select doc_id, count(*) as n_hit from (select distinct doc_id, unnest(range(k, k + size)) as p from hits) group by 1),
-items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as listed from (select distinct doc_id, item from hits) group by 1)
+items as (select doc_id, count(item) as n_items, string_agg(item, ',' order by item) as listed from (select distinct doc_id, item from hits) group by 1)
 select dw.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(listed, '')) as items_sha256, n_hit is not null as contaminated
 from dw left join places using (doc_id) left join items using (doc_id)
 """

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from test_duplicates import brute_hits
 
 from cuetide.llm import bpe, decontam, langid, queries, substring
@@ -51,6 +52,46 @@ def test_every_label_is_learned(spark):
             langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
 
 
+def test_two_hundred_languages_take_little_of_the_driver(spark):
+    """The driver holds 12 bytes for each n-gram of each language, not a row of all languages for each n-gram."""
+    import random
+    import tracemalloc
+
+    draw = random.Random(3)
+    rows = []
+    for at in range(200):
+        letters = "".join(draw.sample("abcdefghijklmnopqrstuvwxyzäöüßéèçñ", 12))
+        rows += [(200 * i + at, " ".join("".join(draw.choice(letters) for _ in range(draw.randrange(2, 9))) for _ in range(60)), f"l{at:03}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(8)
+    tracemalloc.start()
+    model = langid.train(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.languages) == 200 and peak < 200 << 20
+    held = docs.where(langid.held_out(F.col("doc_id")))
+    right = langid.predict(held, model).selectExpr("avg(int(lang_pred = lang))").first()[0]
+    assert right > 0.9
+
+
+def test_characters_of_the_sample_are_bounded(spark):
+    rows = [(i, ("ab" if i % 2 else "cd") * 500, "x" if i % 2 else "y") for i in range(100)]
+    labelled = spark.createDataFrame(rows, "key string, text string, lang string")
+    sizes = {"x": 50, "y": 50}
+    got = {r.lang: (r["n"], r["nth"]) for r in langid._sample(labelled, sizes, 400, 4500).groupBy("lang").agg(F.count("*").alias("n"), F.max("nth").alias("nth")).collect()}
+    assert got == {"x": (4, 4), "y": (4, 4)}
+    # A first row stays even if it alone is longer.
+    assert langid._sample(labelled, sizes, 400, 10).count() == 2
+
+
+def test_items_without_an_id_hit_words(spark):
+    docs = spark.createDataFrame([(1, "x a b c d y"), (2, "x e f g h y"), (3, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b c d"), (7, "e f g h"), (None, "e f g h"), (None, None)], "item_id long, text string")
+    for block in (1, 2, 1000):
+        got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.report(decontam.find_hits(docs, bench, n=3, block_windows=block)).collect()}
+        assert got == {1: (4, 0, decontam.items_digest([]), True), 2: (4, 1, decontam.items_digest(["7"]), True), 3: (0, 0, decontam.items_digest([]), False)}
+        assert [r.doc_id for r in decontam.drop_contaminated(docs, bench, n=3, block_windows=block).collect()] == [3]
+
+
 def test_blocks_of_symbols_change_nothing(monkeypatch):
     counts = {"x": {"\x02a": 3, "\x02b": 1, "\x02ab": 3, "ab\x03": 2, "aba": 1, "ba\x03": 1}, "y": {"\x02q": 2, "\x02q\x03": 2}}
     model = langid.fit(counts, 3)
