@@ -114,6 +114,22 @@ def family_path(url: Column) -> Column:
     return _replaced(canonical_path(path(url)), _VARIANTS)
 
 
+# Hosts and paths of a site whose media have an identity and a track number in their names.
+_SITE_HOST, _SITE_PATH = r"(?i)(?:^|\.)(?:bilibili(?:video)?\.com|bilivideo\.(?:com|cn))$", r"(?i)/upgcxcode/"
+_SITE_MEDIUM, _SITE_TRACK = r"(?i)/upgcxcode/(?:[^/]+/){0,4}(\d+)(?:/|$)", r"(?i)^(\d+-\d+)-(\d+)\.(?:m4s|mp4)$"
+
+
+def site_medium(url: Column) -> Column:
+    """The identity of a site's medium, the same on all of its hosts; null for other URLs."""
+    name, by_path = F.regexp_extract(filename(url), _SITE_TRACK, 1), F.regexp_extract(path(url), _SITE_MEDIUM, 1)
+    return F.when(host(url).rlike(_SITE_HOST) | path(url).rlike(_SITE_PATH), F.coalesce(F.nullif(name, F.lit("")), F.nullif(by_path, F.lit("")), family_path(url)))
+
+
+def site_track(url: Column) -> Column:
+    """The track number in the name of such a medium, else null."""
+    return F.nullif(F.regexp_extract(filename(url), _SITE_TRACK, 2), F.lit(""))
+
+
 def canonical_url(url: Column) -> Column:
     return F.when(is_absolute(url), F.concat(host(url), canonical_path(path(url)))).otherwise(F.coalesce(url, F.lit("")))
 

@@ -137,3 +137,46 @@ def choose_plan(plans: DataFrame) -> DataFrame:
     step = F.when(kind == "dash", 0).when(kind == "fragments", 1).when(kind == "direct", 2).when(kind == "muxed", 3).otherwise(4)
     order = F.struct(rank, F.when(kind == "hls", -F.col("confidence")).otherwise(F.lit(0.0)), step, F.col("ord"))
     return plans.groupBy("media_id").agg(F.min_by(F.struct("kind", "ord"), order).alias("p")).select("media_id", "p.kind", "p.ord")
+
+
+def fingerprint(url: Column, kind: Column, ext: Column, role: Column, content_type: Column, picture: Column) -> Column:
+    """What candidates of one medium share: a site's own identity and track; the exact URL of manifests; for sound and
+    pictures the canonical URL, and the track if the file is a segment; else kind and canonical URL. picture: whether its
+    size is known."""
+    typed = urls.content_type(content_type)
+    sound, shown = (kind == "audio") | typed.startswith("audio/"), (kind == "video") | typed.startswith("video/") | picture
+    track = urls.site_track(url)
+    spoken = urls.filename(url).rlike(r"(?i)(?:^|-)302(?:16|32|80)(?=\.m4s$)") | urls.path(url).rlike("(?i)/audio/")
+    site = F.when(track.isNotNull(), F.concat(F.lit("track:"), track)).when(spoken | sound, "role:audio").when(shown, "role:video").otherwise(F.concat(F.lit("role:"), F.coalesce(F.nullif(kind, F.lit("")), F.lit("media"))))
+    number = F.regexp_extract(urls.filename(url), r"(?i)(?:^|[-_])(\d{4,6})(?=\.(?:m4s|mp4)$)", 1)
+    part = F.when(number != "", F.concat(F.lit(":track:"), number)).when((role == "audio") | sound, ":role:audio").when((role == "video") | shown, ":role:video").otherwise("")
+    part = F.when(urls.filename(url).rlike(r"(?i)\.(?:m4s|mp4)$"), part).otherwise("")
+    whole = lambda c: F.coalesce(F.nullif(c, F.lit("")), url, F.lit(""))
+    manifest = kind.isin("hls", "dash") | ext.isin(urls.MANIFEST_EXTENSIONS)
+    same = role.isin("audio", "video", "playlist", "media") | kind.isin("audio", "video", "hls", "dash", "media")
+    return urls.let(
+        urls.site_medium(url),
+        lambda medium: F.when(medium.isNotNull(), F.concat_ws(":", F.lit("site"), medium, site))
+        .when(F.coalesce(manifest, F.lit(False)), F.concat_ws(":", kind, whole(urls.exact_url(url))))
+        .when(F.coalesce(same, F.lit(False)), F.concat(F.lit("media:"), urls.canonical_url(url), part))
+        .otherwise(F.concat_ws(":", kind, whole(urls.canonical_url(url)))),
+    )
+
+
+def same_target(wanted: DataFrame, known: DataFrame) -> DataFrame:
+    """wanted: tab, id, url, kind, ext, role, content_type, picture. known: these and ord. For each wanted row the first known
+    one of its tab (by ord, then id) that has its URL, its canonical URL or its fingerprint: (tab, id, target, by), by
+    naming the closest of the three ways in which that one matches. Rows without a URL match nothing, and rows without a
+    match have no row.
+
+    Three lookups in one equality join: each row has up to three keys, known ones are brought down to the first of each
+    key before, so a key costs one row there however many candidates share it."""
+    u = F.col("url")
+    fp = fingerprint(u, *[F.coalesce(F.col(c), F.lit("")) for c in ("kind", "ext", "role", "content_type")], F.coalesce("picture", F.lit(False)))
+    ways = [("url", u), ("canonical", urls.canonical_url(u)), ("fingerprint", fp)]
+    keys = F.explode(F.array(*[F.struct(F.lit(i).alias("way"), c.alias("key")) for i, (_, c) in enumerate(ways)]))
+    keyed = lambda df, *more: df.where(F.coalesce("url", F.lit("")) != "").select("tab", "id", *more, keys.alias("x")).select("tab", "id", *more, "x.way", "x.key").where("key <> ''")
+    first = keyed(known, "ord").groupBy(F.col("tab").alias("_t"), F.col("way").alias("_w"), F.col("key").alias("_k")).agg(F.min(F.struct("ord", "id")).alias("first"))
+    pairs = keyed(wanted).join(first, (F.col("tab") == F.col("_t")) & (F.col("way") == F.col("_w")) & (F.col("key") == F.col("_k")))
+    best = pairs.groupBy("tab", "id").agg(F.min(F.struct("first", "way")).alias("b"))
+    return best.select("tab", "id", F.col("b.first.id").alias("target"), F.element_at(F.array(*[F.lit(n) for n, _ in ways]), F.col("b.way") + 1).alias("by"))

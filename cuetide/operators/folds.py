@@ -11,7 +11,8 @@ import itertools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuetide.params import P
@@ -96,6 +97,35 @@ def sentences(df: DataFrame, chars: int = 32, silence: float = 0.8, seconds: flo
     return fold(df.select("media_id", "ord", "s", "e", "text"), "media_id", ["s", "e", "ord"], "media_id long, idx long, s double, e double, text string, words long", step)
 
 
+def media_score(visible: Column, playing: Column, is_video: Column, width: Column, height: Column, ready: Column, has_duration: Column, has_source: Column) -> Column:
+    """How much a medium of a page is the one that is watched. The points of each sign."""
+    points = lambda sign, n: F.when(sign, n).otherwise(0)
+    n = lambda c: F.greatest(F.lit(0), F.coalesce(c, F.lit(0)))
+    return points(visible, 100_000_000) + points(playing, 500_000) + points(is_video, 1_000_000) + n(width) * n(height) + n(ready) * 1_000 + points(has_duration, 10_000) + points(has_source, 5_000)
+
+
+def primary_medium(df: DataFrame) -> DataFrame:
+    """df: media_id (a page), at, ord (a medium of it), score, visible, playing, a row for each medium seen at a time. The
+    medium that is watched at each time: the one before stays while it is visible or playing, unless one that is both has a
+    higher score; else the highest score wins, then the lowest ord. (media_id, at, ord)."""
+
+    def step(rows: Iterator[dict]) -> Iterator[tuple]:
+        last = None
+        for at, seen in itertools.groupby(rows, lambda r: r["at"]):
+            best = better = stays = page = None
+            seen = sorted(seen, key=lambda r: (-r["score"], r["ord"]))  # the media of one page at one time
+            for r in seen:
+                page = r["media_id"]
+                best = r if best is None else best
+                stays = r if r["ord"] == last and (r["visible"] or r["playing"]) else stays
+                better = r if better is None and r["visible"] and r["playing"] and r["ord"] != last else better
+            chosen = best if stays is None else better if better is not None and better["score"] > stays["score"] else stays
+            last = chosen["ord"]
+            yield page, at, last
+
+    return fold(df.select("media_id", "at", "ord", "score", "visible", "playing"), "media_id", ["at", "ord"], "media_id long, at long, ord long", step)
+
+
 def clip_windows(df: DataFrame, seconds: float = P.pack_seconds) -> DataFrame:
     """Speech intervals to windows that start with one and last at most so long, unless one interval is longer.
     (media_id, idx, s, e, members)."""

@@ -78,6 +78,22 @@ def to_run_again(df: DataFrame, failed: str = "failed", done: str = "completed")
     return both.where(F.when(F.col("_any"), F.col("stage") == failed).otherwise(F.col("stage") != done)).drop("_job", "_any")
 
 
+def retry_steps(df: DataFrame) -> DataFrame:
+    """df: job, chunk, stage, source_rows (null or 0: none), translated (boolean), translation_failures, asr_failures, audio
+    (boolean). What a job runs again, and from where: (job, chunk, step). Its failed chunks; if it has none, those with
+    source rows that are not completed, not translated, or have lines that failed; if there are none of these either, all
+    that have audio. A chunk with source rows and no failed audio is translated again, any other is recognised again."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    failed = F.coalesce(F.col("stage") == "failed", F.lit(False))
+    open_ = (n("source_rows") > 0) & (~F.coalesce(F.col("stage") == "completed", F.lit(False)) | ~F.coalesce("translated", F.lit(False)) | (n("translation_failures") > 0))
+    level = F.when(failed, 3).when(open_, 2).when(F.coalesce("audio", F.lit(False)), 1).otherwise(0)
+    # Chunks of a lower level than their job's do not run; an open chunk with audio also counts where all audio does.
+    most = df.groupBy(F.col("job").alias("_job")).agg(F.max(level).alias("_most"))
+    both = df.join(most, F.col("job") == F.col("_job")).where((F.col("_most") > 0) & (level == F.col("_most")))
+    step = F.when((n("source_rows") > 0) & (n("asr_failures") <= 0), "translate").otherwise("recognise")
+    return both.select("job", "chunk", step.alias("step"))
+
+
 def replaced_with_fallback(old: DataFrame, new: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """New values in place of old ones; where the new row is missing, or a value of it, the old one stays."""
     named = new.select(*[F.col(k).alias(f"_{k}") for k in keys], *[F.col(v).alias(f"_new_{v}") for v in values])

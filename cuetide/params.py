@@ -67,6 +67,11 @@ class Params:
     group_count: int = 60
     translation_seconds: float = 900.0
     translation_batch: int = 60
+    # Polled tasks: pauses in seconds, and chunks of a medium up to which speakers are told apart.
+    poll_first: float = 10.0
+    poll_most: float = 30.0
+    poll_deadline: float = 7200.0
+    speaker_chunks: int = 3
     # Retention.
     candidates_kept: int = 80
     cache_entries: int = 80

@@ -30,7 +30,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from cuetide.plans import q_assets, q_intervals, q_joins, q_media, q_more, q_normalise, q_parts, q_ranking, q_runs, q_scalars, q_sources, q_streaming  # noqa: F401
+    from cuetide.plans import q_assets, q_attempts, q_intervals, q_joins, q_media, q_more, q_normalise, q_parts, q_ranking, q_runs, q_scalars, q_services, q_sources, q_streaming  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -128,7 +128,7 @@ def j05(spark, d):
     return iv.best_interval(ad.views(spark, d), ad.speech(spark, d)).select("media_id", "ord", F.col("interval").cast("long").alias("interval_idx"))
 
 
-_GAPS = """spn as (select sp.media_id, sp.idx, sp.s, sp.e, case when sg.s is not null then greatest(sp.s, sg.s - 0.35e0) end as cs, case when sg.s is not null then least(sp.e, sg.e + 0.35e0) end as ce
+GAPS = """spn as (select sp.media_id, sp.idx, sp.s, sp.e, case when sg.s is not null then greatest(sp.s, sg.s - 0.35e0) end as cs, case when sg.s is not null then least(sp.e, sg.e + 0.35e0) end as ce
   from sp left join sg on sg.media_id = sp.media_id and sp.s < sg.e + 0.35e0 and sg.s - 0.35e0 < sp.e),
 rc as (select *, coalesce(max(ce) over (partition by media_id, idx order by cs, ce rows between unbounded preceding and 1 preceding), s) as reach from spn),
 gp as (select media_id, idx, s, e from (
@@ -136,7 +136,7 @@ gp as (select media_id, idx, s, e from (
   select media_id, idx, coalesce(max(ce), min(s)) as s, e from spn group by media_id, idx, e having coalesce(max(ce), min(s)) < e) where e - s >= 0.08e0)"""
 
 
-@query("j11_uncovered_speech", ad.with_views(EV, SP, SG, _GAPS) + f"select media_id, idx, {MS('s')} as s_ms, {MS('e')} as e_ms from gp")
+@query("j11_uncovered_speech", ad.with_views(EV, SP, SG, GAPS) + f"select media_id, idx, {MS('s')} as s_ms, {MS('e')} as e_ms from gp")
 def j11(spark, d):
     return _ms(iv.uncovered(ad.speech(spark, d), ad.views(spark, d)), "idx")
 
@@ -167,7 +167,7 @@ def j10(spark, d):
     return iv.as_of_piece(points, pieces).select("map_id", "point_id", millis(F.col("source_t")).alias("source_ms"))
 
 
-@query("a10_speech_coverage", ad.with_views(EV, SP, SG, _GAPS.replace(">= 0.08e0", "> 0")) + f""", sig as (select * from sp where e - s >= 0.15e0), tot as (select media_id, sum(e - s) as speech, count(*) as n from sig group by 1),
+@query("a10_speech_coverage", ad.with_views(EV, SP, SG, GAPS.replace(">= 0.08e0", "> 0")) + f""", sig as (select * from sp where e - s >= 0.15e0), tot as (select media_id, sum(e - s) as speech, count(*) as n from sig group by 1),
 unc as (select media_id, sum(gp.e - gp.s) as missing from gp join sig using (media_id, idx) group by 1)
 select media_id, n, {MS('speech')} as speech_ms, {MS('coalesce(missing, 0)')} as missing_ms, coalesce(missing, 0) >= least(1e0, greatest(0.15e0, speech * 0.25e0)) as retry from tot left join unc using (media_id)""")
 def a10(spark, d):

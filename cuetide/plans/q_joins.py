@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cuetide.functions.text import clean_import, clean_plain
 from cuetide.functions.times import millis
-from cuetide.operators import export, reconcile
+from cuetide.operators import candidates, export, reconcile
 from cuetide.plans import adapters as ad
 from cuetide.plans.catalog import query
 
@@ -163,6 +163,31 @@ def j22(spark, d):
     return bare.join(targets, F.col("u") == F.col("_u")).select("page_id", "target_id", "members")
 
 
+#: Candidates of a key k: a site's medium on one of its hosts, or a stream in a variant. Their URL, canonical URL and
+#: fingerprint by construction.
+_CANDIDATE = """select tab, id, k, case when k % 4 = 0 then 'https://cdn' || k % 3 || '.bilivideo.com/upgcxcode/a/' || k % 40 || '-1-30280.m4s?e=' || k % 5 else 'https://h.example/' || case k % 3 when 0 then '720p' when 1 then '128k' else 'x' end || '/seg-' || k % 40 || case when k % 2 = 0 then '.m3u8' else '.mp4' end || '?t=' || k % 5 end as url,
+case when k % 4 = 0 then 'cdn' || k % 3 || '.bilivideo.com/upgcxcode/a/' || k % 40 || '-1-{track}.m4s' else 'h.example/' || case when k % 3 < 2 then '{quality}' else 'x' end || '/seg-' || k % 40 || case when k % 2 = 0 then '.m3u8' else '.mp4' end end as canonical,
+case when k % 4 = 0 then 'site ' || k % 40 else url end as fingerprint"""
+
+
+def _target_candidates(df, tab: str, key: str):
+    k = F.col("k")
+    text = lambda c: c.cast("string")
+    site = F.concat(F.lit("https://cdn"), text(k % 3), F.lit(".bilivideo.com/upgcxcode/a/"), text(k % 40), F.lit("-1-30280.m4s?e="), text(k % 5))
+    other = F.concat(F.lit("https://h.example/"), F.when(k % 3 == 0, "720p").when(k % 3 == 1, "128k").otherwise("x"), F.lit("/seg-"), text(k % 40), F.when(k % 2 == 0, ".m3u8").otherwise(".mp4"), F.lit("?t="), text(k % 5))
+    rows = df.select(F.col(tab).alias("tab"), F.col(key).alias("id"), F.col(key).alias("k"))
+    kind = F.when(k % 4 == 0, "audio").when(k % 2 == 0, "hls").otherwise("media")
+    return rows.select("tab", "id", F.when(k % 4 == 0, site).otherwise(other).alias("url"), kind.alias("kind"), F.lit("").alias("ext"), F.lit("").alias("role"), F.lit(None).cast("string").alias("content_type"), F.lit(None).cast("boolean").alias("picture"), (-k).alias("ord"))
+
+
+@query("j22_or_match", f"""with known as ({_CANDIDATE} from (select c_nationkey as tab, c_custkey as id, c_custkey as k from customer)), wanted as ({_CANDIDATE} from (select s_nationkey as tab, s_suppkey as id, s_suppkey as k from supplier)),
+p as (select w.tab, w.id, known.id as target, case when w.url = known.url then 'url' when w.canonical = known.canonical then 'canonical' else 'fingerprint' end as by from wanted w join known on w.tab = known.tab and (w.url = known.url or w.canonical = known.canonical or w.fingerprint = known.fingerprint))
+select * from p qualify row_number() over (partition by tab, id order by target desc) = 1""")
+def j22_or(spark, d):
+    """Candidates to start with, and the newest one known of the tab that means the same."""
+    return candidates.same_target(_target_candidates(ad.table(spark, d, "supplier"), "s_nationkey", "s_suppkey"), _target_candidates(ad.table(spark, d, "customer"), "c_nationkey", "c_custkey"))
+
+
 @query("p15_restore_words", """with pc as (select user_id as map_id, row_number() over (partition by user_id order by event_id) - 1 as n, epoch_us(ts) / 1e9 as src from events where event_type = 'purchase'),
 pieces as (select map_id, n * 10e0 as out_s, n * 10e0 + 8 as out_e, src as src_s, src + 16 as src_e from pc),
 w as (select user_id as map_id, event_id, value as s, value + 1 as e from events where event_type = 'click'),

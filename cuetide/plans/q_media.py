@@ -75,13 +75,18 @@ def iv13(spark, d):
     return folds.group_segments(rows, 60.0, 3)
 
 
-@query("st03_logical_chunks", "with recursive " + EV + """, nb as (select media_id, ord, s, e, text = 'click' as quiet, case when text <> 'error' then s end as vs, case when text <> 'error' then e end as ve, row_number() over (partition by media_id order by s, ord) as n from ev where e > s),
+def logical_parts_sql(context: str = "false") -> str:
+    """Views nb (a media's parts, numbered) and fo (the chunk told for each part; null: none). context: whether a part is a
+    chunk of its own."""
+    return "with recursive " + EV + f""", nb as (select *, {context} as ctx from (select media_id, ord, s, e, text = 'click' as quiet, case when text <> 'error' then s end as vs, case when text <> 'error' then e end as ve, row_number() over (partition by media_id order by s, ord) as n from ev where e > s)),
 fo as (select media_id, 0::bigint as n, 0::bigint as ord, 0 as num, null::double as st, 0e0 as en, null::double as sp, null::int as told from (select distinct media_id from nb) union all
-  select media_id, n, ord, case when quiet then num + (st is not null)::int else num1 + (e - st1 >= 30)::int end, case when quiet or e - st1 >= 30 then null else st1 end, case when quiet then en else e end,
-    case when quiet then case when st is not null then null else sp end when e - st1 >= 30 then null else coalesce(ve, sp1) end, case when quiet then null else num1 end
-  from (select *, num + brk::int as num1, case when brk or st is null then s else st end as st1, case when brk then null else sp end as sp1 from (
-    select nb.*, fo.num, fo.st, fo.en, fo.sp, fo.st is not null and ((fo.sp is not null and nb.vs is not null and nb.vs - fo.sp >= 2) or fo.en - fo.st + (nb.e - nb.s) > 30) as brk from fo join nb on nb.media_id = fo.media_id and nb.n = fo.n + 1)))
-select media_id, ord, told::bigint as chunk from fo where told is not null""")
+  select media_id, n, ord, case when quiet then num + (st is not null)::int else num1 + full_::int end, case when quiet or full_ then null else st1 end, case when quiet then en else e end,
+    case when quiet then case when st is not null then null else sp end when full_ then null else coalesce(ve, sp1) end, case when quiet then null else num1 end
+  from (select *, ctx or e - st1 >= 30 as full_ from (select *, num + brk::int as num1, case when brk or st is null then s else st end as st1, case when brk then null else sp end as sp1 from (
+    select nb.*, fo.num, fo.st, fo.en, fo.sp, fo.st is not null and (nb.ctx or (fo.sp is not null and nb.vs is not null and nb.vs - fo.sp >= 2) or fo.en - fo.st + (nb.e - nb.s) > 30) as brk from fo join nb on nb.media_id = fo.media_id and nb.n = fo.n + 1))))"""
+
+
+@query("st03_logical_chunks", logical_parts_sql() + " select media_id, ord, told::bigint as chunk from fo where told is not null")
 def st03(spark, d):
     """Parts of audio to logical chunks, in a batch."""
     ev = ad.event_segments(spark, d).where("e > s")

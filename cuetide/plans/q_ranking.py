@@ -101,11 +101,10 @@ _MARKUP = "'<video src=\"https://cdn.example.org/v/' || (page_id // 5 * 5) || '.
 _URL_IN_TEXT = "(?i)((?:https?:)?//[a-z0-9\\[][^\\s\"''<>\\\\)]*)"
 
 
-@query("sc06_markup_urls", f"""with m as (select page_id, url, {_MARKUP} as body from pages), k as (select *, row_number() over (partition by length(body), substr(body, 1, 512), right(body, 512) order by page_id) as nth from m where length(body) <= 2000000),
-u as (select page_id, url, unnest(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(body, '&amp;', '&', 'gi'), '&quot;|&#39;|&apos;|&lt;|&gt;', ' ', 'gi'), '{_URL_IN_TEXT}', 1))) as found from k where nth = 1)
+@query("sc06_markup_urls", f"""with m as (select page_id, url, {_MARKUP} as body from pages), u as (select page_id, url, unnest(list_distinct(regexp_extract_all(regexp_replace(regexp_replace(body, '&amp;', '&', 'gi'), '&quot;|&#39;|&apos;|&lt;|&gt;', ' ', 'gi'), '{_URL_IN_TEXT}', 1))) as found from m)
 select distinct page_id, case when starts_with(found, '//') then regexp_extract(url, '^([A-Za-z]+:)', 1) || found else found end as target from u""")
 def sc06(spark, d):
-    """URLs in the markup of pages, each markup once."""
+    """URLs in the markup of pages."""
     body = F.expr(_MARKUP.replace("page_id // 5", "page_id div 5"))
     return sources_of_pages.markup_urls(_pages(spark, d).select("page_id", "url", body.alias("html"))).select("page_id", "target")
 

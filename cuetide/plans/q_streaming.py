@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuetide.operators import jobs as batch_jobs
 from cuetide.operators import retention, windows
 from cuetide.plans import adapters as ad
 from cuetide.plans.catalog import query
+from cuetide.plans.q_media import logical_parts_sql
 from cuetide.session import keep_folder, shared_dir
-from cuetide.streaming import jobs
+from cuetide.streaming import jobs, keyed
 
 
 def _source(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -37,26 +38,100 @@ def _collected(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out/*")
 
 
-@query("st01_tab_state")
+def _files(spark: SparkSession, rows: DataFrame, parts: list) -> DataFrame:
+    """Rows as a stream that brings one file after another: those that meet each condition."""
+    base = keep_folder(spark, f"{shared_dir(spark)}/cuetide/files-{uuid.uuid4().hex}")
+    for condition in parts:
+        rows.where(condition).coalesce(1).write.mode("append").parquet(base)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(base)
+
+
+def _mixed(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """A key's rows in three batches, out of order."""
+    return _files(spark, rows, ["seq % 3 = 1", "seq % 3 = 0", "seq % 3 = 2"])
+
+
+def _counted(rows: DataFrame, key: str, *order: str | Column) -> DataFrame:
+    """Adds seq, a key's count of its rows."""
+    return rows.withColumn("seq", (F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1).cast("long"))
+
+
+@query("st01_tab_state", """with recursive e as (select user_id as tab, row_number() over (partition by user_id order by event_id) - 1 as seq, event_id % 4 = 3 and event_id % 40 = 39 as nav, concat_ws('-', event_type, event_id % 50) as f, value as score from events),
+fo as (select tab, -1::bigint as seq, []::struct(s double, q bigint, f varchar)[] as kept, []::varchar[] as gone, 0 as ignored, 0 as resets from (select distinct tab from e) union all
+  select tab, seq, case when nav then [] when known then kept when len(more) > 10 then more[2:] else more end, case when nav then [] when not known and len(more) > 10 then list_append(gone, more[1].f) else gone end, case when nav then 0 else ignored + known::int end, resets + nav::int
+  from (select e.*, fo.kept, fo.gone, fo.ignored, fo.resets, list_contains(fo.gone, e.f) as known, list_sort(list_append(list_filter(fo.kept, lambda x: x.f <> e.f), {'s': e.score, 'q': e.seq::bigint, 'f': e.f})) as more from fo join e on e.tab = fo.tab and e.seq = fo.seq + 1))
+select tab, len(kept) as kept, len(kept) + len(gone) as seen, ignored, resets from fo qualify row_number() over (partition by tab order by seq desc) = 1""")
 def st01(spark, d):
-    """Events of users as candidates of tabs; an error is a navigation."""
-    events = _source(spark, d, "events")
-    stream = events.select(F.col("user_id").alias("tab"), F.concat_ws("-", "event_type", (F.col("event_id") % 50).cast("string")).alias("fingerprint"), F.col("value").alias("score"), F.col("event_id").alias("seen_at"), F.when(F.col("event_id") % 40 == 39, "navigate").otherwise("media").alias("kind"))
-    return _collected(jobs.tab_candidates(stream, 10))
+    """Events of users as candidates of tabs, one in forty a navigation."""
+    i = F.col("event_id")
+    events = ad.table(spark, d, "events").select(F.col("user_id").alias("tab"), i.alias("at"), F.when(i % 40 == 39, "navigate").otherwise("media").alias("kind"), F.lit(0).alias("frame"), F.concat_ws("-", "event_type", (i % 50).cast("string")).alias("fingerprint"), F.col("value").alias("score"))
+    told = _collected(keyed.in_order(_mixed(spark, _counted(events, "tab", "at")), "tab", keyed.TabState(10)))
+    last = told.groupBy("tab").agg(F.max_by(F.struct("*"), "applied").alias("x"))
+    return last.select("tab", "x.kept", "x.seen", "x.ignored", "x.resets")
+
+
+_FRAMES = "select user_id as tab, event_id % 3 as frame, row_number() over (partition by user_id order by event_id) - 1 as seq, case when event_id % 17 = 0 then 'navigate' when event_type = 'view' then 'context' else 'media' end as kind from events"
+
+
+@query("st02_frames_in_stream", f"""with e as ({_FRAMES}), m as (select *, max(seq) filter (kind = 'navigate' and frame = 0) over (partition by tab) as top, max(seq) filter (kind = 'navigate') over (partition by tab, frame) as own from e),
+c as (select tab, frame, max(seq) as seq from m where kind = 'context' and coalesce(seq > top, true) and coalesce(seq > own, true) group by 1, 2)
+select t.tab, coalesce(string_agg(c.seq, ',' order by c.seq), '') as contexts from (select distinct tab from e) t left join c on c.tab = t.tab group by 1""")
+def st02_stream(spark, d):
+    """What each frame of a tab is about, after the navigations of tabs and frames."""
+    i = F.col("event_id")
+    kind = F.when(i % 17 == 0, "navigate").when(F.col("event_type") == "view", "context").otherwise("media")
+    events = ad.table(spark, d, "events").select(F.col("user_id").alias("tab"), i.alias("at"), kind.alias("kind"), (i % 3).cast("int").alias("frame"), F.col("event_type").alias("fingerprint"), F.col("value").alias("score"))
+    told = _collected(keyed.in_order(_mixed(spark, _counted(events, "tab", "at")), "tab", keyed.TabState()))
+    return told.groupBy("tab").agg(F.max_by("contexts", "applied").alias("x")).select("tab", F.array_join(F.col("x").cast("array<string>"), ",").alias("contexts"))
+
+
+def _line_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of orders as chunks of 400 seconds: job, n, last, core_s, core_e, failed, duration, kind."""
+    lines = ad.table(spark, d, "lineitem")
+    chosen = lines.groupBy(F.col("l_orderkey").alias("job"), F.col("l_linenumber").alias("n")).agg(F.max_by("l_returnflag", F.struct("l_partkey", "l_suppkey")).alias("flag"))
+    n, last = F.col("n"), F.max("n").over(Window.partitionBy("job"))
+    return chosen.select("job", "n", last.alias("last"), (n * F.lit(400.0)).alias("core_s"), (n * 400.0 + 400).alias("core_e"), (F.col("flag") == "R").alias("failed"), F.lit(None).cast("double").alias("duration"), F.lit("chunk").alias("kind"))
+
+
+def _ends(chunks: DataFrame) -> DataFrame:
+    """A row for the end of each job, after its last chunk."""
+    return chunks.where("n = last").withColumns({"kind": F.lit("end"), "n": F.col("n") + 1, "failed": F.lit(False)})
 
 
 @query("st05_translation_groups", """with c as (select l_orderkey as job, l_linenumber as chunk, l_linenumber * 400 as s, l_returnflag = 'R' as failed, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey desc, l_suppkey desc) as nth from lineitem),
 k as (select *, cast(floor((s + 0.001e0) / 900e0) as bigint) as bucket from c where nth = 1), m as (select job, max(chunk) as last from k group by 1)
 select job, bucket, count(*) as chunks, count(*) filter (failed) as failed, true as complete from k group by 1, 2""")
 def st05(spark, d):
-    """Lines of orders as chunks of 400 seconds; the order's last line ends the job."""
-    lines = ad.table(spark, d, "lineitem")
-    last = lines.groupBy(F.col("l_orderkey").alias("_job")).agg(F.max("l_linenumber").alias("_last"))
-    chosen = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max_by("l_returnflag", F.struct("l_partkey", "l_suppkey")).alias("flag"))
-    base = keep_folder(spark, f"{shared_dir(spark)}/cuetide/lines-{uuid.uuid4().hex}")
-    chosen.join(last, F.col("l_orderkey") == F.col("_job")).select(F.col("l_orderkey").alias("job"), F.col("l_linenumber").cast("long").alias("chunk"), (F.col("l_linenumber") * F.lit(400.0)).alias("core_s"), (F.col("l_linenumber") * 400.0 + 400).alias("core_e"), (F.col("flag") == "R").alias("failed"), (F.col("l_linenumber") == F.col("_last")).alias("last")).write.parquet(base)
-    schema = spark.read.parquet(base).schema
-    return _drained(jobs.translation_groups(spark.readStream.schema(schema).parquet(base)))
+    """Chunks of jobs in windows of media time; the job's end closes the last."""
+    chunks = _line_chunks(spark, d)
+    rows = _counted(chunks.unionByName(_ends(chunks)), "job", "n")
+    return _drained(keyed.in_order(_mixed(spark, rows), "job", keyed.TranslationWindows()))
+
+
+@query("st06_closed_windows", """with c as (select l_orderkey as job, l_linenumber as n, l_linenumber * 400 as s, l_linenumber * 400 + 400 as e, l_returnflag = 'R' as failed, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey desc, l_suppkey desc) as nth from lineitem),
+k as (select *, cast(floor((s + 0.001e0) / 900e0) as bigint) as bucket, max(e) over (partition by job) as total from c where nth = 1),
+w as (select job, bucket, count(*) as chunks, count(*) filter (failed) as failed, max(e) as e, any_value(total) as total, max(bucket) over (partition by job) as newest from k group by 1, 2)
+select job, bucket, chunks, failed, true as complete from w where bucket < newest or job % 3 = 0 or e + 0.001 >= case when job % 3 = 1 then least((bucket + 1) * 900, total) else (bucket + 1) * 900 end""")
+def st06_closed(spark, d):
+    """Windows closed by a later one, by a chunk that reaches the end (every third job knows its length), or by the job's end
+    (every third has one); a window that nothing closes is not told."""
+    chunks = _line_chunks(spark, d)
+    total = F.max("core_e").over(Window.partitionBy("job"))
+    chunks = chunks.withColumn("duration", F.when(F.col("job") % 3 == 1, total))
+    rows = _counted(chunks.unionByName(_ends(chunks).where("job % 3 = 0")), "job", "n")
+    return _drained(keyed.in_order(_mixed(spark, rows), "job", keyed.TranslationWindows()))
+
+
+@query("st04_logical_parts", logical_parts_sql("media_id % 2 = 0 and n % 5 = 0") + """, pt as (select fo.media_id, fo.told as chunk, nb.ord, nb.s, nb.e from fo join nb on nb.media_id = fo.media_id and nb.n = fo.n where fo.told is not null)
+select media_id, chunk::bigint as chunk, min(s) as s, arg_max(e, (s, ord)) as e, count(*) as parts, arg_min(ord, (s, ord)) as first, arg_max(ord, (s, ord)) as last from pt group by 1, 2""")
+def st04(spark, d):
+    """Parts of audio to logical chunks, as they come; each fifth part of every second media carries context."""
+    ev = ad.event_segments(spark, d).where("e > s")
+    known = F.col("text") != "error"
+    parts = ev.select("media_id", "ord", "s", "e", (F.col("text") == "click").alias("silent"), F.when(known, F.col("s")).alias("speech_s"), F.when(known, F.col("e")).alias("speech_e"), F.lit("part").alias("kind"))
+    rows = _counted(parts, "media_id", "s", "ord").withColumn("context", (F.col("media_id") % 2 == 0) & ((F.col("seq") + 1) % 5 == 0))
+    ends = rows.groupBy("media_id").agg((F.max("seq") + 1).alias("seq")).withColumn("kind", F.lit("end"))
+    return _drained(keyed.in_order(_mixed(spark, rows.unionByName(ends, allowMissingColumns=True)), "media_id", keyed.LogicalParts(30.0)))
 
 
 @query("st06_event_windows", "select start, event_type, count(*) as n from (select date_trunc('day', ts) as start, event_type from events) where start + interval 1 day <= (select max(ts) from events) - interval 1 day group by 1, 2")
@@ -87,6 +162,16 @@ def st10(spark, d):
     return batch_jobs.to_run_again(rows).select("job", "chunk")
 
 
+@query("st10_retry_steps", """with c as (select o_custkey as job, o_orderkey as chunk, case when o_orderstatus = 'F' and o_custkey % 3 = 0 then 'failed' when o_orderstatus = 'P' then 'translation' else 'completed' end as stage, case when o_custkey % 5 <> 1 then o_orderkey % 4 end as rows, o_orderkey % 7 <> 0 as translated, case when o_orderkey % 11 = 0 then 1 end as bad_lines, o_orderkey % 3 // 2 as bad_audio, o_orderkey % 2 = 0 as audio from orders),
+l as (select *, case when stage = 'failed' then 3 when coalesce(rows, 0) > 0 and (stage <> 'completed' or not translated or coalesce(bad_lines, 0) > 0) then 2 when audio then 1 else 0 end as level from c), m as (select job, max(level) as most from l group by 1)
+select l.job, chunk, case when coalesce(rows, 0) > 0 and bad_audio <= 0 then 'translate' else 'recognise' end as step from l join m using (job) where most > 0 and level = most""")
+def st10_steps(spark, d):
+    """What jobs run again, from the translation or from the audio."""
+    s, job, chunk = F.col("o_orderstatus"), F.col("o_custkey"), F.col("o_orderkey")
+    rows = ad.table(spark, d, "orders").select(job.alias("job"), chunk.alias("chunk"), F.when((s == "F") & (job % 3 == 0), "failed").when(s == "P", "translation").otherwise("completed").alias("stage"), F.when(job % 5 != 1, chunk % 4).alias("source_rows"), (chunk % 7 != 0).alias("translated"), F.when(chunk % 11 == 0, 1).alias("translation_failures"), F.floor((chunk % 3) / 2).alias("asr_failures"), (chunk % 2 == 0).alias("audio"))
+    return batch_jobs.retry_steps(rows)
+
+
 @query("st15_replace_with_fallback", "select o_orderkey as chunk, case when o_orderkey % 3 = 0 or o_orderstatus = 'P' then o_orderpriority else lower(o_orderpriority) end as text, o_totalprice as price from orders")
 def st15(spark, d):
     """New results in place of old ones; where there is none, or it is empty, the old one stays."""
@@ -95,14 +180,6 @@ def st15(spark, d):
     return batch_jobs.replaced_with_fallback(orders.drop("o_orderstatus"), new, ["chunk"], ["text"])
 
 
-def _files(spark: SparkSession, rows: DataFrame, parts: list) -> DataFrame:
-    """Rows as a stream that brings one file after another: those that meet each condition."""
-    base = keep_folder(spark, f"{shared_dir(spark)}/cuetide/files-{uuid.uuid4().hex}")
-    for condition in parts:
-        rows.where(condition).coalesce(1).write.mode("append").parquet(base)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(base)
-
-
 @query("st02_navigation", "with e as (select user_id as tab, event_id % 3 as frame, event_id as seq, case when event_id % 17 = 0 then 'navigate' when event_type = 'view' then 'context' else 'media' end as kind from events), m as (select *, max(seq) filter (kind = 'navigate' and frame = 0) over (partition by tab) as top, max(seq) filter (kind = 'navigate') over (partition by tab, frame) as own from e) select tab, seq from m where kind <> 'navigate' and coalesce(seq > top, true) and (kind <> 'context' or coalesce(seq > own, true))")
 def st02(spark, d):
     """A tab's navigation forgets all, a frame's what the frame told."""
@@ -114,15 +191,14 @@ def st02(spark, d):
 @query("st07_late_chunks", """with c as (select l_orderkey as job, l_linenumber as n, l_returnflag = 'R' as failed, row_number() over (partition by l_orderkey, l_linenumber order by l_partkey desc, l_suppkey desc) as nth from lineitem),
 k as (select *, max(n) over (partition by job) as last, cast(floor((n * 400 + 0.001e0) / 900e0) as bigint) as bucket from c where nth = 1),
 f as (select job, bucket, count(*) as chunks, count(*) filter (failed) as failed, true as complete from k where n <> 2 or last = 2 group by 1, 2)
-select * from f union all select job, bucket, 1, failed::int, false from k where n = 2 and last > 2""")
+select * from f union all select job, bucket, 1, failed::int, not exists (select 1 from f where f.job = k.job and f.bucket = k.bucket) from k where n = 2 and last > 2""")
 def st07(spark, d):
-    """Each job's second chunk comes after all others: into a bucket that was emitted, so it is told as late."""
-    lines = ad.table(spark, d, "lineitem")
-    last = lines.groupBy(F.col("l_orderkey").alias("_job")).agg(F.max("l_linenumber").alias("_last"))
-    chosen = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max_by("l_returnflag", F.struct("l_partkey", "l_suppkey")).alias("flag"))
-    n = F.col("l_linenumber")
-    rows = chosen.join(last, F.col("l_orderkey") == F.col("_job")).select(F.col("l_orderkey").alias("job"), n.cast("long").alias("chunk"), (n * F.lit(400.0)).alias("core_s"), (n * 400.0 + 400).alias("core_e"), (F.col("flag") == "R").alias("failed"), (n == F.col("_last")).alias("last"))
-    return _drained(jobs.translation_groups(_files(spark, rows, ["chunk <> 2", "chunk = 2"])))
+    """Each job's second chunk comes after the job's end: into a window that was told, so it is told as late, or into one that
+    had no chunk before, which is told then."""
+    chunks = _line_chunks(spark, d)
+    late = (F.col("kind") == "chunk") & (F.col("n") == 2) & (F.col("last") > 2)
+    rows = _counted(chunks.unionByName(_ends(chunks)).withColumn("_late", late), "job", "_late", "n").drop("_late")
+    return _drained(keyed.in_order(_mixed(spark, rows), "job", keyed.TranslationWindows()))
 
 
 @query("st09_published_progress", "select o_custkey as job, o_orderstatus as stage, count(*) as n from orders group by 1, 2")

@@ -12,10 +12,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Settings that the SQL semantics of the library rely on.
+#: Settings that the SQL semantics of the library rely on, and the state store that typed state needs.
 SQL_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

@@ -77,19 +77,22 @@ def _objects(value: object, depth: int, most: int) -> Iterator[tuple[dict, int]]
 
 
 def _number(*values: object) -> int | None:
+    """The first value that is neither empty nor zero, as a whole number; null if it is none, or beyond 64 bits."""
     for value in values:
         if value:
             try:
-                return int(float(str(value)))
-            except ValueError:
+                found = int(str(value)) if str(value).strip().lstrip("+-").isdecimal() else int(float(str(value)))
+            except (ValueError, OverflowError):
                 return None
+            return found if -(1 << 63) <= found < 1 << 63 else None
     return None
 
 
 def structured_media(df: DataFrame, key: str, payload: str = "payload", most_depth: int = 8) -> DataFrame:
     """df: key and JSON text of any shape. A row for each distinct URL of each object down to a depth whose kind the URL or
     the object's type tells: (key, url, kind, ext, content_type, size, width, height, bandwidth, label, depth). Objects name
-    URLs under known keys, in lists of backups, or in ciphers. Text that is no JSON gives none."""
+    URLs under known keys, in lists of backups, or in ciphers. Text that is no JSON, or is nested beyond what the parser
+    takes (some thousand levels), gives none; numbers that are none, or need more than 64 bits, are null."""
     ship(df.sparkSession)
     schema = df.select(key).schema[0].dataType.simpleString()
 
@@ -101,7 +104,7 @@ def structured_media(df: DataFrame, key: str, payload: str = "payload", most_dep
             for own, text in zip(frame[key], frame[payload], strict=True):
                 try:
                     top = json.loads(text or "")
-                except ValueError:
+                except (ValueError, RecursionError):
                     continue
                 for found, depth in _objects(top, 0, most_depth):
                     named = [found.get(n) for n in _PLAIN]

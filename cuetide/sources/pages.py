@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from cuetide.functions import urls
 
-#: Longer markup is not scanned: a fixed value of the operator.
-MOST_CHARS = 2_000_000
 
+def markup_urls(pages: DataFrame, most_chars: int | None = None) -> DataFrame:
+    """pages: page_id, url, html. (page_id, target): the distinct URLs of each page's markup, whole, however often the page
+    was scanned. Pages with equal markup each have theirs, since relative addresses depend on the page. With most_chars
+    longer markup is left out; left_out() tells what that is."""
+    read = pages if most_chars is None else pages.where(F.length("html") <= most_chars)
+    return read.select("page_id", F.explode(urls.sniffed(F.col("html"), F.col("url"))["urls"]).alias("target")).distinct()
 
-def markup_urls(pages: DataFrame, most_chars: int = MOST_CHARS) -> DataFrame:
-    """pages: page_id, url, html. (page_id, target): the distinct URLs of each page's markup, which is looked at once if
-    several pages have it, for the smallest page_id. Markup is told apart by its length, its head and its tail."""
-    read = pages.where(F.length("html") <= most_chars)
-    signature = F.md5(F.concat_ws("|", F.length("html").cast("string"), F.left("html", F.lit(512)), F.right("html", F.lit(512))).cast("binary"))
-    first = read.groupBy(signature).agg(F.min("page_id").alias("_page"))
-    once = read.join(first.select("_page"), F.col("page_id") == F.col("_page"), "left_semi")
-    return once.select("page_id", F.explode(urls.sniffed(F.col("html"), F.col("url"))["urls"]).alias("target")).distinct()
+
+def left_out(pages: DataFrame, most_chars: int) -> DataFrame:
+    """(page_id, chars) of pages that markup_urls leaves out at such a bound."""
+    return pages.select("page_id", F.length("html").cast("long").alias("chars")).where(F.col("chars") > most_chars)

@@ -1,22 +1,15 @@
-"""Structured Streaming forms of the stateful operators.
+"""Streams that Spark's own operators express, upserts, and ways to run a stream to its end.
 
-State is keyed, bounded by watermarks or, with `keep`, dropped when its key has been quiet for so many milliseconds of the
-clock, and restarts from the checkpoint. A query with `keep` looks at its clock without end, so it is for triggers that
-run on; without it state stays. Sources and sinks are the caller's; `drain` runs a query over what is there and ends.
+State is keyed, bounded by watermarks, and restarts from the checkpoint; keyed.py has the streams with state of their own.
+Sources and sinks are the caller's; `drain` runs a query over what is there and ends.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from cuetide.operators.windows import bucket_of
-from cuetide.params import P
-from cuetide.session import let_go, path_exists, ship, stored
+from cuetide.session import let_go, path_exists, stored
 
 
 def exactly_once(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
@@ -34,88 +27,6 @@ def sessions(stream: DataFrame, time: str, gap: str, delay: str, keys: list[str]
     return stream.withWatermark(time, delay).groupBy(F.session_window(time, gap), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _clock(keep: int | None) -> str:
-    return GroupStateTimeout.NoTimeout if keep is None else GroupStateTimeout.ProcessingTimeTimeout
-
-
-_GROUPS = "job long, bucket long, chunks long, failed long, complete boolean"
-_GROUP_STATE = "buckets string"
-
-
-def translation_groups(stream: DataFrame, size: float = P.translation_seconds, keep: int | None = None) -> DataFrame:
-    """stream: job, chunk, core_s, core_e, failed (boolean), last (boolean). Chunks gathered into buckets of media time; a
-    bucket is emitted once, when a later bucket's chunk comes or the job's last one does. A chunk for a bucket that was
-    emitted comes out as a row of its own with complete false, so that late data can be seen and made good. A job's state
-    holds its open buckets and the last one closed."""
-    import json
-
-    ship(stream.sparkSession)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = json.loads(state.get[0]) if state.exists else {"open": {}, "done": -1}
-        out = []
-        for frame in frames:
-            for r in frame.sort_values(["core_s", "chunk"]).itertuples():
-                if r.bucket <= kept["done"]:
-                    out.append((key[0], r.bucket, 1, int(r.failed), False))
-                    continue
-                chunks = kept["open"].setdefault(str(r.bucket), {})
-                chunks[str(r.chunk)] = bool(r.failed)
-                closing = [int(b) for b in kept["open"] if int(b) < r.bucket or r.last]
-                for b in sorted(closing):
-                    own = kept["open"].pop(str(b))
-                    out.append((key[0], b, len(own), sum(own.values()), True))
-                    kept["done"] = max(kept["done"], b)
-        state.update((json.dumps(kept),))
-        if keep is not None:
-            state.setTimeoutDuration(keep)
-        yield pd.DataFrame(out, columns=["job", "bucket", "chunks", "failed", "complete"])
-
-    placed = stream.withColumn("bucket", bucket_of(F.col("core_s"), size))
-    return placed.groupBy("job").applyInPandasWithState(step, _GROUPS, _GROUP_STATE, "append", _clock(keep))
-
-
-_TABS = "tab long, kept long, seen long, ignored long, resets long"
-
-
-def tab_candidates(stream: DataFrame, most: int = P.candidates_kept, keep: int | None = None) -> DataFrame:
-    """stream: tab, fingerprint, score, seen_at, kind (`media` or `navigate`). Per tab the fingerprints seen and the best
-    candidates kept; one that was dropped does not come back until the tab navigates, which clears its state, or has been
-    quiet for `keep`. A tab's counts come out whenever it has events."""
-    import json
-
-    ship(stream.sparkSession)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = json.loads(state.get[0]) if state.exists else {"kept": {}, "gone": [], "ignored": 0, "resets": 0}
-        gone = set(kept["gone"])
-        for frame in frames:
-            for r in frame.sort_values("seen_at").itertuples():
-                if r.kind == "navigate":
-                    kept, gone = {"kept": {}, "gone": [], "ignored": 0, "resets": kept["resets"] + 1}, set()
-                elif r.fingerprint in gone:
-                    kept["ignored"] += 1
-                else:
-                    kept["kept"][r.fingerprint] = [float(r.score), int(r.seen_at)]
-                    if len(kept["kept"]) > most:
-                        worst = min(kept["kept"], key=lambda f: (*kept["kept"][f], f))
-                        del kept["kept"][worst]
-                        gone.add(worst)
-        kept["gone"] = sorted(gone)
-        state.update((json.dumps(kept),))
-        if keep is not None:
-            state.setTimeoutDuration(keep)
-        yield pd.DataFrame([(key[0], len(kept["kept"]), len(kept["kept"]) + len(gone), kept["ignored"], kept["resets"])], columns=["tab", "kept", "seen", "ignored", "resets"])
-
-    return stream.groupBy("tab").applyInPandasWithState(step, _TABS, "state string", "update", _clock(keep))
-
-
 def _latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the last in the order; of equal ones the greatest row, so that the choice is no accident."""
     best = F.max_by(F.struct("*"), F.struct(*order, F.xxhash64("*")))
