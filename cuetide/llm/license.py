@@ -27,6 +27,7 @@ import re
 from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ SCANNED = ["header_license", "header_cosine", "header_line", "whole_license", "w
 ADDED = ["is_license_file", "own_license", "own_cosine", "license", "found_in"]
 _TERM = re.compile(r"[^\W_]+")
 _MARK = re.compile(r"^\s*(?:rem|dnl)\b")
+#: Lines whose running sums are held at once, and runs that are remembered.
+_BLOCK = 5000
 _FILE_NAME = r"(?i)^(un)?(licen[cs]e|copying|copyright|notice)([.\-_].*)?$"
 
 
@@ -73,6 +76,12 @@ class Templates:
                 self.anchors.add(t)
                 rest -= w * w
         self.longest = max((sum(bag.values()) for bag in bags), default=0)
+        self.least = least_cosine
+        #: Numbers that templates ask for, and which of them each template needs.
+        self.asked = {n: at for at, n in enumerate(sorted(set().union(*self.numbers)))}
+        self.needs = np.zeros((len(self.asked), count), np.int64)
+        for at, numbers in enumerate(self.numbers):
+            self.needs[[self.asked[n] for n in numbers], at] = 1
 
     def _nearest(self, dots: dict[int, float], bag: Counter[str]) -> int:
         """The template with the largest product, the first of equals, of those whose numbers the bag has; or -1."""
@@ -95,42 +104,86 @@ class Templates:
         at = self._nearest(dots, bag)
         return (dots[at] / math.sqrt(square), at) if at >= 0 else (0.0, -1)
 
+    def _measured(self, lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Running sums over lines, from 0: products with each template, and counts of the numbers templates ask for."""
+        products, counts = np.zeros((len(lines) + 1, len(self.names))), np.zeros((len(lines) + 1, len(self.asked)), np.int64)
+        for at, terms in enumerate(lines, 1):
+            for term in terms:
+                for name, w in self.weights.get(term, ()):
+                    products[at, name] += self.idf[term] * w
+                if (place := self.asked.get(term)) is not None:
+                    counts[at, place] += 1
+        return np.cumsum(products, 0), np.cumsum(counts, 0)
+
+    def _squares(self, lines: list[list[str]], first: int, last: int) -> np.ndarray:
+        """The squared length of the bag of lines first .. k, for each k."""
+        bag: dict[str, int] = {}
+        square, out = 0.0, []
+        for terms in lines[first:last]:
+            for term in terms:
+                weight, n = self.idf.get(term, self.rare), bag.get(term, 0)
+                square += (2 * n + 1) * weight * weight
+                bag[term] = n + 1
+            out.append(square)
+        return np.array(out)
+
     def best_run(self, lines: list[list[str]]) -> tuple[float, int, int]:
         """Of the terms of a text's lines: (cosine, template, first line) of the nearest line or run of lines that holds an
-        anchor; (0, -1, -1) if there is none. The outer lines of the nearest run share terms with a template, so only
-        such are tried."""
-        known = [any(t in self.weights for t in terms) for terms in lines]
-        anchored = [not self.anchors.isdisjoint(terms) for terms in lines]
-        most, best = 2 * self.longest, (0.0, -1, -1)
-        starts: set[int] = set()
-        for at in (at for at, has in enumerate(anchored) if has):
-            first, held = at, len(lines[at])
-            # A line of more terms is tried alone.
-            while first >= 0 and (held <= most or first == at):
-                if known[first]:
-                    starts.add(first)
-                first -= 1
-                held += len(lines[first]) if first >= 0 else 0
-        for first in sorted(starts):
-            bag: Counter[str] = Counter()
-            dots: dict[int, float] = {}
-            square, held, holds = 0.0, 0, False
-            for at in range(first, len(lines)):
-                held += len(lines[at])
-                if held > most and at > first:
-                    break
-                for term in lines[at]:
-                    weight = self.idf.get(term, self.rare)
-                    square += (2 * bag[term] + 1) * weight * weight
-                    bag[term] += 1
-                    for name, w in self.weights.get(term, ()):
-                        dots[name] = dots.get(name, 0.0) + weight * w
-                holds = holds or anchored[at]
-                if holds and known[at] and (name := self._nearest(dots, bag)) >= 0:
-                    cosine = dots[name] / math.sqrt(square)
-                    if cosine > best[0] + 1e-12:
-                        best = (cosine, name, first)
-        return best
+        anchor; (0, -1, -1) if none reaches the least cosine. The first of equal runs counts, cosines being equal that differ
+        by less than 1e-9.
+
+        A run starts and ends with a term of a template and has at most twice the terms of the longest one, unless it is one
+        line. Lines without terms are passed over. Products come from running sums over the lines, so a start costs its
+        bag's length and a few array operations; starts that are followed by the same lines cost one."""
+        places = [at for at, terms in enumerate(lines) if terms]
+        lines = [lines[at] for at in places]
+        if not lines:
+            return 0.0, -1, -1
+        most = 2 * self.longest
+        known = np.array([any(t in self.weights for t in terms) for terms in lines])
+        ends = np.cumsum([len(terms) for terms in lines])
+        begins = ends - [len(terms) for terms in lines]
+        # Of each start, the line after the last that a run may hold, and the next line with an anchor.
+        after = np.maximum(np.searchsorted(ends, begins + most, "right"), np.arange(len(lines)) + 1)
+        anchored = np.append(np.flatnonzero([not self.anchors.isdisjoint(terms) for terms in lines]), len(lines))
+        anchor = anchored[np.searchsorted(anchored, np.arange(len(lines)))]
+        texts: dict[tuple[str, ...], int] = {}
+        ids = [texts.setdefault(tuple(terms), len(texts)) for terms in lines]
+        seen: set[tuple[int, ...]] = set()
+        bound, best, base, measured_to = self.least - 1e-12, (0, -1, -1), 0, 0
+        for first in np.flatnonzero(known & (anchor < after)).tolist():
+            last, holds = int(after[first]), int(anchor[first])
+            if last > measured_to:
+                base, measured_to = first, min(len(lines), first + _BLOCK + most)
+                products, counts = self._measured(lines[base:measured_to])
+            if (followed := tuple(ids[first:last])) in seen:
+                continue
+            if len(seen) >= _BLOCK:
+                seen.clear()
+            seen.add(followed)
+            lasts = np.arange(holds, last)[known[holds:last]]
+            if not len(lasts):
+                continue
+            dots = products[lasts + 1 - base] - products[first - base]
+            cosines = dots / np.sqrt(self._squares(lines, first, last))[lasts - first, None]
+            if cosines.max() <= bound:
+                continue
+            lacking = counts[lasts + 1 - base] - counts[first - base] == 0
+            cosines[(lacking @ self.needs) > 0] = 0.0
+            top = cosines.max(1)
+            for k in np.flatnonzero(top > bound).tolist():
+                if top[k] > bound:
+                    bound, best = float(top[k]) + 1e-9, (first, int(lasts[k]) + 1, int(np.flatnonzero(cosines[k] > top[k] - 1e-9)[0]))
+        first, last, name = best
+        if name < 0:
+            return 0.0, -1, -1
+        run = [t for terms in lines[first:last] for t in terms]
+        return self._cosine(run, name), name, places[first]
+
+    def _cosine(self, terms: list[str], template: int) -> float:
+        bag = Counter(terms)
+        dot = sum(n * self.idf.get(t, self.rare) * w for t, n in bag.items() for at, w in self.weights.get(t, ()) if at == template)
+        return dot / math.sqrt(sum((n * self.idf.get(t, self.rare)) ** 2 for t, n in bag.items()))
 
 
 def scan(df: DataFrame, text: str = "text", templates: list[tuple[str, str]] = TEMPLATES, texts: list[tuple[str, str]] = TEXTS, header_cosine: float = HEADER_COSINE, file_cosine: float = FILE_COSINE) -> DataFrame:

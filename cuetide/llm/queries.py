@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuetide.llm import bpe, codebooks, collocations, decontam, langid, license, linededup, matroska, oracles, pii, simhash, substring, urlfilter, warc
@@ -56,10 +56,18 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"), urlfilter.RULES)
 
 
+def license_paths(doc_id: Column, source: Column, lang: Column) -> Column:
+    """Paths for a table that has none: every fourth document is the LICENSE file of its source, of its language or of one
+    of three parts of that, the others lie a directory below these parts."""
+    name, part = F.concat(doc_id.cast("string"), F.lit(".txt")), F.concat(F.lit("part"), (doc_id % 3).cast("string"))
+    top, language = F.coalesce(source, F.lit("none")), F.coalesce(lang, F.lit("none"))
+    depth = F.when(doc_id % 4 == 0, (doc_id / 4).cast("long") % 3)
+    return F.when(depth == 0, F.concat_ws("/", top, F.lit("LICENSE"))).when(depth == 1, F.concat_ws("/", top, language, F.lit("LICENSE"))).when(depth == 2, F.concat_ws("/", top, language, part, F.lit("LICENSE"))).otherwise(F.concat_ws("/", top, language, part, F.lit("src"), name))
+
+
 def op8_license(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as files source/lang/doc_id.txt, since the table has no paths."""
     docs = read_table(spark, sf_dir, "documents")
-    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = license_paths(F.col("doc_id"), F.col("source"), F.col("lang"))
     return license.with_licenses(docs.select("doc_id", path.alias("path"), "text"))
 
 

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter
 
@@ -252,8 +253,10 @@ def test_op8(spark, sf, texts):
     got = {r.doc_id: r for r in queries.op8_license(spark, sf).collect()}
     assert set(got) == set(texts)
     (notice, longest), (whole, _) = license_cosines(license.TEMPLATES), license_cosines(license.TEXTS)
-    paths = {r.doc_id: f"{r.source or 'none'}/{r.lang or 'none'}" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "lang").collect()}
-    own, declared = {}, {}
+    own, declared, paths = {}, {}, {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "lang").collect():
+        levels = [r.source or "none", r.lang or "none", f"part{r.doc_id % 3}", "src"]
+        paths[r.doc_id] = levels[: r.doc_id // 4 % 3 + 1] if r.doc_id % 4 == 0 else levels
     for doc, text in texts.items():
         terms = re.findall(r"[^\W_]+", text.lower())
         cosine, name = whole(terms)
@@ -269,12 +272,47 @@ def test_op8(spark, sf, texts):
                     if any(t.startswith(("licen", "permi", "redis", "copy")) for t in run) and (found := notice(run))[0] > cosine + 1e-12:
                         cosine, name = found
             name = name if cosine >= license.HEADER_COSINE else None
-        else:
-            declared.setdefault(paths[doc], []).append((-cosine, name))
+        if name and (cosine >= license.FILE_COSINE and whole(terms)[1] == name and whole(terms)[0] == cosine or doc % 4 == 0):
+            declared.setdefault(tuple(paths[doc]), []).append((-cosine, name))
         own[doc] = name
     for doc in texts:
-        inherited = min(declared.get(paths[doc], [(0, None)]))[1]
+        above = [tuple(paths[doc][:k]) for k in range(len(paths[doc]), -1, -1)]
+        near = next((d for d in above if d in declared), None)
+        inherited = min(declared[near])[1] if near else None
         assert (got[doc].own_license, got[doc].license) == (own[doc], own[doc] or inherited), doc
+        if inherited and not own[doc]:
+            assert got[doc].found_in == "/".join(near)
+
+
+def test_op8_inherits_from_every_depth(spark):
+    """The nearest directory above, in plain Python, from the rows' own licenses; the smallest tables have too few of them."""
+    rows = queries.op8_license(spark, "/root/testdata/sf0.01").collect()
+    declared = {}
+    for r in rows:
+        if r.is_license_file:
+            declared.setdefault(r.path.rpartition("/")[0], []).append((-r.own_cosine, r.own_license))
+    depths = set()
+    for r in rows:
+        levels = r.path.split("/")[:-1]
+        near = next((d for k in range(len(levels), -1, -1) if (d := "/".join(levels[:k])) in declared), None)
+        if r.own_license is None and near is not None:
+            assert (r.license, r.found_in) == (min(declared[near])[1], near), r.doc_id
+            depths.add(near.count("/"))
+        else:
+            assert (r.license, r.found_in) == (r.own_license, None), r.doc_id
+    assert depths == {0, 1, 2}
+
+
+def test_notices_in_very_long_texts():
+    """A notice among very many lines that hold a word of it, or nothing, is found in seconds."""
+    known = license.Templates(license.TEMPLATES, license.HEADER_COSINE)
+    notice = [["licensed", "under", "the", "mit", "license"]]
+    began = time.perf_counter()
+    for filler in ([["license"]] * 130_000, [["license", f"w{i}"] for i in range(40_000)], [["license"], *[[]] * 1000] * 150):
+        assert known.best_run(filler)[1] == -1
+        cosine, name, first = known.best_run([*filler, *notice, *filler[:9]])
+        assert cosine > 0.9 and known.names[name] == "MIT" and first == len(filler)
+    assert time.perf_counter() - began < 90
 
 
 def test_licenses_are_told_apart(spark):
