@@ -176,6 +176,68 @@ def audio_plan(kind: Column, confidence: Column, executable: Column, input_type:
     )
 
 
+#: Where a duration can be known from, and how strong that is.
+DURATION_STRENGTH = {"media-element": 90, "player-json": 80, "manifest": 75, "network-header": 60, "url-token": 40, "page-meta": 35, "inferred": 20}
+
+
+def _positive(c: Column) -> Column:
+    return F.coalesce(F.when(c > 0, c), F.lit(0.0)).cast("double")
+
+
+def _said(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
+
+
+def evidence_list(items: Column) -> Column:
+    """An array of (source, strength, detail): empty text for what is not told, 0 for strengths that are not positive, without
+    entries that say neither source nor detail. Null is an empty list."""
+    clean = F.transform(items, lambda x: F.struct(_said(x["source"]).alias("source"), _positive(x["strength"]).alias("strength"), _said(x["detail"]).alias("detail")))
+    kind = "array<struct<source:string,strength:double,detail:string>>"
+    return F.coalesce(F.filter(clean, lambda x: (x["source"] != "") | (x["detail"] != "")), F.array().cast(kind)).cast(kind)
+
+
+def warning_list(items: Column) -> Column:
+    """An array of (code, message), each once, in order, without empty ones. Null is an empty list."""
+    clean = F.transform(items, lambda x: F.struct(_said(x["code"]).alias("code"), _said(x["message"]).alias("message")))
+    kind = "array<struct<code:string,message:string>>"
+    return F.coalesce(F.array_distinct(F.filter(clean, lambda x: (x["code"] != "") | (x["message"] != ""))), F.array().cast(kind)).cast(kind)
+
+
+def duration_evidence(source: Column, seconds: Column, strength: Column, detail: Column) -> Column:
+    """Where a duration is known from: (source, seconds, strength, detail), null without a positive duration. A source that
+    is not known is as strong as one that is inferred, unless a strength is given."""
+    known = F.create_map(*[F.lit(x) for pair in DURATION_STRENGTH.items() for x in pair])
+    named = F.coalesce(F.nullif(source, F.lit("")), F.lit("inferred"))
+    own = F.coalesce(F.when(strength > 0, strength.cast("double")), F.element_at(known, named).cast("double"), F.lit(float(DURATION_STRENGTH["inferred"])))
+    return F.when(seconds > 0, F.struct(named.alias("source"), seconds.cast("double").alias("seconds"), own.alias("strength"), _said(detail).alias("detail")))
+
+
+def fragment_list(items: Column) -> Column:
+    """An array of (url, name, segment_type, role, duration, start, end, offset, length), those with a URL, as they go into a
+    plan: unknown roles, times that are not positive as 0, and byte ranges only where both numbers make one."""
+
+    def clean(x: Column) -> Column:
+        ranged = (x["offset"] >= 0) & (x["length"] > 0)
+        role = F.when(x["role"].isin(ASSET_ROLES), x["role"]).otherwise("unknown")
+        times = [_positive(x[n]).alias(n) for n in ("duration", "start", "end")]
+        span = [F.when(ranged, F.floor(x[n]).cast("long")).alias(n) for n in ("offset", "length")]
+        return F.struct(_said(x["url"]).alias("url"), _said(x["name"]).alias("name"), _said(x["segment_type"]).alias("segment_type"), role.alias("role"), *times, *span)
+
+    return F.filter(F.transform(items, clean), lambda x: x["url"] != "")
+
+
+def plan_relations(plans: DataFrame, known: DataFrame) -> DataFrame:
+    """plans: plan, primary (an asset's id, or null), companions (array of ids). known: asset, the assets there are. (plan,
+    asset, relation, pos, found): a plan's primary asset at 0 and its companions from 1, each asset once, the first place
+    counting; found tells whether there is such an asset. Null ids relate to nothing."""
+    all_ = F.concat(F.array("primary"), F.coalesce("companions", F.array().cast(plans.schema["companions"].dataType)))
+    rows = plans.select("plan", F.posexplode(all_).alias("pos", "asset")).where("asset is not null")
+    once = rows.groupBy("plan", "asset").agg(F.min("pos").cast("long").alias("pos"))
+    there = known.select(F.col("asset").alias("_a")).distinct()
+    both = once.join(there, F.col("asset") == F.col("_a"), "left")
+    return both.select("plan", "asset", F.when(F.col("pos") == 0, "primary").otherwise("companion").alias("relation"), "pos", F.col("_a").isNotNull().alias("found"))
+
+
 def execution(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """df: a plan (audio_plan), trusted, url and more. (rows that can run, with input; rows that cannot, with reason): only
     plans that were made here, and not sent in, are trusted."""

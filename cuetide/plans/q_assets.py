@@ -134,6 +134,33 @@ def p03(spark, d):
     return _plans(spark, d).select("id", "plan.kind", "plan.confidence", "plan.executable", "plan.strategy", "plan.requires_assembly")
 
 
+@query("p02_evidence_lists", """with e as (select l_orderkey as id, l_linenumber as n, l_partkey as p, l_suppkey as sup, case when l_linenumber % 4 = 0 then '' when l_linenumber % 4 <> 3 then lower(l_returnflag) end as source, greatest(l_discount * 100 - 3, 0) as strength, case when l_suppkey % 3 = 0 then l_linestatus else '' end as detail from lineitem),
+k as (select *, coalesce(source, '') || ':' || floor(strength + 0.5)::int || ':' || detail as said, detail || coalesce(source, '') || p % 2 as warning from e)
+select id, coalesce(string_agg(said, ',' order by n, p, sup) filter (coalesce(source, '') <> '' or detail <> ''), '') as evidence, count(distinct detail || p % 2) as warnings, max(case when n % 3 <> 0 then 20e0 end) as strength from k group by 1""")
+def p02_lists(spark, d):
+    """What assets are known by: lines of orders as evidence and as warnings."""
+    n, p = F.col("l_linenumber"), F.col("l_partkey")
+    source = F.when(n % 4 == 0, "").when(n % 4 != 3, F.lower("l_returnflag"))
+    detail = F.when(F.col("l_suppkey") % 3 == 0, F.col("l_linestatus")).otherwise("")
+    item = F.struct(source.alias("source"), (F.col("l_discount") * 100 - 3).alias("strength"), detail.alias("detail"))
+    warning = F.struct(F.when(detail != "", detail).alias("code"), (p % 2).cast("string").alias("message"))
+    told = assets.duration_evidence(source, n % 3, F.lit(None).cast("double"), F.lit(None).cast("string"))
+    rows = ad.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_sort(F.collect_list(F.struct(n.alias("n"), p.alias("p"), F.col("l_suppkey").alias("sup"), item.alias("x"), warning.alias("w")))).alias("items"), F.max(told["strength"]).alias("strength"))
+    evidence = assets.evidence_list(F.transform("items", lambda v: v["x"]))
+    said = F.transform(evidence, lambda x: F.concat_ws(":", x["source"], F.floor(x["strength"] + 0.5).cast("string"), x["detail"]))
+    return rows.select("id", F.array_join(said, ",").alias("evidence"), F.size(assets.warning_list(F.transform("items", lambda v: v["w"]))).cast("long").alias("warnings"), "strength")
+
+
+@query("p03_plan_relations", """with l as (select l_orderkey as plan, l_partkey as asset, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey) - 1 as pos from lineitem),
+o as (select plan, asset, min(case when pos = 0 and plan % 7 = 0 then null else pos end) as pos from l group by 1, 2)
+select plan, asset, case when pos = 0 then 'primary' else 'companion' end as relation, pos, p_partkey is not null as found from o left join (select p_partkey from part where p_size > 5) on p_partkey = asset where pos is not null""")
+def p03_relations(spark, d):
+    """Orders as plans: the part of the first line is the primary asset (every seventh plan has none), the others go along."""
+    lines = ad.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("plan")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))), lambda x: x["l_partkey"]).alias("parts"))
+    plans = lines.select("plan", F.when(F.col("plan") % 7 != 0, F.element_at("parts", 1)).alias("primary"), F.slice("parts", 2, F.size("parts")).alias("companions"))
+    return assets.plan_relations(plans, ad.table(spark, d, "part").where("p_size > 5").select(F.col("p_partkey").alias("asset")))
+
+
 @query("p17_executions", "with " + _PLAN + " select id, case when id % 2 = 1 then 'untrusted' when not executable then 'not executable' when id % 5 = 0 then 'no url' end as reason, case when id % 2 = 0 and executable and id % 5 > 0 then strategy end as strategy from st")
 def p17(spark, d):
     runs, not_runs = assets.execution(_plans(spark, d))

@@ -13,7 +13,7 @@ from cuetide.plans import adapters as ad
 from cuetide.plans.catalog import query
 from cuetide.plans.q_media import logical_parts_sql
 from cuetide.session import keep_folder, shared_dir
-from cuetide.streaming import jobs, keyed
+from cuetide.streaming import jobs, keyed, upserts
 
 
 def _source(spark: SparkSession, d: str, table: str) -> DataFrame:
@@ -209,7 +209,7 @@ def st09(spark, d):
     target = keep_folder(spark, f"{shared_dir(spark)}/cuetide/progress-{uuid.uuid4().hex}")
     counts = stream.groupBy("job", "stage").agg(F.count(F.lit(1)).alias("n"))
     jobs.publish(counts, f"{target}/table", f"{target}/checkpoint", ["job", "stage"], ["n"])
-    return spark.read.parquet(f"{target}/table").select("job", "stage", "n")
+    return upserts.read(spark, f"{target}/table").select("job", "stage", "n")
 
 
 @query("sk04_upserted_cache", ad.with_views(ad.CACHE_ENTRIES) + """, v as (select id % 400 as id, owner, updated, bytes, protected, id as version from ce), l as (select id, arg_max(struct_pack(owner := owner, updated := updated, bytes := bytes, protected := protected, version := version), version) as x from v group by 1),
@@ -220,5 +220,5 @@ def sk04(spark, d):
     stream = _files(spark, rows, ["version % 3 = 2", "version % 3 = 0", "version % 3 = 1"])
     target = keep_folder(spark, f"{shared_dir(spark)}/cuetide/cache-{uuid.uuid4().hex}")
     jobs.publish(stream, f"{target}/table", f"{target}/checkpoint", ["id"], ["version"], mode="append")
-    kept = retention.prune_cache(spark.read.parquet(f"{target}/table"), F.lit(86400 * 1040), ["owner"], most_bytes=1 << 60)
+    kept = retention.prune_cache(upserts.read(spark, f"{target}/table"), F.lit(86400 * 1040), ["owner"], most_bytes=1 << 60)
     return kept.select("id", "version", F.col("kept").alias("fresh"))

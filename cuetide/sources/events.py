@@ -117,7 +117,7 @@ def structured_media(df: DataFrame, key: str, payload: str = "payload", most_dep
                     rate = _number(found.get("bitrate"), found.get("averageBitrate"), found.get("bandwidth"))
                     label = str(found.get("qualityLabel") or found.get("quality") or found.get("audioQuality") or "")
                     rows += [(own, u, mime, size, _number(found.get("width")), _number(found.get("height")), rate, label, depth) for u in dict.fromkeys(u for u in named if isinstance(u, str) and u.strip())]
-            yield pd.DataFrame(rows, columns=[key, "url", "mime", "size", "width", "height", "bandwidth", "label", "depth"]).astype({c: "Int64" for c in ("size", "width", "height", "bandwidth")})
+            yield pd.DataFrame(rows, columns=[key, "url", "mime", "size", "width", "height", "bandwidth", "label", "depth"], dtype=object).astype({c: "Int64" for c in ("size", "width", "height", "bandwidth")})
 
     found = df.select(key, payload).mapInPandas(walk, f"`{key}` {schema}, url string, mime string, size long, width long, height long, bandwidth long, label string, depth int")
     mime, by_url = urls.content_type(F.col("mime")), urls.media_kind(F.col("url"))

@@ -1,6 +1,7 @@
-"""Streams that Spark's own operators express, upserts, and ways to run a stream to its end.
+"""Streams that Spark's own operators express, and ways to run a stream to its end.
 
-State is keyed, bounded by watermarks, and restarts from the checkpoint; keyed.py has the streams with state of their own.
+State is keyed, bounded by watermarks, and restarts from the checkpoint; keyed.py has the streams with state of
+their own, upserts.py the tables they keep up to date.
 Sources and sinks are the caller's; `drain` runs a query over what is there and ends.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuetide.session import let_go, path_exists, stored
+from cuetide.streaming.upserts import upsert_batch
 
 
 def exactly_once(stream: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
@@ -27,38 +28,11 @@ def sessions(stream: DataFrame, time: str, gap: str, delay: str, keys: list[str]
     return stream.withWatermark(time, delay).groupBy(F.session_window(time, gap), *keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key, the last in the order; of equal ones the greatest row, so that the choice is no accident."""
-    best = F.max_by(F.struct("*"), F.struct(*order, F.xxhash64("*")))
-    return df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(best.alias("_x")).select("_x.*")
-
-
-def upsert_batch(target: str, keys: list[str], order: list[str], buckets: int = 64):
-    """A foreachBatch function that keeps one row per key in a Parquet table, the last in the order. The table is split by a
-    hash of the keys into `_bucket` folders, of which a batch rewrites those it touches. A batch that runs again changes
-    nothing more."""
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        fresh = stored(_latest(batch, keys, order).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")), "upsert-fresh")
-        touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]  # at most `buckets`
-        if not touched:
-            return
-        merged = fresh
-        if path_exists(spark, target):
-            old = spark.read.schema(fresh.schema).parquet(target).where(F.col("_bucket").isin(touched))
-            merged = stored(_latest(old.unionByName(fresh), keys, order), "upsert-merged")
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(target)
-        let_go(fresh, merged)
-
-    return write
-
-
 def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Run over what the source has, into Parquet, and stop."""
     stream.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def publish(stream: DataFrame, target: str, checkpoint: str, keys: list[str], order: list[str], mode: str = "update") -> None:
-    """Run over what the source has, each batch upserted into a table that readers may look at meanwhile, and stop."""
+    """Run over what the source has, each batch upserted into a table that upserts.read() gives at any time, and stop."""
     stream.writeStream.outputMode(mode).foreachBatch(upsert_batch(target, keys, order)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
