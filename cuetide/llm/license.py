@@ -77,8 +77,17 @@ class Templates:
                 rest -= w * w
         self.longest = max((sum(bag.values()) for bag in bags), default=0)
         self.least = least_cosine
-        #: Numbers that templates ask for, and which of them each template needs.
+        #: Places of the terms that templates have, and per place, with one more for all others: the weight, whether it
+        #: is an anchor, the product with each template, and the place among the numbers that templates ask for.
+        self.terms = {t: at for at, t in enumerate(self.weights)}
+        self.weight = np.array([*(self.idf[t] for t in self.terms), self.rare])
+        self.is_anchor = np.array([*(t in self.anchors for t in self.terms), False])
+        self.matrix = np.zeros((len(self.terms), count))
+        for t, at in self.terms.items():
+            for name, w in self.weights[t]:
+                self.matrix[at, name] = self.idf[t] * w
         self.asked = {n: at for at, n in enumerate(sorted(set().union(*self.numbers)))}
+        self.number = np.array([*(self.asked.get(t, -1) for t in self.terms), -1])
         self.needs = np.zeros((len(self.asked), count), np.int64)
         for at, numbers in enumerate(self.numbers):
             self.needs[[self.asked[n] for n in numbers], at] = 1
@@ -104,16 +113,17 @@ class Templates:
         at = self._nearest(dots, bag)
         return (dots[at] / math.sqrt(square), at) if at >= 0 else (0.0, -1)
 
-    def _measured(self, lines: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-        """Running sums over lines, from 0: products with each template, and counts of the numbers templates ask for."""
-        products, counts = np.zeros((len(lines) + 1, len(self.names))), np.zeros((len(lines) + 1, len(self.asked)), np.int64)
-        for at, terms in enumerate(lines, 1):
-            for term in terms:
-                for name, w in self.weights.get(term, ()):
-                    products[at, name] += self.idf[term] * w
-                if (place := self.asked.get(term)) is not None:
-                    counts[at, place] += 1
-        return np.cumsum(products, 0), np.cumsum(counts, 0)
+    def _measured(self, places: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Running sums over lines, from 0, of the terms of these places: products with each template, counts of the
+        numbers templates ask for, and squares of the terms' weights. A line's terms start at its start."""
+        owner = np.repeat(np.arange(1, len(starts) + 1), np.diff(np.append(starts, len(places))))
+        known = places < len(self.terms)
+        products, counts = np.zeros((len(starts) + 1, len(self.names))), np.zeros((len(starts) + 1, len(self.asked)), np.int64)
+        np.add.at(products, owner[known], self.matrix[places[known]])
+        number = self.number[places]
+        np.add.at(counts, (owner[number >= 0], number[number >= 0]), 1)
+        squares = np.bincount(owner, self.weight[places] ** 2, len(starts) + 1)
+        return np.cumsum(products, 0), np.cumsum(counts, 0), np.cumsum(squares)
 
     def _squares(self, lines: list[list[str]], first: int, last: int) -> np.ndarray:
         """The squared length of the bag of lines first .. k, for each k."""
@@ -139,32 +149,38 @@ class Templates:
         lines = [lines[at] for at in places]
         if not lines:
             return 0.0, -1, -1
-        most = 2 * self.longest
-        known = np.array([any(t in self.weights for t in terms) for terms in lines])
-        ends = np.cumsum([len(terms) for terms in lines])
-        begins = ends - [len(terms) for terms in lines]
+        most, unknown = 2 * self.longest, len(self.terms)
+        sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        terms = np.fromiter((self.terms.get(t, unknown) for own in lines for t in own), np.int64, int(ends[-1]))
+        known = np.logical_or.reduceat(terms < unknown, begins)
         # Of each start, the line after the last that a run may hold, and the next line with an anchor.
         after = np.maximum(np.searchsorted(ends, begins + most, "right"), np.arange(len(lines)) + 1)
-        anchored = np.append(np.flatnonzero([not self.anchors.isdisjoint(terms) for terms in lines]), len(lines))
+        anchored = np.append(np.flatnonzero(np.logical_or.reduceat(self.is_anchor[terms], begins)), len(lines))
         anchor = anchored[np.searchsorted(anchored, np.arange(len(lines)))]
         texts: dict[tuple[str, ...], int] = {}
-        ids = [texts.setdefault(tuple(terms), len(texts)) for terms in lines]
+        ids: list[int] = []
         seen: set[tuple[int, ...]] = set()
         bound, best, base, measured_to = self.least - 1e-12, (0, -1, -1), 0, 0
         for first in np.flatnonzero(known & (anchor < after)).tolist():
             last, holds = int(after[first]), int(anchor[first])
             if last > measured_to:
                 base, measured_to = first, min(len(lines), first + _BLOCK + most)
-                products, counts = self._measured(lines[base:measured_to])
+                products, counts, least = self._measured(terms[begins[base] : ends[measured_to - 1]], begins[base:measured_to] - begins[base])
+            lasts = holds + np.flatnonzero(known[holds:last])
+            if not len(lasts):
+                continue
+            dots = products[lasts + 1 - base] - products[first - base]
+            # A bag is no shorter than if its terms were all different.
+            if (dots.max(1) <= bound * np.sqrt(least[lasts + 1 - base] - least[first - base]) - 1e-9).all():
+                continue
+            ids = ids or [texts.setdefault(tuple(own), len(texts)) for own in lines]
             if (followed := tuple(ids[first:last])) in seen:
                 continue
             if len(seen) >= _BLOCK:
                 seen.clear()
             seen.add(followed)
-            lasts = np.arange(holds, last)[known[holds:last]]
-            if not len(lasts):
-                continue
-            dots = products[lasts + 1 - base] - products[first - base]
             cosines = dots / np.sqrt(self._squares(lines, first, last))[lasts - first, None]
             if cosines.max() <= bound:
                 continue
