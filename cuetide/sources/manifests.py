@@ -78,7 +78,12 @@ def dash_duration(text: Column) -> Column:
 
 
 def xml_attribute(text: Column, name: str) -> Column:
-    return F.nullif(F.regexp_extract(text, rf'(?i)\b{name}\s*=\s*"([^"]*)"', 1), F.lit(""))
+    """An attribute's value, in quotes of either kind, its entities decoded; null if it is missing or empty."""
+    quoted = F.regexp_extract(text, rf"""(?i)(?<![\w:.-]){name}\s*=\s*("[^"]*"|'[^']*')""", 1)
+    value = F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    for entity, char in (("&amp;", "&"), ("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">")):
+        value = F.replace(value, F.lit(entity), F.lit(char))
+    return F.nullif(value, F.lit(""))
 
 
 def dash_representations(df: DataFrame) -> DataFrame:
@@ -95,7 +100,7 @@ def dash_representations(df: DataFrame) -> DataFrame:
     base = lambda c: F.nullif(F.trim(F.regexp_extract(c, r"(?is)<BaseURL[^>]*>(.*?)</BaseURL>", 1)), F.lit(""))
     template = reps.withColumn("t", holder).withColumn("ta", tag("t", "SegmentTemplate"))
     number = lambda name, default: F.coalesce(xml_attribute(F.col("ta"), name).try_cast("long"), F.lit(default).cast("long"))
-    entries = F.transform(F.regexp_extract_all("t", F.lit(r"(?is)<S\b([^>]*?)/?>"), 1), lambda x: F.struct(*[F.coalesce(F.nullif(F.regexp_extract(x, rf'(?i)\b{n}\s*=\s*"(-?[0-9]+)"', 1), F.lit("")).try_cast("long"), F.lit(0).cast("long")).alias(n) for n in "tdr"]))
+    entries = F.transform(F.regexp_extract_all("t", F.lit(r"(?is)<S\b([^>]*?)/?>"), 1), lambda x: F.struct(*[F.coalesce(xml_attribute(x, n).try_cast("long"), F.lit(0).cast("long")).alias(n) for n in "tdr"]))
     return template.select("url", "set_no", "rep_no", mine("id").alias("id"), F.coalesce(mine("bandwidth").try_cast("long"), F.lit(0).cast("long")).alias("bandwidth"), mine("mimeType").alias("mime"), mine("codecs").alias("codecs"), F.coalesce(base("rep"), base("outer"), F.lit("")).alias("base"), "duration", xml_attribute(F.col("ta"), "initialization").alias("initialization"), xml_attribute(F.col("ta"), "media").alias("media"), number("timescale", 1).alias("timescale"), number("startNumber", 1).alias("start_number"), number("duration", 0).alias("segment_duration"), entries.alias("timeline"))
 
 

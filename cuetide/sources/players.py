@@ -100,9 +100,12 @@ def activity_payloads(df: DataFrame, long_chunk: float = 120.0, max_value: float
         most = F.greatest(F.abs(a), F.abs(b))
         plain = (length >= long_chunk) & (most < max_value) & (most <= length + 1) & (b - a > min_span)
         bare = F.when(whole & ~plain & ((b - a > 45) | ((length > 0) & (most > length + 1))), F.lit(1000.0)).otherwise(1.0)
-        low = F.coalesce(x["start_ms"] / 1000, x["start_time"], a / bare)
-        high = F.coalesce(x["end_ms"] / 1000, x["end_time"], b / bare)
-        return F.struct(F.greatest(F.col("start"), F.col("start") + low).alias("start"), F.least(F.col("end"), F.col("start") + high).alias("end"))
+        # The first kind of bounds of which there is one; a bound that lacks its other is no interval.
+        kinds = [(x["start_ms"] / 1000, x["end_ms"] / 1000), (x["start_time"], x["end_time"])]
+        some = [low.isNotNull() | high.isNotNull() for low, high in kinds]
+        low, high = (F.when(some[0], kinds[0][i]).when(some[1], kinds[1][i]).otherwise(c / bare) for i, c in enumerate((a, b)))
+        clamped = F.struct(F.greatest(F.col("start"), F.col("start") + low).alias("start"), F.least(F.col("end"), F.col("start") + high).alias("end"))
+        return F.when(high > low, clamped)
 
     found = F.array_sort(F.filter(F.transform(items, span), lambda x: x["end"] > x["start"]))
     return df.select("chunk_id", found.alias("intervals"))
@@ -146,9 +149,16 @@ def audio_head(content: Column) -> Column:
 
 
 def page_duration(html: Column) -> Column:
-    """Seconds: of the duration meta tags, else of JSON-LD."""
+    """Seconds: of the first duration meta tag, whatever the order of its attributes, else of a time tag; where that is no
+    duration, the first one that JSON-LD scripts state."""
     from cuetide.functions.times import duration_value
 
-    meta = F.regexp_extract(html, r"""(?i)<meta[^>]+(?:property|itemprop|name)=["'](?:video:duration|og:video:duration|duration)["'][^>]+content=["']([^"']+)["']""", 1)
-    linked = F.regexp_extract(html, r'(?is)<script[^>]+application/ld\+json[^>]*>.*?"duration"\s*:\s*"?([^",}]+)', 1)
-    return duration_value(F.coalesce(F.nullif(meta, F.lit("")), F.nullif(linked, F.lit(""))))
+    content = r"""(?i)(?<![\w-])content\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), 1), lambda t: t.rlike(r"""(?i)(?<![\w-])(?:property|itemprop|name)\s*=\s*["']?(?:video:duration|og:video:duration|duration)["'\s/>]"""))
+    said = F.filter(F.transform(tags, lambda t: F.concat(*[F.regexp_extract(t, content, i) for i in (1, 2, 3)])), lambda v: v != "")
+    timed = F.nullif(F.regexp_extract(html, r"""(?is)<time\b[^>]*?(?<![\w-])datetime\s*=\s*["']([^"']+)""", 1), F.lit(""))
+    scripts = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*application/ld\+json[^>]*>(.*?)</script>"""), 1)
+    stated = F.flatten(F.transform(scripts, lambda x: F.regexp_extract_all(x, F.lit(r"""(?i)"(?:duration|lengthSeconds|durationSeconds)"\s*:\s*"?([^",}\]]+)"""), 1)))
+    positive = lambda c: F.when(duration_value(c) > 0, duration_value(c))
+    linked = F.get(F.filter(F.transform(stated, lambda v: positive(F.trim(v))), lambda v: v.isNotNull()), F.lit(0))
+    return F.coalesce(positive(F.coalesce(F.get(said, F.lit(0)), timed)), linked)
