@@ -13,29 +13,50 @@ def keep_best(df: DataFrame, keys: list[str], order: list[Column], most: int) ->
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
 
 
-def prune_cache(df: DataFrame, now: Column, owner: list[str], days: int = P.cache_days, most: int = P.cache_entries, most_bytes: int = P.cache_bytes) -> DataFrame:
+def running_sums(df: DataFrame, keys: list[str], slot: Column, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Adds for each name `name_before`, its sum over the rows of the same keys that come before a row, and `name_total`, over
+    all of them. slot must not fall along the order; rows of one slot are the most that a task sorts, and of a key only a row
+    per slot, so a key with very many rows is split between tasks. Null sums count as 0."""
+    sums = {name: F.coalesce(c, F.lit(0)) for name, c in sums.items()}
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    per = df.groupBy(*named, slot.alias("_s")).agg(*[F.sum(c).alias(name) for name, c in sums.items()])
+    own = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))])
+    earlier = own.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    told = per.select(*[f"_k{i}" for i in range(len(keys))], "_s", *[c for name in sums for c in (F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"_b_{name}"), F.sum(name).over(own).alias(f"{name}_total"))])
+    placed = df.withColumn("_slot", slot)
+    same = F.col("_slot").eqNullSafe(F.col("_s"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    within = Window.partitionBy(*keys, "_slot").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = placed.join(told, same).withColumns({f"{name}_before": F.col(f"_b_{name}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for name, c in sums.items()})
+    return found.drop("_slot", "_s", *[f"_k{i}" for i in range(len(keys))], *[f"_b_{name}" for name in sums])
+
+
+#: Seconds of a slot, in which entries of one owner are ordered by one task.
+SLOT = 3600
+
+
+def prune_cache(df: DataFrame, now: Column, owner: list[str], days: int = P.cache_days, most: int = P.cache_entries, most_bytes: int = P.cache_bytes, slot: int = SLOT) -> DataFrame:
     """df: id, updated (epoch seconds, 0 if unknown), bytes, protected. Adds kept: rows expire by age (not at time 0), then
     by rank of recency, then oldest first until the rest's bytes fit. A protected row always stays; if it fails age or
     rank, its bytes don't count."""
-    newest = [F.col("updated").desc(), F.col("id")]
-    ranked = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*owner).orderBy(*newest)))
+    ranked = running_sums(df, owner, -F.floor(F.col("updated") / slot), [F.col("updated").desc(), F.col("id")], {"_newer": F.lit(1)})
     old = (F.col("updated") > 0) & (F.col("updated") < now - days * 86400)
-    ranked = ranked.withColumn("_out", old | (F.col("_rank") > most))
+    ranked = ranked.withColumn("_out", old | (F.col("_newer_before") >= most))
     counted = F.when(~F.col("_out"), F.col("bytes")).otherwise(0)
     evictable = F.when(~F.col("_out") & ~F.col("protected"), F.col("bytes")).otherwise(0)
-    oldest = Window.partitionBy(*owner).orderBy(F.col("updated"), F.col("id").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    sized = ranked.withColumns({"_total": F.sum(counted).over(Window.partitionBy(*owner)), "_gone": F.coalesce(F.sum(evictable).over(oldest), F.lit(0))})
-    evicted = F.col("_out") | (F.col("_total") - F.col("_gone") > most_bytes)
-    return sized.withColumn("kept", F.col("protected") | ~evicted).drop("_rank", "_out", "_total", "_gone")
+    sized = running_sums(ranked, owner, F.floor(F.col("updated") / slot), [F.col("updated"), F.col("id").desc()], {"_all": counted, "_free": evictable})
+    evicted = F.col("_out") | (F.col("_all_total") - F.col("_free_before") > most_bytes)
+    return sized.withColumn("kept", F.col("protected") | ~evicted).select(*df.columns, "kept")
 
 
-def prune_audio(df: DataFrame, now: Column, owner: list[str], hours: int = P.audio_cache_hours, most_bytes: int = P.audio_cache_bytes) -> DataFrame:
+def prune_audio(df: DataFrame, now: Column, owner: list[str], hours: int = P.audio_cache_hours, most_bytes: int = P.audio_cache_bytes, slot: int = SLOT) -> DataFrame:
     """df: url, cached (epoch seconds), bytes, running. Adds kept. Rows of running jobs stay and don't count."""
     old = ~F.col("running") & (F.col("cached") > 0) & (now - F.col("cached") > hours * 3600)
     counts = F.when(~old & ~F.col("running"), F.col("bytes")).otherwise(0)
-    oldest = Window.partitionBy(*owner).orderBy("cached", "url").rowsBetween(Window.unboundedPreceding, -1)
-    sized = df.withColumns({"_old": old, "_total": F.sum(counts).over(Window.partitionBy(*owner)), "_gone": F.coalesce(F.sum(counts).over(oldest), F.lit(0))})
-    return sized.withColumn("kept", F.col("running") | (~F.col("_old") & (F.col("_total") - F.col("_gone") <= most_bytes))).drop("_old", "_total", "_gone")
+    sized = running_sums(df, owner, F.floor(F.col("cached") / slot), [F.col("cached"), F.col("url")], {"_all": counts})
+    kept = F.col("running") | (~old & (F.col("_all_total") - F.col("_all_before") <= most_bytes))
+    return sized.withColumn("kept", kept).select(*df.columns, "kept")
 
 
 #: How far a source of candidates is trusted.

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cuetide.operators import assets, attempts, candidates, folds, jobs, ranges, services
+from cuetide.operators import assets, attempts, candidates, folds, jobs, ranges, retention, services
 from cuetide.sources import events, pages
 
 
@@ -215,3 +215,33 @@ def test_attempts_stop_by_their_own_state(spark):
     rows, outcomes = attempts.transcribe(spark.createDataFrame(chunks, "chunk_id long, start double, end double, clip boolean, vad boolean, precheck boolean, vad_supported boolean, known boolean"), spark.createDataFrame(recorded, "chunk_id long, clip boolean, vad boolean, failed boolean, payload string"), spark.createDataFrame(speech, "media_id long, idx long, s double, e double"), run_filters=False)
     assert sorted((r.media_id, r.s, r.attempt) for r in rows.collect()) == [(1, 0.0, 1), (1, 20.0, 1), (2, 0.0, 2), (2, 20.0, 2), (3, 0.0, 1), (3, 20.0, 2), (4, 40.0, 2), (6, 0.0, 1), (7, 0.0, 1)]
     assert {r.chunk_id: (r.requests, r.plan, r.failed) for r in outcomes.collect()} == {1: (1, None, False), 2: (2, "without_clips_refused", False), 3: (2, "without_clips", False), 4: (2, "empty", False), 5: (1, None, True), 6: (1, None, False), 7: (1, None, False)}
+
+
+# Retention
+
+
+def test_running_sums_in_slots_of_any_size(spark):
+    draw = random.Random(11)
+    rows = [(draw.choice(["hot", "hot", "hot", "b", None]), draw.randrange(300), n, draw.choice([None, 1, 5, 7])) for n in range(400)]
+    table = spark.createDataFrame(rows, "owner string, at long, id long, bytes long")
+    want = {n: (sum(r[3] or 0 for r in rows if r[0] == o and (r[1], r[2]) < (at, n)), sum(r[3] or 0 for r in rows if r[0] == o)) for o, at, n, _ in rows}
+    for slot in (1, 10, 1000):
+        got = retention.running_sums(table, ["owner"], F.floor(F.col("at") / slot), [F.col("at"), F.col("id")], {"x": F.col("bytes")}).collect()
+        assert {r.id: (r.x_before, r.x_total) for r in got} == want
+
+
+def test_a_cache_is_pruned_alike_in_any_slots(spark):
+    draw = random.Random(12)
+    rows = [(n, draw.choice(["hot", "hot", "b"]), draw.choice([0, draw.randrange(1, 40) * 86400, draw.randrange(4_000_000)]), draw.randrange(1, 2000), draw.random() < 0.1) for n in range(300)]
+    table = spark.createDataFrame(rows, "id long, owner string, updated long, bytes long, protected boolean")
+    found = [{r.id: r.kept for r in retention.prune_cache(table, F.lit(3_600_000), ["owner"], most_bytes=40_000, slot=slot).collect()} for slot in (60, 3600, 10**9)]
+    assert found[0] == found[1] == found[2]
+    for owner in ("hot", "b"):
+        own = sorted((r for r in rows if r[1] == owner), key=lambda r: (-r[2], r[0]))
+        live = [r for k, r in enumerate(own) if k < 80 and not 0 < r[2] < 3_600_000 - 30 * 86400]
+        total, gone = sum(r[3] for r in live), set()
+        for r in reversed(live):
+            if total > 40_000 and not r[4]:
+                gone.add(r[0])
+                total -= r[3]
+        assert all(found[0][r[0]] == (r[4] or (r in live and r[0] not in gone)) for r in own)
