@@ -96,15 +96,19 @@ def _gram_hashes(grams: list[str]) -> np.ndarray:
 Table = tuple[np.ndarray, np.ndarray]
 
 
+#: Per order: the different hashes of n-grams, sorted, which of them each symbol has, and whether its word has that many.
+Hashed = list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
 def _lookup(table: Table, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which of the wanted hashes a sorted array has, and the values of those."""
+    """Which of the wanted hashes a sorted array has, and a value for each, which counts where it has it. Wanted hashes are
+    sorted too, which makes the search fast."""
     hashes, values = table
     if not len(hashes):
-        return np.zeros(len(wanted), bool), values
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.float32)
     at = np.searchsorted(hashes, wanted)
     at[at == len(hashes)] = 0
-    hit = hashes[at] == wanted
-    return hit, values[at[hit]]
+    return hashes[at] == wanted, values[at]
 
 
 @dataclass
@@ -113,20 +117,25 @@ class LanguageModel:
     contexts: list[Table]  # per order of the n-gram: sorted hashes, log back-off weights
     floor: float  # log probability of an unknown symbol
 
-    def score(self, hashed: list[tuple[np.ndarray, np.ndarray]], predicted: np.ndarray) -> np.ndarray:
+    def score(self, hashed: Hashed, predicted: np.ndarray) -> np.ndarray:
         """The log probability of each symbol that is predicted, else 0."""
         total, todo = np.zeros(len(predicted), np.float32), np.flatnonzero(predicted)
         for order in range(len(self.grams), 0, -1):
-            hashes, fits = hashed[order - 1]
+            wanted, which, fits = hashed[order - 1]
             # A block's first symbols lack their context; they are not asked for.
             able = fits[todo] & (todo >= order - 1)
             asked, later = todo[able], todo[~able]
-            hit, values = _lookup(self.grams[order - 1], hashes[asked])
-            total[asked[hit]] += values
+            known, values = _lookup(self.grams[order - 1], wanted)
+            own = which[asked]
+            hit = known[own]
+            total[asked[hit]] += values[own[hit]]
             missed = asked[~hit]
             if order > 1 and len(missed):
-                known, weights = _lookup(self.contexts[order - 1], hashed[order - 2][0][missed - 1])
-                total[missed[known]] += weights
+                wanted, which, _ = hashed[order - 2]
+                known, weights = _lookup(self.contexts[order - 1], wanted)
+                own = which[missed - 1]
+                hit = known[own]
+                total[missed[hit]] += weights[own[hit]]
             todo = np.concatenate((missed, later))
         total[todo] += self.floor
         return total
@@ -151,7 +160,7 @@ class Model:
         for first in range(0, len(codes), BLOCK):
             # A block brings the symbols before it along as context.
             start, last = max(0, first - before), min(first + BLOCK, len(codes))
-            hashed = _hashes(codes[start:last], place[start:last], before)
+            hashed = [(*np.unique(h, return_inverse=True), fits) for h, fits in _hashes(codes[start:last], place[start:last], before)]
             predicted = place[start:last] > 0  # the start mark is given, not predicted
             own = owner[first:last]
             edges = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
