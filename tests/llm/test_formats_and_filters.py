@@ -342,7 +342,7 @@ def test_licenses_are_told_apart(spark):
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_matches_sql(spark, sf, name):
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings"):
         duckdb.sql(f"create or replace view {table} as select * from '{sf}/{table}.parquet'")
     frame = queries.queries()[name](spark, sf)
     columns = sorted(frame.columns)
