@@ -2,8 +2,8 @@
 
 Each round joins every edge end to the smallest node around it (large star: to larger neighbours; small star: to
 smaller ones), until each component is a star about its smallest node. Every step is a groupBy with partial
-aggregation and an equi-join whose two sides are plain shuffles, so Spark can split the share of a hub. Rounds are
-written to the shared folder, which cuts lineage and survives lost executors.
+aggregation and an equi-join whose two sides are plain shuffles, so Spark can split the share of a hub and nothing that
+grows with the edges is broadcast. Rounds are written to the shared folder, which cuts lineage and survives lost executors.
 """
 
 from __future__ import annotations
@@ -24,11 +24,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     else:
         near = edges.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
+    # w is an aggregate, not the grouping column: so this side gets a shuffle of its own, and Spark may split the other's hubs.
+    least = near.groupBy("u").agg(F.max("u").alias("w"), F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
     if large:
-        found = near.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("m").alias("a"), F.col("v").alias("b"))
+        found = near.where("v > u").join(least.hint("merge"), F.col("u") == F.col("w")).select(F.col("m").alias("a"), F.col("v").alias("b"))
     else:
-        found = near.join(least, F.col("u") == F.col("w")).select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b"))
+        found = near.join(least.hint("merge"), F.col("u") == F.col("w")).select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b"))
     return found.where("a < b").distinct()
 
 

@@ -7,7 +7,9 @@ blanked the two halves are equal. Each fingerprint is indexed under all 64 such
 finds the candidates, and the join's own condition verifies the whole distance and keeps a pair under one key only.
 
 Equal fingerprints are one class, which joins once; groups of copies of any size cost one row. The join's sides are
-plain shuffles of a stored table, so Spark splits a key that many different fingerprints share.
+plain shuffles of a stored table, so Spark splits a key that many different fingerprints share. All joins here and in
+`components` ask for sorted shuffles: Spark takes the size of a side before its 64 keys a row, or of a compressed file,
+and would else send millions of rows through the driver as a broadcast.
 
 Null, empty and blank texts have the fingerprint zero and link like any other. Fewer words than a shingle: the whole
 sequence is one shingle. Rows with equal texts are of one component; a document linked with none is its own component.
@@ -91,7 +93,7 @@ def links(classes: DataFrame, most_bits: int = 3) -> DataFrame:
     in_half = F.when(number < 32, apart.bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.shiftrightunsigned(apart, 32))
     # Equal halves meet under all 32 keys of the half, halves one bit apart under that bit's: the former count at bit 0.
     own_key = (in_half != 0) | (number % 32 == 0)
-    return left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(apart) <= most_bits) & own_key).select("a", "b")
+    return left.hint("merge").join(right.hint("merge"), (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(apart) <= most_bits) & own_key).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, most_bits: int = 3) -> DataFrame:
@@ -99,8 +101,8 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size
     prints = stored(with_fingerprints(df.select(key, text), text, size=size, drop_text=True), "simhash-prints")
     classes = stored(prints.groupBy("fingerprint").agg(F.min(key).alias("rep")), "simhash-classes")
     found = connected_components(links(classes, most_bits), "simhash-links")
-    label = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fingerprint").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(label, F.col("fingerprint") == F.col("_fp")).select(key, "fingerprint", "component_id")
+    label = classes.join(found.hint("merge"), F.col("rep") == F.col("node"), "left").select(F.col("fingerprint").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(label.hint("merge"), F.col("fingerprint") == F.col("_fp")).select(key, "fingerprint", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:
@@ -112,4 +114,4 @@ def keep_first(df: DataFrame, text: str = "text", key: str = "doc_id", size: int
     found = near_duplicates(df.where(F.col(key).isNotNull()), text, key, size, most_bits)
     other = spare(df.columns, "other")
     others = stored(found.where(F.col(key) > F.col("component_id")).select(F.col(key).alias(other)).distinct(), "simhash-others")
-    return df.join(others, F.col(key) == F.col(other), "left_anti")
+    return df.join(others.hint("merge"), F.col(key) == F.col(other), "left_anti")

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from cuetide.llm import components, decontam, queries, simhash, substring
+from cuetide.llm import common, components, decontam, queries, simhash, substring
 
 few = settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 DOCS = "doc_id long, text string"
@@ -87,6 +87,23 @@ def test_links_lose_nothing(spark, bases, flips):
     assert got == {(i, j) for i in range(len(prints)) for j in range(i + 1, len(prints)) if (prints[i] ^ prints[j]).bit_count() <= 3}
 
 
+def test_no_join_goes_through_the_driver(spark, monkeypatch):
+    plans = []
+
+    def kept(df, name):
+        plans.append(df)
+        return common.stored(df, name)
+
+    monkeypatch.setattr(simhash, "stored", kept)
+    monkeypatch.setattr(components, "stored", kept)
+    base = " ".join(f"w{i}" for i in range(400))
+    texts = [(i, base.replace("w200", f"x{i}") if i % 3 else f"other {i}") for i in range(30)]
+    frame = common.stored(spark.createDataFrame(texts, DOCS), "few-texts")
+    plans += [simhash.keep_first(frame), simhash.near_duplicates(frame)]
+    assert any("Join" in p._jdf.queryExecution().executedPlan().toString() for p in plans)
+    assert not [p for p in plans if "Broadcast" in p._jdf.queryExecution().executedPlan().toString()]
+
+
 def brute_removal(texts, length):
     first = {}
     for i in sorted(texts):
