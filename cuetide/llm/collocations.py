@@ -12,8 +12,9 @@ negatives, and false positives only cost work; when there are too many phrases f
 
 The counts of a phrase's parts are looked up by requests: each cut of a phrase sends one for its first and one for its
 last part to the place of the part's count, and the answers come back to the phrase. Single words get the most requests, so
-counts are held in several copies, by the number of words, and a request picks one by its phrase's hash. Arithmetic is in
-decimals of 38 digits and exact; counts whose products exceed that raise an error.
+counts are held in several copies, by the number of words, and a request picks one by its phrase's hash. These joins ask
+for sorted shuffles: Spark takes a side's size before its copies, cuts and parts, and would else send it through the
+driver as a broadcast. Arithmetic is in decimals of 38 digits and exact; counts whose products exceed that raise an error.
 
 A null language is `und`; it meets rows that say so. Null or empty texts have no words, an empty table gives no rows,
 repeated rows count each, and equal scores are ordered by count and phrase. A very long text is cut into its pieces by
@@ -209,7 +210,7 @@ def score(counts: Counts, most_words: int = MOST_WORDS, held_by: int = HELD_BY)
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), k.alias("words"), _words(F.col("w"), F.lit(1), k).alias("part")), F.struct(F.lit(1).alias("side"), (F.col("size") - k).alias("words"), _words(F.col("w"), k + 1, F.col("size") - k).alias("part"))))
     requests = cuts.select("lang", "phrase", "a", "k", sides.alias("x")).select("lang", "phrase", "a", "k", "x.side", "x.part", F.pmod(F.xxhash64("phrase", "k"), copies(F.col("x.words"))).cast("int").alias("copy"))
     held = phrases.where(F.col("size") < most_words).select(F.col("lang").alias("_lang"), F.col("phrase").alias("_part"), "f", F.explode(F.sequence(F.lit(0), copies(F.col("size")) - 1)).alias("_copy"))
-    answers = requests.join(held, (F.col("lang") == F.col("_lang")) & (F.col("part") == F.col("_part")) & (F.col("copy") == F.col("_copy")))
+    answers = requests.hint("merge").join(held.hint("merge"), (F.col("lang") == F.col("_lang")) & (F.col("part") == F.col("_part")) & (F.col("copy") == F.col("_copy")))
     sizes = range(1, most_words)
     told = answers.groupBy("lang", "phrase", "a").agg(*[F.max(F.when((k == i) & (F.col("side") == side), F.col("f"))).alias(f"{name}{i}") for i in sizes for side, name in ((0, "l"), (1, "r"))])
     placed = told.join(counts.totals.withColumnRenamed("lang", "_lang"), F.col("lang") == F.col("_lang"))
@@ -220,7 +221,7 @@ def score(counts: Counts, most_words: int = MOST_WORDS, held_by: int = HELD_BY)
 
     inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda s: F.transform(F.sequence(F.lit(1), F.col("size") - s + 1), lambda i: F.array_join(F.slice(F.col("w"), i, s), " "))))
     longer = long.where("size > 2").select("lang", F.explode(inner).alias("phrase"), "f").groupBy(F.col("lang").alias("_lang"), F.col("phrase").alias("_inner")).agg(F.max("f").alias("_f"))
-    both = scored.join(longer, (F.col("lang") == F.col("_lang")) & (F.col("phrase") == F.col("_inner")), "left")
+    both = scored.join(longer.hint("merge"), (F.col("lang") == F.col("_lang")) & (F.col("phrase") == F.col("_inner")), "left")
     return both.where(F.col("_f").isNull() | (F.col("_f") * 100 < F.col("a") * held_by)).drop("_lang", "_inner", "_f")
 
 

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from cuetide.llm import codebooks, collocations, linededup
+from cuetide.llm import codebooks, collocations, common, linededup
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FOLD = str.maketrans(UPPER, LOWER)
@@ -232,3 +232,9 @@ def test_phrases_of_no_rows_and_long_texts(spark):
     assert got["one two three four one"] == 79_999 and got["one two three four"] == 80_000
     # Held by the phrase of four words, as often as it occurs.
     assert "one two" not in got
+
+
+def test_only_totals_are_broadcast(spark):
+    docs = common.stored(spark.createDataFrame(texts(5), "lang string, text string"), "few-texts")
+    plan = collocations.score(collocations.count_phrases(docs, least=2))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("BroadcastHashJoin") <= 1
