@@ -1,11 +1,16 @@
-"""Near-duplicates by Jaccard similarity of word shingles: MinHash bands find candidates, the whole sets decide.
+"""Near-duplicates by Jaccard similarity of word shingles: SimHash and MinHash bands find candidates, the whole sets decide.
 
 Words and shingle hashes are those of `simhash`; a text is the set of its shingles' hashes, and two texts are linked if
-their sets' Jaccard similarity reaches `similarity`. Texts with equal sets are one class, which counts once. Of each set
-BANDS keys are made from ROWS minima each; sets of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS,
-which is 0.99995 at 0.8 and rises above. Pairs that share no key are not found; those that do are decided exactly.
+their sets' Jaccard similarity reaches `similarity`. Texts with equal sets are one class, which counts once.
 
-A band's members are first compared to one of them, its hub. Only bands that then hold more than one component are
+First each set has a SimHash fingerprint, and the one-wildcard variants of `simhash` give components of fingerprints some
+bits apart; each member is compared to the component's first text, and stays with it if the sets are similar. Most sets of
+similarity 0.8 lie further apart than that, so what this leaves open is found by MinHash: of each set BANDS keys are
+made from ROWS minima each; sets of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS,
+which is 0.99995 at 0.8 and rises above. Pairs that share no key and no component of fingerprints are not found; those
+that do are decided exactly.
+
+A band whose members SimHash has all put to one text is settled. Members of the others are first compared to one of them, its hub. Only bands that then hold more than one component are
 paired out, only across components, and only where neither the distances to the hub nor the shingles that no other set
 has rule a pair out for certain. That join holds the sets and compares them itself: only links come out of it, and a
 large group of near copies costs a row for each member and band, not each pair.
@@ -26,7 +31,7 @@ from pyspark.sql import types as T
 
 from cuetide.llm.common import add_columns, let_go, spare, stored
 from cuetide.llm.components import connected_components
-from cuetide.llm.simhash import shingle_hashes
+from cuetide.llm.simhash import fingerprint_of, shingle_hashes, with_components
 
 SIZE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
@@ -60,11 +65,13 @@ def _with_prints(df: DataFrame, text: str, size: int) -> DataFrame:
 
         def step(values: list) -> tuple[list, ...]:
             sets = [shingle_set(v, size) for v in values]
-            return [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [band_keys(s) for s in sets], [len(s) for s in sets]
+            prints = np.array([fingerprint_of(s) for s in sets], np.uint64).view(np.int64)
+            return [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [band_keys(s) for s in sets], [len(s) for s in sets], prints
 
         return step
 
-    return add_columns(df, make, text, [("digest", T.BinaryType(), pa.binary()), ("bands", T.ArrayType(T.LongType()), pa.list_(pa.int64())), ("n", T.IntegerType(), pa.int32())], drop=(text,))
+    added = [("digest", T.BinaryType(), pa.binary()), ("bands", T.ArrayType(T.LongType()), pa.list_(pa.int64())), ("n", T.IntegerType(), pa.int32()), ("fingerprint", T.LongType(), pa.int64())]
+    return add_columns(df, make, text, added, drop=(text,))
 
 
 def _with_sets(df: DataFrame, text: str, size: int) -> DataFrame:
@@ -85,31 +92,48 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", _alike("hashes_a", "hashes_b").alias("alike"))
 
 
+def likely_pairs(classes: DataFrame) -> DataFrame:
+    """classes: (rep, n, fingerprint), stored. Pairs (a, b): b of a component of near fingerprints, and its first text a."""
+    found = with_components(classes.where("n > 0").select("rep", "fingerprint"), "rep")
+    return found.where("rep <> component_id").select(F.col("component_id").alias("a"), F.col("rep").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
     """(key, component_id): component_id is the smallest key reachable over links."""
     similarity -= 1e-12  # quotients are rounded
     texts = df.where(F.col(key).isNotNull()).select(key, text)
     prints = stored(_with_prints(texts, text, size), "jaccard-prints")
-    classes = stored(prints.groupBy("digest").agg(F.min(key).alias("rep"), F.first("bands").alias("bands"), F.first("n").alias("n")), "jaccard-classes")
+    classes = stored(prints.groupBy("digest").agg(F.min(key).alias("rep"), F.first("bands").alias("bands"), F.first("n").alias("n"), F.first("fingerprint").alias("fingerprint")), "jaccard-classes")
+    likely = stored(likely_pairs(classes), "jaccard-likely")
     banded = stored(classes.select(F.explode("bands").alias("band"), "rep", "n"), "jaccard-bands")
     crowded = stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select(F.col("band").alias("_band"), "held"), "jaccard-crowded")
     members = stored(banded.join(crowded, F.col("band") == F.col("_band")).drop("_band"), "jaccard-members")
+    let_go(banded, crowded)
     wanted = stored(members.groupBy(F.col("rep").alias("_rep")).agg(F.sum("held").alias("met")), "jaccard-wanted")
-    sets = stored(_with_sets(texts.join(wanted.select("_rep"), F.col(key) == F.col("_rep"), "left_semi").withColumnRenamed(key, "_k"), text, size), "jaccard-sets")
+    needed = wanted.select("_rep").union(likely.select("a")).union(likely.select("b")).distinct()
+    sets = stored(_with_sets(texts.join(needed, F.col(key) == F.col("_rep"), "left_semi").withColumnRenamed(key, "_k"), text, size), "jaccard-sets")
+
+    close = stored(_compared(likely, sets).where(F.col("alike") >= similarity).select("a", "b"), "jaccard-close")
+    joined = members.join(close.groupBy("b").agg(F.min("a").alias("a")), F.col("rep") == F.col("b"), "left").select("band", F.coalesce("a", "rep").alias("part"))
+    unsettled = stored(joined.groupBy("band").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select(F.col("band").alias("_band")), "jaccard-unsettled")
+    whole, members = members, members.join(unsettled, F.col("band") == F.col("_band"), "left_semi")
 
     # The text that meets most others is the likeliest origin of a band's copies.
     hubs = members.join(wanted, F.col("rep") == F.col("_rep")).groupBy(F.col("band").alias("_band")).agg(F.max_by("rep", F.struct("met", "rep")).alias("hub"))
     members = stored(members.join(stored(hubs, "jaccard-hubs"), F.col("band") == F.col("_band")).select("band", "rep", "n", "hub"), "jaccard-members")
+    let_go(whole, unsettled)
     stars = stored(_compared(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), sets), "jaccard-stars")
-    near = stars.where(F.col("alike") >= similarity).select("a", "b")
+    near = stars.where(F.col("alike") >= similarity).select("a", "b").union(close)
     found = connected_components(near, "jaccard-first")
     placed = members.join(stars.toDF("_a", "_b", "alike"), (F.col("hub") == F.col("_a")) & (F.col("rep") == F.col("_b")), "left").join(found, F.col("rep") == F.col("node"), "left")
     placed = stored(placed.select("band", "rep", "n", F.coalesce("alike", F.lit(1.0)).alias("alike"), F.coalesce("component", "rep").alias("part")), "jaccard-placed")
-    # Shingles of one set only are in no intersection.
-    alone = sets.select("_k", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("_k").alias("_k"), F.count(F.lit(1)).alias("held")).where("held = 1").groupBy("_k").agg(F.count(F.lit(1)).alias("alone"))
-    alone = stored(alone, "jaccard-alone")
     mixed = stored(placed.groupBy("band").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select(F.col("band").alias("_band")), "jaccard-mixed")
-    rest = stored(placed.join(mixed, F.col("band") == F.col("_band"), "left_semi").where("alike < 1").join(alone, F.col("rep") == F.col("_k"), "left").select("band", "rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"), "alike", "part"), "jaccard-rest")
+    open_bands = stored(placed.join(mixed, F.col("band") == F.col("_band"), "left_semi").where("alike < 1"), "jaccard-open")
+    # Shingles of one set only, of those still to be compared, are in no intersection.
+    compared = sets.join(open_bands.select("rep").distinct(), F.col("_k") == F.col("rep"), "left_semi")
+    alone = compared.select("_k", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("_k").alias("_k"), F.count(F.lit(1)).alias("held")).where("held = 1").groupBy("_k").agg(F.count(F.lit(1)).alias("alone"))
+    alone = stored(alone, "jaccard-alone")
+    rest = stored(open_bands.join(alone, F.col("rep") == F.col("_k"), "left").select("band", "rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"), "alike", "part"), "jaccard-rest")
     # The sets travel with their bands, so that the join itself decides and only links come out of it.
     full = rest.join(sets, F.col("rep") == F.col("_k")).select(*rest.columns, "hashes")
     left, right = full.toDF("band", "a", "n_a", "shared_a", "alike_a", "part_a", "hashes_a"), full.toDF("band_b", "b", "n_b", "shared_b", "alike_b", "part_b", "hashes_b")
@@ -122,7 +146,7 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size
     linked = connected_components(near.union(further), "jaccard-links")
 
     label = stored(classes.join(linked, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("component_id")), "jaccard-label")
-    let_go(classes, banded, crowded, members, wanted, sets, stars, placed, alone, mixed, rest, further)
+    let_go(classes, likely, members, wanted, sets, close, stars, placed, mixed, open_bands, alone, rest, further)
     return prints.join(label, F.col("digest") == F.col("_digest")).select(key, "component_id")
 
 

@@ -50,8 +50,8 @@ def shingle_hashes(text: str | None, size: int = 3) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def fingerprint(text: str | None, size: int = 3) -> int:
-    hashes = shingle_hashes(text, size).astype("<u8")
+def fingerprint_of(hashes: np.ndarray) -> int:
+    hashes = hashes.astype("<u8")
     counts = np.zeros(64, np.int64)
     for first in range(0, len(hashes), _BLOCK):
         bits = np.unpackbits(hashes[first : first + _BLOCK].view(np.uint8), bitorder="little")
@@ -59,6 +59,10 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int(_WEIGHTS[counts * 2 > len(hashes)].sum())
 
 
+def fingerprint(text: str | None, size: int = 3) -> int:
+    return fingerprint_of(shingle_hashes(text, size))
+
+
 def with_fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", size: int = 3, drop_text: bool = False) -> DataFrame:
     """Add the fingerprint as a signed 64-bit integer."""
 
@@ -96,15 +100,20 @@ def links(classes: DataFrame, most_bits: int = 3) -> DataFrame:
     return left.hint("merge").join(right.hint("merge"), (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(apart) <= most_bits) & own_key).select("a", "b")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, most_bits: int = 3) -> DataFrame:
-    """(key, fingerprint as long, component_id): component_id is the smallest key reachable over links."""
-    prints = stored(with_fingerprints(df.select(key, text), text, size=size, drop_text=True), "simhash-prints")
+def with_components(prints: DataFrame, key: str, most_bits: int = 3) -> DataFrame:
+    """prints: (key, fingerprint as long), stored. Adds component_id, the smallest key reachable over links."""
     classes = stored(prints.groupBy("fingerprint").agg(F.min(key).alias("rep")), "simhash-classes")
     found = connected_components(links(classes, most_bits), "simhash-links")
     label = classes.join(found.hint("merge"), F.col("rep") == F.col("node"), "left").select(F.col("fingerprint").alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
     return prints.join(label.hint("merge"), F.col("fingerprint") == F.col("_fp")).select(key, "fingerprint", "component_id")
 
 
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = 3, most_bits: int = 3) -> DataFrame:
+    """(key, fingerprint as long, component_id): component_id is the smallest key reachable over links."""
+    prints = stored(with_fingerprints(df.select(key, text), text, size=size, drop_text=True), "simhash-prints")
+    return with_components(prints, key, most_bits)
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

@@ -3,7 +3,9 @@
 import random
 
 import corpus_pipeline
-from cuetide.llm import jaccard
+from test_duplicates import united
+
+from cuetide.llm import jaccard, simhash
 
 
 def _planted():
@@ -62,3 +64,17 @@ def test_stage_finds_planted_copies(spark, sf):
 def test_stage_over_the_documents(spark, sf, texts):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()} == set(_components(sorted(texts.items())).values())
+
+
+def test_fingerprints_find_copies_before_minhash(spark, sf, monkeypatch):
+    base = [f"w{i}" for i in range(2000)]
+    rows = [(i, " ".join([*base[:1000], f"x{i}", *base[1001:]])) for i in range(8)] + [(50, "other text of some few words")]
+    docs, seen = spark.createDataFrame(rows, "doc_id long, text string"), []
+    plain = jaccard.likely_pairs
+    monkeypatch.setattr(jaccard, "likely_pairs", lambda classes: seen.append(plain(classes)) or seen[-1])
+    monkeypatch.setattr(jaccard, "let_go", lambda *tables: None)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()} == {0, 50}
+    prints = [simhash.fingerprint_of(jaccard.shingle_set(t)) for _, t in rows]
+    want = united(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
+    want = {(rows[c][0], k) for (k, _), c in zip(rows, want, strict=True) if rows[c][0] != k}
+    assert want and {(r.a, r.b) for r in seen[0].collect()} == want
