@@ -34,6 +34,8 @@ from cuetide.llm.common import add_columns
 CACHE_WORDS = 300_000
 CACHE_PAIRS = 150_000
 PIECE_CHARS = 1 << 20
+#: Bytes of text, one text at least, that are split and learnt together; their pieces are all held meanwhile.
+BATCH_BYTES = 1 << 18
 _END = "</w>"
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(12)]
 
@@ -204,6 +206,7 @@ class WordBPE:
     def _learn_chunks(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of text pieces that white space bounds."""
         words = {c: self._words(c) for c in chunks}
+        words = {c: [c] if ws == [c] else ws for c, ws in words.items()}  # one string and its ids serve both caches
         if fresh := {w for ws in words.values() for w in ws if w not in self.known}:
             self.learn(fresh)
             if lost := {w for ws in words.values() for w in ws if w not in self.known}:  # the cache was emptied
@@ -303,7 +306,7 @@ def encode(df: DataFrame, spec: str, text: str = "text", ids: str = "token_ids",
         return step
 
     added = [(ids, T.BinaryType(), pa.binary()), *([(decoded, T.BinaryType(), pa.binary())] if decoded else [])]
-    return add_columns(df, make, text, added, drop=(text,) if drop_text else ())
+    return add_columns(df, make, text, added, drop=(text,) if drop_text else (), max_bytes=BATCH_BYTES)
 
 
 def decode(df: DataFrame, spec: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
@@ -314,7 +317,7 @@ def decode(df: DataFrame, spec: str, ids: str = "token_ids", text: str = "decode
         model = _model(Decoder, sent.value)
         return lambda values: ([model.decode(v) for v in values],)
 
-    return add_columns(df, make, ids, [(text, T.BinaryType(), pa.binary())])
+    return add_columns(df, make, ids, [(text, T.BinaryType(), pa.binary())], max_bytes=BATCH_BYTES)
 
 
 def with_token_digests(df: DataFrame, ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:

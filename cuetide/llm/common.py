@@ -48,24 +48,26 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iter
         yield batch.slice(first)
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType, sized_by: str) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: T.StructType, sized_by: str, max_bytes: int = 2 << 20) -> DataFrame:
     """mapInArrow with one function per task (make is called in the task) over batches cut by the bytes of a column. A
-    function with an attribute close has it called when the task ends; Python workers outlive tasks."""
+    function with an attribute close has it called when the task ends; Python workers outlive tasks, so that what Arrow
+    holds in reserve goes back then, too."""
     prepare_arrow(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         try:
             for batch in batches:
-                for piece in slices(batch, sized_by):
+                for piece in slices(batch, sized_by, max_bytes):
                     yield step(piece)
         finally:
             getattr(step, "close", lambda: None)()
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 
 
-def add_columns(df: DataFrame, make: Callable[[], Callable[[list], tuple]], source: str, added: list[tuple[str, T.DataType, pa.DataType]], drop: tuple[str, ...] = ()) -> DataFrame:
+def add_columns(df: DataFrame, make: Callable[[], Callable[[list], tuple]], source: str, added: list[tuple[str, T.DataType, pa.DataType]], drop: tuple[str, ...] = (), max_bytes: int = 2 << 20) -> DataFrame:
     """Add columns computed from one text or binary column. The task's function takes the list of its values, nulls
     included, and returns one list per added column. Other columns pass unchanged; a column whose name is to be
     added is replaced."""
@@ -87,4 +89,4 @@ def add_columns(df: DataFrame, make: Callable[[], Callable[[list], tuple]], sour
         one.close = getattr(step, "close", lambda: None)
         return one
 
-    return arrow_map(df, build, schema, source)
+    return arrow_map(df, build, schema, source, max_bytes)

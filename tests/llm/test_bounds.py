@@ -21,6 +21,25 @@ def test_bpe_cuts_where_the_tokenizer_sees_white_space():
         assert len(text) > bpe.PIECE_CHARS
         assert np.frombuffer(model.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
 
+def test_bpe_learns_few_texts_at_once_and_keeps_a_string_once(spark, monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    spec = bpe.load_spec(queries.tokenizer_path())
+    texts = [" ".join(f"w{i * n}" for i in range(2_000)) for n in range(1, 80)] + [None, ""]
+    kept = []
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, run, schema: kept.append(run) or self)
+    bpe.encode(spark.createDataFrame([], "text string"), spec)
+    sizes, plain = [], bpe.WordBPE.encode_batch
+    monkeypatch.setattr(bpe.WordBPE, "encode_batch", lambda self, values: sizes.append(sum(len(v or "") for v in values)) or plain(self, values))
+    out = pa.Table.from_batches(kept[0](iter([pa.RecordBatch.from_pydict({"text": texts})]))).column("token_ids").to_pylist()
+    assert sum(sizes) > 900_000 and max(sizes) <= 300_000
+    model = bpe.WordBPE(spec)
+    assert out == [plain(model, [t])[0] for t in texts]
+    single = bpe.WordBPE(spec)
+    single.encode("alpha beta gamma")
+    assert len(single.chunks) == 3 and {id(c) for c in single.chunks} == {id(w) for w in single.known}
+
 
 def test_decontamination_gives_the_same_in_any_number_of_blocks(spark):
     long = " ".join(f"w{i}" for i in range(40))
