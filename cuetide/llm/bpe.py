@@ -3,7 +3,8 @@
 The distinct words of a piece of the input form a trie, walked depth first. Each node holds the last token of the
 encoding of its prefix and how many symbols that token has, so a prefix that many words share is encoded once. The
 last token of a prefix p is the one suffix token t for which the pair (last token of p without t, t) is stable, that
-is, for which no merge would cross the cut between the two. A word's ids follow from the states on its path.
+is, for which no merge would cross the cut between the two. An automaton over the vocabulary names the suffix tokens of p,
+so no other is tried; it takes some 19 MB a worker. A word's ids follow from the states on its path.
 
 Text preparation is that of the tokenizer file: NFC, runs of white space to one blank, lower case, then pieces by the
 file's split pattern, as bytes. Special tokens in the text become their ids, as in the tokenizers library.
@@ -16,6 +17,7 @@ long one needs memory for itself, its ids and one piece; what has no white space
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
 import struct
@@ -73,13 +75,49 @@ def _white_space():
     return regex.compile(r"\p{White_Space}+")
 
 
-def _reach(tokens: dict[str, int]) -> dict[str, int]:
-    """For the last three symbols of a token the length of the longest token that ends so. Others have two at most."""
-    found: dict[str, int] = {}
-    for s in tokens:
-        if len(s) > 2 and found.get(s[-3:], 0) < len(s):
-            found[s[-3:]] = len(s)
-    return found
+class _Suffixes:
+    """Automaton that reads symbols and knows, after each, the tokens that end there. A state is the longest suffix of what
+    was read that some token begins with."""
+
+    def __init__(self, inner: dict[str, int], final: dict[str, int]):
+        self.go: list[dict[str, int]] = [{}]
+        self.held: list[list[tuple[int, int] | None]] = [[None], [None]]  # inner and final token of a state's whole text, with its length
+        for held, tokens in zip(self.held, (inner, final), strict=True):
+            for s, token in tokens.items():
+                at = 0
+                for c in s:
+                    if (then := self.go[at].get(c)) is None:
+                        then = self.go[at][c] = len(self.go)
+                        self.go.append({})
+                        for kind in self.held:
+                            kind.append(None)
+                    at = then
+                held[at] = (token, len(s))
+        self.shorter = [0] * len(self.go)  # the state of the longest shorter suffix
+        level = list(self.go[0].values())
+        while level:
+            for at in level:
+                for c, then in self.go[at].items():
+                    self.shorter[then] = self.after(self.shorter[at], c)
+            level = [then for at in level for then in self.go[at].values()]
+        leaf: dict[str, int] = {}
+        self.go = [then or leaf for then in self.go]
+        self.ending: tuple[dict, dict] = ({}, {})
+
+    def after(self, state: int, symbol: str) -> int:
+        while (then := self.go[state].get(symbol)) is None and state:
+            state = self.shorter[state]
+        return then or 0
+
+    def tokens(self, state: int, final: bool) -> list[tuple[int, int]]:
+        """Tokens that end in this state and their lengths, longest first."""
+        held, at, found = self.held[final], state, []
+        while at:
+            if held[at] is not None:
+                found.append(held[at])
+            at = self.shorter[at]
+        self.ending[final][state] = found
+        return found
 
 
 class WordBPE:
@@ -104,12 +142,13 @@ class WordBPE:
             self.rank.setdefault(token, at + 1)
             self.parts.setdefault(token, pair)
             self.joined.setdefault(pair, at + 1)
-        self.inner: dict[str, int] = {}
-        self.final: dict[str, int] = {}
+        inner: dict[str, int] = {}
+        final: dict[str, int] = {}
         for s, i in vocab.items():
-            (self.final.__setitem__(s[: -len(_END)], i) if s.endswith(_END) and len(s) > len(_END) else self.inner.__setitem__(s, i))
-        self.reach = [_reach(self.inner), _reach(self.final)]
+            (final.__setitem__(s[: -len(_END)], i) if s.endswith(_END) and len(s) > len(_END) else inner.__setitem__(s, i))
+        self.suffixes = _Suffixes(inner, final)
         self.shown = byte_symbols()
+        self.symbols = dict(enumerate(self.shown))
         split = next(p["pattern"]["Regex"] for p in parsed["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words_of = regex.compile(split).findall
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
@@ -143,47 +182,52 @@ class WordBPE:
         self.stable_pairs[pair] = found
         return found
 
-    def _last_token(self, symbols: str, depth: int, lasts: list[int], final: bool) -> tuple[int, int]:
-        """The last token after symbols[:depth] and where it starts, given the last tokens after all shorter prefixes.
-        final: the word ends here. The longest suffix token that is stable beside what stands before it."""
-        tokens = self.final if final else self.inner
-        known, stable = self.stable_pairs.get, self._stable
-        for at in range(max(0, depth - self.reach[final].get(symbols[depth - 3 : depth], 2) if depth > 2 else 0), depth):
-            token = tokens.get(symbols[at:depth])
-            if token is None:
-                continue
-            if not at:
-                return token, at
-            left = lasts[at]
-            found = known(left << 20 | token)
-            if found if found is not None else stable(left, token):
-                return token, at
-        raise ValueError("the vocabulary lacks a byte")
-
     def learn(self, words: set[str], keep: bool = False) -> None:
         """Encode words not yet known: depth first through their trie, in sorted order; the stack is the path."""
         if not keep and len(self.known) + len(words) > CACHE_WORDS:
             self.known.clear()
         if len(self.stable_pairs) > CACHE_PAIRS:
             self.stable_pairs.clear()
-        shown = self.shown
-        fresh = sorted(("".join([shown[b] for b in w.encode("utf-8")]), w) for w in words)
-        lasts, starts = [-1], [0]  # of the prefixes on the path
+        symbols_of, suffixes, stable, known_pair = self.symbols, self.suffixes, self._stable, self.stable_pairs.get
+        go, shorter, tokens = suffixes.go, suffixes.shorter, suffixes.tokens
+        inner, final = (ending.get for ending in suffixes.ending)
+        # Plain letters stand for themselves.
+        fresh = sorted((w if w.isascii() and w.isalpha() else w.encode("utf-8").decode("latin-1").translate(symbols_of), w) for w in words)
+        lasts, starts, states = [-1], [0], [0]  # of the prefixes on the path
         before = ""
         for symbols, word in fresh:
             shared, most = 0, min(len(before), len(symbols) - 1, len(lasts) - 1)
             while shared < most and before[shared] == symbols[shared]:
                 shared += 1
-            del lasts[shared + 1 :], starts[shared + 1 :]
-            for depth in range(shared + 1, len(symbols)):
-                token, at = self._last_token(symbols, depth, lasts, False)
+            del lasts[shared + 1 :], starts[shared + 1 :], states[shared + 1 :]
+            state, depth = states[shared], shared
+            # The last token is the longest suffix token that is stable beside what stands before it; the word's end has
+            # tokens of its own.
+            for symbol in symbols[shared:-1]:
+                depth += 1
+                while (then := go[state].get(symbol)) is None and state:
+                    state = shorter[state]
+                state = then or 0
+                for token, size in inner(state) or tokens(state, False):
+                    at = depth - size
+                    if not at or (found if (found := known_pair((left := lasts[at]) << 20 | token)) is not None else stable(left, token)):
+                        break
+                else:
+                    raise ValueError("the vocabulary lacks a byte")
                 lasts.append(token)
                 starts.append(at)
-            token, depth = self._last_token(symbols, len(symbols), lasts, True)
+                states.append(state)
+            state, depth = suffixes.after(state, symbols[-1]), len(symbols)
+            for token, size in final(state) or tokens(state, True):
+                at = depth - size
+                if not at or (found if (found := known_pair((left := lasts[at]) << 20 | token)) is not None else stable(left, token)):
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
             ids = [token]
-            while depth:
-                ids.append(lasts[depth])
-                depth = starts[depth]
+            while at:
+                ids.append(lasts[at])
+                at = starts[at]
             self.known[word] = _PACK[len(ids)](*ids[::-1]) if len(ids) < len(_PACK) else np.array(ids[::-1], "<u4").tobytes()
             before = symbols
 
@@ -205,13 +249,22 @@ class WordBPE:
 
     def _learn_chunks(self, chunks: set[str]) -> dict[str, bytes]:
         """Ids of text pieces that white space bounds."""
-        words = {c: self._words(c) for c in chunks}
-        words = {c: [c] if ws == [c] else ws for c, ws in words.items()}  # one string and its ids serve both caches
-        if fresh := {w for ws in words.values() for w in ws if w not in self.known}:
+        known, single, several = self.known, {}, {}
+        for c in chunks:
+            if c.isascii() and c.isalpha():  # one piece, whatever its letters
+                w = c.lower()
+                single[c] = c if w == c else w  # one string and its ids serve both caches
+            elif len(ws := self._words(c)) == 1:
+                single[c] = c if ws[0] == c else ws[0]
+            else:
+                several[c] = ws
+        used = {*single.values(), *itertools.chain.from_iterable(several.values())}
+        if fresh := used.difference(known):
             self.learn(fresh)
-            if lost := {w for ws in words.values() for w in ws if w not in self.known}:  # the cache was emptied
+            if lost := used.difference(known):  # the cache was emptied
                 self.learn(lost, keep=True)
-        return {c: b"".join([self.known[w] for w in ws]) for c, ws in words.items()}
+        look = known.__getitem__
+        return {c: look(w) for c, w in single.items()} | {c: b"".join(map(look, ws)) for c, ws in several.items()}
 
     def _pieces(self, text: str) -> list[list[str]]:
         """Text without special tokens, cut at white space, in lists of bounded length. Words never span white space."""
@@ -240,9 +293,9 @@ class WordBPE:
             elif text:
                 plan += self._pieces(text)
             plans.append(plan)
-        seen = {c for plan in plans for step in plan if type(step) is list for c in step}
+        seen = set().union(*[step for plan in plans for step in plan if type(step) is list])
         found = self.chunks
-        fresh = {c for c in seen if c not in found}
+        fresh = seen.difference(found)
         if len(found) + len(fresh) > CACHE_WORDS:
             self.chunks = found = {c: found[c] for c in seen - fresh}
         found.update(self._learn_chunks(fresh))

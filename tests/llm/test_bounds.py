@@ -41,6 +41,42 @@ def test_bpe_learns_few_texts_at_once_and_keeps_a_string_once(spark, monkeypatch
     assert len(single.chunks) == 3 and {id(c) for c in single.chunks} == {id(w) for w in single.known}
 
 
+def test_bpe_learns_a_word_in_few_calls():
+    """Each symbol's last token is looked up in place, among tokens that end there."""
+    import random
+    import sys
+
+    spec = bpe.load_spec(queries.tokenizer_path())
+    model, rnd, calls = bpe.WordBPE(spec), random.Random(4), 0
+    words = ["".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randint(3, 14))) for _ in range(4_000)]
+    model.encode(" ".join(words))
+    model.known, model.chunks = {}, {}
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        got = model.encode(" ".join(words))
+    finally:
+        sys.setprofile(None)
+    from tokenizers import Tokenizer
+
+    assert np.frombuffer(got, "<u4").tolist() == Tokenizer.from_str(spec).encode(" ".join(words), add_special_tokens=False).ids
+    assert calls < 2 * len(words)
+
+
+def test_tokens_that_end_at_a_symbol():
+    inner, final = {"a": 0, "b": 1, "ab": 2, "bab": 3, "abba": 4}, {"a": 5, "b": 6, "ba": 7, "babb": 8}
+    suffixes, state, text = bpe._Suffixes(inner, final), 0, "abbababbabbaabab"
+    for end in range(1, len(text) + 1):
+        state = suffixes.after(state, text[end - 1])
+        for kind, tokens in enumerate((inner, final)):
+            want = [(tokens[text[at:end]], end - at) for at in range(end) if text[at:end] in tokens]
+            assert suffixes.tokens(state, bool(kind)) == want
+
+
 def test_decontamination_gives_the_same_in_any_number_of_blocks(spark):
     long = " ".join(f"w{i}" for i in range(40))
     items = [(1, "one two three four five six seven eight nine ten eleven"), (2, long), (3, "tiny"), (1, "ten nine eight seven six five four three two one")]
