@@ -109,6 +109,9 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size
     crowded = stored(banded.groupBy("band").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select(F.col("band").alias("_band"), "held"), "jaccard-crowded")
     members = stored(banded.join(crowded, F.col("band") == F.col("_band")).drop("_band"), "jaccard-members")
     let_go(banded, crowded)
+    # Keys and digests are all that is still needed of these two.
+    digests, labels = stored(prints.select(key, "digest"), "jaccard-digests"), stored(classes.select("digest", "rep"), "jaccard-labels")
+    let_go(prints, classes)
     wanted = stored(members.groupBy(F.col("rep").alias("_rep")).agg(F.sum("held").alias("met")), "jaccard-wanted")
     needed = wanted.select("_rep").union(likely.select("a")).union(likely.select("b")).distinct()
     sets = stored(_with_sets(texts.join(needed, F.col(key) == F.col("_rep"), "left_semi").withColumnRenamed(key, "_k"), text, size), "jaccard-sets")
@@ -133,21 +136,27 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size
     compared = sets.join(open_bands.select("rep").distinct(), F.col("_k") == F.col("rep"), "left_semi")
     alone = compared.select("_k", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.min("_k").alias("_k"), F.count(F.lit(1)).alias("held")).where("held = 1").groupBy("_k").agg(F.count(F.lit(1)).alias("alone"))
     alone = stored(alone, "jaccard-alone")
-    rest = stored(open_bands.join(alone, F.col("rep") == F.col("_k"), "left").select("band", "rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"), "alike", "part"), "jaccard-rest")
-    # The sets travel with their bands, so that the join itself decides and only links come out of it.
-    full = rest.join(sets, F.col("rep") == F.col("_k")).select(*rest.columns, "hashes")
-    left, right = full.toDF("band", "a", "n_a", "shared_a", "alike_a", "part_a", "hashes_a"), full.toDF("band_b", "b", "n_b", "shared_b", "alike_b", "part_b", "hashes_b")
+    counted = open_bands.join(alone, F.col("rep") == F.col("_k"), "left").select("band", "rep", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"), "alike", "part")
+    # An intersection holds at most the shared shingles and a union at least all n: where their quotient is too low nothing links.
+    able = stored(counted.where(F.col("shared") >= similarity * F.col("n") - 1e-6), "jaccard-able")
+    ends = able.groupBy(F.col("band").alias("_band")).agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most")
+    rest = stored(able.join(stored(ends, "jaccard-ends"), F.col("band") == F.col("_band")).drop("_band"), "jaccard-rest")
+    # The sets travel with their bands, so that the join itself decides and only links come out of it. A pair stands once,
+    # the one of the smaller component first, so a band's last component is not sent to the left, nor its first to the right.
+    columns = ["band", "rep", "n", "shared", "alike", "part"]
+    left = rest.where("part < most").join(sets, F.col("rep") == F.col("_k")).select(*columns, "hashes").toDF("band", "a", "n_a", "shared_a", "alike_a", "part_a", "hashes_a")
+    right = rest.where("part > least").join(sets, F.col("rep") == F.col("_k")).select(*columns, "hashes").toDF("band_b", "b", "n_b", "shared_b", "alike_b", "part_b", "hashes_b")
     most = F.least("shared_a", "shared_b")
     enough = most >= similarity * (F.col("n_a") + F.col("n_b") - most) - 1e-6
     # 1 - Jaccard is a metric: two sets are at least as far apart as their distances to the hub differ.
     reach = F.abs(F.col("alike_a") - F.col("alike_b")) <= 1 - similarity + 1e-6
-    met = (F.col("band") == F.col("band_b")) & (F.col("a") < F.col("b")) & (F.col("part_a") != F.col("part_b")) & enough & reach
+    met = (F.col("band") == F.col("band_b")) & (F.col("part_a") < F.col("part_b")) & enough & reach
     further = stored(left.join(right, met & (_alike("hashes_a", "hashes_b") >= similarity)).select("a", "b").distinct(), "jaccard-across")
     linked = connected_components(near.union(further), "jaccard-links")
 
-    label = stored(classes.join(linked, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("component_id")), "jaccard-label")
-    let_go(classes, likely, members, wanted, sets, close, stars, placed, mixed, open_bands, alone, rest, further)
-    return prints.join(label, F.col("digest") == F.col("_digest")).select(key, "component_id")
+    label = stored(labels.join(linked, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("_digest"), F.coalesce("component", "rep").alias("component_id")), "jaccard-label")
+    let_go(labels, likely, members, wanted, sets, close, stars, placed, mixed, open_bands, alone, able, rest, further)
+    return digests.join(label, F.col("digest") == F.col("_digest")).select(key, "component_id")
 
 
 def keep_first(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:

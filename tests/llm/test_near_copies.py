@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_duplicates import united
 
 from cuetide.llm import jaccard, simhash
@@ -78,3 +79,39 @@ def test_fingerprints_find_copies_before_minhash(spark, sf, monkeypatch):
     want = united(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
     want = {(rows[c][0], k) for (k, _), c in zip(rows, want, strict=True) if rows[c][0] != k}
     assert want and {(r.a, r.b) for r in seen[0].collect()} == want
+
+
+def test_sets_that_cannot_link_are_not_sent(spark, monkeypatch):
+    rnd, kept, plain = random.Random(8), {}, jaccard.stored
+
+    def keep(df, name):
+        kept[name] = plain(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(jaccard, "stored", keep)
+    monkeypatch.setattr(jaccard, "let_go", lambda *tables: None)
+
+    def changed(words, first, n):
+        return [*words[:first], *(f"v{rnd.random()}" for _ in range(n)), *words[first + n :]]
+
+    # Texts of similarity 0.6 to their origin and less to each other: they share keys, and a third of each is its own.
+    origin = [f"u{i}" for i in range(300)]
+    far = [origin, *(changed(origin, 20 * i, 70) for i in range(11))]
+    rows = list(enumerate(" ".join(t) for t in far))
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k for k, _ in rows} and kept["jaccard-open"].count() > 0
+    assert kept["jaccard-rest"].count() == 0
+
+    # Links to hubs are partly hidden, so that the join finds those within keys. It finds each that the keys hold.
+    kept.clear()
+    compared, rows = jaccard._compared, _planted()
+    monkeypatch.setattr(jaccard, "_compared", lambda pairs, sets: compared(pairs, sets).withColumn("alike", F.expr("if((a + b) % 3 = 0, alike, least(alike, 0.78D))")))
+    jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    sets, bands, want = {k: set(jaccard.shingle_set(t).tolist()) for k, t in rows}, {}, set()
+    for r in kept["jaccard-open"].collect():
+        bands.setdefault(r.band, []).append((r.rep, r.part))
+    for held in bands.values():
+        for a, part_a in held:
+            want |= {(a, b) for b, part_b in held if a < b and part_a != part_b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(want) > 30 and {tuple(sorted((r.a, r.b))) for r in kept["jaccard-across"].collect()} == want
+    assert kept["jaccard-rest"].select("part").distinct().count() > 2
