@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from itertools import accumulate, count, takewhile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuetide.operators.folds import fold
 from cuetide.params import P
-from cuetide.session import let_go, stored
 
 
 def poll_times(first: float = P.poll_first, most: float = P.poll_most, deadline: float = P.poll_deadline) -> list[float]:
@@ -47,46 +49,60 @@ def speaker_request(chunks: Column, speakers: Column) -> Column:
     return F.struct(F.coalesce(apart, F.lit(False)).alias("tell_apart"), F.when(apart & speakers.between(2, 100), speakers).alias("speakers"))
 
 
-#: References that follow each other at most; deeper ones are an error.
-MOST_STEPS = 200
+def _first(pairs: list[tuple[str, object]]) -> dict:
+    """Of members of one name the first counts, as for get_json_object."""
+    return dict(reversed(pairs))
 
 
-def _json_path(pointer: Column) -> Column:
-    """A local JSON pointer (#/a/b) as a path of get_json_object."""
-    parts = F.transform(F.split(F.substring(pointer, 3, 1 << 30), "/"), lambda p: F.replace(F.replace(p, F.lit("~1"), F.lit("/")), F.lit("~0"), F.lit("~")))
-    return F.concat(F.lit("$"), F.array_join(F.transform(parts, lambda p: F.concat(F.lit("['"), p, F.lit("']"))), ""))
+def _parsed(text: str | None) -> object:
+    """JSON whose numbers stay text; null where it is none."""
+    try:
+        return json.loads(text or "", object_pairs_hook=_first, parse_int=str, parse_float=str)
+    except (ValueError, RecursionError):
+        return None
 
 
-def _items(node: Column, name: str) -> Column:
-    return F.coalesce(F.from_json(F.get_json_object(node, f"$.{name}"), "array<string>"), F.array().cast("array<string>"))
+def _pointed(body: object, pointer: str) -> object:
+    """What a local JSON pointer (#/a/b) names, or null."""
+    for part in pointer[2:].split("/"):
+        name = part.replace("~1", "/").replace("~0", "~")
+        if isinstance(body, list):
+            body = body[int(name)] if name.isascii() and name.isdigit() and len(name) < 10 and int(name) < len(body) else None
+        else:
+            body = body.get(name) if isinstance(body, dict) else None
+    return body
 
 
 def schema_fields(documents: DataFrame, start: DataFrame) -> DataFrame:
     """documents: doc, body (JSON). start: doc, node (the JSON of a schema in it). (doc, field): the names of the properties of
     these schemas, of those they refer to, of their alternatives (allOf, anyOf, oneOf) and of their items. A schema with a
-    reference is only what it refers to. References may form cycles: a round follows those that are new, all documents at
-    once, until there are none."""
-    seen = start.select("doc", F.lit("").alias("ref"), "node").where("false")
-    seen, nodes, fields, drop = stored(seen.select("doc", "ref"), "refs"), stored(start.select("doc", "node").distinct(), "nodes"), [], []
-    for _ in range(MOST_STEPS):
-        node = F.col("node")
-        marked = nodes.withColumn("ref", F.get_json_object(node, "$.$ref"))
-        own = marked.where("ref is null or not ref like '#/%'")
-        fields.append(own.select("doc", F.explode(F.json_object_keys(F.get_json_object(node, "$.properties"))).alias("field")))
-        inner = F.concat(*[_items(node, name) for name in ("allOf", "anyOf", "oneOf")], F.array_compact(F.array(F.get_json_object(node, "$.items"))))
-        below = own.select("doc", F.explode(inner).alias("node"))
-        fresh = stored(marked.where("ref like '#/%'").select("doc", "ref").distinct().join(seen, ["doc", "ref"], "left_anti"), "refs-new")
-        seen = stored(seen.unionByName(fresh), "refs")
-        named = fresh.join(documents.select("doc", "body"), "doc").select("doc", F.call_function("get_json_object", F.col("body"), _json_path(F.col("ref"))).alias("node"))
-        nodes = stored(below.unionByName(named).where("node is not null").distinct(), "nodes")
-        drop += [fresh, seen, nodes]
-        if nodes.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"schemas refer to each other more than {MOST_STEPS} deep")
-    found = fields[0]
-    for more in fields[1:]:
-        found = found.unionByName(more)
-    found = stored(found.distinct(), "schema-fields")
-    let_go(*drop)
-    return found
+    reference is only what it refers to. References may form cycles: each is followed once. A document is one row of the
+    result's making and is held whole: it meets its schemas by one shuffle, and nothing is broadcast, however small its
+    columns look. JSON that doesn't parse, or is nested beyond what the parser takes, has no fields."""
+
+    def step(rows: Iterator[dict]) -> Iterator[tuple]:
+        bodies, nodes, seen, fields, doc = [], [], set(), set(), None
+        for r in rows:
+            doc = r["doc"]
+            (bodies if r["whole"] else nodes).append(_parsed(r["json"]))
+        while nodes:
+            node = nodes.pop()
+            if not isinstance(node, dict):
+                continue
+            ref = node.get("$ref")
+            if isinstance(ref, str) and ref.startswith("#/"):
+                if ref not in seen:
+                    seen.add(ref)
+                    nodes += [_pointed(body, ref) for body in bodies]
+                continue
+            own = node.get("properties")
+            fields.update(own if isinstance(own, dict) else ())
+            for name in ("allOf", "anyOf", "oneOf"):
+                nodes += node[name] if isinstance(node.get(name), list) else ()
+            nodes.append(node.get("items"))
+        # Halves of surrogate pairs, which JSON may name, are no text.
+        yield from ((doc, field) for field in {f.encode("utf-8", "replace").decode() for f in fields})
+
+    whole = documents.where("doc is not null").select("doc", F.col("body").alias("json"), F.lit(True).alias("whole"))
+    rows = whole.unionByName(start.select("doc", F.col("node").alias("json"), F.lit(False).alias("whole")))
+    return fold(rows, "doc", [], f"doc {documents.schema['doc'].dataType.simpleString()}, field string", step)

@@ -147,6 +147,21 @@ def test_fields_of_schemas_that_refer_in_cycles(spark):
     assert got == {(i, f) for i, d in enumerate(docs) for f in plain_fields(d, d["start"], set())}
 
 
+def test_fields_need_no_broadcast_and_no_bound_on_references(spark):
+    """Documents of small columns were broadcast whole, and references were followed 200 deep at most."""
+    chain = {f"r{k}": {"$ref": f"#/s/r{k + 1}"} for k in range(300)} | {"r300": {"properties": {"end": {}}}}
+    chained = json.dumps({"s": chain, "start": {"anyOf": [{"$ref": "#/s/r0"}, {"$ref": "#/list/1"}, {"$ref": "#/list/2"}, {"$ref": 5, "properties": {"own": {}}}]}, "list": [{}, {"properties": {"second": {}}}]})
+    twice = '{"start": {"properties": {"kept": {}}, "properties": {"later": {}}, "n": ' + "9" * 900 + "}}"
+    table = spark.createDataFrame([(1, chained), (2, twice), (3, '{"start": {'), (4, None), (5, "[" * 100_000)], "doc long, body string")
+    before = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "1")
+    try:
+        got = {(r.doc, r.field) for r in services.schema_fields(table, table.select("doc", F.get_json_object("body", "$.start").alias("node"))).collect()}
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", before)
+    assert got == {(1, "end"), (1, "second"), (1, "own"), (2, "kept")}
+
+
 # Targets, retries, lists, the medium that is watched
 
 
