@@ -12,7 +12,7 @@ from cuetide.operators import retention, windows
 from cuetide.plans import adapters as ad
 from cuetide.plans.catalog import query
 from cuetide.plans.q_media import logical_parts_sql
-from cuetide.session import keep_folder, shared_dir
+from cuetide.session import keep_folder, let_go, shared_dir, stored
 from cuetide.streaming import jobs, keyed, upserts
 
 
@@ -39,11 +39,16 @@ def _collected(stream: DataFrame) -> DataFrame:
 
 
 def _files(spark: SparkSession, rows: DataFrame, parts: list) -> DataFrame:
-    """Rows as a stream that brings one file after another: those that meet each condition."""
+    """Rows as a stream that brings those that meet each condition after another. They are made once, and each condition's
+    are as many files as tasks read them, which is what a batch takes; where a task finds none, a batch takes some of the
+    next, which changes no result."""
     base = keep_folder(spark, f"{shared_dir(spark)}/cuetide/files-{uuid.uuid4().hex}")
+    made = stored(rows, "files-made")
     for condition in parts:
-        rows.where(condition).coalesce(1).write.mode("append").parquet(base)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(base)
+        made.where(condition).write.mode("append").parquet(base)
+    tasks = made.rdd.getNumPartitions()
+    let_go(made)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, tasks)).parquet(base)
 
 
 def _mixed(spark: SparkSession, rows: DataFrame) -> DataFrame:
