@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ CJK = r"\x{3400}-\x{9fff}"
 TAG = "<[^>]+>"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     """Runs of white space to one blank, none at the ends."""
     return F.regexp_replace(F.regexp_replace(c, f"[{WS}]+", " "), "^ | $", "")
@@ -81,16 +88,23 @@ def run_key_counts(key: Column) -> Column:
 
 
 def information_kind(c: Column) -> Column:
-    """`punctuation`, `low_information` (one unit repeated, few different characters, a lone sign) or null."""
-    raw = clean_cue(c)
-    compact = F.regexp_replace(F.lower(raw), f"[{WS}{PUNCT_WIDE}]+", "")
-    n = F.length(compact)
-    few = (n >= 8) & (F.size(F.array_distinct(F.split(compact, "(?s)(?<=.)(?=.)"))) / n <= 0.25)
-    latin = compact.rlike("^[a-z]+$")
-    latin_low = ((n <= 4) & ~compact.rlike("[aeiouy]")) | compact.rlike(r"^(.{1,4}?)\1{2,}$")
-    other_low = (n == 1) | compact.rlike(r"^(.{1,4}?)\1+$")
-    low = (n > 0) & ~compact.rlike(r"\p{N}") & (F.when(latin, latin_low).otherwise(other_low) | few)
-    return F.when(raw == "", None).when(repeat_key(raw) == "", "punctuation").when(low, "low_information")
+    """`punctuation`, `low_information` (one unit repeated, few different characters, a lone sign) or null. The cleaned text
+    and its key are computed once, and the cleaning only of texts that hold something to clean."""
+
+    def low(compact: Column) -> Column:
+        n = F.length(compact)
+        few = (n >= 8) & (F.size(F.array_distinct(F.split(compact, "(?s)(?<=.)(?=.)"))) / n <= 0.25)
+        latin_low = ((n <= 4) & ~compact.rlike("[aeiouy]")) | compact.rlike(r"^(.{1,4}?)\1{2,}$")
+        other_low = (n == 1) | compact.rlike(r"^(.{1,4}?)\1+$")
+        return (n > 0) & ~compact.rlike(r"\p{N}") & (F.when(compact.rlike("^[a-z]+$"), latin_low).otherwise(other_low) | few)
+
+    def kind(raw: Column) -> Column:
+        compact = F.regexp_replace(F.lower(raw), f"[{WS}{PUNCT_WIDE}]+", "")
+        punctuation = ~raw.rlike(f"[^{WS}{PUNCT}]")
+        return F.when(raw == "", None).when(punctuation, "punctuation").when(let(compact, low), "low_information")
+
+    text = F.coalesce(c, F.lit(""))
+    return let(F.when(text.rlike(f"[<&{WS}]"), clean_cue(c)).otherwise(text), kind)
 
 
 def is_repeated_phrase(c: Column, seconds: Column) -> Column:

@@ -5,12 +5,10 @@ Parts are read by pattern, for absolute URLs with a scheme; hosts are lower-case
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cuetide.functions.text import decode_for_urls
+from cuetide.functions.text import decode_for_urls, let
 
 # Extensions by kind.
 AUDIO_EXTENSIONS = ["aac", "flac", "m4a", "mp3", "oga", "ogg", "opus", "wav", "weba"]
@@ -19,11 +17,6 @@ OTHER_EXTENSIONS = ["mp4", "m4s", "ts", "webm"]
 _SHAPE = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value computed once however often use names it."""
-    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
-
-
 def is_absolute(url: Column) -> Column:
     return F.coalesce(url, F.lit("")).rlike(_SHAPE)
 

@@ -65,9 +65,10 @@ def tx06(spark, d):
 
 @query("tx07_information_kind", "with w as (select distinct unnest(string_split(text, ' ')) as w from documents), " + kind_sql("w", "w", "kd") + " select w, kind from kd where kind is not null")
 def tx07(spark, d):
-    """Words of documents that carry little information."""
-    words = _docs(spark, d).select(F.explode(F.array_distinct(F.split("text", " "))).alias("w")).distinct()
-    return words.select("w", tx.information_kind(F.col("w")).alias("kind")).where("kind is not null")
+    """Words of documents that carry little information. The kind depends on the words' count, if only in name: a filter of
+    the word alone would be moved before the grouping, and tell the kind of each word of each text."""
+    words = _docs(spark, d).select(F.explode(F.split("text", " ")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    return words.select("w", F.when(F.col("n") > 0, tx.information_kind(F.col("w"))).alias("kind")).where("kind is not null")
 
 
 @query("tx08_join_words", "select doc_id, case when regexp_matches(text, '[\\x{3400}-\\x{9fff}]') then replace(text, ' ', '') else text end as joined from documents")
