@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuetide.functions.text import content_length, information_kind, is_low_single, is_punctuation, repeat_key
+from cuetide.functions.text import content_length, information_kind, is_low_single, is_punctuation, let, repeat_key
 from cuetide.functions.times import overlap
 from cuetide.params import P
 
@@ -36,19 +36,24 @@ def is_hallucinated(text: Column, no_speech: Column, logprob: Column, compressio
     return F.coalesce(long_enough & F.when(by_probability, logprob <= P.log_probability_limit).otherwise(compression >= P.compression_limit), F.lit(False))
 
 
+def _word_chars(w: Column) -> Column:
+    return content_length(F.array_join(F.transform(w, lambda x: x["text"]), ""))
+
+
+def _measures(w: Column, text_chars: Column, word_chars: Column) -> dict[str, Column]:
+    return {
+        "n_words": F.size(w).cast("long"),
+        "coverage": F.when(text_chars > 0, word_chars / text_chars).otherwise(1.0),
+        "weak": F.size(F.filter(w, lambda x: x["probability"] < P.low_probability)).cast("long"),
+        "longest": F.coalesce(F.array_max(F.transform(w, lambda x: x["end"] - x["start"])), F.lit(0.0)),
+    }
+
+
 def word_stats(df: DataFrame) -> DataFrame:
     """Adds w, the content words, and n_words, coverage, weak (words of low probability), longest, text_chars."""
     w = F.col("w")
-    chars = content_length(F.array_join(F.transform(w, lambda x: x["text"]), ""))
-    with_words = df.withColumn("w", content_words(F.col("words"))).withColumns({"text_chars": content_length(F.col("text")), "word_chars": chars})
-    return with_words.withColumns(
-        {
-            "n_words": F.size(w).cast("long"),
-            "coverage": F.when(F.col("text_chars") > 0, F.col("word_chars") / F.col("text_chars")).otherwise(1.0),
-            "weak": F.size(F.filter(w, lambda x: x["probability"] < P.low_probability)).cast("long"),
-            "longest": F.coalesce(F.array_max(F.transform(w, lambda x: x["end"] - x["start"])), F.lit(0.0)),
-        }
-    )
+    with_words = df.withColumn("w", content_words(F.col("words"))).withColumns({"text_chars": content_length(F.col("text")), "word_chars": _word_chars(w)})
+    return with_words.withColumns(_measures(w, F.col("text_chars"), F.col("word_chars")))
 
 
 def coverage_suspicious() -> Column:
@@ -68,14 +73,14 @@ def anomaly_score(word: Column) -> Column:
     return low + F.when(d < P.short_word, (P.short_word - d) * 15).otherwise(0.0) + F.when(d > P.long_word, d - P.long_word).otherwise(0.0)
 
 
-def is_word_anomaly() -> Column:
-    first = F.slice("w", 1, 8)
+def is_word_anomaly(w: Column | str = "w") -> Column:
+    first = F.slice(w, 1, 8)
     total = F.aggregate(first, F.lit(0.0), lambda a, x: a + anomaly_score(x))
     return (F.size(first) > 0) & ((total >= P.anomaly_score) | (total + 0.01 >= F.size(first)))
 
 
-def is_suspicious_timing() -> Column:
-    first = F.slice("w", 1, 8)
+def is_suspicious_timing(w: Column | str = "w") -> Column:
+    first = F.slice(w, 1, 8)
 
     def weak(x: Column) -> Column:
         d = x["end"] - x["start"]
@@ -111,25 +116,34 @@ def is_fragmented_cjk(text: Column) -> Column:
     parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\s+"), repeat_key), lambda x: x != "")
     cjk = F.filter(parts, lambda x: x.rlike(r"\p{IsHan}|\p{IsHiragana}|\p{IsKatakana}|\p{IsHangul}"))
     short = F.size(F.filter(cjk, lambda x: F.length(x) <= 2))
-    return (F.size(parts) >= 2) & (content_length(text) >= 3) & (F.size(cjk) >= 2) & (short / F.size(parts) >= 0.6)
+    return (F.size(parts) >= 2) & (content_length(text) >= 3) & (F.size(cjk) >= 2) & (short / F.greatest(F.size(parts), F.lit(1)) >= 0.6)
 
 
 def strict_recovery(df: DataFrame) -> DataFrame:
-    """Rows of a second attempt that are substantial: short, informative, and with sound words unless strongly evidenced."""
-    stats = word_stats(df)
-    low = is_low_single(information_kind(F.col("text")), F.col("text"), seconds())
+    """Rows of a second attempt that are substantial: short, informative, and with sound words unless strongly evidenced.
+    Texts that are short enough are looked at, once each: what the tests share is bound in steps, since a filter over columns
+    would spell each column out at each of its uses, and the words within it again."""
+    text = F.col("text")
     at_least = lambda c, v: F.coalesce(c >= v, F.lit(True))
     at_most = lambda c, v: F.coalesce(c <= v, F.lit(True))
-    chars, n = F.col("text_chars"), F.col("n_words")
-    substantial = (chars >= 10) & (n >= 6) & (F.col("weak") == 0) & (F.col("longest") <= 1) & at_least(F.col("logprob"), -0.75) & at_most(F.col("no_speech"), 0.58)
-    compact = ~is_fragmented_cjk(F.col("text")) & (chars >= 5) & (n >= 5) & (F.col("coverage") >= 0.8) & (F.col("weak") <= 1) & (F.col("longest") <= 0.75) & F.coalesce(F.col("logprob") >= -0.45, F.lit(False)) & at_most(F.col("no_speech"), 0.8) & at_most(F.col("compression"), 2.5)
-    silent = F.coalesce(F.col("no_speech") >= 0.5, F.lit(False))
-    short = F.coalesce((chars <= 2) & (F.col("no_speech") >= 0.35), F.lit(False))
-    middling = (chars < 14) & (F.coalesce(F.col("logprob") <= -0.5, F.lit(False)) | ((F.col("weak") > 0) & (F.col("longest") >= 1)))
-    fragment = short | (silent & (is_fragmented_cjk(F.col("text")) | F.when(chars < 10, ~compact).otherwise(~compact & middling)))
-    fits = (seconds() > 0) & (seconds() <= 8) & (F.col("text") != "") & information_kind(F.col("text")).isNull() & ~fragment & ~low
-    odd = is_word_anomaly() | is_suspicious_timing()
-    return stats.where(fits & (~odd | substantial | compact)).select(*df.columns)
+
+    def measured(w: Column) -> Column:
+        return let(F.struct(content_length(text).alias("chars"), _word_chars(w).alias("said")), lambda n: let(F.struct(n["chars"].alias("text_chars"), is_fragmented_cjk(text).alias("fragmented"), *[c.alias(name) for name, c in _measures(w, n["chars"], n["said"]).items()]), lambda x: kept(w, x)))
+
+    def kept(w: Column, x: Column) -> Column:
+        chars, n, weak, longest = x["text_chars"], x["n_words"], x["weak"], x["longest"]
+        substantial = (chars >= 10) & (n >= 6) & (weak == 0) & (longest <= 1) & at_least(F.col("logprob"), -0.75) & at_most(F.col("no_speech"), 0.58)
+        compact = ~x["fragmented"] & (chars >= 5) & (n >= 5) & (x["coverage"] >= 0.8) & (weak <= 1) & (longest <= 0.75) & F.coalesce(F.col("logprob") >= -0.45, F.lit(False)) & at_most(F.col("no_speech"), 0.8) & at_most(F.col("compression"), 2.5)
+        silent = F.coalesce(F.col("no_speech") >= 0.5, F.lit(False))
+        short = F.coalesce((chars <= 2) & (F.col("no_speech") >= 0.35), F.lit(False))
+        middling = (chars < 14) & (F.coalesce(F.col("logprob") <= -0.5, F.lit(False)) | ((weak > 0) & (longest >= 1)))
+        fragment = short | (silent & (x["fragmented"] | F.when(chars < 10, ~compact).otherwise(~compact & middling)))
+        odd = is_word_anomaly(w) | is_suspicious_timing(w)
+        informative = let(F.struct(information_kind(text).alias("kind")), lambda k: k["kind"].isNull() & ~is_low_single(k["kind"], text, seconds()))
+        return ~fragment & (~odd | substantial | compact) & informative
+
+    fits = (seconds() > 0) & (seconds() <= 8) & (text != "")
+    return df.where(F.when(fits, let(content_words(F.col("words")), measured)).otherwise(False))
 
 
 def split_at_word_gaps(df: DataFrame, gap: float = P.word_gap_split, least: float = P.word_gap_min_segment) -> DataFrame:
