@@ -11,7 +11,7 @@ that time; if one comes yet, it is told as late and not applied. Without it a ga
 State is typed and in RocksDB. A call to it takes about as long as a hundred rows, so keys share it: they are dealt to blocks,
 the grouping keys, and within a block to pages of some keys each, which double in number as the block grows. A page is read
 and written once for the rows that an Arrow batch has of its keys. It holds of each key what the rule keeps, and the rows held
-back, up to a bound; what a key has beyond it is in maps, an entry for each. A task holds one Arrow batch and one page.
+back, up to a bound, as JSON, since typed ones in it are turned over cell by cell; what a key has beyond it is in maps, an entry for each. A task holds one Arrow batch and one page.
 
 `seq` and the key must not be null; rows without them are left out and should be counted before.
 """
@@ -19,6 +19,7 @@ back, up to a bound; what a key has beyond it is in maps, an entry for each. A t
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Callable, Iterator
 from types import SimpleNamespace
 from typing import Any
@@ -84,8 +85,8 @@ class InOrder(StatefulProcessor):
         self.key = self.out_names[0]
         kind = self.out.split(", ")[0].split()[1]
         self.own, self.handle = _KINDS[kind][1], handle
-        held, skipped = _struct(f"seq long, {self.payload}"), _struct("first long, last long")
-        entry = T.StructType([*_struct(f"key {kind}, place long, next long, beyond long, due long").fields, T.StructField("held", _array(held)), T.StructField("skipped", _array(skipped)), T.StructField("own", self.kept())])
+        skipped = _struct("first long, last long")
+        entry = T.StructType([*_struct(f"key {kind}, place long, next long, beyond long, due long, held string").fields, T.StructField("skipped", _array(skipped)), T.StructField("own", self.kept())])
         self.block = handle.getValueState("block", _struct("depth int, keys long, timer long"))
         self.pages = handle.getMapState("pages", _struct("page long"), T.StructType([T.StructField("keys", _array(entry))]))
         self.more = handle.getMapState("more", _struct(f"key {kind}, seq long"), _struct(self.payload))
@@ -148,12 +149,12 @@ class InOrder(StatefulProcessor):
 
     def _read(self, number: int) -> dict[Any, SimpleNamespace]:
         return {
-            key: SimpleNamespace(key=key, place=place, next=following, beyond=beyond, due=due, held={h[0]: tuple(h[1:]) for h in held}, skipped=[tuple(x) for x in skipped], own=self.unpacked(own))
+            key: SimpleNamespace(key=key, place=place, next=following, beyond=beyond, due=due, held={seq: tuple(values) for seq, *values in json.loads(held)}, skipped=[tuple(x) for x in skipped], own=self.unpacked(own))
             for key, place, following, beyond, due, held, skipped, own in self._page(number)
         }
 
     def _write(self, number: int, entries: dict[Any, SimpleNamespace]) -> None:
-        rows = [(e.key, e.place, e.next, e.beyond, e.due, [(seq, *values) for seq, values in e.held.items()], e.skipped, self.packed(e.own)) for e in entries.values()]
+        rows = [(e.key, e.place, e.next, e.beyond, e.due, json.dumps([(seq, *values) for seq, values in e.held.items()]) if e.held else "[]", e.skipped, self.packed(e.own)) for e in entries.values()]
         self.pages.updateValue((number,), (rows,))
 
     def _double(self) -> None:

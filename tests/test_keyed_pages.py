@@ -134,3 +134,15 @@ def test_many_keys_in_a_stream(spark):
     rows = [(job, s, "chunk", s * 400.0, s * 400.0 + 400, s == 1, None) for job in range(400) for s in range(3)] + [(job, 3, "end", None, None, False, None) for job in range(400)]
     got = run(spark, rows, CHUNK, "job", keyed.TranslationWindows(900.0), [[i for i, r in enumerate(rows) if r[1] % 3 == part] for part in (1, 0, 2)])
     assert sorted(map(tuple, got.collect())) == plain_windows(rows, 900.0)
+
+
+def test_tabs_share_calls_to_the_state():
+    """Rows held back and candidates dropped were calls each: 300 tabs of 30 rows were some 40,000."""
+    rows = [(tab, s, "navigate" if s == 20 else "media", 0, f"f{s * tab % 13}", float(s % 7)) for tab in range(300) for s in range(30)]
+    rule = keyed.TabState(5)
+    calls, _ = held(rule)
+    got = {}
+    for part in (1, 0, 2):
+        got |= {r[0]: r for r in fed(rule, [frame([r for r in rows if r[1] % 3 == part], TAB)])}
+    assert {t: (r[2], r[3], r[4], r[5], r[6]) for t, r in got.items()} == plain_tabs(rows, 5)
+    assert len(calls) < 300
