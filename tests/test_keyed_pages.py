@@ -146,3 +146,12 @@ def test_tabs_share_calls_to_the_state():
         got |= {r[0]: r for r in fed(rule, [frame([r for r in rows if r[1] % 3 == part], TAB)])}
     assert {t: (r[2], r[3], r[4], r[5], r[6]) for t, r in got.items()} == plain_tabs(rows, 5)
     assert len(calls) < 300
+
+
+def test_windows_of_many_jobs_close_by_length_or_not_at_all():
+    """As st06: 500 jobs' rows were some 8,000 calls to the state."""
+    rows = [(job, s, "chunk", s * 400.0, s * 400.0 + 400, s == 1, 1600.0 if job % 3 == 1 else None) for job in range(500) for s in range(4)] + [(job, 4, "end", None, None, False, None) for job in range(0, 500, 3)]
+    rule = keyed.TranslationWindows(900.0)
+    calls, _ = held(rule)
+    got = [r for part in (1, 0, 2) for r in fed(rule, [frame([r for r in rows if r[1] % 3 == part], CHUNK)])]
+    assert sorted(got) == plain_windows(rows, 900.0) and len(calls) < 500
