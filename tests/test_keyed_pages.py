@@ -155,3 +155,16 @@ def test_windows_of_many_jobs_close_by_length_or_not_at_all():
     calls, _ = held(rule)
     got = [r for part in (1, 0, 2) for r in fed(rule, [frame([r for r in rows if r[1] % 3 == part], CHUNK)])]
     assert sorted(got) == plain_windows(rows, 900.0) and len(calls) < 500
+
+
+def test_late_chunks_of_many_jobs():
+    """As st07: a chunk after its job's end, late or a window of its own; 500 jobs' rows were some 8,000 calls."""
+    rows = []
+    for job in range(500):
+        order = [(0, "chunk"), (2, "chunk"), (3 if job % 2 else 6, "chunk"), (None, "end"), (1 if job % 5 else 4, "chunk")]
+        rows += [(job, s, kind, None if n is None else n * 400.0, None if n is None else n * 400.0 + 400, job % 7 == 0, None) for s, (n, kind) in enumerate(order)]
+    rule = keyed.TranslationWindows(900.0)
+    calls, _ = held(rule)
+    got = [r for part in (1, 0, 2) for r in fed(rule, [frame([r for r in rows if r[1] % 3 == part], CHUNK)])]
+    assert sorted(got) == plain_windows(rows, 900.0) and len(calls) < 500
+    assert {r[4] for r in got} == {True, False}
